@@ -62,3 +62,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def remainder(doc_id: str = "doc_id", parts: int = 4) -> Column:
     """crc32 of the id as text, modulo ``parts`` (a null id counts as empty text): the fold of a row."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def runs(batches, keys: list[str]):
+    """(key, rows) for each run of equal keys in a sorted stream of pandas frames; runs may span frames."""
+    import pandas as pd
+
+    held, at = [], None
+    for b in batches:
+        if not len(b):
+            continue
+        k = b[keys]
+        starts = [0, *((k != k.shift()).any(axis=1).to_numpy().nonzero()[0][1:].tolist()), len(b)]
+        for i, j in zip(starts, starts[1:], strict=False):
+            now = tuple(k.iloc[i])
+            if now != at:
+                if held:
+                    yield at, pd.concat(held) if len(held) > 1 else held[0]
+                held, at = [], now
+            held.append(b.iloc[i:j])
+    if held:
+        yield at, pd.concat(held) if len(held) > 1 else held[0]

@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +42,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
@@ -43,6 +50,19 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_vector_dedup": """
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n
+          FROM embeddings WHERE label IS NOT NULL),
+        l AS (
+          SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+          WHERE x.n > 0 AND y.n > 0 AND list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.98),
+        r AS (SELECT a AS id, a AS reach FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a),
+        c AS (SELECT id, min(reach) AS root FROM r GROUP BY id),
+        d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.root, e.vec_id) AS component_id,
+               coalesce(c.root, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e LEFT JOIN d ON d.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id""",
     "op7_exact_dedup": """
         WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
