@@ -52,6 +52,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op9_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .segment_sampling import sample_segmentations
+
+    rows = sample_segmentations(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return rows.withColumn("n_pieces", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids")).drop("ids")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -65,6 +75,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_segment_sampling": op9_segment_sampling,
     "op10_mix_sources": op10_mix_sources,
 }
 
