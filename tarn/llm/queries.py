@@ -18,6 +18,12 @@ def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(_read(spark, sf_dir, "documents"), key="corpus-key-1")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +76,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
