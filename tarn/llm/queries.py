@@ -58,6 +58,40 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    from .license_scan import PHRASES, TEMPLATES
+
+    templates = ", ".join(f"('{label}', {sorted(set(text.lower().split()))!r})" for label, text in TEMPLATES)
+    phrases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p, 1)) + f" THEN '{label}'" for p, label in PHRASES.items())
+    sql = r"""
+        WITH d AS (
+          SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+        s AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w WHERE contains(text, 'license')),
+        p AS (SELECT doc_id, i, CASE {phrases} END AS label FROM s),
+        b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM p WHERE label IS NOT NULL GROUP BY doc_id),
+        t(label, toks) AS (VALUES {templates}),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        k AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM l),
+        m AS (SELECT doc_id, label, len(list_intersect(ws, toks)) / len(toks)::DOUBLE AS share
+              FROM k, t WHERE 5 * len(list_intersect(ws, toks)) >= 4 * len(toks)),
+        g AS (SELECT doc_id, label, 0.0::DOUBLE AS share, true AS base FROM p WHERE label IS NOT NULL
+              UNION ALL SELECT doc_id, label, share, false FROM m),
+        a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, max(share) AS share FROM g GROUP BY doc_id)
+        SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word,
+               coalesce(a.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
+               CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(a.share, 0.0) END::DOUBLE AS score
+        FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+    return sql.replace("{phrases}", phrases).replace("{templates}", templates)
+
+
 def op9_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
@@ -82,6 +116,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_segment_sampling": op9_segment_sampling,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -105,6 +140,7 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha AS text_sha256
         FROM h WINDOW w AS (PARTITION BY sha)""",
+    "op8_license_scan": _license_sql(),
     "op10_mix_sources": r"""
         WITH r AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
