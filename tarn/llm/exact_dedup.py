@@ -18,6 +18,17 @@ def exact_groups(
     normalize: Callable[[Column], Column] | None = None,
     max_filter_bytes: int = 64 << 20,
 ) -> DataFrame:
+    """`exact_groups_and_filter` without the filter."""
+    return exact_groups_and_filter(docs, id_col, text_col, normalize, max_filter_bytes)[0]
+
+
+def exact_groups_and_filter(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    normalize: Callable[[Column], Column] | None = None,
+    max_filter_bytes: int = 64 << 20,
+) -> tuple[DataFrame, object]:
     """One row per input row: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal if their SHA-256 after ``normalize`` (default: no change) is. The row with the largest id stays.
@@ -27,7 +38,8 @@ def exact_groups(
     Plan: hash every text once in the JVM and write (id, hash); two passes over those narrow rows find the hashes
     that may repeat; only these are aggregated (with map-side combining, so a hot text is a row per task) and joined
     back, a join between two written tables that adaptive execution can split if one text holds a third of the rows.
-    All other rows go straight to the result.
+    All other rows go straight to the result. The filter, for ``may_repeat(xxhash64(sha as binary), ...)``, lets callers
+    who read the texts again keep rows apart that can't have copies.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if normalize is not None:
@@ -53,4 +65,20 @@ def exact_groups(
     through = alone.select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
-    return through.unionByName(joined)
+    return through.unionByName(joined), held
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that `exact_groups` keeps.
+
+    Texts that the filter knows to be alone stay where they are; the others meet the ids that are dropped, and rows
+    that repeat both id and text are made one.
+    """
+    groups, held = exact_groups_and_filter(docs, id_col, text_col)
+    dropped = groups.filter((F.col("doc_id") < F.col("keep_id")) | (F.col("doc_id").isNull() & F.col("keep_id").isNotNull()))
+    dropped = dropped.select(F.col("doc_id").alias("_drop_id"), F.unhex("text_sha256").alias("_drop_sha"))
+    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    rows = rows.withColumn("_again", may_repeat(F.xxhash64("_sha"), held))
+    hit = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_sha") == F.col("_drop_sha"))
+    kept = rows.filter("_again").join(dropped, hit, "left_anti").dropDuplicates([id_col, "_sha"])
+    return rows.filter("NOT _again").unionByName(kept).drop("_sha", "_again")

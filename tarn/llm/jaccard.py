@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .exact_dedup import exact_groups
+from .exact_dedup import exact_groups_and_filter
+from .repeats import probe
 from .shingles import Shingler, mixed
 
 BLOCK = 256  # members of a block of a group, on average
-QUERIES = 4096  # queries that one task puts to a block, on average
+QUERIES = 1024  # queries that one task puts to a block, on average
 
 
 def size_levels(num: int, den: int, upto: int = 1 << 34) -> list[int]:
@@ -61,20 +62,26 @@ def signatures(tokens: np.ndarray, levels: list[int], num: int, den: int) -> np.
     return np.concatenate(found)
 
 
-def _sets(width: int, num: int, den: int):
+_ROWS = 1000  # documents whose sets a worker holds at once
+
+
+def _sets(width: int, num: int, den: int, held):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, levels = Shingler(width), size_levels(num, den)
-        for b in batches:
-            sets = [shingle(t) for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "sha": b["sha"],
-                    "n": np.array([len(s) for s in sets], np.int64),
-                    "level": np.array([bisect_right(levels, len(s)) - 1 for s in sets], np.int32),
-                    "sigs": [signatures(s, levels, num, den).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
-                }
-            )
+        for whole in batches:
+            for i in range(0, len(whole), _ROWS):
+                b = whole.iloc[i : i + _ROWS]
+                sets = [shingle(t) for t in b["text"]]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": b["doc_id"],
+                        "sha": b["sha"],
+                        "n": np.array([len(s) for s in sets], np.int64),
+                        "level": np.array([bisect_right(levels, len(s)) - 1 for s in sets], np.int32),
+                        "sigs": [signatures(s, levels, num, den).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
+                        "again": probe(b["k"].to_numpy(np.int64), held),
+                    }
+                )
 
     return run
 
@@ -82,8 +89,10 @@ def _sets(width: int, num: int, den: int):
 def _tokens(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [shingle(t).tobytes() for t in b["text"]]})
+        for whole in batches:
+            for i in range(0, len(whole), _ROWS):
+                b = whole.iloc[i : i + _ROWS]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [shingle(t).tobytes() for t in b["text"]]})
 
     return run
 
@@ -234,14 +243,18 @@ def jaccard_components(
     """
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    copies = exact_groups(docs).select("doc_id", "keep_id", "group_size", F.unhex("text_sha256").alias("sha"))
+    copies, held = exact_groups_and_filter(docs)
+    copies = copies.select("doc_id", "keep_id", "group_size", F.unhex("text_sha256").alias("sha"))
     copies = materialize(copies, "copies")
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("sha")
     dropped = copies.filter("doc_id < keep_id OR (doc_id IS NULL AND keep_id IS NOT NULL)").select("doc_id", "sha")
-    hashed = docs.select("doc_id", "text", sha)
-    kept = hashed.join(dropped.withColumnRenamed("doc_id", "_d").withColumnRenamed("sha", "_s"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sha") == F.col("_s")), "left_anti")
-    sets = kept.mapInPandas(_sets(width, num, den), "doc_id long, sha binary, n long, level int, sigs array<long>")
-    sets = materialize(sets, "sets")
+    hashed = docs.select("doc_id", "text", sha).withColumn("k", F.xxhash64("sha"))
+    every = hashed.mapInPandas(_sets(width, num, den, held), "doc_id long, sha binary, n long, level int, sigs array<long>, again boolean")
+    every = materialize(every, "all-sets")
+    # Only sets of texts that may have copies meet the table of dropped rows.
+    dropped = dropped.withColumnRenamed("doc_id", "_d").withColumnRenamed("sha", "_s")
+    first = every.filter("again").join(dropped, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sha") == F.col("_s")), "left_anti")
+    sets = every.filter("NOT again").unionByName(first).drop("again")
 
     links = jaccard_links(docs, sets.filter("doc_id IS NOT NULL"), width, num, den)
     roots = materialize(components(links), "roots")
@@ -254,3 +267,10 @@ def jaccard_components(
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id"))
     out = copies.join(vertex, "sha", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The rows of ``docs``, with all columns, but of each component of near-duplicates only the smallest id's; rows with a null id stay."""
+    found = jaccard_components(docs, id_col, text_col, width, threshold)
+    dropped = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct(), "dropped")
+    return docs.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti")

@@ -84,18 +84,23 @@ def repeat_filter(keys: DataFrame, n: int, cells_per_key: int = 16, max_bytes: i
     return spark.sparkContext.broadcast((bitmap, width))
 
 
+def probe(keys: np.ndarray, held) -> np.ndarray:
+    """What `may_repeat` answers for an array of keys, for use inside a Python worker."""
+    bitmap, width = held.value
+    block, first, second = _cells(keys, width)
+    hit = np.ones(len(keys), bool)
+    for cell in (first, second):
+        at = block * width + cell
+        hit &= (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
 def may_repeat(key: Column, held) -> Column:
     """Whether the long ``key`` may occur more than once; never false for one that does."""
 
     @F.pandas_udf("boolean")
     def ask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bitmap, width = held.value
         for s in parts:
-            block, first, second = _cells(s.to_numpy(np.int64), width)
-            hit = np.ones(len(s), bool)
-            for cell in (first, second):
-                at = block * width + cell
-                hit &= (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            yield pd.Series(hit)
+            yield pd.Series(probe(s.to_numpy(np.int64), held))
 
     return ask(key)

@@ -8,7 +8,7 @@ import xxhash
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _33 = np.uint64(33)
-WORDS_KEPT = 1_000_000  # hashes of words that a worker keeps
+WORDS_KEPT = 150_000  # hashes of words that a worker keeps: some 30 MB
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
