@@ -55,7 +55,7 @@ def _on_source(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(other) if few else other, rows.source.eqNullSafe(F.col("_s"))).drop("_s")
 
 
-def mix(
+def mix_plan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -65,18 +65,8 @@ def mix(
     most: float = 3.0,
     seed: str = "mix",
     size: Column | None = None,
-) -> DataFrame:
-    """One row per input row: (doc_id, size, source_size, target, taken); ``taken`` counts repeats, 0: not in the mix.
-
-    A source whose target is at least its size takes all documents floor(target / size) times. What is then left of
-    the target is a budget for one copy more: documents whose hash is under the source's threshold. Thresholds come
-    from a histogram of sizes by hash digit; only the bucket in which the budget ends is refined by the next digit, so
-    a smaller budget always takes a subset of what a larger one takes. The document on the boundary is taken if that
-    brings the source nearer to its target; documents that share a hash (a repeated id) are taken together.
-
-    Null texts have size 0, null sources are a source, null ids hash as empty text; an empty table gives no rows.
-    The window over sources reads one row per source; histograms have at most 2**DIGIT rows per source.
-    """
+) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows: doc_id, source, size, u; plan: one row per source with its threshold; whether the plan can be broadcast)."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)) if size is None else size
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.cast("long").alias("size"), row_hash(id_col, seed).alias("u"))
     rows = materialize(rows, "sizes")
@@ -110,7 +100,48 @@ def mix(
         plan = materialize(plan, "thresholds")
     # On the boundary hash itself: in if that leaves less of the budget unfilled than it overshoots.
     plan = plan.withColumn("also", (F.col("budget") > 0) & (F.col("n") - F.col("budget") < F.col("budget")))
-    joined = _on_source(rows, plan, few)
+    return rows, plan, few
+
+
+def _copies(most: float) -> Column:
     copies = F.col("whole") + F.when((F.col("u") < F.col("pre")) | (F.col("also") & (F.col("u") == F.col("pre"))), 1).otherwise(0)
-    copies = F.least(copies, F.lit(int(most))).cast("long")
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return F.least(copies, F.lit(int(most))).cast("long")
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0),
+    share: float = 1.0,
+    most: float = 3.0,
+    seed: str = "mix",
+    size: Column | None = None,
+) -> DataFrame:
+    """One row per input row: (doc_id, size, source_size, target, taken); ``taken`` counts repeats, 0: not in the mix.
+
+    A source whose target is at least its size takes all documents floor(target / size) times. What is then left of
+    the target is a budget for one copy more: documents whose hash is under the source's threshold. Thresholds come
+    from a histogram of sizes by hash digit; only the bucket in which the budget ends is refined by the next digit, so
+    a smaller budget always takes a subset of what a larger one takes. The document on the boundary is taken if that
+    brings the source nearer to its target; documents that share a hash (a repeated id) are taken together.
+
+    Null texts have size 0, null sources are a source, null ids hash as empty text; an empty table gives no rows.
+    The window over sources reads one row per source; histograms have at most 2**DIGIT rows per source.
+    """
+    rows, plan, few = mix_plan(docs, id_col, text_col, source_col, weights, share, most, seed, size)
+    joined = _on_source(rows, plan, few).withColumn("copies", _copies(most))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", most: float = 3.0, **options) -> DataFrame:
+    """The rows of ``docs``, with all columns, as often as `mix` takes them; rows it doesn't take are gone."""
+    _, plan, few = mix_plan(docs, id_col, text_col, source_col, seed=seed, most=most, **options)
+    own = plan.select(F.col("source").alias("_mix_source"), F.struct("whole", "pre", "also").alias("_mix"))
+    rows = docs.withColumn("_mix_u", row_hash(id_col, seed))
+    rows = rows.join(F.broadcast(own) if few else own, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    below = (F.col("_mix_u") < F.col("_mix.pre")) | (F.col("_mix.also") & (F.col("_mix_u") == F.col("_mix.pre")))
+    copies = F.least(F.col("_mix.whole") + F.when(below, 1).otherwise(0), F.lit(int(most)))
+    copies = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return rows.select(*[F.col(c) for c in docs.columns], F.explode(copies).alias("_mix_copy")).drop("_mix_copy")

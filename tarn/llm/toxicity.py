@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, remainder
@@ -201,24 +201,8 @@ def _features(held):
     return run
 
 
-def toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "toxic",
-    threshold: float = 0.3,
-    max_rows: int = MAX_ROWS,
-) -> DataFrame:
-    """One row per input row: (doc_id, held_out, score, predicted).
-
-    Labels are learned only from rows whose crc32(id as text) mod 4 isn't 2: the models from remainders 0 and 1, the
-    curve from remainder 3. At most about ``max_rows`` labelled rows are used, chosen by a hash of the id, so the
-    table of labels that is broadcast has that bound; texts are used whole. A label that is null is ignored; of
-    several for an id, the largest holds. The score of a text without words (null, empty) is the curve at ratio 0.
-    Without labelled rows of both classes every score is the share of toxic labels. A null id hashes as empty text
-    and has no label. Other columns are not read; an empty table gives no rows.
-    """
+def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS):
+    """A function from a column of texts to a column of scores, learned as `toxicity` says."""
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.filter(remainder("doc_id") != 2)
@@ -239,7 +223,36 @@ def toxicity(
         rate = float(y.mean()) if len(y) else 0.0
         peak, mean, base = 0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
 
-    at = F.col("x.peak") * F.lit(peak) + F.col("x.mean") * F.lit(mean) + F.lit(base)
-    scored = texts.select("doc_id", features("text").alias("x"))
-    scored = scored.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), (1 / (1 + F.exp(-at))).alias("score"))
+    def score(text: Column) -> Column:
+        x = features(text)
+        return 1 / (1 + F.exp(-(x["peak"] * F.lit(peak) + x["mean"] * F.lit(mean) + F.lit(base))))
+
+    return score
+
+
+def toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    threshold: float = 0.3,
+    max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """One row per input row: (doc_id, held_out, score, predicted).
+
+    Labels are learned only from rows whose crc32(id as text) mod 4 isn't 2: the models from remainders 0 and 1, the
+    curve from remainder 3. At most about ``max_rows`` labelled rows are used, chosen by a hash of the id, so the
+    table of labels that is broadcast has that bound; texts are used whole. A label that is null is ignored; of
+    several for an id, the largest holds. The score of a text without words (null, empty) is the curve at ratio 0.
+    Without labelled rows of both classes every score is the share of toxic labels. A null id hashes as empty text
+    and has no label. Other columns are not read; an empty table gives no rows.
+    """
+    score = fit_scorer(docs, labels, id_col, text_col, label_col, max_rows)
+    scored = docs.select(F.col(id_col).alias("doc_id"), (remainder(id_col) == 2).alias("held_out"), score(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is under ``threshold``; a map once the models are fitted."""
+    return docs.filter(fit_scorer(docs, labels, id_col, text_col)(F.col(text_col)) < threshold)
