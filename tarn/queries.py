@@ -547,14 +547,14 @@ def numbers_extract(t):
     return t.documents.select("doc_id", F.size(N.extract_numbers(F.col("text"))).cast("long").alias("n"))
 
 
-@query(f"""WITH {RRF_SQL}, a AS (SELECT item_id AS query_id, unnest(list_slice({TS.format("text")}, 1, 3)) AS anchor FROM benchmark),
+@query(f"""WITH {RRF_SQL}, a AS (SELECT item_id AS query_id, unnest(list_slice(list_sort({TS.format("text")}), 1, 3)) AS anchor FROM benchmark),
 s AS (SELECT f.query_id, f.chunk_id AS evidence_id, count(*) FILTER (contains(lower(d.text), anchor)) AS found, count(anchor) AS total FROM fused f JOIN documents d ON d.doc_id = f.chunk_id LEFT JOIN a ON a.query_id = f.query_id GROUP BY ALL),
 v AS (SELECT query_id, bool_or(found = total) AS full_, bool_or(found > 0 AND found < total) AS part_ FROM s GROUP BY ALL)
 SELECT query_id, CASE WHEN full_ THEN 'supported' WHEN part_ THEN 'partial' ELSE 'insufficient' END AS verdict FROM v""")
 def evidence_verdict(t):
     texts = t.documents.select(F.col("doc_id").alias("evidence_id"), "text")
     rows = texts.join(retrieval.small(_fused(t).select("query_id", F.col("chunk_id").alias("evidence_id"))), "evidence_id")
-    anchors = _asked(t).select("query_id", F.explode(F.slice(T.token_set(F.col("text")), 1, 3)).alias("anchor"))
+    anchors = _asked(t).select("query_id", F.explode(F.slice(F.array_sort(T.token_set(F.col("text"))), 1, 3)).alias("anchor"))
     return verification.evidence_verdict(verification.anchor_support(rows, retrieval.small(anchors)))
 
 
