@@ -31,13 +31,19 @@ TEMPLATES = [
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words after A-Z became lower case, and the same words before.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A character of a word before A-Z become lower case.
+RAW_CHAR = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+#: What stands between words: splitting there costs a sixth of extracting the words one by one.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
+
+
+def _count_words(text: Column) -> Column:
+    """Ends of words: characters of words with none behind them."""
+    return F.regexp_count(text, F.lit(f"{RAW_CHAR}(?!{RAW_CHAR})"))
 
 
 def _sets(templates) -> list[tuple[str, list[str]]]:
@@ -79,7 +85,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    edge = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    edge = RAW_CHAR
     starters = "|".join(sorted({order[r] for r in prefixes} | {p[-1] for p in PHRASES}))
     may = F.col("text").rlike(f"(?i)(?<!{edge})(?:{starters})(?!{edge})")
 
@@ -127,7 +133,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.filter(F.transform(every, start), lambda p: p["label"].isNotNull())
 
     based = F.when(F.col("text").rlike("(?i)license"), let(_words(F.col("text")), places))
-    rows = rows.select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), based.alias("base"), met.alias("met"))
+    rows = rows.select("doc_id", _count_words(F.col("text")).cast("long").alias("n_words"), based.alias("base"), met.alias("met"))
 
     base, met = F.col("base"), F.col("met")
     none = F.array().cast("array<string>")
