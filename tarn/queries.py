@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tarn.functions import numbers as N
 from tarn.functions import text as T
-from tarn.operators import chunking, fusion, graph, measures, packing, profiling, retrieval, verification
+from tarn.operators import candidates, chunking, fusion, graph, measures, packing, profiling, retrieval, traces, verification
 from tarn.plans import guarded_sql, planning
 from tarn.session import ship
-from tarn.sources import files, index
+from tarn.sources import datasets, files, index
 from tarn.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -663,3 +663,66 @@ def stream_dedupe(t):
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     kept = ingest.to_memory(ingest.distinct_events(twice).select("event_type"), "stream_dedupe", "append")
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, unnest(CASE page_id % 3 WHEN 0 THEN [page_id] WHEN 1 THEN [page_id, page_id + 1] ELSE [page_id - 1, page_id, page_id + 1] END) AS page FROM pages")
+def page_candidates(t):
+    kind = F.element_at(F.array(*map(F.lit, ("normalized", "raw", "ambiguous"))), (F.col("page_id") % 3 + 1).cast("int"))
+    return t.pages.select("page_id", F.explode(datasets.page_candidates(F.col("page_id"), kind)).alias("page"))
+
+
+@query("""WITH c AS (SELECT doc_id AS case_id, doc_id // 10 AS doc, doc_id % 10 AS page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
+e AS (SELECT case_id, doc, page AS raw_page, lower(trim(regexp_replace(left(t, 300), '\\s+', ' ', 'g'))) AS e FROM c WHERE case_id % 7 = 0),
+s AS (SELECT case_id, page, raw_page, greatest(CASE WHEN e = '' THEN 0 WHEN e = t THEN 80 WHEN contains(t, e) THEN 70 WHEN length(t) >= 200 AND contains(e, t) THEN 65 ELSE 0 END,
+  CASE WHEN length(e) >= 240 AND (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) > 0
+  THEN 40 + 10 * (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) ELSE 0 END) AS score FROM e JOIN c USING (doc) WHERE t <> '' )
+SELECT case_id, page, score FROM (SELECT a.case_id, b.page, b.score, row_number() OVER (PARTITION BY a.case_id ORDER BY b.score DESC, least(abs(b.page - b.raw_page), abs(b.page - b.raw_page - 1), abs(b.page - b.raw_page + 1)), b.page) AS n
+FROM e a JOIN (SELECT s.case_id, s.page, s.raw_page, s.score FROM s) b ON a.case_id = b.case_id WHERE b.score > 0) WHERE n = 1""".replace("e JOIN c USING (doc)", "(SELECT case_id AS cid, doc, raw_page, e FROM e) x JOIN (SELECT doc, page, t FROM c) y USING (doc)").replace("SELECT case_id, page, raw_page, greatest", "SELECT cid AS case_id, page, raw_page, greatest"))
+def page_inference(t):
+    """Documents taken as pages, ten to a report; the start of a page has to be found again."""
+    docs = t.documents.select(F.col("doc_id").alias("case_id"), F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).alias("page"), "text")
+    cases = docs.filter("case_id % 7 = 0").select("case_id", "doc_id", F.col("page").alias("raw_page"), F.lit(None).cast("string").alias("full_page"), F.left(F.lower(T.squash(F.col("text"))), F.lit(300)).alias("evidence"))
+    return datasets.infer_pages(cases, docs.select("doc_id", "page", "text")).withColumn("score", F.col("score").cast("int"))
+
+
+@query("SELECT role AS lane, count(*) AS n, round(CASE role WHEN 'reranker' THEN max(length(text)) ELSE sum(length(text)) END, 6) AS total_ms, max(length(text)) AS max_ms FROM conversations GROUP BY role")
+def lane_metrics(t):
+    rows = t.conversations.select(F.col("role").alias("lane"), F.length("text").alias("latency_ms"))
+    return traces.lane_metrics(rows)
+
+
+@query(f"""WITH {LANES_SQL} SELECT query_id, (8 + count(*) FILTER (chunk_id % 11 = 0 OR chunk_id % 7 = 0))::BIGINT AS max_blocks FROM lanes GROUP BY ALL""")
+def block_allowance(t):
+    policy = F.when((F.col("chunk_id") % 11 == 0) | (F.col("chunk_id") % 7 == 0), "pinned").otherwise("ranked")
+    return candidates.block_allowance(_lanes(t).withColumn("policy", policy), 8)
+
+
+@query("SELECT doc_name, link, row_ids FROM (SELECT md5(text) AS doc_name, min(lang) AS link, list_sort(list(doc_id)) AS row_ids, count(DISTINCT lang) AS n FROM documents GROUP BY ALL) WHERE n <= 1")
+def request_groups(t):
+    return datasets.group_requests(t.documents.select(F.col("doc_id").alias("row_id"), F.md5("text").alias("doc_name"), F.col("lang").alias("link")))[0]
+
+
+@query("""WITH r AS (SELECT conv_id AS query_id, turn, role, text FROM conversations)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn) - 1 AS position, role AS lane FROM r""")
+def trace_flatten(t):
+    """Conversations logged as nested JSON and flattened again."""
+    one = F.struct(F.col("text").alias("chunk_id"), F.col("role").alias("lane"), F.col("turn").cast("int").alias("rank"), F.lit(1.0).alias("score"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("c")))), lambda x: x["c"])
+    nested = t.conversations.groupBy("conv_id").agg(ordered.alias("candidates"))
+    lines = nested.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("query_id"), "candidates")).alias("value"))
+    rows = traces.flatten(traces.parse(lines))["candidates"]
+    return rows.select(F.col("query_id").cast("long").alias("query_id"), "position", "lane")
+
+
+@query(f"""WITH {LANES_SQL}, gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+cq AS (SELECT item_id AS query_id FROM benchmark), e AS (SELECT query_id, count(*) AS expected FROM gold GROUP BY ALL),
+h AS (SELECT lane AS mode, l.query_id, rank, row_number() OVER (PARTITION BY lane, l.query_id ORDER BY rank) / rank::DOUBLE AS p FROM lanes l JOIN gold g ON g.query_id = l.query_id AND doc_id = chunk_id),
+m AS (SELECT mode, query_id, min(rank) AS f, sum(p) AS s FROM h GROUP BY ALL), x AS (SELECT 'bm25' AS mode UNION ALL SELECT 'dense'),
+z AS (SELECT x.mode, cq.query_id, f, round(coalesce(1.0 / f, 0), 6) AS rr, round(coalesce(s, 0) / greatest(1, coalesce(expected, 0)), 6) AS ap FROM x CROSS JOIN cq LEFT JOIN m ON m.mode = x.mode AND m.query_id = cq.query_id LEFT JOIN e ON e.query_id = cq.query_id)
+SELECT mode, count(*) AS cases, round(avg(coalesce(f <= 1, false)::INT), 6) AS hit_1, round(avg(coalesce(f <= 3, false)::INT), 6) AS hit_3, round(avg(coalesce(f <= 5, false)::INT), 6) AS hit_5, round(avg(coalesce(f <= 10, false)::INT), 6) AS hit_10,
+round(avg(rr), 6) AS mrr, round(avg(ap), 6) AS map FROM z GROUP BY mode""")
+def retrieval_ablation(t):
+    asked = retrieval.small(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
+    gold = t.documents.select("doc_id", "text").join(asked, F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("item"))
+    lanes = _lanes(t).withColumnRenamed("chunk_id", "item")
+    return traces.ablation(_asked(t), {m: lanes.filter(F.col("lane") == m).select("query_id", "item", "rank") for m in ("bm25", "dense")}, gold)
