@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .repeats import may_repeat, repeat_filter
 
 
@@ -76,9 +76,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     groups, held = exact_groups_and_filter(docs, id_col, text_col)
     dropped = groups.filter((F.col("doc_id") < F.col("keep_id")) | (F.col("doc_id").isNull() & F.col("keep_id").isNotNull()))
-    dropped = dropped.select(F.col("doc_id").alias("_drop_id"), F.unhex("text_sha256").alias("_drop_sha"))
-    rows = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    rows = rows.withColumn("_again", may_repeat(F.xxhash64("_sha"), held))
-    hit = F.col(id_col).eqNullSafe(F.col("_drop_id")) & (F.col("_sha") == F.col("_drop_sha"))
-    kept = rows.filter("_again").join(dropped, hit, "left_anti").dropDuplicates([id_col, "_sha"])
-    return rows.filter("NOT _again").unionByName(kept).drop("_sha", "_again")
+    sha, again = fresh(docs, "sha"), fresh(docs, "again")
+    gone, gone_sha = fresh(docs, "gone"), fresh(docs, "gone_sha")
+    dropped = dropped.select(F.col("doc_id").alias(gone), F.unhex("text_sha256").alias(gone_sha))
+    rows = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    rows = rows.withColumn(again, may_repeat(F.xxhash64(sha), held))
+    hit = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(sha) == F.col(gone_sha))
+    kept = rows.filter(F.col(again)).join(dropped, hit, "left_anti").dropDuplicates([id_col, sha])
+    return rows.filter(~F.col(again)).unionByName(kept).drop(sha, again)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: The hash of a row has LEVELS digits of DIGIT bits; a histogram is made of one digit at a time.
 LEVELS, DIGIT = 4, 12
@@ -138,10 +138,11 @@ def mix(
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", most: float = 3.0, **options) -> DataFrame:
     """The rows of ``docs``, with all columns, as often as `mix` takes them; rows it doesn't take are gone."""
     _, plan, few = mix_plan(docs, id_col, text_col, source_col, seed=seed, most=most, **options)
-    own = plan.select(F.col("source").alias("_mix_source"), F.struct("whole", "pre", "also").alias("_mix"))
-    rows = docs.withColumn("_mix_u", row_hash(id_col, seed))
-    rows = rows.join(F.broadcast(own) if few else own, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    below = (F.col("_mix_u") < F.col("_mix.pre")) | (F.col("_mix.also") & (F.col("_mix_u") == F.col("_mix.pre")))
-    copies = F.least(F.col("_mix.whole") + F.when(below, 1).otherwise(0), F.lit(int(most)))
+    theirs, cut, u, copy = (fresh(docs, n) for n in ("mix_source", "mix_plan", "mix_hash", "mix_copy"))
+    own = plan.select(F.col("source").alias(theirs), F.struct("whole", "pre", "also").alias(cut))
+    rows = docs.withColumn(u, row_hash(id_col, seed))
+    rows = rows.join(F.broadcast(own) if few else own, F.col(source_col).eqNullSafe(F.col(theirs)))
+    below = (F.col(u) < F.col(cut)["pre"]) | (F.col(cut)["also"] & (F.col(u) == F.col(cut)["pre"]))
+    copies = F.least(F.col(cut)["whole"] + F.when(below, 1).otherwise(0), F.lit(int(most)))
     copies = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return rows.select(*[F.col(c) for c in docs.columns], F.explode(copies).alias("_mix_copy")).drop("_mix_copy")
+    return rows.select(*[F.col(c) for c in docs.columns], F.explode(copies).alias(copy)).drop(copy)
