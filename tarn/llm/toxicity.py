@@ -27,7 +27,9 @@ DISCOUNT = 0.75
 CELLS = 1 << 20
 #: Labelled rows the models are fitted on, at most (a sample by hash of the id; all rows if there are fewer).
 MAX_ROWS = 200_000
-_DISTINCT = 400_000  # distinct words a task holds before it sends its n-grams, and that a worker keeps scores of
+_HELD = 100_000  # distinct words a task holds before it sends their n-grams
+_DISTINCT = 300_000  # words that a worker keeps scores of
+_ROWS = 500  # texts that are split into words at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = ["c0", "c1", "t0", "t1", "f0", "f1", "s", "st", "sf"]
 
@@ -98,7 +100,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
             held[int(toxic)].update(tokenize(text))
-            if len(held[0]) + len(held[1]) > _DISTINCT:
+            if len(held[0]) + len(held[1]) > _HELD:
                 yield _ngrams(*held)
                 held = (Counter(), Counter())
     if held[0] or held[1]:
@@ -196,7 +198,8 @@ def _features(held):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(held.value)
         for s in parts:
-            yield pd.DataFrame(score(s), columns=["peak", "mean"])
+            cut = [score(s.iloc[i : i + _ROWS]) for i in range(0, len(s), _ROWS)]
+            yield pd.DataFrame(np.concatenate(cut) if cut else np.zeros((0, 2)), columns=["peak", "mean"])
 
     return run
 
