@@ -15,8 +15,10 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from .shingles import mixed
 
 SPACE = "▁"
 WINDOW = 32  # decisions whose branches get a queue entry of their own; those behind share one until it is popped
-_TYPES = 400_000  # chunk lattices that a worker keeps
-_CHARS = 3_000_000  # characters of texts that are worked on at once
+_TYPES = 200_000  # chunk lattices that a worker keeps: some 140 MB
+_CHARS = 1_500_000  # characters of texts that are worked on at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +65,10 @@ class Vocabulary:
         self.keys, self.nexts, self.ends = np.array(keys)[order], np.array(nexts)[order], np.array(ends)
         self.bytes = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.is_high = np.zeros(self.size, bool)
+        for b, i in self.bytes.items():
+            self.is_high[i] = b >= 128
+            self.text[i] = chr(b)
         inside = set("".join(s for s in self.ids if len(s) > 1)) - {SPACE}
         joined = re.escape("".join(sorted(inside)))
         self.chunks = re.compile(f"{SPACE}+[{joined}]*|[{joined}]+|.", re.DOTALL).findall
@@ -86,7 +92,7 @@ class Lattices:
         self.edges = 0
         self.first = np.zeros(4096, np.int64)
         self.nodes = 0
-        self.search, self.q = np.zeros(8192, np.float32), np.zeros(8192)
+        self.search, self.logq = np.zeros(8192, np.float32), np.zeros(8192)
         self.piece, self.step = np.zeros(8192, np.int32), np.zeros(8192, np.int8)
 
     def _room(self, names: list[str], used: int, more: int) -> None:
@@ -102,11 +108,25 @@ class Lattices:
             self.spelled.append([self.v.bytes[b] for b in c.encode("utf-8", "surrogatepass")])
         return i
 
-    def add(self, chunks) -> None:
-        new = [c for c in chunks if c not in self.at]
+    def types(self, split: list[list[str]]) -> list[np.ndarray]:
+        """The lattice of each chunk of each text; new ones are made."""
+        get = self.at.get
+        found = [np.fromiter(map(get, s, repeat(-1)), np.int64, len(s)) for s in split]
+        missing = [np.flatnonzero(t < 0) for t in found]
+        new = {s[i] for s, m in zip(split, missing, strict=True) for i in m.tolist()}
+        if not new:
+            return found
         if len(self.at) + len(new) > _TYPES:
             self.clear()
-            new = list(chunks)
+            self.add(set().union(*split))
+            return [np.fromiter(map(self.at.__getitem__, s), np.int64, len(s)) for s in split]
+        self.add(new)
+        for s, t, m in zip(split, found, missing, strict=True):
+            t[m] = [self.at[s[i]] for i in m.tolist()]
+        return found
+
+    def add(self, chunks) -> None:
+        new = [c for c in chunks if c not in self.at]
         for i in range(0, len(new), 50_000):
             self._append(new[i : i + 50_000])
 
@@ -153,16 +173,17 @@ class Lattices:
             x = logp[e] + np.where(beyond[e], 0.0, beta[np.minimum(pos[e] + step[e], n)])
             top = np.maximum.reduceat(x, starts)
             beta[here] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), starts))
-        q = np.exp(logp + np.where(beyond, 0.0, beta[np.minimum(pos + step, n)]) - beta[pos])
+        logq = np.minimum(logp + np.where(beyond, 0.0, beta[np.minimum(pos + step, n)]) - beta[pos], 0.0)
+        q = np.exp(logq)
         total = np.cumsum(q)
         cdf = total - np.repeat((total - q)[first[:-1]], np.diff(first))
         cdf[first[1:] - 1] = 1.0
         types = len(self.at)
-        self._room(["search", "q", "piece", "step"], self.edges, len(pos))
+        self._room(["search", "logq", "piece", "step"], self.edges, len(pos))
         self._room(["first"], self.nodes, n + 1)
         self._room(["base", "end"], types, len(cs))
         at = slice(self.edges, self.edges + len(pos))
-        self.search[at], self.q[at], self.piece[at], self.step[at] = cdf, q, ids, step
+        self.search[at], self.logq[at], self.piece[at], self.step[at] = cdf, logq, ids, step
         self.first[self.nodes : self.nodes + n + 1] = self.edges + first
         ends = np.cumsum(lengths)
         self.base[types : types + len(cs)] = self.nodes + ends - lengths
@@ -196,6 +217,33 @@ class Lattices:
         return out, count
 
 
+class _Path:
+    """Decisions of one found segmentation: the few it shares with the path it branched off, and those it walked."""
+
+    def __init__(self, prefix, prefix_chunks, prefix_logq, edges, counts, first_chunk, logq, total, value):
+        self.prefix, self.prefix_chunks, self.prefix_logq = prefix, prefix_chunks, prefix_logq
+        self.edges, self.counts, self.first_chunk, self.walked = edges, counts, first_chunk, logq
+        self.logp, self.value, self.size = float(prefix_logq.sum() + total), value, len(prefix) + len(edges)
+
+    def _cut(self, head: np.ndarray, rest: np.ndarray, start: int, stop: int) -> np.ndarray:
+        n = len(head)
+        return rest[start - n : stop - n] if start >= n else np.concatenate([head[start:stop], rest[: max(0, stop - n)]])
+
+    def edges_at(self, start: int, stop: int) -> np.ndarray:
+        return self._cut(self.prefix, self.edges, start, stop)
+
+    def logq_at(self, start: int, stop: int) -> np.ndarray:
+        return self._cut(self.prefix_logq, self.walked, start, stop)
+
+    def chunks_at(self, stop: int) -> np.ndarray:
+        """The chunk of each of the first ``stop`` decisions."""
+        n = stop - len(self.prefix)
+        if n <= 0:
+            return self.prefix_chunks[:stop]
+        walked = np.repeat(np.arange(min(n, len(self.counts))), self.counts[:n])[:n]
+        return np.concatenate([self.prefix_chunks, self.first_chunk + walked])
+
+
 class _Search:
     """The A* search of one document."""
 
@@ -212,15 +260,16 @@ class _Search:
 
     def branches(self, path: int, start: int, gumbel: float, attained: bool) -> None:
         """Queue what branches off a path from decision ``start`` on; ``attained``: one of these has the value ``gumbel``."""
-        edges, _, logq, before = self.paths[path][:4]
-        stop = min(len(edges), start + WINDOW)
-        phi = before[start:stop] + np.log(np.maximum(1 - self.x.q[edges[start:stop]], 0) + 1e-300)
-        phi[self.x.q[edges[start:stop]] > 1 - 1e-12] = -np.inf
-        if stop < len(edges):  # all that keeps to the path up to there, but for the path itself
-            rest = float(logq[stop:].sum())
-            phi = np.append(phi, before[stop] + (np.log1p(-np.exp(rest)) if rest < -1e-12 else -np.inf))
-        u = self.draw(len(phi))
-        g = phi - np.log(-np.log(u))
+        p = self.paths[path]
+        stop = min(p.size, start + WINDOW)
+        edges, logq = p.edges_at(start, stop), p.logq_at(start, stop)
+        before = np.cumsum(np.append(p.logq_at(0, start).sum(), logq))
+        with np.errstate(divide="ignore"):
+            phi = before[:-1] + np.where(logq < -1e-12, np.log(-np.expm1(np.minimum(logq, -1e-300))), -np.inf)
+        if stop < p.size:  # all that keeps to the path up to there, but for the path itself
+            rest = p.logp - before[-1]
+            phi = np.append(phi, before[-1] + (np.log(-np.expm1(rest)) if rest < -1e-12 else -np.inf))
+        g = phi - np.log(-np.log(self.draw(len(phi))))
         if attained and len(g) and np.isfinite(g.max()):
             shift = np.exp(np.minimum(g - g.max(), 0))
             value = gumbel - np.log1p(np.maximum((1 - shift) / np.maximum(shift, 1e-300) * np.exp(np.minimum(gumbel - g.max(), 700)), 0))
@@ -228,87 +277,99 @@ class _Search:
             value = -np.logaddexp(-gumbel, -g)
         # At most `wanted` more entries of this queue are ever looked at, so what is behind as many better ones isn't.
         live = np.flatnonzero(np.isfinite(phi))
-        for i in live[np.argsort(-value[live], kind="stable")[: self.wanted]]:
-            tail = i == stop - start
-            self.push(float(value[i]), ("tail", path, stop) if tail else ("branch", path, start + int(i), float(phi[i]), frozenset([int(edges[start + i])])))
+        for i in live[np.argsort(-value[live], kind="stable")[: self.wanted]].tolist():
+            self.push(float(value[i]), ("tail", path, stop) if i == stop - start else ("branch", path, start + i, frozenset([int(edges[i])])))
 
     def pop(self):
-        """The next path's (path, decision, node, edge, log-probability before it, value), or None if there is no other."""
+        """The next path's (path, decision, node, edge, value), or None if there is no other."""
         while self.queue:
             value, _, entry = heapq.heappop(self.queue)
             value = -value
             if entry[0] == "tail":
                 self.branches(entry[1], entry[2], value, True)
                 continue
-            _, path, at, phi, used = entry
-            edges, _, _, before = self.paths[path][:4]
-            node = int(np.searchsorted(self.x.first[: self.x.nodes + 1], edges[at], side="right")) - 1
-            options = [e for e in range(self.x.first[node], self.x.first[node + 1]) if e not in used]
-            q = self.x.q[options]
+            _, path, at, used = entry
+            p = self.paths[path]
+            first = self.x.first
+            node = int(np.searchsorted(first[: self.x.nodes + 1], p.edges_at(at, at + 1)[0], side="right")) - 1
+            options = [e for e in range(first[node], first[node + 1]) if e not in used]
+            q = np.exp(self.x.logq[options])
             mass = q.sum()
             if not options or mass <= 0:
                 continue
             c = int(min(np.searchsorted(np.cumsum(q) / mass, self.draw(1)[0]), len(options) - 1))
             left = mass - q[c]
             if len(options) > 1 and left > 1e-12:
-                phi2 = float(before[at] + np.log(left))
-                g = phi2 - np.log(-np.log(self.draw(1)[0]))
-                self.push(float(-np.logaddexp(-value, -g)), ("branch", path, at, phi2, used | {options[c]}))
+                g = float(p.logq_at(0, at).sum() + np.log(left)) - np.log(-np.log(self.draw(1)[0]))
+                self.push(float(-np.logaddexp(-value, -g)), ("branch", path, at, used | {options[c]}))
             return path, at, node, options[c], value
         return None
 
-    def found(self, edges: np.ndarray, chunk: np.ndarray, value: float, since: int) -> None:
-        logq = np.log(self.x.q[edges])
-        before = np.cumsum(logq) - logq
-        self.paths.append((edges, chunk, logq, before, value))
-        self.branches(len(self.paths) - 1, since, value, False)
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
 def sample_batch(x: Lattices, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k of (ids, log-probability, perturbed value, log inclusion score), by falling value."""
     v = x.v
-    split = [v.chunks(v.normal(t)) for t in texts]
-    x.add(set().union(*split))
-    types = [np.fromiter(map(x.at.__getitem__, s), np.int64, len(s)) for s in split]
+    types = x.types([v.chunks(v.normal(t)) for t in texts])
     searches = [_Search(x, key, k + 1) for key in keys]
-    live = [i for i, t in enumerate(types) if len(t)]
-
-    def keyed(i: int, sample: int, chunks: np.ndarray) -> np.ndarray:
-        base = mixed(np.array([(keys[i] + sample * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
-        return mixed(chunks.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + base)
-
-    # (document, prefix edges, their chunks, value, first decision to branch at, node, end, chunk numbers)
-    jobs = []
-    for i in live:
-        n = len(types[i])
-        value = float(-np.log(-np.log(searches[i].draw(1)[0])))
-        jobs.append((i, np.empty(0, np.int64), np.empty(0, np.int64), value, 0, x.base[types[i]], x.end[types[i]], np.arange(n)))
-    for sample in range(k):
-        if not jobs:
-            break
-        edges, counts = x.walk(np.concatenate([j[5] for j in jobs]), np.concatenate([j[6] for j in jobs]), np.concatenate([keyed(j[0], sample, j[7]) for j in jobs]))
-        at = e0 = 0
+    none = np.empty(0, np.int64)
+    # (document, first chunk, node inside that chunk or -1, prefix: edges, chunks, log-probabilities; value)
+    jobs = [(i, 0, -1, none, none, np.empty(0), float(-np.log(-np.log(searches[i].draw(1)[0])))) for i, t in enumerate(types) if len(t)]
+    pieces: list[list[np.ndarray]] = [[] for _ in texts]
+    while jobs:
+        walked = [types[j[0]][j[1] :] for j in jobs]
+        at = _starts(np.array([len(w) for w in walked]))
+        every = np.concatenate(walked)
+        node, end = x.base[every], x.end[every]
+        for j, a in zip(jobs, at.tolist(), strict=False):
+            if j[2] >= 0:
+                node[a] = j[2]
+        seeds = mixed(np.array([(keys[j[0]] + len(searches[j[0]].paths) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF for j in jobs], np.uint64))
+        numbers = np.arange(len(every)) - np.repeat(at[:-1] - np.array([j[1] for j in jobs]), np.diff(at))
+        edges, counts = x.walk(node, end, mixed(numbers.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.repeat(seeds, np.diff(at))))
+        cut = _starts(np.add.reduceat(counts, at[:-1]))
+        logq, piece = x.logq[edges], x.piece[edges]
+        total = np.add.reduceat(logq, cut[:-1])
         nexts = []
-        for i, prefix, prefix_chunks, value, since, node, _, numbers in jobs:
-            own = counts[at : at + len(node)]
-            n = int(own.sum())
-            chunk = np.repeat(numbers, own)
+        for n, (i, chunk, _, prefix, chunks, prefix_logq, value) in enumerate(jobs):
+            own = slice(cut[n], cut[n + 1])
             s = searches[i]
-            s.found(np.concatenate([prefix, edges[e0 : e0 + n]]), np.concatenate([prefix_chunks, chunk]), value, since)
-            at, e0 = at + len(node), e0 + n
-            if sample + 1 < k and (branch := s.pop()):
-                path, d, place, edge, found_value = branch
+            s.paths.append(_Path(prefix, chunks, prefix_logq, edges[own], counts[at[n] : at[n + 1]], chunk, logq[own], total[n], value))
+            pieces[i].append(np.concatenate([x.piece[prefix], piece[own]]) if len(prefix) else piece[own])
+            s.branches(len(s.paths) - 1, len(prefix), value, False)
+            if len(s.paths) < k and (branch := s.pop()):
+                path, d, place, edge, found = branch
                 p = s.paths[path]
-                number = int(p[1][d])
-                t = types[i]
-                after = place + int(x.step[edge])
-                inside = after < x.end[t[number]]
-                later = t[number + 1 :]
-                nodes = np.append([after], x.base[later]) if inside else x.base[later]
-                ends = np.append([x.end[t[number]]], x.end[later]) if inside else x.end[later]
-                numbers = np.arange(number if inside else number + 1, len(t))
-                nexts.append((i, np.append(p[0][:d], edge), np.append(p[1][:d], number), found_value, d + 1, nodes, ends, numbers))
-        jobs = nexts
+                chunks = p.chunks_at(d + 1)
+                number, after = int(chunks[d]), place + int(x.step[edge])
+                inside = after < x.end[types[i][number]]
+                nexts.append((i, number if inside else number + 1, after if inside else -1, np.append(p.edges_at(0, d), edge), chunks, np.append(p.logq_at(0, d), x.logq[edge]), found))
+        # A branch in a text's last piece may leave nothing to walk.
+        jobs = []
+        for job in nexts:
+            i, chunk, _, prefix, chunks, prefix_logq, value = job
+            if chunk < len(types[i]):
+                jobs.append(job)
+                continue
+            s = searches[i]
+            while True:
+                s.paths.append(_Path(prefix, chunks, prefix_logq, none, none, chunk, np.empty(0), 0.0, value))
+                pieces[i].append(x.piece[prefix])
+                if len(s.paths) == k or not (branch := s.pop()):
+                    break
+                path, d, place, edge, value = branch
+                p = s.paths[path]
+                chunks = p.chunks_at(d + 1)
+                number, after = int(chunks[d]), place + int(x.step[edge])
+                inside = after < x.end[types[i][number]]
+                prefix, prefix_logq = np.append(p.edges_at(0, d), edge), np.append(p.logq_at(0, d), x.logq[edge])
+                chunk = number if inside else number + 1
+                if chunk < len(types[i]):
+                    jobs.append((i, chunk, after if inside else -1, prefix, chunks, prefix_logq, value))
+                    break
     out = []
     for i, s in enumerate(searches):
         if not len(types[i]):
@@ -316,14 +377,12 @@ def sample_batch(x: Lattices, texts: list[str | None], keys: list[int], k: int)
             continue
         bound = -s.queue[0][0] if s.queue else -np.inf
         rows = []
-        for p in s.paths:
-            ids = x.piece[p[0]]
+        for p, ids in zip(s.paths, pieces[i], strict=True):
             if x.spelled and ids.max() >= v.size:
                 ids = np.array([b for c in ids.tolist() for b in (x.spelled[c - v.size] if c >= v.size else (c,))], np.int32)
-            logp = float(p[2].sum())
-            d = logp - bound
+            d = p.logp - bound
             inclusion = 0.0 if d > 30 else d if d < -30 else float(np.log(-np.expm1(-np.exp(d))))
-            rows.append((ids, logp, p[4], inclusion))
+            rows.append((ids, p.logp, p.value, inclusion))
         out.append(rows)
     return out
 
@@ -381,29 +440,21 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 4, alpha: fl
 
 
 def decode(v: Vocabulary, pieces: np.ndarray, ids: np.ndarray) -> str:
-    """The normal form (blanks as ▁) that ids stand for; runs of byte ids are put together as UTF-8."""
-    if not len(ids):
-        return ""
-    if not (ids < 259).any():
-        return "".join(pieces[ids])
-    out, run = [], bytearray()
-    byte_of = v.byte_of
-    for i in ids.tolist():
-        if i in byte_of:
-            run.append(byte_of[i])
-            continue
-        if run:
-            out.append(run.decode("utf-8", "surrogatepass"))
-            run = bytearray()
-        out.append(pieces[i])
-    if run:
-        out.append(run.decode("utf-8", "surrogatepass"))
+    """The normal form (blanks as ▁) that ids stand for; runs of byte ids above ASCII are put together as UTF-8."""
+    high = np.flatnonzero(v.is_high[ids]) if len(ids) else ids
+    if not len(high):
+        return "".join(pieces[ids].tolist())
+    out = pieces[ids].tolist()
+    runs = np.split(high, np.flatnonzero(np.diff(high) > 1) + 1)
+    for run in runs:
+        out[run[0]] = bytes(v.byte_of[i] for i in ids[run].tolist()).decode("utf-8", "surrogatepass")
+        for i in run[1:]:
+            out[i] = ""
     return "".join(out)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the library's own encoding of each text; null texts count as empty."""
-    import pandas as pd
 
     @F.pandas_udf("array<int>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
