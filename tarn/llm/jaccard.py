@@ -4,13 +4,19 @@ Similar documents form groups; of each group the union of its tokens is kept (a
 query set's overlap with that union bounds its overlap with every member, so a group is opened only if the bound and
 the sizes allow a link. Three things keep this exact and linear in all but the pairs that really have to be compared:
 
-* Partition signatures say which documents must be in touch at all. Sets of similar size that meet the threshold
-  differ in at most d tokens; if the token space is cut into d + 1 ranges, at least one range holds the same tokens in
-  both. The hash of a range's tokens is a signature; linked sets share one. Common passages rarely fill a whole range.
-* Of the documents that share a signature, the one whose signatures are shared most is the pivot, mostly the original
+* Keys say which documents must be in touch at all: sets that meet the threshold share one. For high thresholds they
+  are partition signatures: such sets differ in at most d tokens, so if the token space is cut into d + 1 ranges, one
+  range holds the same tokens in both, and the hash of its tokens is shared. Common passages rarely fill a range. For
+  lower thresholds ranges would be narrow; there the keys are each set's first (1 - t) n + 1 tokens in one global
+  order (prefix filter), by document frequency, rarest first, so that common passages come last. Frequencies are
+  counted over all documents in a hashed table of fixed size; any order is exact, collisions cost selectivity only.
+* A row of the token-group matrix: tokens fall into RANGES groups by their hash, and a set has a count in each. The sum of
+  the smaller counts of two sets bounds their overlap, and so does the largest count of a group's members for all of
+  them. Candidates that can't qualify by that are gone before any token set is read.
+* Of the documents that share a key, the one whose keys are shared most is the pivot, mostly the original
   of a family of copies. Documents are grouped by pivot and compared with it first; what links to it needs no further
   comparison with others that do.
-* The rest queries its group's other blocks, and blocks of other groups with which it shares a signature.
+* The rest queries its group's other blocks, and blocks of other groups with which it shares a key.
 """
 
 from __future__ import annotations
@@ -23,13 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .components import components
 from .exact_dedup import exact_groups_and_filter
-from .repeats import probe
+from .repeats import probe, repeat_filter
 from .shingles import Shingler, mixed
 
 BLOCK = 256  # members of a block of a group, on average
+WIDE = 7  # from a threshold of 1 - 1/WIDE on, ranges hold about WIDE tokens or more
 QUERIES = 1024  # queries that one task puts to a block, on average
 
 
@@ -62,12 +69,79 @@ def signatures(tokens: np.ndarray, levels: list[int], num: int, den: int) -> np.
     return np.concatenate(found)
 
 
+RANGES = 64  # groups of tokens in the matrix
+CELLS, PARTS = 1 << 20, 256  # of the table of frequencies, and the parts in which tasks send theirs
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+
+
+def _frequencies(width: int):
+    """A task's counts of documents per cell, in parts; documents with the same text count each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle, count = Shingler(width), np.zeros(CELLS, np.int64)
+        for b in batches:
+            for i in range(0, len(b), _ROWS):
+                sets = [shingle(t) for t in b["text"].iloc[i : i + _ROWS]]
+                if sets:
+                    count += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+        if count.any():
+            cut = np.minimum(count, 65_535).astype(np.uint16).reshape(PARTS, -1)
+            yield pd.DataFrame({"part": np.arange(PARTS, dtype=np.int32), "counts": [c.tobytes() for c in cut]})
+
+    return run
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part, total = None, None
+    for b in batches:
+        for k, counts in b.itertuples(index=False):
+            if k != part:
+                if part is not None:
+                    yield pd.DataFrame({"part": [part], "counts": [_log(total)]})
+                part, total = k, np.zeros(CELLS // PARTS, np.int64)
+            total += np.frombuffer(counts, np.uint16)
+    if part is not None:
+        yield pd.DataFrame({"part": [part], "counts": [_log(total)]})
+
+
+def _log(total: np.ndarray) -> bytes:
+    return np.minimum(np.round(6 * np.log2(1 + total)), 255).astype(np.uint8).tobytes()
+
+
+def frequency_table(texts: DataFrame, width: int):
+    """A broadcast of one byte per cell: the logarithm of how many documents of ``texts`` (one column text) hold its tokens."""
+    parts = texts.mapInPandas(_frequencies(width), "part int, counts binary")
+    summed = parts.repartition("part").sortWithinPartitions("part").mapInPandas(_summed, "part int, counts binary")
+    table = np.zeros(CELLS, np.uint8)
+    for row in summed.collect():  # PARTS rows, CELLS bytes together
+        table[row.part * (CELLS // PARTS) : (row.part + 1) * (CELLS // PARTS)] = np.frombuffer(row.counts, np.uint8)
+    return texts.sparkSession.sparkContext.broadcast(table)
+
+
+def prefix(tokens: np.ndarray, table: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest tokens of a set, as many as it takes to share one with any set that meets the threshold."""
+    n = len(tokens)
+    keep = n - (num * n + den - 1) // den + 1
+    order = np.argsort((table[_cell(tokens)].astype(np.uint64) << np.uint64(56)) | (tokens >> np.uint64(8)), kind="stable")
+    return tokens[order[:keep]]
+
+
 _ROWS = 1000  # documents whose sets a worker holds at once
 
 
-def _sets(width: int, num: int, den: int, held):
+def _sets(width: int, num: int, den: int, held, frequency):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, levels = Shingler(width), size_levels(num, den)
+        table = None if frequency is None else frequency.value
+
+        def keys(tokens: np.ndarray) -> np.ndarray:
+            if not len(tokens):
+                return np.empty(0, np.int64)
+            return (signatures(tokens, levels, num, den) if table is None else prefix(tokens, table, num, den)).view(np.int64)
+
         for whole in batches:
             for i in range(0, len(whole), _ROWS):
                 b = whole.iloc[i : i + _ROWS]
@@ -78,7 +152,8 @@ def _sets(width: int, num: int, den: int, held):
                         "sha": b["sha"],
                         "n": np.array([len(s) for s in sets], np.int64),
                         "level": np.array([bisect_right(levels, len(s)) - 1 for s in sets], np.int32),
-                        "sigs": [signatures(s, levels, num, den).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
+                        "sigs": [keys(s) for s in sets],
+                        "row": [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets],
                         "again": probe(b["k"].to_numpy(np.int64), held),
                     }
                 )
@@ -86,12 +161,16 @@ def _sets(width: int, num: int, den: int, held):
     return run
 
 
-def _tokens(width: int):
+def _tokens(width: int, held):
+    """Tokens of documents whose id the filter holds; a few more pass it by chance."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for whole in batches:
-            for i in range(0, len(whole), _ROWS):
-                b = whole.iloc[i : i + _ROWS]
+            given = whole[whole["doc_id"].notna()]
+            given = given[probe(given["k"].to_numpy(np.int64), held)]
+            for i in range(0, len(given), _ROWS):
+                b = given.iloc[i : i + _ROWS]
                 yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [shingle(t).tobytes() for t in b["text"]]})
 
     return run
@@ -159,7 +238,8 @@ def _linked(members: DataFrame, queries: DataFrame, tokens: DataFrame, num: int,
     asked = materialize(queries.groupBy(*_KEY).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")), "asked")
     asks = queries.join(asked, _KEY).select(*_KEY, F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "doc_id")
     holds = members.join(asked, _KEY).select(*_KEY, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id")
-    rows = materialize(holds.unionByName(asks), "work").join(tokens, "doc_id")
+    # A merge join at every size: token sets are the bulk here, and skewed partitions of it can be split.
+    rows = materialize(holds.unionByName(asks), "work").join(tokens.hint("merge"), "doc_id")
     dealt = rows.repartition(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt", "role")
     return dealt.mapInPandas(_compare(num, den), "a long, b long")
 
@@ -168,28 +248,68 @@ def _compatible(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _wide(num: int, den: int) -> bool:
+    return num * WIDE >= den * (WIDE - 1)
+
+
+def _may_qualify(a: Column, b: Column, sizes: Column, num: int, den: int) -> Column:
+    """Whether the overlap that two rows of the matrix allow is enough for sets of together ``sizes`` tokens."""
+    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return most * (den + num) >= sizes * num
+
+
 def jaccard_links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all documents of ``sets`` (doc_id, n, level, sigs) whose Jaccard similarity is at least num/den."""
+    """Links (a, b) that connect all documents of ``sets`` (doc_id, n, level, sigs, row) whose Jaccard similarity is at least num/den."""
     sig_rows = sets.filter("n > 0").select("doc_id", "n", "level", F.explode("sigs").alias("sig"))
     from pyspark.sql import Window
 
     shared = sig_rows.withColumn("d", F.count("*").over(Window.partitionBy("sig"))).filter("d > 1")
-    shared = materialize(shared, "shared-signatures")
+    shared = materialize(shared, "shared-keys")
 
     score = materialize(shared.groupBy("doc_id", "n", "level").agg(F.sum("d").alias("score")), "scores")
     pivots = shared.select("sig", "doc_id").join(score, "doc_id")
     pivots = pivots.groupBy("sig").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("m"), F.col("n").alias("pn"))).alias("p"))
     pivots = materialize(pivots.select("sig", (-F.col("p.m")).alias("grp"), F.col("p.score").alias("ps"), F.col("p.pn").alias("pn")), "pivots")
     near = shared.join(pivots, "sig").filter(_compatible(F.col("n"), F.col("pn"), num, den))
-    near = near.groupBy("doc_id", "n", "level", "grp", "ps").agg(F.count("*").alias("c"))
+    near = near.groupBy("doc_id", "n", "level", "grp", "ps", "pn").agg(F.count("*").alias("c"))
+    matrix = materialize(sets.join(score.select("doc_id"), "doc_id", "left_semi").select("doc_id", "row"), "matrix")
+    near = near.join(matrix, "doc_id").join(matrix.select(F.col("doc_id").alias("grp"), F.col("row").alias("pivot_row")), "grp")
+    # Narrow keys bring documents together that have little in common; those stay apart. With wide ones all that share
+    # keys with a pivot are its group, so that a large family of copies is one group whatever its members' distances.
+    if not _wide(num, den):
+        near = near.filter(_may_qualify(F.col("row"), F.col("pivot_row"), F.col("n") + F.col("pn"), num, den))
     best = near.groupBy("doc_id", "n", "level").agg(F.max(F.struct("c", "ps", (-F.col("grp")).alias("m"))).alias("p"))
-    # A document that no pivot of its signatures fits by size is a group of its own.
+    # A document without a fitting pivot is a group of its own.
     groups = score.select("doc_id", "n", "level").join(best.select("doc_id", (-F.col("p.m")).alias("g")), "doc_id", "left")
     groups = materialize(groups.select("doc_id", "n", "level", F.coalesce("g", "doc_id").alias("grp")), "groups")
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    wanted = docs.select("doc_id", text.alias("text")).join(groups.select("doc_id"), "doc_id", "left_semi")
-    tokens = materialize(wanted.mapInPandas(_tokens(width), "doc_id long, tokens binary"), "tokens")
+    # Between groups that share a key, the smaller asks the larger, if the matrix allows a link with a member.
+    held = materialize(groups.groupBy("grp").agg(F.count("*").alias("m"), F.min("n").alias("least")), "group-sizes")
+    at = materialize(shared.select("sig", "doc_id").join(groups.join(held, "grp").select("doc_id", "grp", "m"), "doc_id"), "key-groups")
+    torn = materialize(at.groupBy("sig").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("sig"), "torn")
+    torn_at = materialize(at.join(torn, "sig"), "torn-groups")
+    theirs = torn_at.select("sig", F.col("grp").alias("og"), F.col("m").alias("om")).distinct()
+    across = torn_at.join(theirs, "sig").filter("m < om OR (m = om AND grp < og)").select("doc_id", F.col("og").alias("grp")).distinct()
+    across = across.join(groups.select("doc_id", "n", "level"), "doc_id").join(held, "grp")
+    smaller = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
+    across = across.filter(F.col("least") * num <= F.col("n") * den)
+    rows = groups.select("doc_id", "grp").join(matrix, "doc_id").groupBy("grp").agg(F.array(*[F.max(F.col("row")[i]) for i in range(RANGES)]).alias("group_row"))
+    across = across.join(matrix, "doc_id").join(materialize(rows, "group-rows"), "grp")
+    across = across.filter(_may_qualify(F.col("row"), F.col("group_row"), F.col("n") + smaller, num, den)).select("doc_id", "level", "grp")
+    across = materialize(across, "across")
+
+    # Token sets of what is compared: members of groups of two or more and of asked groups, askers, pivots and who has one.
+    asked = across.select("grp").unionByName(held.filter("m > 1").select("grp")).distinct()
+    away = groups.filter("doc_id <> grp")  # a pivot may itself be in another group
+    wanted = groups.join(asked, "grp", "left_semi").select("doc_id").unionByName(across.select("doc_id"))
+    wanted = wanted.unionByName(away.select("doc_id")).unionByName(away.select(F.col("grp").alias("doc_id"))).distinct()
+    wanted = materialize(wanted, "wanted")
+    # Their ids as a Bloom filter (each given twice), so that no text is shuffled to find them.
+    ids = wanted.select(F.xxhash64("doc_id").alias("k"))
+    bloom = repeat_filter(ids.unionByName(ids), 2 * wanted.count())
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    tokens = docs.select("doc_id", text, F.xxhash64("doc_id").alias("k")).mapInPandas(_tokens(width, bloom), "doc_id long, tokens binary")
+    tokens = materialize(tokens, "tokens").join(wanted, "doc_id", "left_semi")
 
     # First the pivots, each a block of one member.
     pivot_key = [F.col("grp"), F.lit(True).alias("merged"), F.lit(-1).alias("level"), F.lit(0).alias("part")]
@@ -209,16 +329,6 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: i
     asking = placed.filter("NOT merged").join(c, "grp").filter("abs(level - cl) <= 1 AND (cm OR cl > level OR (cl = level AND cp >= part))")
     inside = asking.select("grp", F.col("cm").alias("merged"), F.col("cl").alias("level"), F.col("cp").alias("part"), "doc_id")
 
-    # Between groups that share a signature, the smaller asks the larger.
-    held = placed.groupBy("grp").agg(F.count("*").alias("m"))
-    held = materialize(held, "group-sizes")
-    where = placed.select("doc_id", "grp").join(held, "grp")
-    at = materialize(shared.select("sig", "doc_id", "level").join(where, "doc_id"), "signature-groups")
-    torn = materialize(at.groupBy("sig").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("sig"), "torn")
-    torn_at = materialize(at.join(torn, "sig"), "torn-groups")
-    theirs = torn_at.select("sig", F.col("grp").alias("og"), F.col("m").alias("om")).distinct()
-    across = torn_at.join(theirs, "sig").filter("m < om OR (m = om AND grp < og)")
-    across = materialize(across.select("doc_id", "level", F.col("og").alias("grp")).distinct(), "across")
     outside = across.join(c, "grp").filter("abs(level - cl) <= 1")
     outside = outside.select("grp", F.col("cm").alias("merged"), F.col("cl").alias("level"), F.col("cp").alias("part"), "doc_id")
 
@@ -249,7 +359,9 @@ def jaccard_components(
     sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("sha")
     dropped = copies.filter("doc_id < keep_id OR (doc_id IS NULL AND keep_id IS NOT NULL)").select("doc_id", "sha")
     hashed = docs.select("doc_id", "text", sha).withColumn("k", F.xxhash64("sha"))
-    every = hashed.mapInPandas(_sets(width, num, den, held), "doc_id long, sha binary, n long, level int, sigs array<long>, again boolean")
+    # Ranges of tokens say much if they are wide, as they are for high thresholds; else rare tokens say more.
+    frequency = None if _wide(num, den) else frequency_table(hashed.select("text"), width)
+    every = hashed.mapInPandas(_sets(width, num, den, held, frequency), "doc_id long, sha binary, n long, level int, sigs array<long>, row array<int>, again boolean")
     every = materialize(every, "all-sets")
     # Only sets of texts that may have copies meet the table of dropped rows.
     dropped = dropped.withColumnRenamed("doc_id", "_d").withColumnRenamed("sha", "_s")
@@ -271,6 +383,7 @@ def jaccard_components(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs``, with all columns, but of each component of near-duplicates only the smallest id's; rows with a null id stay."""
+    gone = fresh(docs, "gone")
     found = jaccard_components(docs, id_col, text_col, width, threshold)
-    dropped = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop_id")).distinct(), "dropped")
-    return docs.join(dropped, F.col(id_col) == F.col("_drop_id"), "left_anti")
+    dropped = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")

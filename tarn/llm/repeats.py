@@ -79,7 +79,7 @@ def repeat_filter(keys: DataFrame, n: int, cells_per_key: int = 16, max_bytes: i
     touched = keys.mapInPandas(build, "block int, once binary, twice binary")
     merged = touched.repartition("block").sortWithinPartitions("block").mapInPandas(merge, "block int, bits binary")
     bitmap = np.zeros(BLOCKS * width // 8, np.uint8)
-    for row in merged.toLocalIterator():  # at most BLOCKS rows, max_bytes together
+    for row in merged.collect():  # at most BLOCKS rows, max_bytes together
         bitmap[row.block * width // 8 : (row.block + 1) * width // 8] = np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast((bitmap, width))
 
