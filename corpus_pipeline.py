@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm.common import materialize
+from tarn.llm.common import materialize, text_batches
 from tarn.llm.exact_dedup import drop_copies
 from tarn.llm.jaccard import one_of_each
 from tarn.llm.mixing import mixed_rows
@@ -18,33 +18,38 @@ from tarn.llm.toxicity import drop_toxic
 from tarn.session import ship
 
 
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    text_batches(spark)
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.3 stay."""
-    ship(spark)
+    _ready(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    ship(spark)
+    _ready(spark)
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose sets of 5-word shingles are linked by a Jaccard similarity of 0.8 or more, the smallest id stays."""
-    ship(spark)
+    _ready(spark)
     return one_of_each(docs, width=5, threshold=(4, 5))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near to their target weights; a document is repeated up to three times."""
-    ship(spark)
+    _ready(spark)
     return mixed_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of each document (fewer if it has no two): doc_id, sample, ids, scores, and whether they decode to the text."""
-    ship(spark)
+    _ready(spark)
     return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
 
 

@@ -59,6 +59,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold fewer rows, unless the session has a setting of its own: each row may be a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.session import ship
 
+from .common import text_batches
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
