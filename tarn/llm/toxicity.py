@@ -27,8 +27,8 @@ DISCOUNT = 0.75
 CELLS = 1 << 20
 #: Labelled rows the models are fitted on, at most (a sample by hash of the id; all rows if there are fewer).
 MAX_ROWS = 200_000
-_HELD = 100_000  # distinct words a task holds before it sends their n-grams
-_DISTINCT = 300_000  # words that a worker keeps scores of
+_HELD = 40_000  # distinct words a task holds before it sends their n-grams
+_DISTINCT = 200_000  # words that a worker keeps scores of
 _ROWS = 500  # texts that are split into words at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = ["c0", "c1", "t0", "t1", "f0", "f1", "s", "st", "sf"]
@@ -166,8 +166,8 @@ class Scorer:
         if len(self.known) + len(new) > _DISTINCT:
             self.known = {}
             new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             self.known.update(zip(part, word_ratios(self.model, part).tolist(), strict=True))
         out = np.zeros((len(split), 2))
         for i, ws in enumerate(split):
