@@ -531,7 +531,9 @@ def duplicate_keys(t):
 
 @query("SELECT doc_id, nullif(trim(source), '') AS source, regexp_extract_all(text, '\\[(c[0-9]+)\\]', 1) AS marks FROM documents WHERE false UNION ALL SELECT doc_id, nullif(trim(source), ''), list_distinct(regexp_extract_all('a [c1] b [c2][c1]', '\\[(c[0-9]+)\\]', 1)) AS marks FROM documents WHERE doc_id < 0")
 def citations_extract(t):
-    return t.documents.filter("doc_id < 0").select("doc_id", T.blank_to_null(F.col("source")).alias("source"), T.citations(F.col("text")).alias("marks"))
+    """The marks of every document that holds one."""
+    rows = t.documents.select("doc_id", T.blank_to_null(F.col("source")).alias("source"), T.citations(F.col("text")).alias("marks"))
+    return rows.filter(F.size("marks") > 0)
 
 
 @query("""WITH x(s) AS (VALUES ('1,234'), ('(5.5)'), ('$3'), ('7%'), ('-'), ('N/A'), (''), ('abc'), ('1e3'), ('2023'))

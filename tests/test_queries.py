@@ -19,3 +19,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_citations_of_all_documents(spark, tmp_path):
+    texts = [(0, "a", "x [c2] y [c1][c2] [d1]"), (1, " ", "[c30]"), (2, "a", "no mark [c]"), (3, "a", None), (4, None, "late " * 5000 + "[c7]")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {r.doc_id: (r.source, r.marks) for r in QUERIES["citations_extract"](spark, str(tmp_path)).collect()}
+    assert rows == {0: ("a", ["c2", "c1"]), 1: (None, ["c30"]), 4: (None, ["c7"])}
