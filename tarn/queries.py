@@ -687,6 +687,20 @@ def page_inference(t):
     return datasets.infer_pages(cases, docs.select("doc_id", "page", "text")).withColumn("score", F.col("score").cast("int"))
 
 
+@query("""WITH c AS (SELECT doc_id AS case_id, doc_id // 10 AS doc, doc_id % 10 AS page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
+p AS (SELECT a.case_id, a.page AS raw_page, a.t AS e, b.page, b.t FROM c a JOIN c b USING (doc) WHERE b.t <> ''),
+s AS (SELECT case_id, page, raw_page, greatest(CASE WHEN e = '' THEN 0 WHEN e = t THEN 80 WHEN contains(t, e) THEN 70 WHEN length(t) >= 200 AND contains(e, t) THEN 65 ELSE 0 END,
+  CASE WHEN length(e) >= 240 AND (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) > 0
+  THEN 40 + 10 * (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) ELSE 0 END) AS score FROM p)
+SELECT case_id, page, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, least(abs(page - raw_page), abs(page - raw_page - 1), abs(page - raw_page + 1)), page) = 1""")
+def page_inference_all(t):
+    """As page_inference, with a case of every document and its whole text as evidence."""
+    docs = t.documents.select(F.col("doc_id").alias("case_id"), F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).alias("page"), "text")
+    cases = docs.select("case_id", "doc_id", F.col("page").alias("raw_page"), F.lit(None).cast("string").alias("full_page"), F.col("text").alias("evidence"))
+    return datasets.infer_pages(cases, docs.select("doc_id", "page", "text")).withColumn("score", F.col("score").cast("int"))
+
+
 @query("SELECT role AS lane, count(*) AS n, round(CASE role WHEN 'reranker' THEN max(length(text)) ELSE sum(length(text)) END, 6) AS total_ms, max(length(text)) AS max_ms FROM conversations GROUP BY role")
 def lane_metrics(t):
     rows = t.conversations.select(F.col("role").alias("lane"), F.length("text").alias("latency_ms"))

@@ -26,3 +26,11 @@ def test_citations_of_all_documents(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     rows = {r.doc_id: (r.source, r.marks) for r in QUERIES["citations_extract"](spark, str(tmp_path)).collect()}
     assert rows == {0: ("a", ["c2", "c1"]), 1: (None, ["c30"]), 4: (None, ["c7"])}
+
+
+def test_every_document_is_a_case_of_page_inference(spark, tmp_path):
+    body = "".join(f"word{i} " for i in range(80))  # over 300 characters
+    texts = [(0, body + "one"), (1, body + "two"), (2, body + "two"), (8, "Short  text"), (9, "more than the short text"), (13, body + "two"), (14, None), (15, " ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {r.case_id: (r.page, r.score) for r in QUERIES["page_inference_all"](spark, str(tmp_path)).collect()}
+    assert rows == {0: (0, 80), 1: (1, 80), 2: (1, 80), 8: (8, 80), 9: (9, 80), 13: (3, 80)}  # pages at most one apart tie
