@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 KS = (1, 3, 5, 10)
 
 
-def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame:
+def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, cases: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """(query_id, first_rank, hit_1.., reciprocal_rank, average_precision) for every case.
 
     ranked: query_id, item, rank; relevant: query_id, item. Average precision counts the first hit of each relevant
-    item, over the number of relevant items (at least 1).
+    item, over the number of relevant items (at least 1). With ``expected`` (query_id, expected) those numbers are given,
+    and ``relevant`` need only hold items that are ranked.
     """
     hits = ranked.join(relevant.select("query_id", "item").distinct(), ["query_id", "item"]).groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     hits = hits.withColumn("precision", nth / F.col("rank"))
     per = hits.groupBy("query_id").agg(F.min("rank").alias("first_rank"), F.sum("precision").alias("total"))
-    expected = relevant.select("query_id", "item").distinct().groupBy("query_id").agg(F.count("*").alias("expected"))
+    if expected is None:
+        expected = relevant.select("query_id", "item").distinct().groupBy("query_id").agg(F.count("*").alias("expected"))
     rows = cases.select("query_id").distinct().join(per, "query_id", "left").join(expected, "query_id", "left")
     out = [F.coalesce(F.col("first_rank") <= k, F.lit(False)).alias(f"hit_{k}") for k in KS]
     ap = F.coalesce(F.col("total"), F.lit(0.0)) / F.greatest(F.lit(1), F.coalesce("expected", F.lit(0)))

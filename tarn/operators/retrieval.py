@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -64,12 +65,24 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "vec_id", vec_col: str = "embedding", max_queries: int = 20_000) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors by cosine, ties by id.
 
-    Queries are a stated set of at most ``max_queries`` vectors, checked, that every task compares with its rows by
-    one matrix product; a task sends only its k best per query, so what is shuffled grows with tasks, not with rows.
+    Queries are compared in blocks of about ``max_queries`` vectors, chosen by a hash of their ids: every task compares
+    a block with its rows by one matrix product and sends only its k best per query, so what is shuffled grows with
+    queries and tasks, not with rows. Each block is a scan of the vectors, and the driver holds one block at a time.
     """
-    rows = queries.select(query_id, vec_col).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors; split them into blocks")
+    n = queries.count()
+    if n > max_queries:
+        blocks = -(-n // max_queries)
+        part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+        found = [_dense_block(queries.filter(part == i), vectors, k, query_id, id_col, vec_col) for i in range(blocks)]
+    else:
+        found = [_dense_block(queries, vectors, k, query_id, id_col, vec_col)]
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _dense_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_col: str, vec_col: str) -> DataFrame:
+    """(query_id, vec_id, score): each task's k nearest vectors per query of one block, which is collected."""
+    rows = queries.select(query_id, vec_col).collect()
     ids = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300) if len(rows) else 1
@@ -95,9 +108,7 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "q
             yield best
 
     some = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter("v IS NOT NULL")
-    found = some.mapInPandas(nearest, f"query_id {dict(queries.dtypes)[query_id]}, vec_id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return some.mapInPandas(nearest, f"query_id {dict(queries.dtypes)[query_id]}, vec_id {kind}, score double")
 
 
 def lane_rank(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), item: str = "doc_id", score: str = "score") -> DataFrame:

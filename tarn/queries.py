@@ -144,6 +144,35 @@ def hit_mrr_map(t):
     return measures.retrieval_metrics(ranked, relevant, asked)
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings)
+SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank
+FROM q, v QUALIFY rank <= 10""")
+def dense_topk_all(t):
+    """Every vector whose id is divisible by 50 against all vectors."""
+    asked = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_top(asked, t.embeddings, 10)
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS b FROM embeddings),
+r AS (SELECT query_id, ql, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank FROM q, v QUALIFY rank <= 10),
+h AS (SELECT query_id, vec_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) / rank::DOUBLE AS p FROM r WHERE ql = label),
+g AS (SELECT query_id, min(rank) AS first_rank, sum(p) AS total FROM h GROUP BY ALL),
+e AS (SELECT query_id, count(*) AS expected FROM q JOIN v ON ql = label GROUP BY ALL)
+SELECT q.query_id, first_rank, coalesce(first_rank <= 1, false) AS hit_1, coalesce(first_rank <= 3, false) AS hit_3, coalesce(first_rank <= 5, false) AS hit_5, coalesce(first_rank <= 10, false) AS hit_10,
+       round(coalesce(1.0 / first_rank, 0), 6) AS reciprocal_rank, round(coalesce(total, 0) / greatest(1, coalesce(expected, 0)), 6) AS average_precision
+FROM q LEFT JOIN g USING (query_id) LEFT JOIN e USING (query_id)""")
+def hit_mrr_map_all(t):
+    """As hit_mrr_map for every vector whose id is divisible by 50; relevant items are counted by label, not listed."""
+    asked = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    ranked = retrieval.dense_top(asked.select("query_id", "embedding"), t.embeddings, 10).withColumnRenamed("vec_id", "item")
+    labels = t.embeddings.select(F.col("vec_id").alias("item"), "label")
+    relevant = labels.join(ranked.select("query_id", "item").join(asked.select("query_id", "label"), "query_id"), ["item", "label"]).select("query_id", "item")
+    expected = asked.select("query_id", "label").join(labels.groupBy("label").agg(F.count("*").alias("expected")), "label").select("query_id", "expected")
+    return measures.retrieval_metrics(ranked, relevant, asked, expected)
+
+
 @query(f"""WITH {RRF_SQL},
 c AS (SELECT f.query_id, f.chunk_id, f.rank AS fusion_rank, q.text AS qt, d.text AS dt, d.lang FROM fused f JOIN benchmark q ON q.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= 6),
 s AS (SELECT query_id, chunk_id, fusion_rank, {TS.format("qt")} AS a, {TS.format("dt")} AS b, lang FROM c),

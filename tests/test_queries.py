@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from compare import same
 
+from tarn.operators import retrieval
 from tarn.queries import ORACLE_SQL, QUERIES
 
 
@@ -34,3 +36,23 @@ def test_every_document_is_a_case_of_page_inference(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     rows = {r.case_id: (r.page, r.score) for r in QUERIES["page_inference_all"](spark, str(tmp_path)).collect()}
     assert rows == {0: (0, 80), 1: (1, 80), 2: (1, 80), 8: (8, 80), 9: (9, 80), 13: (3, 80)}  # pages at most one apart tie
+
+
+def test_query_vectors_grow_with_the_table_and_come_in_blocks(spark, tmp_path):
+    x = np.random.default_rng(1).normal(size=(1200, 8)).astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    best = {i: sorted(range(1200), key=lambda j: (-scores[i, j], j))[:10] for i in range(0, 1200, 50)}
+    pick = lambda rows: {(r.query_id, r.rank): r.vec_id for r in rows.collect()}
+    want = {(i, n): j for i, js in best.items() for n, j in enumerate(js, 1)}
+    assert pick(QUERIES["dense_topk_all"](spark, str(tmp_path))) == want
+    asked = df.filter("vec_id % 50 = 0").select(df.vec_id.alias("query_id"), "embedding")
+    assert pick(retrieval.dense_top(asked, df, 10, max_queries=7)) == want
+    metrics = {r.query_id: (r.first_rank, r.average_precision) for r in QUERIES["hit_mrr_map_all"](spark, str(tmp_path)).collect()}
+    for i, js in best.items():
+        at = [n for n, j in enumerate(js, 1) if j % 7 == i % 7]
+        expected = sum(j % 7 == i % 7 for j in range(1200))
+        assert metrics.pop(i) == (min(at), round(sum(k / n for k, n in enumerate(at, 1)) / expected, 6))
+    assert not metrics
