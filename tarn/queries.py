@@ -180,6 +180,10 @@ z AS (SELECT query_id, chunk_id, fusion_rank, round(0.25 * (CASE WHEN len(a) > 0
       - (CASE WHEN lang = 'en' THEN 0.0 ELSE 0.1 END), 6) AS rerank_score FROM s)
 SELECT query_id, chunk_id, fusion_rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_rank, chunk_id) AS rank FROM z""")
 def rerank_cascade(t):
+    return _reranked(t)
+
+
+def _reranked(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("dt"), "lang")
     rows = texts.join(retrieval.small(_fused(t).select("query_id", "chunk_id", "rank")), "chunk_id").join(retrieval.small(_asked(t).withColumnRenamed("text", "qt")), "query_id")
     none = F.array().cast("array<string>")
@@ -393,6 +397,31 @@ def failure_buckets(t):
     return measures.failure_buckets(rows.unionByName(missing))
 
 
+@query(f"""WITH {RRF_SQL}, rr AS ({ORACLE_SQL["rerank_cascade"]}),
+gold AS (SELECT item_id AS case_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+al AS (SELECT query_id, chunk_id, lane AS mode, rank FROM lanes UNION ALL SELECT query_id, chunk_id, 'hybrid', rank FROM fused UNION ALL SELECT query_id, chunk_id, 'rerank', rank FROM rr),
+fr AS (SELECT case_id, mode, min(rank) AS first_rank FROM al JOIN gold ON query_id = case_id AND chunk_id = doc_id GROUP BY ALL),
+m AS (SELECT item_id AS case_id, min(first_rank) FILTER (mode = 'dense') AS dense, min(first_rank) FILTER (mode = 'bm25') AS bm25, min(first_rank) FILTER (mode = 'hybrid') AS hybrid,
+      min(first_rank) FILTER (mode = 'rerank') AS rerank FROM benchmark LEFT JOIN fr ON case_id = item_id GROUP BY ALL),
+x AS (SELECT unnest([CASE WHEN dense IS NULL AND bm25 IS NOT NULL THEN 'dense_missed_bm25_hit' END, CASE WHEN hybrid IS NOT NULL AND rerank IS NULL THEN 'hybrid_found_reranker_lost' END,
+      CASE WHEN rerank < hybrid THEN 'reranker_improved_rank' END, CASE WHEN dense IS NULL AND hybrid IS NULL THEN 'both_dense_and_hybrid_missed' END]) AS bucket FROM m)
+SELECT bucket, count(*) AS n FROM x WHERE bucket IS NOT NULL GROUP BY ALL""")
+def failure_buckets_all(t):
+    """As failure_buckets, with the fused ranks as hybrid and those of the rerank cascade as rerank, over all cases."""
+    return measures.failure_buckets(_first_ranks(t))
+
+
+def _first_ranks(t: Tables) -> DataFrame:
+    """(case_id, mode, first_rank): the first document with the case's passage in each of the four modes; a case that none finds has one row with null."""
+    asked = retrieval.small(t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")))
+    gold = t.documents.select("doc_id", "text").join(asked, F.col("text").contains(F.col("passage"))).select("case_id", F.col("doc_id").alias("chunk_id"))
+    ranks = lambda df, mode: df.select(F.col("query_id").alias("case_id"), "chunk_id", mode.alias("mode"), "rank")
+    every = ranks(_lanes(t), F.col("lane")).unionByName(ranks(_fused(t), F.lit("hybrid"))).unionByName(ranks(_reranked(t), F.lit("rerank")))
+    found = every.join(gold, ["case_id", "chunk_id"]).groupBy("case_id", "mode").agg(F.min("rank").alias("first_rank"))
+    missing = t.benchmark.select(F.col("item_id").alias("case_id"), F.lit("dense").alias("mode"), F.lit(None).cast("int").alias("first_rank"))
+    return found.unionByName(missing)
+
+
 _EDGE_SQL = "e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, 's' || l_suppkey || '-p' || l_partkey AS edge_id, round(sum(l_quantity) / 100.0, 6) AS confidence FROM lineitem GROUP BY ALL), u AS (SELECT source AS node, target AS other, edge_id, confidence FROM e UNION ALL SELECT target, source, edge_id, confidence FROM e)"
 
 

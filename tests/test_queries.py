@@ -56,3 +56,18 @@ def test_query_vectors_grow_with_the_table_and_come_in_blocks(spark, tmp_path):
         expected = sum(j % 7 == i % 7 for j in range(1200))
         assert metrics.pop(i) == (min(at), round(sum(k / n for k, n in enumerate(at, 1)) / expected, 6))
     assert not metrics
+
+
+def test_failure_buckets_take_fused_and_reranked_ranks(spark, tmp_path):
+    from tarn.queries import Tables, _first_ranks
+
+    # Case 5: all words stand in 30 long documents with smaller ids, so dense misses the gold one, which BM25 has first.
+    texts = [(i, "gamma beta alpha" + " filler" * 2000) for i in range(30)] + [(40, "alpha beta gamma")] + [(i, "alpha beta alpha beta") for i in range(50, 80)] + [(i, "other words") for i in range(100, 300)]
+    docs = [(i, x, "en", "s", len(x)) for i, x in texts]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "alpha beta gamma"), (11, "absent")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = {(r.case_id, r["mode"]) for r in _first_ranks(Tables(spark, str(tmp_path))).collect() if r.first_rank}
+    assert got == {(5, "bm25"), (5, "hybrid"), (5, "rerank")}
+    buckets = QUERIES["failure_buckets_all"](spark, str(tmp_path))
+    assert {r.bucket: r.n for r in buckets.collect()} == {"dense_missed_bm25_hit": 1, "both_dense_and_hybrid_missed": 1}
+    same(buckets, ORACLE_SQL["failure_buckets_all"], str(tmp_path))
