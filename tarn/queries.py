@@ -718,10 +718,10 @@ def stream_session(t):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_dedupe(t):
-    """Every event twice; the second is dropped by its idempotency key."""
+    """Every event twice; the second is dropped by its idempotency key. Files may come in any order of time."""
     rows = ingest.event_stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema)
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    kept = ingest.to_memory(ingest.distinct_events(twice).select("event_type"), "stream_dedupe", "append")
+    kept = ingest.to_memory(ingest.distinct_events(twice, late=None).select("event_type"), "stream_dedupe", "append")
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 

@@ -36,10 +36,13 @@ def idempotency_key(*parts: str):
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def distinct_events(events: DataFrame, keys: tuple[str, ...] = ("event_type", "user_id", "event_id"), late: str = "2 days") -> DataFrame:
-    """Events of which each idempotency key passes once, with state that the watermark bounds."""
+def distinct_events(events: DataFrame, keys: tuple[str, ...] = ("event_type", "user_id", "event_id"), late: str | None = "2 days") -> DataFrame:
+    """Events of which each idempotency key passes once, with state that the watermark bounds; events later than it are dropped.
+
+    With ``late`` None no event is dropped for its time: a replay over files in any order, whose state holds every key.
+    """
     keyed = events.withColumn("idempotency_key", idempotency_key(*keys))
-    if events.isStreaming:
+    if events.isStreaming and late is not None:
         return keyed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["idempotency_key"])
     return keyed.dropDuplicates(["idempotency_key"])
 

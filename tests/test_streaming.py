@@ -1,5 +1,8 @@
+import os
+
 from pyspark.sql import functions as F
 
+from tarn.queries import QUERIES
 from tarn.streaming import ingest
 
 
@@ -29,6 +32,17 @@ def test_duplicates_pass_once(spark, sf):
     assert kept.count() == kept.distinct().count() == spark.read.parquet(f"{sf}/events.parquet").count()
 
 
+def test_replay_of_files_in_reverse_order_of_time(spark, tmp_path):
+    folder, shape = tmp_path / "events.parquet", "event_id long, ts string, user_id long, event_type string, value double, props string"
+    for n, month in enumerate(("09", "06", "03", "01")):  # files are read from the newest events to the oldest; lateness counts from the third on
+        rows = [(100 * n + i, f"2024-{month}-{i + 1:02d} 00:00:00", i, "ab"[i % 2], 1.0, "{}") for i in range(20)]
+        spark.createDataFrame(rows, shape).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"file://{folder}")
+        for f in folder.glob("part-*"):
+            if f.stat().st_mtime > 1e9 + 1000:
+                os.utime(f, (1e9 + n, 1e9 + n))
+    assert {r.event_type: r.n for r in QUERIES["stream_dedupe"](spark, str(tmp_path)).collect()} == {"a": 40, "b": 40}
+
+
 def test_freshness(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-03 00:00:00")], "event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = {r.event_type: r.stale for r in ingest.freshness(df, F.lit("2024-01-03 01:00:00").cast("timestamp")).collect()}
