@@ -1,9 +1,10 @@
 """License scans by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-The templates' words, in order of their frequency over all documents, rarest first, are the tokens. A block (a line)
-meets a template if it holds at least ``threshold`` of the template's set. Whoever does holds one of the template's
-first tokens (prefix filter), is long enough (length filter), and still has enough tokens behind the first shared
-one (positional filter); only blocks that pass all three are compared.
+The templates' words, in order of their frequency over all documents, rarest first, are the tokens. A block (a line, or
+as many neighbouring words as the template has, across lines) meets a template if it holds at least ``threshold`` of the
+template's set. Whoever does holds one of the template's first tokens (prefix filter), is long enough (length filter),
+and still has enough tokens behind the first shared one (positional filter); only blocks that pass all three are
+compared. Blocks across lines are those around a first token, from every start.
 """
 
 from __future__ import annotations
@@ -66,7 +67,8 @@ def _labels(values: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), templates=TEMPLATES) -> DataFrame:
     """One row per input row: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    Blocks are lines of the whole text; a block meets a template if it holds at least ``threshold`` of its distinct words.
+    Blocks are lines of the whole text and, since license texts are wrapped, all runs of as many words as a template has,
+    whatever lines they stand in; a block meets a template if it holds at least ``threshold`` of its distinct words.
     n_base counts all places of the base phrases, also across lines; first_word and last_word are the smallest and
     largest of their starts, words from 0. labels are the base labels and those of templates met, distinct and sorted.
     score is 1 with a base phrase, else the largest share of a met template, else 0. Null and empty texts have 0
@@ -115,7 +117,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
 
     blocks = F.filter(F.transform(F.split("text", "\n"), block), lambda b: F.arrays_overlap(b["ranks"], F.array(*map(F.lit, prefixes))))
-    met = F.when(may, F.transform(blocks, share))
+
+    def runs(ws: Column) -> Column:
+        """Per place of a first token: an array with each template's best share in a run of its length around the place, null if not met."""
+        held = [sorted(set(text.lower().split())) for _, text in templates]
+        lengths = [len(text.split()) for _, text in templates]
+
+        def one(at: Column, words: list[str], length: int, rs: list[int], need: int) -> Column:
+            own = F.array(*map(F.lit, words))
+            low = F.greatest(at["i"] - (length - 1), F.lit(0))
+            shared = lambda start, n: F.size(F.array_intersect(F.slice(ws, start + 1, n), own))
+            best = F.array_max(F.transform(F.sequence(low, at["i"]), lambda start: shared(start, F.lit(length))))
+            near = at["w"].isin([order[r] for r in rs[: len(rs) - need + 1]]) & (shared(low, at["i"] - low + length) >= need)
+            return F.when(near, let(best, lambda n: F.when(n >= need, n / len(rs)))).cast("double")
+
+        places = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin([order[r] for r in prefixes]))
+        return F.transform(places, lambda at: F.array(*[one(at, words, n, rs, need) for words, n, (_, rs, need) in zip(held, lengths, ranked, strict=True)]))
+
+    met = F.when(may, F.concat(F.transform(blocks, share), let(_words(F.col("text")), runs)))
 
     def places(ws: Column) -> Column:
         at = lambda i, k: F.get(ws, i + k)

@@ -10,7 +10,7 @@ import pytest
 from compare import same
 from conftest import DOCS, prose
 
-from tarn.llm import components, exact_dedup, jaccard, language_id, mixing, pii, segment_sampling, toxicity, vector_dedup
+from tarn.llm import components, exact_dedup, jaccard, language_id, license_scan, mixing, pii, segment_sampling, toxicity, vector_dedup
 from tarn.llm.queries import ORACLE_SQL, QUERIES
 from tarn.llm.repeats import may_repeat, repeat_filter
 
@@ -304,3 +304,45 @@ def test_library_encoding_round_trip(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = segment_sampling.encode(spark.createDataFrame([(1, "a  b\nc 漢"), (2, None)], "doc_id long, text string"), PIECES).orderBy("doc_id").collect()
     assert sp.decode(list(rows[0].ids)) == "a  b\nc 漢" and rows[1].ids == []
+
+
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal'
+
+
+def test_wrapped_licenses_are_met(spark):
+    def wrapped(text, mark):
+        return "x y\n" + "\n".join(mark + line for line in text.split("\n")) + "\nz"
+
+    narrow = "some words before Redistribution and\n# use in source\n# and\n#\n# binary forms, with\n# or without modification,\n# are"
+    far = "Redistribution and use in source and binary forms" + "\nother words" * 9 + "\nwith or without modification are permitted"
+    texts = [wrapped(BSD, ""), wrapped(MIT, " * "), wrapped(BSD, "// "), narrow, far, "All rights\nreserved.", "All\nother rights\nreserved", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 4)) for r in license_scan.license_scan(rows).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("bsd", round(12 / 13, 4)), 4: ("", 0.0), 5: ("all-rights-reserved", 1.0), 6: ("", 0.0), 7: ("", 0.0)}
+
+
+def test_license_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    every = sorted({w for _, t in license_scan.TEMPLATES for w in t.lower().split()} - {"license"})  # no base phrases
+    texts = []
+    for _ in range(150):
+        words = rng.choice([*every, *["other"] * 10], rng.integers(0, 40)).tolist()
+        template = license_scan.TEMPLATES[rng.integers(len(license_scan.TEMPLATES))][1].lower().replace("license", "permit").split()
+        words += [w if rng.random() < 0.9 else "other" for w in template] + rng.choice(every, rng.integers(0, 20)).tolist()
+        texts.append("".join(w + ("\n" if rng.random() < 0.2 else " ") for w in words))
+
+    def brute(text):
+        met = {}
+        for label, t in license_scan.TEMPLATES:
+            own, n, ws = set(t.lower().split()), len(t.split()), text.split()
+            blocks = [line.split() for line in text.split("\n")] + [ws[i : i + n] for i in range(len(ws))]
+            share = max((len(own & set(b)) for b in blocks), default=0)
+            if 5 * share >= 4 * len(own):
+                met[label] = max(met.get(label, 0), share / len(own))
+        return ",".join(sorted(met)), max(met.values(), default=0.0)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(rows).collect()}
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    assert got == want and len({x for x, _ in want.values()}) > 4
