@@ -23,15 +23,18 @@ from .shingles import mixed
 ORDER = 5
 WINDOW = 4
 DISCOUNT = 0.75
-#: Hashed counts: each kind of count has this many cells, so a model has a fixed size whatever it learns from.
+#: Cells of a model of hashed counts (`_ngrams` of a few words); fitted models hold counts by 63-bit keys, one per n-gram.
 CELLS = 1 << 20
-#: Labelled rows the models are fitted on, at most (a sample by hash of the id; all rows if there are fewer).
+#: Labelled rows of which the curve's share is taken, at most (a sample by hash of the id; all rows if there are fewer);
+#: no more labels are broadcast. The models learn from all labelled rows.
 MAX_ROWS = 200_000
 _HELD = 40_000  # distinct words a task holds before it sends their n-grams
 _DISTINCT = 200_000  # words that a worker keeps scores of
 _ROWS = 500  # texts that are split into words at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = ["c0", "c1", "t0", "t1", "f0", "f1", "s", "st", "sf"]
+#: The kinds of counts that each kind of key has.
+_GROUPS = {"gram": ["c0", "c1"], "context": ["t0", "t1", "f0", "f1"], "suffix": ["s"], "suffix_context": ["st", "sf"]}
 
 
 def tokenize(text: str | None) -> list[bytes]:
@@ -39,9 +42,12 @@ def tokenize(text: str | None) -> list[bytes]:
 
 
 class _Grams:
-    """All n-grams of all words, as hashes per byte position and order; a word has a blank before and after it."""
+    """All n-grams of all words, as hashes per byte position and order; a word has a blank before and after it.
 
-    def __init__(self, words: list[bytes]):
+    With ``keyed`` hashes are 63-bit keys (the order is part of them), else cells.
+    """
+
+    def __init__(self, words: list[bytes], keyed: bool = False):
         spaced = [b" " + w + b" " for w in words]
         flat = np.frombuffer(b"".join(spaced), np.uint8).astype(np.uint64)
         lengths = np.fromiter(map(len, spaced), np.int64, len(spaced))
@@ -56,18 +62,23 @@ class _Grams:
             h = mixed(h * _STEP + shifted + np.uint64(m * 1000))
             context = np.zeros(len(flat), np.uint64)
             context[1:] = before[:-1]
-            self.gram.append(self.cell(h))
-            self.context.append(self.cell(mixed(context + np.uint64(m))))
+            cell = self.key if keyed else self.cell
+            self.gram.append(cell(h))
+            self.context.append(cell(mixed(context + np.uint64(m))))
 
     @staticmethod
     def cell(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
 
+    @staticmethod
+    def key(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(1)).astype(np.int64)
+
 
-def _ngrams(words: Counter, other: Counter) -> pd.DataFrame:
-    """A row per distinct n-gram cell: its order, cells of itself, its context, suffix and the suffix's context, and counts."""
+def _ngrams(words: Counter, other: Counter, keyed: bool = False) -> pd.DataFrame:
+    """A row per distinct n-gram cell (or key): its order, cells of itself, its context, suffix and the suffix's context, and counts."""
     names = list(words.keys() | other.keys())
-    g = _Grams(names)
+    g, kind = _Grams(names, keyed), np.int64 if keyed else np.int32
     counts = [np.fromiter((c[w] for w in names), np.float64, len(names)) for c in (words, other)]
     parts = []
     for m in range(1, ORDER + 1):
@@ -83,10 +94,10 @@ def _ngrams(words: Counter, other: Counter) -> pd.DataFrame:
                 {
                     "m": np.full(len(index), m, np.int32),
                     "top": top[index],
-                    "gram": g.gram[m - 1][at][index].astype(np.int32),
-                    "context": g.context[m - 1][at][index].astype(np.int32),
-                    "suffix": suffix[index].astype(np.int32),
-                    "suffix_context": suffix_context[index].astype(np.int32),
+                    "gram": g.gram[m - 1][at][index].astype(kind),
+                    "context": g.context[m - 1][at][index].astype(kind),
+                    "suffix": suffix[index].astype(kind),
+                    "suffix_context": suffix_context[index].astype(kind),
                     "n0": np.bincount(inverse, counts[0][g.word[at]], len(index)),
                     "n1": np.bincount(inverse, counts[1][g.word[at]], len(index)),
                 }
@@ -101,43 +112,60 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
             held[int(toxic)].update(tokenize(text))
             if len(held[0]) + len(held[1]) > _HELD:
-                yield _ngrams(*held)
+                yield _ngrams(*held, keyed=True)
                 held = (Counter(), Counter())
     if held[0] or held[1]:
-        yield _ngrams(*held)
+        yield _ngrams(*held, keyed=True)
 
 
 def fit_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Cells of the two models for rows (text, toxic 0/1). Only sums per cell reach the driver: len(_KINDS) x CELLS at most."""
+    """The two models for rows (text, toxic 0/1): sorted keys per group of counts, where their leading bits start, and the counts at their places.
+
+    A key is that of one n-gram or context (two share a 63-bit key by a chance of about n^2 / 2^64 for n keys), so the
+    tables grow with the distinct n-grams of the rows. Only sums per key reach the driver.
+    """
     key = ["m", "top", "gram", "context", "suffix", "suffix_context"]
-    grams = labelled.mapInPandas(_count, "m int, top boolean, gram int, context int, suffix int, suffix_context int, n0 double, n1 double")
+    grams = labelled.mapInPandas(_count, "m int, top boolean, gram long, context long, suffix long, suffix_context long, n0 double, n1 double")
     grams = materialize(grams.groupBy(*key).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "ngrams")
-
-    def cells(rows: DataFrame, kind: str, cell: str, value) -> DataFrame:
-        return rows.select(F.lit(_KINDS.index(kind)).alias("kind"), F.col(cell).alias("cell"), value.cast("double").alias("v"))
-
-    top, lower, one = grams.filter("top"), grams.filter("m > 1"), F.lit(1)
-    parts = []
-    for k in ("0", "1"):
-        n = F.col(f"n{k}")
-        parts += [cells(top, f"c{k}", "gram", n), cells(top, f"t{k}", "context", n), cells(top.filter(n > 0), f"f{k}", "context", one)]
-    parts += [cells(lower, "s", "suffix", one), cells(lower, "st", "suffix_context", one)]
-    parts.append(cells(lower.select("m", "suffix", "suffix_context").distinct(), "sf", "suffix_context", one))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.unionByName(p)
-    total = materialize(total.groupBy("kind", "cell").agg(F.sum("v").alias("v")), "cells")
+    top = grams.filter("top")
+    lower = grams.filter("m > 1").groupBy("suffix", "suffix_context").agg(F.count("*").alias("s"))
+    tables = {
+        "gram": top.groupBy("gram").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1")),
+        "context": top.groupBy("context").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("f0"), F.count_if(F.col("n1") > 0).alias("f1")),
+        "suffix": lower.groupBy("suffix").agg(F.sum("s").alias("s")),
+        "suffix_context": lower.groupBy("suffix_context").agg(F.sum("s").alias("st"), F.count("*").alias("sf")),
+    }
     model = {}
-    for i, kind in enumerate(_KINDS):
-        rows = total.filter(F.col("kind") == i).select("cell", F.col("v").cast("float").alias("v")).toPandas()  # at most CELLS rows
-        model[kind] = np.zeros(CELLS, np.float32)
-        model[kind][rows["cell"].to_numpy(np.int64)] = rows["v"].to_numpy(np.float32)
+    for group, table in tables.items():
+        kinds = _GROUPS[group]
+        rows = table.select(group, *[F.col(k).cast("float").alias(k) for k in kinds]).toPandas().sort_values(group)
+        model[f"{group}_keys"] = known = np.append(rows[group].to_numpy(np.int64), np.iinfo(np.int64).max)
+        bits = min(40, len(known).bit_length() + 1)
+        model[f"{group}_first"] = np.searchsorted(known, np.arange(1 << bits, dtype=np.int64) << (63 - bits)).astype(np.int32)
+        model |= {k: np.append(rows[k].to_numpy(np.float32), np.float32(0)) for k in kinds}
     return model
 
 
+def _places(model: dict[str, np.ndarray], group: str, keys: np.ndarray) -> np.ndarray:
+    """Where a model has the counts of keys; unknown ones have the last place, which holds 0. Cells are places."""
+    known = model.get(f"{group}_keys")
+    if known is None:
+        return keys
+    first = model[f"{group}_first"]  # the first place of keys with the same leading bits; keys are spread evenly
+    at = first[keys >> (64 - len(first).bit_length())].astype(np.int64)
+    found = known[at]
+    behind = np.flatnonzero(found < keys)
+    while len(behind):
+        at[behind] += 1
+        found[behind] = known[at[behind]]
+        behind = behind[found[behind] < keys[behind]]
+    at[found != keys] = len(known) - 1
+    return at
+
+
 def word_ratios(model: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     """log P(word | toxic) - log P(word | ordinary) of each word."""
-    g = _Grams(words)
+    g = _Grams(words, "gram_keys" in model)
     p = np.full(len(g.pos), 1 / 256)
     inner = g.pos >= 1
 
@@ -146,10 +174,10 @@ def word_ratios(model: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
         return np.where(total > 0, kept, lower)
 
     for m in range(1, ORDER):
-        context = g.context[m - 1]
-        p = np.where(inner & (g.pos + 1 >= m), step(model["s"][g.gram[m - 1]], model["st"][context], model["sf"][context], p), p)
+        suffix, context = _places(model, "suffix", g.gram[m - 1]), _places(model, "suffix_context", g.context[m - 1])
+        p = np.where(inner & (g.pos + 1 >= m), step(model["s"][suffix], model["st"][context], model["sf"][context], p), p)
     order = np.minimum(g.pos + 1, ORDER) - 1
-    gram, context = np.choose(order, g.gram), np.choose(order, g.context)
+    gram, context = _places(model, "gram", np.choose(order, g.gram)), _places(model, "context", np.choose(order, g.context))
     logs = [np.log(np.maximum(step(model[f"c{k}"][gram], model[f"t{k}"][context], model[f"f{k}"][context], p), 1e-12)) for k in "01"]
     return np.bincount(g.word, np.where(inner, logs[1] - logs[0], 0.0), len(words))
 
@@ -210,15 +238,16 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.filter(remainder("doc_id") != 2)
     share = max_rows / max(1, known.count())
-    if share < 1:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 950_000))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    labelled = texts.join(F.broadcast(known), "doc_id").withColumn("part", remainder("doc_id"))
+    labelled = texts.join(F.broadcast(known) if share >= 1 else known, "doc_id").withColumn("part", remainder("doc_id"))
 
     held = spark.sparkContext.broadcast(fit_counts(labelled.filter("part <> 3").select("text", "toxic")))
     features = _features(held)
-    seen = labelled.filter("part = 3").select(features("text").alias("x"), "toxic").select("x.*", "toxic").toPandas()  # max_rows / 3 rows of numbers
+    shown = labelled.filter("part = 3")
+    if share < 1:
+        shown = shown.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 950_000))
+    seen = shown.select(features("text").alias("x"), "toxic").select("x.*", "toxic").toPandas()  # max_rows / 3 rows of numbers
     y = seen["toxic"].to_numpy(np.float64)
     if len(y) and 0 < y.sum() < len(y):
         peak, mean, base = fit_curve(seen[["peak", "mean"]].to_numpy(), y).tolist()
@@ -245,8 +274,9 @@ def toxicity(
     """One row per input row: (doc_id, held_out, score, predicted).
 
     Labels are learned only from rows whose crc32(id as text) mod 4 isn't 2: the models from remainders 0 and 1, the
-    curve from remainder 3. At most about ``max_rows`` labelled rows are used, chosen by a hash of the id, so the
-    table of labels that is broadcast has that bound; texts are used whole. A label that is null is ignored; of
+    curve from remainder 3. The models learn from all those rows, and their tables grow with the distinct n-grams; for the
+    curve at most about ``max_rows`` labelled rows are sampled by a hash of the id. Labels are broadcast up to that number,
+    beyond it the join shuffles; texts are used whole. A label that is null is ignored; of
     several for an id, the largest holds. The score of a text without words (null, empty) is the curve at ratio 0.
     Without labelled rows of both classes every score is the share of toxic labels. A null id hashes as empty text
     and has no label. Other columns are not read; an empty table gives no rows.

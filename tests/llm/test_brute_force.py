@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -251,6 +252,34 @@ def test_word_ratios_are_kneser_ney():
     assert bad > 1 > 0 > good and abs(other) < abs(bad)
 
 
+def test_toxicity_counts_are_those_of_every_ngram(spark):
+    """No two n-grams share a count, and no labelled row is left out, however small ``max_rows`` is."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(60_000)]  # over 200,000 distinct top n-grams
+    rows = [(" ".join(words[i : i + 30]), int(i % 60 == 0)) for i in range(0, len(words), 30)]
+    model = toxicity.fit_counts(spark.createDataFrame(rows, "text string, toxic int"))
+    want = [Counter(), Counter()]
+    for text, toxic in rows:
+        for w in text.split():
+            s = f" {w} "
+            want[toxic].update(s[max(0, i - toxicity.ORDER + 1) : i + 1] for i in range(1, len(s)))
+    every = want[0].keys() | want[1].keys()
+    assert len(every) > 200_000
+    assert sorted(zip(model["c0"][:-1].tolist(), model["c1"][:-1].tolist(), strict=True)) == sorted((want[0][g], want[1][g]) for g in every)
+    assert model["s"][:-1].sum() == model["st"][:-1].sum()
+
+    docs = spark.createDataFrame([(i, "fine words here" if i % 2 else f"fine rare{i} bad", "en", "s", 0) for i in range(400)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    fitted = []
+    original = toxicity.fit_counts
+    toxicity.fit_counts = lambda labelled: fitted.append(labelled.count()) or original(labelled)
+    try:
+        toxicity.toxicity(docs, labels, max_rows=40).count()
+    finally:
+        toxicity.fit_counts = original
+    assert fitted == [sum(zlib.crc32(str(i).encode()) % 4 in (0, 1) for i in range(400))]
+
+
 def _segmentations(v, s):
     if not s:
         return [((), 0.0)]
