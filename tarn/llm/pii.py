@@ -245,6 +245,11 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     check; IBANs keep country and check; phone numbers keep country code and valid leading digits; IP addresses stay
     four octets; dates from 1900 to 2099 stay dates, leap years among themselves; of e-mail addresses the local part
     changes within its character classes. Matches that aren't valid stay as they are.
+
+    Limits: dates are yyyy-mm-dd, yyyy/mm/dd and dd.mm.yyyy, so 12/31/1999 and 31/12/1999 stay in clear (their day and month
+    can't be told apart); phones are North American numbers of ten digits, with or without +1, so +44 20 7946 0958 and
+    other international numbers stay in clear.
+
     A null text stays null with counts 0. Repeated rows give repeated rows, whole texts of any length are treated, an
     empty table gives no rows, and other columns are not read. Nothing is shuffled.
     """

@@ -375,3 +375,11 @@ def test_license_blocks_equal_brute_force(spark):
     got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(rows).collect()}
     want = {i: brute(t) for i, t in enumerate(texts)}
     assert got == want and len({x for x, _ in want.values()}) > 4
+
+
+def test_the_limits_of_pseudonyms_are_stated(spark):
+    """What the docstring says stays in clear does so, and is said."""
+    clear = ["12/31/1999", "31/12/1999", "+44 20 7946 0958"]
+    assert all(x in pii.pseudonymize.__doc__ for x in clear)
+    rows = spark.createDataFrame(list(enumerate(clear)), "doc_id long, text string")
+    assert [r.text for r in pii.pseudonymize(rows, "k").orderBy("doc_id").collect()] == clear
