@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -14,10 +15,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset (tests, local mode) one of our own."""
+    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset in local mode (as in tests) one of our own.
+
+    A cluster needs the setting: a folder of one machine would hide what executors write from each other.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tarn-")
@@ -59,11 +65,36 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold fewer rows, unless the session has a setting of its own: each row may be a long text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bound the session's Arrow batches by rows and bytes, unless it has settings of its own: each row may be a long text."""
+    held = spark._jsparkSession.sessionState().conf()
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if not held.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
+def _trim() -> None:
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A generator of batches after whose end its worker gives freed memory back to the system.
+
+    Workers wait for their next task, beside stages that run in others; what they don't use should not add up.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        _trim()
+
+    return wrapped
 
 
 def fresh(df: DataFrame, name: str) -> str:

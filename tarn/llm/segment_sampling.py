@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .shingles import mixed
 
 SPACE = "▁"
 WINDOW = 32  # decisions whose branches get a queue entry of their own; those behind share one until it is popped
-_TYPES = 200_000  # chunk lattices that a worker keeps: some 140 MB
-_CHARS = 1_500_000  # characters of texts that are worked on at once
+_EDGES = 2_500_000  # edges of lattices that a worker keeps: some 60 MB with their nodes and names
+_SEEN = 1 << 20  # marks of chunks that were seen once
+_CHARS = 1_000_000  # characters of texts that are worked on at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,7 +38,10 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Pieces of a model with the weights for sampling: Zipf's law over the order in which the pieces were merged."""
+    """Pieces of a model with the weights for sampling: Zipf's law over the order in which the pieces were merged.
+
+    A character that is no piece has the number ``size`` plus its code point, and is spelled by the ids of its bytes.
+    """
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -52,18 +57,13 @@ class Vocabulary:
             rank[i] = n
         weight = 1 / (rank + 10)
         self.logp = alpha * np.log(weight / weight[kept].sum())
-        states, keys, nexts, ends = {"": 0}, [], [], [-1]
-        for piece in sorted(self.ids, key=len):
-            for n in range(1, len(piece) + 1):
-                if piece[:n] not in states:
-                    states[piece[:n]] = len(ends)
-                    keys.append((states[piece[: n - 1]] << 21) | ord(piece[n - 1]))
-                    nexts.append(len(ends))
-                    ends.append(self.ids.get(piece[:n], -1))
-        order = np.argsort(keys)
-        #: The trie of all pieces: sorted (state, character) keys, the states they lead to, and the piece a state ends.
-        self.keys, self.nexts, self.ends = np.array(keys)[order], np.array(nexts)[order], np.array(ends)
+        #: By piece, and last that of a character that is none.
+        self.weights = np.append(self.logp, self.logp.min() * 1.5)
+        #: Sums over chunks up to this length stay inside a double's range without logarithms.
+        self.short = max(1, int(600 / max(1e-9, -self.weights[-1])))
+        self._trie()
         self.bytes = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)])
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.is_high = np.zeros(self.size, bool)
         for b, i in self.bytes.items():
@@ -73,25 +73,96 @@ class Vocabulary:
         joined = re.escape("".join(sorted(inside)))
         self.chunks = re.compile(f"{SPACE}+[{joined}]*|[{joined}]+|.", re.DOTALL).findall
 
+    def _trie(self) -> None:
+        """The trie of all pieces as a hash table: (state, letter) -> state. State 0 is the root, and "none" elsewhere."""
+        letters = sorted(set("".join(self.ids)))
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        states, keys, ends = {"": 0}, [], [-1]
+        number = {c: i for i, c in enumerate(letters, 1)}
+        for piece in sorted(self.ids, key=len):
+            at = 0
+            for n in range(1, len(piece) + 1):
+                head = piece[:n]
+                state = states.get(head)
+                if state is None:
+                    state = states[head] = len(ends)
+                    keys.append(at * (len(letters) + 1) + number[piece[n - 1]])
+                    ends.append(-1)
+                at = state
+            ends[at] = self.ids[piece]
+        self.ends, self.width = np.array(ends), len(letters) + 1
+        keys = np.array(keys, np.int64)
+        self.mask = (1 << (4 * len(keys)).bit_length()) - 1
+        self.slot_key, self.slot_state = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = left[self.slot_key[slot[left]] < 0]
+            self.slot_key[slot[free]] = keys[free]  # of several in one slot the last stays
+            won = self.slot_key[slot[left]] == keys[left]
+            self.slot_state[slot[left[won]]] = left[won] + 1
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _STEP) >> np.uint64(30)).astype(np.int64) & self.mask
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states that letters lead to; 0 where there is none."""
+        keys = state.astype(np.int64) * self.width + letter
+        slot = self._slot(keys)
+        held = self.slot_key[slot]
+        out = np.where(held == keys, self.slot_state[slot], 0)
+        on = np.flatnonzero((held != keys) & (held >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & self.mask
+            held = self.slot_key[slot[on]]
+            hit = held == keys[on]
+            out[on[hit]] = self.slot_state[slot[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
+
     def normal(self, text: str | None) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """Ids with characters that are no piece spelled by the ids of their UTF-8 bytes."""
+        odd = np.flatnonzero(ids >= self.size)
+        if not len(odd):
+            return ids
+        code = ids[odd].astype(np.int64) - self.size
+        size = np.searchsorted([0x80, 0x800, 0x10000], code, side="right") + 1
+        counts = np.ones(len(ids), np.int64)
+        counts[odd] = size
+        out = np.repeat(ids, counts)
+        starts = (np.cumsum(counts) - counts)[odd]
+        for n in range(1, int(size.max()) + 1):
+            own = size == n
+            for j in range(n):
+                bits = code[own] >> 6 * (n - 1 - j)
+                out[starts[own] + j] = self.byte_ids[bits if n == 1 else bits & 0x3F | 0x80 if j else bits | (0xF00 >> n & 0xFF)]
+        return out
+
 
 class Lattices:
-    """Chunk lattices in flat arrays. Node: a position in a chunk; edges of a node follow each other; search: their cdf."""
+    """Chunk lattices in flat arrays. Node: a position in a chunk; edges of a node follow each other; search: their cdf.
+
+    Chunks that were seen in an earlier batch are kept, up to _EDGES edges; others are made for their batch only, so
+    that rare ones don't displace frequent ones. What is kept never changes a result.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.spelled: list[list[int]] = []  # characters that are no piece: their bytes' ids, as ids from v.size on
-        self.spelled_at: dict[str, int] = {}
+        self.seen = bytearray(_SEEN)
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.base, self.end = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.edges = 0
+        self.kinds = self.edges = self.nodes = 0
+        self.kept = (0, 0, 0)
         self.first = np.zeros(4096, np.int64)
-        self.nodes = 0
         self.search, self.logq = np.zeros(8192, np.float32), np.zeros(8192)
         self.piece, self.step = np.zeros(8192, np.int32), np.zeros(8192, np.int8)
 
@@ -99,106 +170,138 @@ class Lattices:
         for name in names:
             a = getattr(self, name)
             if used + more > len(a):
-                setattr(self, name, np.concatenate([a, np.zeros(max(len(a), used + more - len(a)), a.dtype)]))
-
-    def _char(self, c: str) -> int:
-        i = self.spelled_at.get(c)
-        if i is None:
-            i = self.spelled_at[c] = self.v.size + len(self.spelled)
-            self.spelled.append([self.v.bytes[b] for b in c.encode("utf-8", "surrogatepass")])
-        return i
-
-    def types(self, split: list[list[str]]) -> list[np.ndarray]:
-        """The lattice of each chunk of each text; new ones are made."""
-        get = self.at.get
-        found = [np.fromiter(map(get, s, repeat(-1)), np.int64, len(s)) for s in split]
-        missing = [np.flatnonzero(t < 0) for t in found]
-        new = {s[i] for s, m in zip(split, missing, strict=True) for i in m.tolist()}
-        if not new:
-            return found
-        if len(self.at) + len(new) > _TYPES:
+                setattr(self, name, np.concatenate([a, np.zeros(max(len(a) // 2, used + more - len(a)), a.dtype)]))
+
+    def types(self, chunks: list[str]) -> np.ndarray:
+        """The lattice of each chunk; those made for the batch before are gone."""
+        self.kinds, self.nodes, self.edges = self.kept
+        found = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(found < 0)
+        if self.edges >= _EDGES and 2 * len(missing) > len(chunks):  # other texts than those it was made for
             self.clear()
-            self.add(set().union(*split))
-            return [np.fromiter(map(self.at.__getitem__, s), np.int64, len(s)) for s in split]
-        self.add(new)
-        for s, t, m in zip(split, found, missing, strict=True):
-            t[m] = [self.at[s[i]] for i in m.tolist()]
+            found[:], missing = -1, np.arange(len(chunks))
+        names = [chunks[i] for i in missing.tolist()]
+        again, once = [], []
+        for c in dict.fromkeys(names):
+            h = hash(c) & (_SEEN - 1)
+            (again if self.seen[h] and len(c) <= 64 and self.edges < _EDGES else once).append(c)
+            self.seen[h] = 1
+        base = self.kinds
+        for part in (again, once):
+            part.sort(key=lambda c: len(c) > self.v.short)  # the order in which they are made
+        self._add(again)
+        self.at.update(zip(again, range(base, base + len(again)), strict=True))
+        self.kept = self.kinds, self.nodes, self.edges
+        self._add(once)
+        number = dict(zip([*again, *once], range(base, self.kinds), strict=True))
+        found[missing] = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
         return found
 
-    def add(self, chunks) -> None:
-        new = [c for c in chunks if c not in self.at]
-        for i in range(0, len(new), 50_000):
-            self._append(new[i : i + 50_000])
+    def _add(self, chunks: list[str]) -> None:
+        near = [c for c in chunks if len(c) <= self.v.short]
+        for i in range(0, len(near), 20_000):
+            self._build(near[i : i + 20_000], False)
+        if len(near) < len(chunks):
+            self._build([c for c in chunks if len(c) > self.v.short], True)
 
-    def _append(self, cs: list[str]) -> None:
+    def _build(self, cs: list[str], logs: bool) -> None:
+        """Append the lattices of chunks; with ``logs`` sums are taken in logarithms."""
         v = self.v
         lengths = np.fromiter(map(len, cs), np.int64, len(cs))
-        codes = np.frombuffer("".join(cs).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        n = len(codes)
-        last = np.repeat(np.cumsum(lengths), lengths)
+        codes = np.frombuffer("".join(cs).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = v.letter[codes]
+        n, ends = len(codes), np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(n)  # characters from here to the chunk's end
         # All pieces at all positions, by walking the trie one character further at a time.
-        act, state = np.arange(n), np.zeros(n, np.int64)
-        parts = []
-        for k in range(1, v.longest + 1):
-            key = (state << 21) | codes[act + k - 1]
-            at = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = v.keys[at] == key
-            ids = np.where(ok, v.ends[v.nexts[at]], -1)
-            if k == 1:
-                for i in np.flatnonzero(ids < 0):
-                    ids[i] = self._char(chr(codes[i]))
+        at, state = np.arange(n), v.step(np.zeros(n, np.int64), letters)
+        ids = v.ends[state]
+        ids = np.where(ids < 0, v.size + codes.astype(np.int64), ids)
+        parts, size = [(at, ids, 1)], np.ones(n, np.int64)
+        on = np.flatnonzero((state > 0) & (left > 1))
+        k = 1
+        while len(on):
+            at = at[on]
+            state = v.step(state[on], letters[at + k])
+            k += 1
+            ids = v.ends[state]
             has = ids >= 0
-            parts.append((act[has], np.full(int(has.sum()), k), ids[has]))
-            ok &= act + k < last[act]
-            act, state = act[ok], v.nexts[at[ok]]
-            if not len(act):
-                break
-        parts.reverse()  # longer pieces first: they are the likelier ones
-        pos, step, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.argsort(pos, kind="stable")
-        pos, step, ids = pos[order], step[order], ids[order]
-        logp = np.where(ids < v.size, v.logp[np.minimum(ids, v.size - 1)], v.logp.min() * 1.5)
-        # Backward sums in logarithms, by distance to the chunk's end.
-        first = np.searchsorted(pos, np.arange(n + 1))
-        beta = np.zeros(n + 1)
-        beyond = pos + step == last[pos]
-        distance = last - np.arange(n)
-        near = np.argsort(distance, kind="stable")
-        cuts = np.searchsorted(distance[near], np.arange(1, int(distance.max()) + 2))
-        for d in range(len(cuts) - 1):
-            here = near[cuts[d] : cuts[d + 1]]
-            size = first[here + 1] - first[here]
-            starts = np.cumsum(size) - size
-            e = np.arange(int(size.sum())) - np.repeat(starts - first[here], size)
-            x = logp[e] + np.where(beyond[e], 0.0, beta[np.minimum(pos[e] + step[e], n)])
-            top = np.maximum.reduceat(x, starts)
-            beta[here] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), starts))
-        logq = np.minimum(logp + np.where(beyond, 0.0, beta[np.minimum(pos + step, n)]) - beta[pos], 0.0)
+            parts.append((at[has], ids[has], k))
+            size[at[has]] += 1
+            on = np.flatnonzero((state > 0) & (left[at] > k))
+        # Nodes by distance to the chunk's end, so that the edges of one distance are a slice.
+        near = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 65_536 else left, kind="stable")
+        place = np.empty(n + 1, np.int64)
+        place[near] = np.arange(n)
+        sizes = size[near]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        piece, step, then = np.empty(first[-1], np.int32), np.empty(first[-1], np.int8), np.empty(first[-1], np.int64)
+        fill = first[:-1][place[:n]]
+        for at, ids, k in reversed(parts):  # longer pieces first: they are the likelier ones
+            e = fill[at]
+            fill[at] += 1
+            piece[e], step[e] = ids, k
+            then[e] = np.where(left[at] > k, place[np.minimum(at + k, n)], n)
+        x = v.weights[np.minimum(piece, v.size)]
+        cuts = np.searchsorted(left[near], np.arange(1, int(left.max()) + 2)) if n else np.zeros(1, int)
+        if logs:
+            beta = np.zeros(n + 1)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own, starts = slice(first[a], first[b]), first[a:b] - first[a]
+                x[own] += beta[then[own]]
+                top = np.maximum.reduceat(x[own], starts)
+                beta[a:b] = top + np.log(np.add.reduceat(np.exp(x[own] - np.repeat(top, sizes[a:b])), starts))
+            logq = x - np.repeat(beta[:n], sizes)
+        else:
+            x, beta = np.exp(x), np.ones(n + 1)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = slice(first[a], first[b])
+                x[own] *= beta[then[own]]
+                beta[a:b] = np.add.reduceat(x[own], first[a:b] - first[a])
+            logq = np.log(x / np.repeat(beta[:n], sizes))
+        # Back to the order of the text.
+        begin = np.cumsum(size) - size
+        e = np.arange(first[-1]) + np.repeat(first[:-1][place[:n]] - begin, size)
+        logq = np.minimum(logq[e], 0.0)
         q = np.exp(logq)
         total = np.cumsum(q)
-        cdf = total - np.repeat((total - q)[first[:-1]], np.diff(first))
-        cdf[first[1:] - 1] = 1.0
-        types = len(self.at)
-        self._room(["search", "logq", "piece", "step"], self.edges, len(pos))
+        cdf = total - np.repeat((total - q)[begin], size)
+        cdf[begin + size - 1] = 1.0
+        self._room(["search", "logq", "piece", "step"], self.edges, len(e))
         self._room(["first"], self.nodes, n + 1)
-        self._room(["base", "end"], types, len(cs))
-        at = slice(self.edges, self.edges + len(pos))
-        self.search[at], self.logq[at], self.piece[at], self.step[at] = cdf, logq, ids, step
-        self.first[self.nodes : self.nodes + n + 1] = self.edges + first
-        ends = np.cumsum(lengths)
-        self.base[types : types + len(cs)] = self.nodes + ends - lengths
-        self.end[types : types + len(cs)] = self.nodes + ends
-        self.at.update(zip(cs, range(types, types + len(cs)), strict=True))
-        self.edges, self.nodes = self.edges + len(pos), self.nodes + n
+        self._room(["base", "end"], self.kinds, len(cs))
+        own = slice(self.edges, self.edges + len(e))
+        self.search[own], self.logq[own], self.piece[own], self.step[own] = cdf, logq, piece[e], step[e]
+        self.first[self.nodes : self.nodes + n] = self.edges + begin
+        self.first[self.nodes + n] = self.edges + len(e)
+        self.base[self.kinds : self.kinds + len(cs)] = self.nodes + ends - lengths
+        self.end[self.kinds : self.kinds + len(cs)] = self.nodes + ends
+        self.kinds, self.edges, self.nodes = self.kinds + len(cs), self.edges + len(e), self.nodes + n
+
+    def node_of(self, edges: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first[: self.nodes + 1], edges, side="right") - 1
+
+    def others(self, edges: np.ndarray) -> np.ndarray:
+        """For each edge the logarithm of the mass of its node's other edges; minus infinity if it has none."""
+        if not len(edges):
+            return np.empty(0)
+        node = self.node_of(edges)
+        starts = self.first[node]
+        size = self.first[node + 1] - starts
+        cut = np.cumsum(size) - size
+        e = np.arange(int(size.sum())) + np.repeat(starts - cut, size)
+        x = self.logq[e]
+        x[e == np.repeat(edges, size)] = -np.inf
+        top = np.maximum.reduceat(x, cut)
+        with np.errstate(divide="ignore"):
+            return np.where(np.isfinite(top), top, 0) + np.log(np.add.reduceat(np.exp(x - np.repeat(np.where(np.isfinite(top), top, 0), size)), cut))
 
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Decide from each (node, end) on: (edges in order, how many of each)."""
-        at, place = np.arange(len(node)), node
-        begun = node
+        at, place, stop = np.arange(len(node)), node, end
         taken, who = [], []
         count = np.zeros(len(node), np.int64)
         while len(at):
-            u = uniform(key[at] + (place - begun[at]).astype(np.uint64) * _STEP)
+            u = uniform(key + np.uint64(len(taken) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
             e = self.first[place]
             behind = np.flatnonzero(u >= self.search[e])
             while len(behind):
@@ -208,8 +311,8 @@ class Lattices:
             who.append(at)
             count[at] += 1
             place = place + self.step[e]
-            on = place < end[at]
-            at, place = at[on], place[on]
+            on = np.flatnonzero(place < stop)
+            at, place, stop, key = at[on], place[on], stop[on], key[on]
         out = np.empty(int(count.sum()), np.int64)
         starts = np.cumsum(count) - count
         for i, (e, w) in enumerate(zip(taken, who, strict=True)):
@@ -258,17 +361,21 @@ class _Search:
         self.tick += 1
         heapq.heappush(self.queue, (-gumbel, self.tick, entry))
 
-    def branches(self, path: int, start: int, gumbel: float, attained: bool) -> None:
-        """Queue what branches off a path from decision ``start`` on; ``attained``: one of these has the value ``gumbel``."""
+    def branches(self, path: int, start: int, gumbel: float, attained: bool, others: np.ndarray | None = None) -> None:
+        """Queue what branches off a path from decision ``start`` on; ``attained``: one of these has the value ``gumbel``.
+
+        ``others`` may give the masses beside the next WINDOW decisions. No branch is left out for its small mass.
+        """
         p = self.paths[path]
         stop = min(p.size, start + WINDOW)
         edges, logq = p.edges_at(start, stop), p.logq_at(start, stop)
         before = np.cumsum(np.append(p.logq_at(0, start).sum(), logq))
-        with np.errstate(divide="ignore"):
-            phi = before[:-1] + np.where(logq < -1e-12, np.log(-np.expm1(np.minimum(logq, -1e-300))), -np.inf)
+        phi = before[:-1] + (self.x.others(edges) if others is None else others)
         if stop < p.size:  # all that keeps to the path up to there, but for the path itself
-            rest = p.logp - before[-1]
-            phi = np.append(phi, before[-1] + (np.log(-np.expm1(rest)) if rest < -1e-12 else -np.inf))
+            rest = p.logq_at(stop, p.size).sum()
+            if rest > -1e-6:  # nearly certain decisions, whose own logarithms are too coarse
+                rest = -np.exp(self.x.others(p.edges_at(stop, p.size))).sum()
+            phi = np.append(phi, before[-1] + (np.log(-np.expm1(rest)) if rest < 0 else -np.inf))
         g = phi - np.log(-np.log(self.draw(len(phi))))
         if attained and len(g) and np.isfinite(g.max()):
             shift = np.exp(np.minimum(g - g.max(), 0))
@@ -291,16 +398,15 @@ class _Search:
             _, path, at, used = entry
             p = self.paths[path]
             first = self.x.first
-            node = int(np.searchsorted(first[: self.x.nodes + 1], p.edges_at(at, at + 1)[0], side="right")) - 1
+            node = int(self.x.node_of(p.edges_at(at, at + 1)[0]))
             options = [e for e in range(first[node], first[node + 1]) if e not in used]
-            q = np.exp(self.x.logq[options])
-            mass = q.sum()
-            if not options or mass <= 0:
-                continue
-            c = int(min(np.searchsorted(np.cumsum(q) / mass, self.draw(1)[0]), len(options) - 1))
-            left = mass - q[c]
-            if len(options) > 1 and left > 1e-12:
-                g = float(p.logq_at(0, at).sum() + np.log(left)) - np.log(-np.log(self.draw(1)[0]))
+            logq = self.x.logq[options]
+            mass = np.exp(logq - logq.max())
+            c = int(min(np.searchsorted(np.cumsum(mass) / mass.sum(), self.draw(1)[0]), len(options) - 1))
+            if len(options) > 1:
+                left = np.delete(logq, c)
+                left = left.max() + np.log(np.exp(left - left.max()).sum())
+                g = float(p.logq_at(0, at).sum() + left) - np.log(-np.log(self.draw(1)[0]))
                 self.push(float(-np.logaddexp(-value, -g)), ("branch", path, at, used | {options[c]}))
             return path, at, node, options[c], value
         return None
@@ -313,7 +419,11 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 def sample_batch(x: Lattices, texts: list[str | None], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k of (ids, log-probability, perturbed value, log inclusion score), by falling value."""
     v = x.v
-    types = x.types([v.chunks(v.normal(t)) for t in texts])
+    split = [v.chunks(v.normal(t)) for t in texts]
+    bounds = _starts(np.fromiter(map(len, split), np.int64, len(split)))
+    flat = x.types([c for s in split for c in s])
+    types = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    del split
     searches = [_Search(x, key, k + 1) for key in keys]
     none = np.empty(0, np.int64)
     # (document, first chunk, node inside that chunk or -1, prefix: edges, chunks, log-probabilities; value)
@@ -333,13 +443,16 @@ def sample_batch(x: Lattices, texts: list[str | None], keys: list[int], k: int)
         cut = _starts(np.add.reduceat(counts, at[:-1]))
         logq, piece = x.logq[edges], x.piece[edges]
         total = np.add.reduceat(logq, cut[:-1])
+        width = np.minimum(np.diff(cut), WINDOW)
+        window = _starts(width)
+        others = x.others(edges[np.arange(window[-1]) + np.repeat(cut[:-1] - window[:-1], width)])
         nexts = []
         for n, (i, chunk, _, prefix, chunks, prefix_logq, value) in enumerate(jobs):
             own = slice(cut[n], cut[n + 1])
             s = searches[i]
             s.paths.append(_Path(prefix, chunks, prefix_logq, edges[own], counts[at[n] : at[n + 1]], chunk, logq[own], total[n], value))
             pieces[i].append(np.concatenate([x.piece[prefix], piece[own]]) if len(prefix) else piece[own])
-            s.branches(len(s.paths) - 1, len(prefix), value, False)
+            s.branches(len(s.paths) - 1, len(prefix), value, False, others[window[n] : window[n + 1]])
             if len(s.paths) < k and (branch := s.pop()):
                 path, d, place, edge, found = branch
                 p = s.paths[path]
@@ -378,8 +491,7 @@ def sample_batch(x: Lattices, texts: list[str | None], keys: list[int], k: int)
         bound = -s.queue[0][0] if s.queue else -np.inf
         rows = []
         for p, ids in zip(s.paths, pieces[i], strict=True):
-            if x.spelled and ids.max() >= v.size:
-                ids = np.array([b for c in ids.tolist() for b in (x.spelled[c - v.size] if c >= v.size else (c,))], np.int32)
+            ids = v.spelled(ids)
             d = p.logp - bound
             inclusion = 0.0 if d > 30 else d if d < -30 else float(np.log(-np.expm1(-np.exp(d))))
             rows.append((ids, p.logp, p.value, inclusion))
@@ -400,6 +512,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 4, alpha: fl
     gives no rows. A map without any exchange.
     """
 
+    @lean
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
@@ -457,6 +570,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, ids): the library's own encoding of each text; null texts count as empty."""
 
     @F.pandas_udf("array<int>")
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 
