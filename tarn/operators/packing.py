@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,22 +13,33 @@ from pyspark.sql import functions as F
 _TOKENS = [re.compile(p) for p in ("[一-鿿]", r"[A-Za-z0-9_]+(?:[-'][A-Za-z0-9_]+)?", r"[^\w\s]")]
 
 
+def raw_tokens(text: str) -> int:
+    """CJK characters, latin words and punctuation marks, also those inside words; counts of parts between blanks add up."""
+    return sum(len(p.findall(text)) for p in _TOKENS)
+
+
 def approx_tokens(text: str) -> int:
-    """CJK characters, latin words and punctuation marks, also those inside words; at least 1."""
-    return max(1, sum(len(p.findall(text)) for p in _TOKENS))
+    """`raw_tokens`, at least 1."""
+    return max(1, raw_tokens(text))
+
+
+def _limits(first: int) -> Iterator[int]:
+    """Lengths to cut at: each four fifths of the one before, at least 1."""
+    while True:
+        yield first
+        first = max(1, first * 4 // 5)
 
 
 def truncated(text: str, budget: int) -> str:
-    """A text cut in proportion to a token budget, then shortened by a fifth until it fits."""
+    """A text cut in proportion to a token budget, then at four fifths of that length again and again until it fits.
+
+    Blanks at the end of a cut go; a cut that only loses such blanks ends the search, whether it fits or not.
+    """
     n = approx_tokens(text)
-    if n <= budget:
-        return text
-    if budget <= 0:
-        return ""
-    cut = text[: max(1, int(len(text) * budget / n))].rstrip()
-    while cut and approx_tokens(cut) > budget:
-        cut = cut[: int(len(cut) * 0.8)].rstrip()
-    return cut
+    if n <= budget or budget <= 0:
+        return text if budget > 0 else ""
+    cuts = (text[:limit].rstrip() for limit in _limits(max(1, len(text) * budget // n)))
+    return next(cut for cut, following in pairwise(cuts) if not cut or cut == following or approx_tokens(cut) <= budget)
 
 
 PACKED = "query_id {0}, block_id {1}, rank long, tokens long, included boolean, drop_reason string, text string"
