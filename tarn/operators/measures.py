@@ -32,18 +32,61 @@ def rate(flag: Column) -> Column:
     return F.try_divide(F.count_if(flag).cast("double"), F.count(flag))
 
 
+CELLS = 1024  # of a histogram per group
+
+
+def order_statistics(rows: DataFrame, by: str, value: str, wanted: DataFrame, levels: int = 2) -> DataFrame:
+    """(by, place, value): the ``place``-th smallest value (from 1) of each group, for a table ``wanted`` (by, place).
+
+    A histogram of CELLS cells between a group's bounds finds the cell of each place; only rows of those cells are looked at
+    again, in cells of cells. What is left is counted by value. All counts combine map-side, so no group is ever in one
+    task, however large: windows run over at most CELLS cells, and at last over the distinct values of one cell.
+    """
+    rows = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.lit(0).cast("long").alias("cell"))
+    wanted = wanted.select(F.col(by).alias("g"), "place", F.col("place").alias("left"), F.lit(0).cast("long").alias("cell"))
+    low = Window.partitionBy("g", "cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(levels):
+        open_cells = wanted.select("g", "cell").distinct()
+        rows = rows.join(open_cells, rows.g.eqNullSafe(open_cells.g) & (rows.cell == open_cells.cell), "left_semi")
+        bounds = rows.groupBy("g", "cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bounds = bounds.select(F.col("g").alias("bg"), F.col("cell").alias("bc"), "lo", "hi")
+        rows = rows.join(bounds, rows.g.eqNullSafe(F.col("bg")) & (rows.cell == F.col("bc")))
+        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+        rows = rows.select("g", "v", "cell", part.cast("long").alias("part"))
+        counted = rows.groupBy("g", "cell", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(low), F.lit(0)))
+        counted = counted.select(F.col("g").alias("hg"), F.col("cell").alias("hc"), "part", "n", "before")
+        met = wanted.join(counted, wanted.g.eqNullSafe(F.col("hg")) & (wanted.cell == F.col("hc")) & (F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("n")))
+        wanted = met.select("g", "place", (F.col("left") - F.col("before")).alias("left"), (F.col("cell") * CELLS + F.col("part")).alias("cell"))
+        rows = rows.select("g", "v", (F.col("cell") * CELLS + F.col("part")).alias("cell"))
+    open_cells = wanted.select(F.col("g").alias("og"), F.col("cell").alias("oc")).distinct()
+    rows = rows.join(open_cells, rows.g.eqNullSafe(F.col("og")) & (rows.cell == F.col("oc")), "left_semi")
+    by_value = Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy("g", "cell", "v").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_value), F.lit(0)))
+    counted = counted.select(F.col("g").alias("hg"), F.col("cell").alias("hc"), "v", "n", "before")
+    met = wanted.join(counted, wanted.g.eqNullSafe(F.col("hg")) & (wanted.cell == F.col("hc")) & (F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("n")))
+    return met.select(F.col("g").alias(by), "place", F.col("v").alias("value"))
+
+
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Per group: rows, mean (whole milliseconds, as the reports have it), bounds, p50 and p95 by both definitions."""
-    return rows.filter(F.col(value).isNotNull()).groupBy(by).agg(
-        F.count("*").alias("n"),
-        F.floor(F.avg(value)).cast("long").alias("avg_ms"),
-        F.min(value).alias("min_ms"),
-        F.max(value).alias("max_ms"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50_rank"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_rank"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50_linear"),
-        F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95_linear"),
-    )
+    """Per group: rows, mean (whole milliseconds, as the reports have it), bounds, p50 and p95 by both definitions.
+
+    Nearest rank takes the value at place ceil(p n); linear interpolates between the places around 1 + p (n - 1). The
+    values at those places are exact, by `order_statistics`.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(by, value)
+    totals = rows.groupBy(by).agg(F.count("*").alias("n"), F.floor(F.avg(value)).cast("long").alias("avg_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
+    # In per cents and whole numbers, so that no place hangs on how a share is rounded.
+    places = {p: {"rank": F.greatest(F.ceil(F.col("n") * p / 100), F.lit(1)), "low": F.floor((F.col("n") - 1) * p / 100) + 1, "high": F.ceil((F.col("n") - 1) * p / 100) + 1} for p in (50, 95)}
+    every = F.array(*[x.cast("long") for ps in places.values() for x in ps.values()])
+    found = order_statistics(rows, by, value, totals.select(by, F.explode(F.array_distinct(every)).alias("place")))
+    values = found.groupBy(F.col(by).alias("_by")).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at"))
+    joined = totals.join(values, totals[by].eqNullSafe(F.col("_by")))
+    at = lambda x: F.element_at("at", x.cast("long"))
+    out = []
+    for p, x in places.items():
+        share = (F.col("n") - 1) * p / 100 - F.floor((F.col("n") - 1) * p / 100)
+        out += [at(x["rank"]).alias(f"p{p}_rank"), F.round(at(x["low"]) + (at(x["high"]) - at(x["low"])) * share, 6).alias(f"p{p}_linear")]
+    return joined.select(by, "n", "avg_ms", "min_ms", "max_ms", out[0], out[2], out[1], out[3])
 
 
 def mean_known(value: Column) -> Column:
@@ -94,6 +137,42 @@ def presence_rates(rows: DataFrame, components: list[str]) -> DataFrame:
     return long.groupBy("component").agg(F.count_if("present").alias("hits"), F.count("present").alias("total"), F.round(rate(F.col("present")), 6).alias("rate"))
 
 
+def single_target_precision(ranked: DataFrame, relevant: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query_id, average_precision) where only the first relevant item counts: its reciprocal rank, 0 without any."""
+    rows = retrieval_metrics(ranked, relevant, cases, relevant.select("query_id").distinct().withColumn("expected", F.lit(1)))
+    return rows.select("query_id", F.col("reciprocal_rank").alias("average_precision"))
+
+
+def gold_contains(answer: Column, expected: Column) -> Column:
+    """Whether an answer holds the expected one, both folded and with single blanks; null without an expectation, false without an answer."""
+    from tarn.functions.text import folded
+
+    want = folded(expected)
+    return F.when(F.coalesce(want, F.lit("")) == "", F.lit(None)).otherwise(F.coalesce(folded(answer).contains(want), F.lit(False)))
+
+
+def case_results(cases: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per case (case_id, question, expected_confidence, expected_answer, expected_keywords), with its run (case_id,
+    answer, confidence, cited, latency_ms, error; cited: whether an expected source was cited) or without.
+
+    A case whose run failed, or that has none, has a row too: no hits, a keyword share of 0, and the error.
+    """
+    rows = cases.join(runs.dropDuplicates(["case_id"]), "case_id", "left")
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("answer").isNull(), "no run")
+    good = error.isNull()
+    return rows.select(
+        "case_id",
+        "question",
+        F.when(good, F.col("confidence")).alias("actual_confidence"),
+        F.coalesce(good & F.col("cited"), F.lit(False)).alias("source_hit"),
+        F.coalesce(good & (F.col("confidence") == F.col("expected_confidence")), F.lit(False)).alias("confidence_hit"),
+        F.when(good, keyword_share(F.col("answer"), F.col("expected_keywords"))).otherwise(0.0).alias("keyword_share"),
+        gold_contains(F.when(good, F.col("answer")), F.col("expected_answer")).alias("gold_contains"),
+        F.coalesce("latency_ms", F.lit(0)).alias("latency_ms"),
+        error.alias("error"),
+    )
+
+
 def keyword_share(text: Column, keywords: Column) -> Column:
     """Share of keywords that a text holds; null without keywords."""
     low = F.lower(text)

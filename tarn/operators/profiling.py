@@ -55,20 +55,37 @@ def type_line(profile: DataFrame) -> DataFrame:
     return type_histogram(profile).agg(F.array_join(F.array_sort(F.collect_list(each)), ", ").alias("types"))
 
 
-def semantic_role(name: Column, kind: Column) -> Column:
-    """period, identifier, unit, measure, dimension or unknown, by the canonical name and inferred type.
+#: Words that tell a column's role, in order of precedence; those of measures need no whole word at the end.
+ROLES = (
+    ("period", r"\b(?:year|fy|fiscal|period|quarter|date|month)\b"),
+    ("identifier", r"\b(?:id|identifier|code|ticker|symbol|cusip|isin)\b"),
+    ("dimension", r"\b(?:company|segment|region|country|category|name)\b"),
+    ("unit", r"\b(?:unit|currency|scale)\b"),
+    ("measure", r"\b(?:amount|value|revenue|sales|income|expense|cash|asset|liabil|margin)\b"),
+)
+
+
+def semantic_role(name: Column) -> Column:
+    """period, identifier, dimension, unit, measure or unknown, by the canonical name.
 
     Words are matched as whole names: an underscore is a word character, so fiscal_year is no period but year is.
     """
     n = column_name(name)
-    return (
-        F.when(n.rlike(r"\b(?:year|quarter|month|date|period)\b"), "period")
-        .when(n.rlike(r"\b(?:id|code|key|identifier)\b"), "identifier")
-        .when(n.rlike(r"\b(?:unit|currency|scale)\b"), "unit")
-        .when(kind.isin("integer", "number"), "measure")
-        .when(kind.isin("string", "boolean"), "dimension")
-        .otherwise("unknown")
-    )
+    found = F.lit("unknown")
+    for role, pattern in reversed(ROLES):
+        found = F.when(n.rlike(pattern), role).otherwise(found)
+    return found
+
+
+def unit_hint(name: Column) -> Column:
+    """currency_usd, percent or shares by parts of the canonical name; null without any."""
+    n = column_name(name)
+    return F.when(n.rlike("usd|dollar"), "currency_usd").when(n.rlike("percent|pct|margin"), "percent").when(n.contains("share"), "shares")
+
+
+def period_hint(name: Column) -> Column:
+    """A year that is the whole canonical name: within longer names no word ends beside it."""
+    return F.nullif(F.regexp_extract(column_name(name), r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
 
 
 def routing_cards(table_name: str, profile: DataFrame) -> DataFrame:
@@ -80,10 +97,25 @@ def routing_cards(table_name: str, profile: DataFrame) -> DataFrame:
     return table.unionByName(columns).unionByName(total)
 
 
+BUCKETS = 256  # ranges of rows that are numbered on their own
+
+
 def row_locators(df: DataFrame, table_id: str, order: list[str], columns: list[str], header: bool = True) -> DataFrame:
-    """(row_index, physical_row, row_hash, row_id) of rows in a given order."""
+    """(row_index, physical_row, row_hash, row_id) of rows in a given order.
+
+    The order is cut at up to BUCKETS of its own values, picked by a hash; rows are numbered within these ranges, and what
+    stands in front of a range is added. So no window holds the whole table, and reruns cut at the same places.
+    """
+    key = F.struct(*[F.col(c) for c in order])
     cells = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    rows = df.select(F.row_number().over(Window.orderBy(*order)).alias("row_index"), F.sha2(cells, 256).alias("row_hash"))
+    rows = df.select(key.alias("key"), F.sha2(cells, 256).alias("row_hash"))
+    picked = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("b")).agg(F.min_by("key", F.xxhash64("key", F.lit(2))).alias("cut"))
+    cuts = picked.agg(F.array_sort(F.collect_list("cut")).alias("cuts"))  # one row of at most BUCKETS values
+    rows = rows.join(F.broadcast(cuts)).select("key", "row_hash", F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("range"))
+    in_front = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(in_front, F.lit(0)).alias("front"))  # at most BUCKETS + 1 rows
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("key", "row_hash"))
+    rows = rows.withColumn("i", inside).join(F.broadcast(counts), "range").select((F.col("front") + F.col("i")).alias("row_index"), "row_hash")
     row_id = F.sha2(F.concat_ws("\x1f", F.lit(table_id), F.col("row_index").cast("string"), "row_hash"), 256)
     return rows.select("row_index", (F.col("row_index") + int(header)).alias("physical_row"), "row_hash", F.left(row_id, F.lit(32)).alias("row_id"))
 

@@ -1,7 +1,9 @@
-"""Retrieval lanes: BM25 over postings, cosine over vectors, token overlap; and rewriting and selection of lanes."""
+"""Retrieval lanes: BM25, cosine over vectors, token overlap, passages; and rewriting and selection of lanes."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,15 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import token_set, words
+from tarn.scratch import materialize
 
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
+VECTORS = 512  # vectors that are compared with a block of queries at once
 #: A side is broadcast only after it was counted and is at most this long; otherwise joins shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, found by counting no more than that."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows. ``rows`` is a bound that the caller knows, as of a top k;
+    without it the rows are counted, but no more than that, which runs the plan of ``df`` once for it."""
+    return F.broadcast(df) if (df.limit(limit + 1).count() if rows is None else rows) <= limit else df
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,32 +34,139 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) for all pairs that share a term; a term's frequency in the query multiplies its part.
+def query_blocks(queries: DataFrame, query_id: str, most: int) -> Iterator[list[tuple]]:
+    """The rows of a table of queries in blocks of about ``most``, chosen by a hash of their ids; the driver holds one block at a time."""
+    rows = queries.limit(most + 1).collect()
+    if len(rows) <= most:
+        yield [tuple(r) for r in rows]
+        return
+    blocks = -(-queries.count() // most)
+    for i in range(blocks):
+        yield [tuple(r) for r in queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i).collect()]
 
-    Only the queries' terms of a document are ever shuffled: they are picked out of its word array in place.
+
+class _Asked:
+    """A block of queries: terms with the queries that hold them, as arrays by term."""
+
+    def __init__(self, rows: list[tuple], distinct: bool):
+        self.ids = [r[0] for r in rows]
+        counts = [Counter(dict.fromkeys(ts, 1) if distinct else ts) for _, ts in rows]
+        self.sizes = np.array([max(1, sum(c.values())) for c in counts], np.float64)
+        self.terms = {t: i for i, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
+        pairs = sorted((self.terms[t], q, n) for q, c in enumerate(counts) for t, n in c.items())
+        term = np.array([p[0] for p in pairs], np.int64)
+        self.query, self.weight = np.array([p[1] for p in pairs], np.int64), np.array([p[2] for p in pairs], np.float64)
+        self.starts = np.searchsorted(term, np.arange(len(self.terms) + 1))
+
+
+def _best(query: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query by score, ties by item."""
+    order = np.lexsort((item, -score, query))
+    query, score, item = query[order], score[order], item[order]
+    first = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - first < k
+    return query[keep], score[keep], item[keep]
+
+
+def _matches(asked, split):
+    """Documents with the terms of the queries that they hold: (doc_id, length, terms, tfs)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = asked.value.terms
+        for b in batches:
+            rows = []
+            for d, t in zip(b["id"], b["t"], strict=True):
+                ws = split(t.lower() if t else "")
+                found = Counter(n for w in ws if (n := number.get(w)) is not None)
+                if found:
+                    rows.append((d, len(ws), list(found), list(found.values())))
+            yield pd.DataFrame(rows, columns=["doc_id", "length", "terms", "tfs"])
+
+    return run
+
+
+def _scored(asked, part, scale, k: int):
+    """Each task's k best documents per query: the sum over shared terms of weight times ``part(tf, length)``, times the query's scale."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = asked.value
+        best = None
+        for b in batches:
+            if not len(b):
+                continue
+            sizes = np.fromiter(map(len, b["terms"]), np.int64, len(b))
+            term, tf = np.concatenate(b["terms"].to_numpy()), np.concatenate(b["tfs"].to_numpy()).astype(np.float64)
+            row = np.repeat(np.arange(len(b)), sizes)
+            value = part(tf, b["length"].to_numpy(np.float64)[row], term)
+            many = held.starts[term + 1] - held.starts[term]
+            at = np.arange(int(many.sum())) + np.repeat(held.starts[term] - (np.cumsum(many) - many), many)
+            pair, where = np.unique(held.query[at] * len(b) + np.repeat(row, many), return_inverse=True)
+            query = pair // len(b)
+            score = np.round(np.bincount(where, held.weight[at] * np.repeat(value, many)) * scale(held)[query], 6)
+            found = query, score, b["doc_id"].to_numpy()[pair % len(b)]
+            if best is not None:
+                found = tuple(np.concatenate(x) for x in zip(best, found, strict=True))
+            best = _best(*found, k)
+        if best is not None:
+            yield pd.DataFrame({"query_id": [held.ids[q] for q in best[0]], "doc_id": best[2], "score": best[1]})
+
+    return run
+
+
+def _lexical_top(queries: DataFrame, docs: DataFrame, k: int, terms, names: tuple[str, str, str, str], distinct: bool, part, scale, max_queries: int) -> DataFrame:
+    query_id, query_text, id_col, text_col = names
+    spark = docs.sparkSession
+    kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)[id_col]
+    split = re.compile("[a-z0-9]+").findall
+    found = []
+    for rows in query_blocks(queries.select(query_id, terms(F.col(query_text)).alias("ts")), query_id, max_queries):
+        asked = spark.sparkContext.broadcast(_Asked(rows, distinct))
+        texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        matched = materialize(texts.mapInPandas(_matches(asked, split), f"doc_id {kinds[1]}, length int, terms array<int>, tfs array<int>"), "matches")
+        found.append(matched.mapInPandas(_scored(asked, part(matched, asked), scale, k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"))
+    return lane_rank(reduce(DataFrame.unionByName, found), k)
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", max_queries: int = 20_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents per query by BM25, ties by id; a query's repeated term counts as often.
+
+    Texts are read once: what is written of a document is the queries' terms in it. Frequencies of those terms are counted
+    from that table and collected, one number per term of a block of queries. A document's terms are all in its row, so it
+    is scored there, and each task sends its k best per query; pairs that share a term are never shuffled.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(words(F.col(query_text))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = small(asked.select("term").distinct())
-    n = docs.count()
-    split = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"))
-    rows = split.select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("term")).join(terms, "term")
-    tf = rows.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weighted = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
-    part = F.col("weight") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / AVERAGE_LENGTH)))
-    return tf.join(small(weighted), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
+    def part(matched: DataFrame, asked):
+        n = docs.count()
+        df = np.zeros(len(asked.value.terms))
+        for r in matched.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+            df[r["t"]] = r["count"]
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+        return lambda tf, length, term: idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / AVERAGE_LENGTH)))
+
+    return _lexical_top(queries, docs, k, words, (query_id, query_text, id_col, text_col), False, part, lambda held: np.ones(len(held.ids)), max_queries)
+
+
+def overlap_top(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", max_queries: int = 20_000) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents per query by the share of the query's token set that they hold."""
+    part = lambda matched, asked: lambda tf, length, term: np.ones(len(tf))
+    return _lexical_top(queries, docs, k, token_set, (query_id, query_text, id_col, text_col), True, part, lambda held: 1 / held.sizes, max_queries)
 
-def overlap(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score): share of the query's token set that the document holds."""
-    asked = queries.select(F.col(query_id).alias("query_id"), token_set(F.col(query_text)).alias("ts"))
-    asked = asked.select("query_id", F.size("ts").alias("size"), F.explode("ts").alias("term"))
-    held = docs.select(F.col(id_col).alias("doc_id"), F.explode(token_set(F.col(text_col))).alias("term"))
-    shared = held.join(small(asked), "term").groupBy("query_id", "doc_id", "size").agg(F.count("*").alias("n"))
-    return shared.select("query_id", "doc_id", F.round(F.col("n") / F.col("size"), 6).alias("score"))
+
+def holding(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_id: str = "query_id", passage: str = "passage") -> DataFrame:
+    """(passage_id, id): documents whose text holds a passage as it stands.
+
+    A document that holds a passage holds all its words but the first and last as words. So a document only meets the
+    passages whose longest such word it has; only passages without any (of one or two words) meet every document.
+    """
+    p = passages.select(passage_id, passage).filter(F.col(passage).isNotNull()).withColumn("_ws", words(F.col(passage)))
+    inner = F.array_distinct(F.slice("_ws", 2, F.greatest(F.size("_ws") - 2, F.lit(0))))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    p = p.select(passage_id, passage, longest.alias("_word"))
+    d = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    split = d.select(id_col, "_text", F.explode(F.array_distinct(words(F.col("_text")))).alias("_word"))
+    met = split.join(small(p.filter("_word IS NOT NULL")), "_word").filter(F.col("_text").contains(F.col(passage)))
+    rest = d.join(small(p.filter("_word IS NULL")), F.col("_text").contains(F.col(passage)))
+    return met.select(passage_id, id_col).unionByName(rest.select(passage_id, id_col))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -66,27 +178,21 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "q
     """(query_id, vec_id, score, rank): the k nearest vectors by cosine, ties by id.
 
     Queries are compared in blocks of about ``max_queries`` vectors, chosen by a hash of their ids: every task compares
-    a block with its rows by one matrix product and sends only its k best per query, so what is shuffled grows with
-    queries and tasks, not with rows. Each block is a scan of the vectors, and the driver holds one block at a time.
+    a block with VECTORS of its rows at a time by a matrix product and sends only its k best per query, so what is shuffled
+    grows with queries and tasks, not with rows. Each block is a scan of the vectors, and the driver holds one block at a time.
     """
-    n = queries.count()
-    if n > max_queries:
-        blocks = -(-n // max_queries)
-        part = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-        found = [_dense_block(queries.filter(part == i), vectors, k, query_id, id_col, vec_col) for i in range(blocks)]
-    else:
-        found = [_dense_block(queries, vectors, k, query_id, id_col, vec_col)]
+    kind = dict(queries.dtypes)[query_id]
+    found = [_dense_block(rows, kind, vectors, k, id_col, vec_col) for rows in query_blocks(queries.select(query_id, vec_col), query_id, max_queries)]
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _dense_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id_col: str, vec_col: str) -> DataFrame:
-    """(query_id, vec_id, score): each task's k nearest vectors per query of one block, which is collected."""
-    rows = queries.select(query_id, vec_col).collect()
+def _dense_block(rows: list[tuple], query_kind: str, vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
+    """(query_id, vec_id, score): each task's k nearest vectors per query of one block."""
     ids = [r[0] for r in rows]
     matrix = np.array([r[1] for r in rows], np.float64)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300) if len(rows) else 1
-    held = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
     kind = dict(vectors.dtypes)[id_col]
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,20 +201,30 @@ def _dense_block(queries: DataFrame, vectors: DataFrame, k: int, query_id: str,
         for b in batches:
             if not len(b) or not ids:
                 continue
-            b = b.sort_values("id")  # a stable sort by score then breaks ties by id
             x = np.array(b["v"].tolist(), np.float64)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = np.round(q @ x.T, 6)
             own = b["id"].to_numpy()
-            keep = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            part = [pd.DataFrame({"query_id": i, "vec_id": own[j], "score": s[n, j]}) for n, (i, j) in enumerate(zip(ids, keep, strict=True))]
-            best = pd.concat([*([best] if best is not None else []), *part])
-            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            for i in range(0, len(own), VECTORS):
+                s = np.round(q @ x[i : i + VECTORS].T, 6)
+                if s.shape[1] > k:  # whatever ties with the k-th stays until ids decide
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    if best is not None:
+                        least = np.maximum(least, floor[:, None])
+                    query, at = np.nonzero(s >= least)
+                else:
+                    query, at = np.nonzero(np.ones(s.shape, bool))
+                found = query, s[query, at], own[i : i + VECTORS][at]
+                if best is not None:
+                    found = tuple(np.concatenate(p) for p in zip(best, found, strict=True))
+                best = _best(*found, k)
+                # What a vector must score to enter: the k-th of a query that has k already.
+                floor = np.where(np.bincount(best[0], minlength=len(ids)) >= k, np.inf, -np.inf)
+                np.minimum.at(floor, best[0], best[1])
         if best is not None:
-            yield best
+            yield pd.DataFrame({"query_id": [ids[i] for i in best[0]], "vec_id": best[2], "score": best[1]})
 
     some = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).filter("v IS NOT NULL")
-    return some.mapInPandas(nearest, f"query_id {dict(queries.dtypes)[query_id]}, vec_id {kind}, score double")
+    return some.mapInPandas(nearest, f"query_id {query_kind}, vec_id {kind}, score double")
 
 
 def lane_rank(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), item: str = "doc_id", score: str = "score") -> DataFrame:
