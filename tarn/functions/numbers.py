@@ -29,7 +29,12 @@ def parse_bool(text: Column) -> Column:
 
 def parse_int(text: Column) -> Column:
     """The first integer in a text, thousands separators allowed."""
-    return F.regexp_replace(F.regexp_extract(text, r"[+-]?\d[\d,]*", 0), ",", "").try_cast("long")
+    return F.regexp_extract(F.regexp_replace(text, ",", ""), r"-?\d+", 0).try_cast("long")
+
+
+def whole(number: Column) -> Column:
+    """A floating number as an integer if it is integral, else null."""
+    return F.when(number == F.floor(number), number.try_cast("long"))
 
 
 #: Accepted forms of dates, as (pattern, format).
@@ -68,3 +73,38 @@ def numbers_match(expected: Column, found: Column) -> Column:
     """Whether one of ``found`` (array of `extract_numbers`) is the expected number raw, scaled, or as a percentage."""
     per_cent = lambda x: F.when(x["unit"] == "%", x["value"] / 100)
     return F.exists(found, lambda x: close(x["value"], expected) | close(x["scaled"], expected) | F.coalesce(close(per_cent(x), expected), F.lit(False)))
+
+
+#: What the words behind a number mean where an answer is held against its evidence.
+UNITS = {
+    "%": "percent", "percent": "percent", "percentage point": "percent", "percentage points": "percent",
+    "bps": "basis_points", "basis point": "basis_points", "basis points": "basis_points",
+    "thousand": "thousand", "m": "million", "mm": "million", "million": "million", "bn": "billion", "billion": "billion", "trillion": "trillion",
+}
+STRICT = (
+    r"(?i)(?<![A-Za-z0-9_])([$€£])?(\(?-?\d+(?:,\d{3})*(?:\.\d+)?\)?)\s*"
+    r"(%|percent|percentage points?|bps|basis points?|thousand|million|billion|trillion|mm|bn|m)?(?![A-Za-z0-9_])"
+)
+
+
+def strict_numbers(text: Column) -> Column:
+    """All numbers of a text in order, citation marks left out: array of (value decimal, unit). A unit is percent,
+    basis_points, a scale word or currency; a number without one has null. (x) is negative; broken brackets are no number."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\[c\d+\]", " ")
+    signs, digits, words = (F.regexp_extract_all(bare, F.lit(STRICT), F.lit(g)) for g in (1, 2, 3))
+    zipped = F.arrays_zip(signs.alias("s"), digits.alias("d"), words.alias("w"))
+    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+
+    def one(x: Column) -> Column:
+        plain = F.regexp_replace(x["d"], ",", "")
+        negative = plain.rlike(r"^\(.*\)$")
+        value = F.when(negative, F.concat(F.lit("-"), F.regexp_replace(plain, r"[()]", ""))).otherwise(plain).try_cast("decimal(38,10)")
+        word = F.regexp_replace(F.lower(x["w"]), r"\s+", " ")
+        return F.struct(value.alias("value"), F.coalesce(F.try_element_at(units, word), F.when(x["s"] != "", "currency")).alias("unit"))
+
+    return F.filter(F.transform(zipped, one), lambda x: x["value"].isNotNull())
+
+
+def strict_match(said: Column, held: Column) -> Column:
+    """Whether one of ``held`` (array of `strict_numbers`) is exactly this number; a number said without a unit fits any."""
+    return F.exists(held, lambda x: (x["value"] == said["value"]) & (said["unit"].isNull() | x["unit"].eqNullSafe(said["unit"])))

@@ -47,9 +47,16 @@ def normal_term(text: Column) -> Column:
     return squash(F.translate(F.lower(text), "_", " "))
 
 
+#: Letters whose folded form isn't their lower case, and those forms (the ones in Latin and Greek texts).
+FOLDS = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("µ", "μ"))
+
+
 def folded(text: Column) -> Column:
-    """Lower case for comparing, with ß as ss."""
-    return squash(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    """Folded case for comparing: lower case, with the letters of FOLDS spelled out."""
+    out = F.lower(text)
+    for letter, form in FOLDS:
+        out = F.replace(out, F.lit(letter), F.lit(form))
+    return squash(out)
 
 
 def document_key(uri: Column) -> Column:
@@ -80,11 +87,43 @@ def preview(text: Column, limit: int = 320) -> Column:
 def has_phrase(text: Column, phrase: Column) -> Column:
     """``phrase`` stands in ``text`` and touches no letter or digit on either side; both in normal form."""
     quoted = F.regexp_replace(phrase, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    return F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
+    return F.contains(text, phrase) & F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
 
 
 def years(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)))
+    """Years from 1900 to 2099, also behind FY, in order of their first use."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)\b(?:FY)?((?:19|20)\d{2})\b"), F.lit(1)))
+
+
+def period_names(text: Column) -> Column:
+    """Years as they are named: FY2023 where the text holds it so, else 2023."""
+    return F.transform(years(text), lambda y: F.when(F.contains(F.lower(text), F.concat(F.lit("fy"), y)), F.concat(F.lit("FY"), y)).otherwise(y))
+
+
+SUFFIXED = (
+    r"\b([A-Z][A-Za-z0-9&.'-]*(?:\s+[A-Z][A-Za-z0-9&.'-]*){0,5}\s+"
+    r"(?:Inc\.?|Corp\.?|Corporation|Company|Co\.?|Ltd\.?|Limited|LLC|PLC|Holdings|Group|Technologies|Technology))\b"
+)
+TICKER = r"\b(?:NASDAQ|NYSE|AMEX|LON|TSX)\s*:\s*([A-Z]{1,6})\b"
+#: Companies and other names that stand for them.
+COMPANIES = {
+    "3M": ("3m", "mmm"), "AES Corporation": ("aes corporation", "aes"), "AMCOR": ("amcor",), "Adobe": ("adobe", "adbe"), "Apple": ("apple", "aapl"),
+    "Amazon": ("amazon", "amzn"), "Alphabet": ("alphabet", "google", "goog", "googl"), "Boeing": ("boeing",), "Chevron": ("chevron", "cvx"), "Coca-Cola": ("coca-cola", "coca cola"),
+    "Costco": ("costco",), "Exxon Mobil": ("exxon", "exxon mobil", "exxonmobil"), "Ford": ("ford", "ford motor"), "General Motors": ("general motors", "gm"), "Home Depot": ("home depot",),
+    "IBM": ("ibm", "international business machines"), "Johnson & Johnson": ("johnson & johnson", "johnson and johnson", "jnj"), "JPMorgan": ("jpmorgan", "jp morgan", "jpmorgan chase"),
+    "Microsoft": ("microsoft", "msft"), "NVIDIA": ("nvidia", "nvda"), "Oracle": ("oracle",), "Pfizer": ("pfizer",), "Salesforce": ("salesforce",), "Target": ("target",),
+    "Tesla": ("tesla", "tsla"), "Verizon": ("verizon",), "Walmart": ("walmart", "wal-mart"),
+}
+
+
+def companies(text: Column, known: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Companies that a text names, each once: names with a corporate suffix, tickers behind an exchange, and known names."""
+    plain = normal_term(text)
+    names = COMPANIES if known is None else known
+    hit = lambda aliases: F.exists(F.array(*map(F.lit, aliases)), lambda a: has_phrase(plain, a))
+    listed = F.array_compact(F.array(*[F.when(hit(a), name) for name, a in names.items()]))
+    suffixed = F.transform(F.regexp_extract_all(text, F.lit(SUFFIXED), F.lit(1)), lambda n: F.btrim(n, F.lit(" .,?;:")))
+    return F.array_distinct(F.concat(suffixed, F.regexp_extract_all(text, F.lit(TICKER), F.lit(1)), listed))
 
 
 def quarter(text: Column) -> Column:

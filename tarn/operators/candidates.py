@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,28 @@ def safe_metadata(metadata: Column, unsafe: tuple[str, ...] = UNSAFE_KEYS) -> Co
     return F.map_filter(metadata, lambda k, v: ~F.lower(k).isin(*unsafe))
 
 
+def safe_json(metadata: Column, unsafe: tuple[str, ...] = UNSAFE_KEYS) -> Column:
+    """A JSON text without the unsafe keys and their values at any depth, in objects and in lists; null if it isn't JSON."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def clean(x):
+            if isinstance(x, dict):
+                return {k: clean(v) for k, v in x.items() if k.lower() not in unsafe}
+            return [clean(v) for v in x] if isinstance(x, list) else x
+
+        def one(text):
+            try:
+                return None if text is None else json.dumps(clean(json.loads(text)), ensure_ascii=False)
+            except ValueError:
+                return None
+
+        for s in parts:
+            yield s.map(one)
+
+    return run(metadata)
+
+
 def merge_first(a: Column, b: Column) -> Column:
     """Union of two maps; where both have a key, the first non-empty value holds."""
     empty = lambda v: v.isNull() | (v == "")

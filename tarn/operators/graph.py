@@ -105,13 +105,35 @@ def graph_mode(entities: Column, requested: Column) -> Column:
 def ground(objects: DataFrame, anchors: DataFrame, chunks: DataFrame, cap: int = CHUNKS_PER_OBJECT) -> DataFrame:
     """(object_id, chunk_id, doc_id, rank): up to ``cap`` chunks per graph object, by chunk index and anchor id.
 
-    anchors: anchor_id, object_id, chunk_id; chunks: chunk_id, doc_id, chunk_index. Objects without anchors yield nothing.
+    anchors: anchor_id, object_id, chunk_id, and if known text_span; chunks: chunk_id, doc_id, chunk_index. Of anchors of one
+    object on the same span of the same chunk the first by id counts. Objects without anchors yield nothing.
     """
-    at = anchors.dropDuplicates(["anchor_id", "object_id", "chunk_id"]).join(objects.select("object_id").distinct(), "object_id", "left_semi").join(chunks, "chunk_id")
+    same = ["object_id", "chunk_id", *[c for c in ("text_span",) if c in anchors.columns]]
+    if "text_span" in anchors.columns:
+        anchors = anchors.groupBy(*same).agg(F.min("anchor_id").alias("anchor_id"))
+    at = anchors.dropDuplicates(["anchor_id", *same]).join(objects.select("object_id").distinct(), "object_id", "left_semi").join(chunks, "chunk_id")
     order = Window.partitionBy("object_id").orderBy("chunk_index", "anchor_id")
     return at.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("object_id", "chunk_id", "doc_id", "rank")
 
 
+def graph_scores(objects: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(item_id, score, grounding) of graph items (item_id, object_id, confidence; a row per edge): the mean confidence, and 1.0
+    if any of an item's objects has an anchor, else 0.0."""
+    held = anchors.select("object_id").distinct().withColumn("_held", F.lit(1.0))
+    rows = objects.join(held, "object_id", "left")
+    return rows.groupBy("item_id").agg(F.round(F.avg("confidence"), 6).alias("score"), F.coalesce(F.max("_held"), F.lit(0.0)).alias("grounding"))
+
+
+def backfill_version(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relationships (relationship_id, source, target, graph_version) whose missing version is that of both their ends, where
+    each end (entity_id, graph_version) has exactly one version and they agree; others stay as they are."""
+    one = entities.filter("graph_version IS NOT NULL").groupBy("entity_id").agg(F.min("graph_version").alias("v"), F.count_distinct("graph_version").alias("n")).filter("n = 1").select("entity_id", "v")
+    rows = relationships.join(one.select(F.col("entity_id").alias("source"), F.col("v").alias("_s")), "source", "left")
+    rows = rows.join(one.select(F.col("entity_id").alias("target"), F.col("v").alias("_t")), "target", "left")
+    agreed = F.when(F.col("_s") == F.col("_t"), F.col("_s"))
+    return rows.select("relationship_id", "source", "target", F.coalesce("graph_version", agreed).alias("graph_version"))
+
+
 def in_scope(objects: DataFrame, anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """Objects with an anchor on one of ``chunks``."""
     return objects.join(anchors.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), "object_id", "left_semi")

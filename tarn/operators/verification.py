@@ -18,8 +18,9 @@ def anchor_support(evidence: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def numeric_conflicts(evidence: DataFrame) -> DataFrame:
-    """(query_id, conflict): two fully supporting texts with exactly one number each, of one unit, that differ from the first."""
-    one = evidence.withColumn("numbers", extract_numbers(F.col("text"))).filter("size(numbers) = 1")
+    """(query_id, conflict) of evidence (query_id, rank, text, support): two fully supporting texts with exactly one number each,
+    of one unit, that differ from the first."""
+    one = evidence.filter("support = 'full'").withColumn("numbers", extract_numbers(F.col("text"))).filter("size(numbers) = 1")
     one = one.select("query_id", "rank", F.col("numbers")[0]["scaled"].alias("value"), F.col("numbers")[0]["unit"].alias("unit"))
     first = one.groupBy("query_id", "unit").agg(F.min_by("value", "rank").alias("first"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     return first.groupBy("query_id").agg(F.bool_or(F.col("lo") != F.col("hi")).alias("conflict"))
@@ -52,6 +53,15 @@ def citation_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.select("answer_id", cited.alias("cited"), invalid.alias("invalid"), missing.alias("numbers_missing"), status.alias("status"))
 
 
+def citation_metadata(citations: DataFrame, evidence: DataFrame, fields: tuple[str, ...] = ("document_id", "chunk_id", "page_start", "page_end")) -> DataFrame:
+    """(answer_id, citation_id, mismatches): of citations (answer_id, query_id, citation_id and fields) that name a piece of evidence
+    (query_id, citation_id and fields), the fields that say something else than it; fields a citation leaves out don't count."""
+    theirs = evidence.select("query_id", F.lower("citation_id").alias("citation_id"), *[F.col(f).alias(f"_{f}") for f in fields])
+    rows = citations.withColumn("citation_id", F.lower(F.trim("citation_id"))).join(theirs, ["query_id", "citation_id"])
+    wrong = [F.when(F.col(f).isNotNull() & ~F.col(f).cast("string").eqNullSafe(F.col(f"_{f}").cast("string")), f) for f in fields]
+    return rows.select("answer_id", "citation_id", F.array_compact(F.array(*wrong)).alias("mismatches")).filter("size(mismatches) > 0")
+
+
 def answer_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     """(answer_id, position, citation_id, text) in the order in which answers cite."""
     marks = answers.select("answer_id", "query_id", F.posexplode(citations(F.col("text"))).alias("position", "citation_id"))

@@ -2,23 +2,29 @@
 
 Statements are parsed by Spark's own parser. The tree may only be a projection or an aggregate over one relation with
 filter, order and limit; every expression must be of an allowed class. A second, textual check refuses words and marks
-that have no place in the dialect. Running happens in a new session that sees nothing but the one view.
+that have no place in the dialect. A statement that passes names one relation only; it runs over a view with a name of its own that
+is dropped as soon as the statement is analysed, so no view of the caller is seen, replaced or dropped.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.functions.numbers import parse_bool, parse_number
 
 #: Words that a statement must not hold, and names no column may have bare.
 FORBIDDEN = (
-    "alter attach call case cast coalesce copy create current_date current_time current_timestamp date_part date_trunc delete detach distinct drop "
-    "else end except extract having ifnull insert install intersect join load nullif over pragma read_csv read_json read_parquet strptime then union "
-    "update when window with"
-).split()
+    "alter", "attach", "call", "case", "cast", "coalesce", "copy", "create", "current_date", "current_time", "current_timestamp", "date_part", "date_trunc", "delete", "detach", "distinct", "drop",
+    "else", "end", "except", "extract", "having", "ifnull", "insert", "install", "intersect", "join", "load", "nullif", "over", "pragma", "read_csv", "read_json", "read_parquet", "strptime", "then", "union",
+    "update", "when", "window", "with",
+)
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 RESERVED = ("select", "from", "where", "group", "by", "order", "limit", "and", "or", "not", "in", "is", "like", "between", "null", "as", "asc", "desc", "table", "values")
 MAX_ROWS, MAX_BYTES = 100, 64 * 1024
@@ -208,11 +214,71 @@ def run(df: DataFrame, sql: str, table: TableContext) -> DataFrame:
     verdict = check(spark, _counted(sql), table)
     if not verdict.ok:
         raise ValueError("refused: " + ", ".join(verdict.reasons))
-    df.select(*[c for c in df.columns if c.lower() in table.columns]).createOrReplaceTempView(table.name)
+    own = f"guarded_{uuid.uuid4().hex}"
+    df.select(*[c for c in df.columns if c.lower() in table.columns]).createTempView(own)
     try:
-        return spark.sql(sql).limit(verdict.limit)
+        return spark.sql(_from(sql, table.name, own)).limit(verdict.limit)
     finally:
-        spark.catalog.dropTempView(table.name)
+        spark.catalog.dropTempView(own)
+
+
+def _from(sql: str, name: str, view: str) -> str:
+    """The statement with its one relation read from ``view``, under its old name; text in quotes stays as it is."""
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    parts[::2] = [re.sub(rf"\bfrom\s+`?{re.escape(name)}`?(?!\w)", f"FROM {view} AS {name}", p, flags=re.I) for p in parts[::2]]
+    return "".join(parts)
+
+
+#: Types of a table's columns -> what their cells are read as.
+KINDS = {"integer": "bigint", "int": "bigint", "bigint": "bigint", "number": "double", "numeric": "double", "float": "double", "double": "double", "decimal": "double", "boolean": "boolean"}
+
+
+def typed_table(df: DataFrame, name: str, kinds: dict[str, str]) -> tuple[DataFrame, TableContext]:
+    """A table of text cells as a typed one with safe names, and its context: (rows, context).
+
+    ``kinds``: raw column -> integer, number, boolean or anything else for text. Empty cells and cells that don't parse
+    are null; numbers may have thousands separators, currency and per cent signs and brackets for negative ones; integers
+    lose what is behind the point.
+    """
+    safe = safe_identifiers(list(kinds))
+    cells, columns = [], {}
+    for raw, kind in kinds.items():
+        kind = KINDS.get(kind.lower(), "string")
+        cell = F.nullif(F.col(f"`{raw}`").cast("string"), F.lit(""))
+        value = {"bigint": parse_number(cell).try_cast("bigint"), "double": parse_number(cell), "boolean": parse_bool(cell)}.get(kind, cell)
+        cells.append(value.alias(safe[raw]))
+        columns[safe[raw]] = kind
+    return df.select(*cells), TableContext(safe_identifiers([name])[name], columns)
+
+
+_CONDITION = re.compile(r"([a-z_][a-z0-9_]*)\s*(<=|>=|<>|!=|=|<|>|like\b)\s*('[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?|true|false|null)", re.I)
+
+
+def plain_where(where: str, table: TableContext) -> list[tuple[str, str, str]]:
+    """(column, operator, literal) of a condition that is only a conjunction of comparisons with literals; ValueError if it isn't.
+
+    For use where there is no parser at hand; the checks above take more.
+    """
+    found = []
+    for part in re.split(r"\s+and\s+", where.strip(), flags=re.I) if where.strip() else []:
+        m = _CONDITION.fullmatch(part.strip())
+        if not m:
+            raise ValueError(f"no plain condition: {part.strip()}")
+        if m.group(1) not in table.columns:
+            raise ValueError(f"unknown column: {m.group(1)}")
+        found.append((m.group(1), m.group(2).lower(), m.group(3)))
+    return found
+
+
+def filter_plain(df: DataFrame, where: str, table: TableContext) -> DataFrame:
+    """The rows that meet a `plain_where` condition; comparisons with null meet nothing."""
+    compare = {"=": "eq", "!=": "ne", "<>": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
+    for column, op, literal in plain_where(where, table):
+        low = literal.lower()
+        value = None if low == "null" else low == "true" if low in ("true", "false") else literal[1:-1] if literal[0] in "'\"" else float(literal)
+        c = F.col(column)
+        df = df.filter(c.like(str(value)) if op == "like" else getattr(operator, compare[op])(c, F.lit(value)))
+    return df
 
 
 def _counted(sql: str) -> str:
@@ -259,6 +325,26 @@ def intent(question: str) -> tuple[bool, str]:
 OUTCOMES = ("executed", "empty", "skipped_intent", "no_table", "ambiguous_table", "compile_failed", "refused", "failed", "too_large")
 
 
+def answer_among(tables: dict[str, tuple[DataFrame, TableContext]], question: str, compiler=compile_question) -> tuple[str, str | None, str | None, list]:
+    """(outcome, table, statement, rows) for a question and several tables: intent, routing to one table by its card, and `answer` there."""
+    from tarn.operators.profiling import route_scores
+
+    if not intent(question)[0]:
+        return "skipped_intent", None, None, []
+    if not tables:
+        return "no_table", None, None, []
+    spark = next(iter(tables.values()))[0].sparkSession
+    cards = [(name, " ".join([name, *context.columns]), list(context.columns), bool(context.numeric)) for name, (_, context) in tables.items()]
+    routed = route_scores(spark.createDataFrame(cards, "table_id string, text string, identifiers array<string>, numeric boolean"), spark.createDataFrame([(0, question)], "question_id int, text string")).first()
+    if routed is None or routed.status == "no_match":
+        return "no_table", None, None, []
+    if routed.status == "ambiguous":
+        return "ambiguous_table", None, None, []
+    df, context = tables[routed.table_id]
+    outcome, sql, rows = answer(df, question, context, compiler)
+    return outcome, routed.table_id, sql, rows
+
+
 def answer(df: DataFrame, question: str, table: TableContext, compiler=compile_question) -> tuple[str, str | None, list]:
     """(outcome, statement, rows) for a question: intent, compilation, check, execution. A compiler that fails is not replaced."""
     if not intent(question)[0]:

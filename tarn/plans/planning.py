@@ -14,34 +14,56 @@ from tarn.functions.text import has_phrase, normal_term, years
 
 #: Metric -> other names.
 METRICS = {
-    "revenue": ("sales", "net sales", "net revenue", "total revenue"),
-    "operating income": ("operating profit", "income from operations"),
-    "net income": ("net earnings", "net profit"),
-    "capital expenditures": ("capex", "purchases of property and equipment"),
-    "operating cash flow": ("cash from operations", "net cash provided by operating activities"),
-    "free cash flow": ("fcf",),
-    "gross profit": ("gross margin dollars",),
-    "cash": ("cash and cash equivalents",),
+    "capital_expenditure": ("capital expenditure", "capital expenditures", "capex", "capital spending", "purchases of property, plant and equipment", "additions to property, plant and equipment"),
+    "revenue": ("revenue", "revenues", "net sales", "sales", "total revenue", "net revenue"),
+    "net_income": ("net income", "net earnings", "net loss", "net income attributable"),
+    "operating_income": ("operating income", "income from operations", "operating profit"),
+    "gross_profit": ("gross profit", "gross margin dollars"),
+    "total_assets": ("total assets", "assets"),
+    "total_liabilities": ("total liabilities", "liabilities"),
+    "shareholders_equity": ("shareholders equity", "stockholders equity", "total equity"),
+    "cash_and_cash_equivalents": ("cash and cash equivalents", "cash equivalents"),
+    "operating_cash_flow": ("operating cash flow", "cash flow from operations", "net cash provided by operating activities", "net cash from operating activities"),
+    "free_cash_flow": ("free cash flow", "fcf"),
+    "r_and_d_expense": ("research and development", "research and development expense", "r&d", "r and d"),
+    "sga_expense": ("selling general and administrative", "sg&a", "sga", "selling administrative"),
+    "long_term_debt": ("long-term debt", "long term debt", "debt securities"),
+    "inventory": ("inventory", "inventories"),
+    "dividends": ("dividends", "cash dividends", "dividends paid"),
+    "eps": ("earnings per share", "eps", "diluted eps", "basic eps"),
 }
 
 
+def read_metrics(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """Metrics of a YAML file: a mapping of names to entries with canonical_name and aliases."""
+    from tarn.sources.datasets import read_yaml
+
+    found = read_yaml(spark, path) or {}
+    if not isinstance(found, dict):
+        raise ValueError("metrics must be a mapping")
+    return {str((v or {}).get("canonical_name") or k): tuple(map(str, (v or {}).get("aliases") or ())) for k, v in found.items()}
+
+
 def ontology(spark: SparkSession, metrics: dict[str, tuple[str, ...]] = METRICS) -> DataFrame:
-    """(metric, alias, words): a name is an alias of itself; a table as small as its source."""
-    rows = [(m, a, len(a.split())) for m, others in metrics.items() for a in (m, *others)]
-    return spark.createDataFrame(rows, "metric string, alias string, words int")
+    """(metric, alias, place): aliases in normal form in the order in which they are tried; a name is its own first alias."""
+    rows = [(m, " ".join(a.lower().replace("_", " ").split()), i) for m, others in metrics.items() for i, a in enumerate((m, *others))]
+    return spark.createDataFrame([r for r in rows if r[1]], "metric string, alias string, place int")
 
 
-def metric_mentions(texts: DataFrame, names: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, metric, alias): the longest alias of each place counts, so "cash" isn't found in "operating cash flow".
+def canonical_metric(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, metric): the metric that a term (in any spelling of blanks, underscores and case) is a name of."""
+    first = names.groupBy("alias").agg(F.min("metric").alias("metric"))  # an alias has one metric
+    return terms.select("term", normal_term(F.col("term")).alias("alias")).join(F.broadcast(first), "alias").select("term", "metric")
 
-    Aliases that are part of a longer alias that the text holds are dropped.
-    """
+
+def metric_mentions(texts: DataFrame, names: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, metric, alias, rank) of the metrics that a text names: of each metric the first alias that stands there as a
+    whole phrase; metrics with longer aliases come first, then by name."""
     t = texts.select(F.col(id_col).alias("query_id"), normal_term(F.col(text_col)).alias("t"))
     hits = t.join(F.broadcast(names), has_phrase(F.col("t"), F.col("alias")))  # the ontology is a fixed list
-    longer = hits.select("query_id", F.col("alias").alias("long"), F.col("t"))
-    inside = hits.alias("h").join(longer.alias("l"), (F.col("h.query_id") == F.col("l.query_id")) & (F.col("h.alias") != F.col("l.long")) & F.col("l.long").contains(F.col("h.alias")))
-    covered = inside.select(F.col("h.query_id").alias("query_id"), F.col("h.alias").alias("alias")).distinct()
-    return hits.join(covered, ["query_id", "alias"], "left_anti").select("query_id", "metric", "alias")
+    first = hits.groupBy("query_id", "metric").agg(F.min_by("alias", "place").alias("alias"))
+    order = Window.partitionBy("query_id").orderBy(F.length("alias").desc(), "metric")
+    return first.withColumn("rank", F.row_number().over(order))
 
 
 def plan_units(queries: DataFrame, mentions: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -54,7 +76,7 @@ def plan_units(queries: DataFrame, mentions: DataFrame, id_col: str = "query_id"
     weights = lambda **w: F.create_map(*[F.lit(x) for p in w.items() for x in p])
     first = q.select("query_id", F.lit(0).alias("o"), F.lit("original").alias("purpose"), "text", F.lit(1.0).alias("weight"), weights(dense=1.0).alias("lane_weights"))
     metric = q.join(mentions, "query_id").select(
-        "query_id", F.lit(1).alias("o"), F.lit("metric_alias").alias("purpose"), F.concat_ws(" ", F.col("text"), F.col("metric")).alias("text"), F.lit(1.5).alias("weight"), weights(bm25=1.2, metric_alias=1.5).alias("lane_weights")
+        "query_id", F.lit(1).alias("o"), F.lit("metric_alias").alias("purpose"), F.concat_ws(" ", F.col("text"), F.translate("metric", "_", " ")).alias("text"), F.lit(1.5).alias("weight"), weights(bm25=1.2, metric_alias=1.5).alias("lane_weights")
     )
     period = q.withColumn("ys", years(F.col("text"))).filter("size(ys) > 0").select(
         "query_id", F.lit(2).alias("o"), F.lit("period_anchor").alias("purpose"), F.concat_ws(" ", F.col("text"), F.array_join("ys", " ")).alias("text"), F.lit(1.2).alias("weight"), weights(bm25=1.3).alias("lane_weights")

@@ -62,12 +62,51 @@ def group_requests(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped.filter("links <= 1").drop("links"), grouped.filter("links > 1").select("doc_name", "links", "row_ids")
 
 
+def hint_key(hint: Column) -> Column:
+    """Letters and digits of a document hint's last part, without query and fragment; unlike a document's key it keeps the suffix."""
+    plain = F.regexp_replace(F.split_part(F.split_part(F.lower(F.trim(hint)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1)), "/+$", "")
+    return F.regexp_replace(F.regexp_replace(plain, "^.*/", ""), "[^a-z0-9]+", "")
+
+
+def hinted_documents(hints: DataFrame, documents: DataFrame, width: int = 3) -> DataFrame:
+    """(case_id, doc_id): documents (doc_id, name) whose key equals a case's hint (case_id, hint), holds it, or is held by it.
+
+    Equal keys join; the others meet by what they share: a key that is part of another one has all its runs of ``width``
+    characters there, so only one run of it, its rarest by hash, is looked up. Shorter keys look up themselves.
+    """
+    h = hints.select("case_id", hint_key(F.col("hint")).alias("key")).filter("key <> ''").distinct()
+    d = documents.select("doc_id", hint_key(F.col("name")).alias("name_key")).filter("name_key <> ''").distinct()
+
+    def grams(key: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - width + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(width)))
+        return F.array_distinct(runs)
+
+    def shorter(key: Column) -> Column:  # every run of fewer characters, for keys as short
+        return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(1, width))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, n)))))
+
+    probe = lambda key: F.when(F.length(key) < width, key).otherwise(F.array_min(F.transform(grams(key), lambda g: F.struct(F.xxhash64(g).alias("x"), g.alias("g"))))["g"])
+    within = lambda key: F.array_union(grams(key), shorter(key))
+    inside = h.withColumn("g", probe(F.col("key"))).join(d.withColumn("g", F.explode(within(F.col("name_key")))), "g").filter(F.col("name_key").contains(F.col("key")))
+    around = h.withColumn("g", F.explode(within(F.col("key")))).join(d.withColumn("g", probe(F.col("name_key"))), "g").filter(F.col("key").contains(F.col("name_key")))
+    return inside.select("case_id", "doc_id").unionByName(around.select("case_id", "doc_id")).distinct()
+
+
+def explode_evidence(cases: DataFrame) -> DataFrame:
+    """(case_id, position, doc_name, full_page, evidence, raw_page) of cases whose evidence is an array of such structs; a case without any has none."""
+    return cases.select("case_id", F.posexplode("evidence").alias("position", "e")).select("case_id", "position", "e.*")
+
+
 def build_cases(rows: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """(case_id, doc_id, question, page, page_score) of rows (case_id, doc_name, question, full_page, evidence, raw_page); documents by canonical name."""
+    """(case_id, doc_id, question, page, page_score) of rows (case_id, doc_name, question, full_page, evidence, raw_page).
+
+    Documents are found by canonical name, else by hints that hold one another (the smallest id of several).
+    """
     from tarn.functions.text import document_key
 
-    named = documents.select(document_key(F.col("doc_name")).alias("key"), "doc_id").dropDuplicates(["key"])
+    named = documents.select(document_key(F.col("doc_name")).alias("key"), F.col("doc_id").alias("by_name")).groupBy("key").agg(F.min("by_name").alias("by_name"))
     cases = rows.withColumn("key", document_key(F.col("doc_name"))).join(named, "key", "left")
+    hints = hinted_documents(cases.filter("by_name IS NULL").select("case_id", F.col("doc_name").alias("hint")), documents.select("doc_id", F.col("doc_name").alias("name")))
+    cases = cases.join(hints.groupBy("case_id").agg(F.min("doc_id").alias("by_hint")), "case_id", "left").withColumn("doc_id", F.coalesce("by_name", "by_hint"))
     inferred = infer_pages(cases.filter("doc_id IS NOT NULL"), pages)
     return cases.join(inferred, "case_id", "left").select("case_id", "doc_id", "question", F.coalesce("page", "raw_page").alias("page"), F.col("score").alias("page_score"))
 

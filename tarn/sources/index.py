@@ -43,7 +43,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def promote(spark: SparkSession, path: str, version: str) -> None:
-    """Make a version current if its tables are complete; the pointer is written beside and renamed."""
+    """Make a version current if its tables are complete; the pointer is written beside and renamed over the old one in one step."""
     for table in ("chunks", "postings", "terms"):
         p, fs = _fs(spark, f"{path}/version={version}/{table}/_SUCCESS")
         if not fs.exists(p):
@@ -53,14 +53,53 @@ def promote(spark: SparkSession, path: str, version: str) -> None:
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(beside, target)
+    jvm = spark.sparkContext._jvm
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    home = fs.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(home.toUri(), conf).rename(fs.makeQualified(beside), home, options)
 
 
 def current(spark: SparkSession, path: str) -> str:
     return json.loads("".join(r.value for r in spark.read.text(f"{path}/CURRENT").collect()))["version"]
 
 
+def write_vectors(vectors: DataFrame, path: str, version: str, id_col: str = "chunk_id", vec_col: str = "embedding") -> None:
+    """Upsert unit vectors by id into a version's table: ids that are given replace their old vectors, others stay.
+
+    Vectors are normalised once here, so that scoring is a product; null and zero vectors have no row. Point ids are
+    hashes of the chunk's id, so that a replay writes the same points.
+    """
+    from tarn.functions.text import stable_id
+
+    spark, base = vectors.sparkSession, f"{path}/version={version}/vectors"
+    norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    given = vectors.select(F.col(id_col), F.col(vec_col).alias("v"), norm.alias("norm")).filter("norm > 0")
+    rows = given.select(id_col, stable_id("point", F.col(id_col)).alias("point_id"), F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("unit")).dropDuplicates([id_col])
+    p, fs = _fs(spark, base)
+    if not fs.exists(p):
+        rows.write.parquet(base)
+        return
+    kept = spark.read.parquet(base).join(vectors.select(id_col).distinct(), id_col, "left_anti")
+    beside, _ = _fs(spark, f"{base}.new")
+    kept.unionByName(rows).write.mode("overwrite").parquet(f"{base}.new")
+    fs.delete(p, True)
+    fs.rename(beside, p)
+
+
+def load_new(incoming: DataFrame, path: str, key: str = "content_hash") -> DataFrame:
+    """Append the documents whose content isn't in the table at ``path`` yet; (status, n) of what was loaded and skipped."""
+    spark = incoming.sparkSession
+    p, fs = _fs(spark, path)
+    known = spark.read.parquet(path) if fs.exists(p) else incoming.limit(0)
+    fresh, skipped = new_documents(incoming, known, key)
+    counts = fresh.select(F.lit("loaded").alias("status")).unionByName(skipped.select(F.lit("skipped_duplicate").alias("status"))).groupBy("status").count().collect()
+    fresh.write.mode("append").parquet(path)
+    return spark.createDataFrame([(r["status"], r["count"]) for r in counts], "status string, n long")
+
+
 def discard(spark: SparkSession, path: str, version: str) -> bool:
     """Remove a version's tables, as after a failed load."""
     p, fs = _fs(spark, f"{path}/version={version}")
@@ -70,16 +109,35 @@ def discard(spark: SparkSession, path: str, version: str) -> bool:
 MATERIALIZE = ("none", "facts", "full")
 
 
-def write_artifacts(records: dict[str, DataFrame], path: str, policy: str = "full") -> dict[str, int]:
-    """Record sets as JSON lines and a manifest with their counts; ``facts`` keeps tables and facts, ``none`` the manifest only."""
+def write_artifacts(records: dict[str, DataFrame], path: str, policy: str = "full", keys: dict[str, list[str]] | None = None) -> dict[str, int]:
+    """Record sets as JSON lines and CSV, and a manifest with their counts; ``facts`` keeps tables and facts, ``none`` the manifest only.
+
+    Of records that share a key (``keys``: set -> columns) the first by content stays; how many keys differ in content is in
+    the manifest. Everything is written beside and renamed, the manifest last, so a reader finds all of it or the old one.
+    """
     if policy not in MATERIALIZE:
         raise ValueError(f"unknown policy {policy}")
     kept = {"none": (), "facts": ("tables", "facts"), "full": tuple(records)}[policy]
-    counts = {}
+    counts, conflicts = {}, {}
+    spark = next(iter(records.values())).sparkSession
+    staged = []
     for name, df in records.items():
+        if keys and name in keys:
+            marked = df.withColumn("_body", F.to_json(F.struct(*df.columns)))
+            first, clash = dedupe_records(marked, keys[name], ["_body"])
+            conflicts[name] = marked.groupBy(*keys[name]).agg(F.count_distinct("_body").alias("n")).filter("n > 1").count()
+            df = first.drop("_body")
         if name in kept:
-            df.write.mode("overwrite").json(f"{path}/{name}")
+            flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
+            df.write.mode("overwrite").json(f"{path}/.new-{name}")
+            flat.write.mode("overwrite").csv(f"{path}/.new-{name}_csv", header=True)
+            staged += [name, f"{name}_csv"]
+            df = spark.read.schema(df.schema).json(f"{path}/.new-{name}")
         counts[name] = df.count()
-    spark = next(iter(records.values())).sparkSession
-    spark.createDataFrame([(json.dumps({"schema_version": "1", "policy": policy, "counts": counts}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    manifest = {"schema_version": "1", "policy": policy, "counts": counts, "conflicts": conflicts}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/.new-manifest")
+    for name in [*staged, "manifest"]:
+        old, fs = _fs(spark, f"{path}/{name}")
+        fs.delete(old, True)
+        fs.rename(_fs(spark, f"{path}/.new-{name}")[0], old)
     return counts

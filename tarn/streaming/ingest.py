@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.scratch import fresh_path
+
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Events from Parquet files as they arrive; the time column is an instant, as watermarks need."""
@@ -54,15 +56,19 @@ def freshness(events: DataFrame, now) -> DataFrame:
     return rows.select("event_type", "newest", lag.alias("lag_seconds"), (lag > 86_400).alias("stale"))
 
 
-def load_stream(stream: DataFrame, target: str, checkpoint: str, valid, transform: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True):
-    """Write each batch under its own number, so that a replayed batch replaces itself; rows that aren't ``valid`` go to a reject table."""
+def load_stream(stream: DataFrame, target: str, checkpoint: str, valid, transform: Callable[[DataFrame], DataFrame] = lambda df: df, once: bool = True, retryable=None):
+    """Write each batch under its own number, so that a replayed batch replaces itself; rows that aren't ``valid`` go to a reject table.
+
+    ``retryable`` is a condition: rejects that meet it (a source that was away) are marked so, the others are final.
+    """
 
     def write(df: DataFrame, batch: int) -> None:
         df = df.persist()
         try:
             ok = F.coalesce(valid, F.lit(False))
             transform(df.filter(ok)).write.mode("overwrite").parquet(f"{target}/loaded/batch={batch}")
-            df.filter(~ok).write.mode("overwrite").json(f"{target}/rejected/batch={batch}")
+            again = F.lit(False) if retryable is None else F.coalesce(retryable, F.lit(False))
+            df.filter(~ok).withColumn("retryable", again).write.mode("overwrite").json(f"{target}/rejected/batch={batch}")
         finally:
             df.unpersist()
 
@@ -70,8 +76,24 @@ def load_stream(stream: DataFrame, target: str, checkpoint: str, valid, transfor
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return the result table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def to_table(df: DataFrame, tag: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and return its result, a Parquet table in the shared folder.
+
+    Appended rows go through the file sink; a complete result replaces that of the batch before.
+    """
+    spark = df.sparkSession
+    folder, checkpoint = fresh_path(spark, tag), fresh_path(spark, f"{tag}-state")
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", folder).start()
+    else:
+        query = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(folder)).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def split_table(df: DataFrame, column: str, parts: int, tag: str) -> str:
+    """A folder in which the rows of ``df`` lie in ``parts`` files, dealt by a hash of a column, as a replay finds them."""
+    folder = fresh_path(df.sparkSession, tag)
+    df.repartition(parts, F.pmod(F.xxhash64(column), F.lit(parts))).write.parquet(folder)
+    return folder
