@@ -11,6 +11,7 @@ from tarn.functions import numbers as N
 from tarn.functions import text as T
 from tarn.operators import candidates, chunking, fusion, graph, measures, packing, profiling, retrieval, traces, verification
 from tarn.plans import guarded_sql, planning
+from tarn.scratch import materialize
 from tarn.session import ship
 from tarn.sources import datasets, files, index
 from tarn.streaming import ingest
@@ -23,7 +24,7 @@ class Tables:
     """The driver's tables, read lazily."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.held = spark, folder, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -66,9 +67,13 @@ OVERLAP_SQL = f"""
   ot AS (SELECT query_id, len(ts) AS size, unnest(ts) AS term FROM oq),
   od AS (SELECT doc_id, unnest({TS.format("text")}) AS term FROM documents),
   ov AS (SELECT query_id, doc_id, round(count(*) / size::DOUBLE, 6) AS score FROM od JOIN ot USING (term) GROUP BY query_id, doc_id, size)"""
-LANES_SQL = f"""{BM25_SQL}, {OVERLAP_SQL},
-  bl AS (SELECT query_id, doc_id AS chunk_id, 'bm25' AS lane, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 24),
-  dl AS (SELECT query_id, doc_id AS chunk_id, 'dense' AS lane, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov QUALIFY rank <= 24),
+LANE_K, RERANK_K, OUTPUT_K = 40, 30, 8
+LANES_SQL = f"""{BM25_SQL},
+  dq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS a FROM benchmark JOIN embeddings ON vec_id = item_id),
+  dv AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings JOIN documents ON doc_id = vec_id),
+  dn AS (SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 6) AS score FROM dq, dv),
+  bl AS (SELECT query_id, doc_id AS chunk_id, 'bm25' AS lane, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= {LANE_K}),
+  dl AS (SELECT query_id, vec_id AS chunk_id, 'dense' AS lane, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dn QUALIFY rank <= {LANE_K}),
   lanes AS (SELECT * FROM bl UNION ALL SELECT * FROM dl)"""
 RRF_SQL = f"""{LANES_SQL},
   parts AS (SELECT *, CASE lane WHEN 'bm25' THEN 1.1 ELSE 1.0 END / (60 + rank) AS part FROM lanes),
@@ -77,38 +82,59 @@ RRF_SQL = f"""{LANES_SQL},
   best AS (SELECT p.query_id, p.chunk_id, min(p.rank) AS best_rank FROM parts p JOIN agg a ON p.query_id = a.query_id AND p.chunk_id = a.chunk_id AND round(p.part, 9) = a.bp GROUP BY ALL),
   fused AS (SELECT a.query_id, a.chunk_id, score, contributions, dense_rank, lexical_rank,
                    row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, best_rank, coalesce(dense_rank, 1000000000), coalesce(lexical_rank, 1000000000), a.chunk_id) AS rank
-            FROM agg a JOIN best b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id QUALIFY rank <= 8)"""
+            FROM agg a JOIN best b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id QUALIFY rank <= {LANE_K})"""
 
 
 def _asked(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
+def _once(t: Tables, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A small result that several steps read, written when it is first asked for, so that its size is known."""
+    if name not in t.held:
+        t.held[name] = materialize(make(), name)
+    return t.held[name]
+
+
 def _lanes(t: Tables) -> DataFrame:
-    bm = retrieval.lane_rank(retrieval.bm25(_asked(t), t.documents), 24).withColumn("lane", F.lit("bm25"))
-    ov = retrieval.lane_rank(retrieval.overlap(_asked(t), t.documents), 24).withColumn("lane", F.lit("dense"))
-    return bm.unionByName(ov).withColumnRenamed("doc_id", "chunk_id")
+    """Hits of two lanes: BM25 over the texts, and cosine over the vectors of documents that have one. A question's vector is
+    the one with its id, in place of an embedding model."""
+
+    def make() -> DataFrame:
+        asked = t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "embedding")
+        vectors = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        bm = retrieval.bm25_top(_asked(t), t.documents, LANE_K).withColumn("lane", F.lit("bm25")).withColumnRenamed("doc_id", "chunk_id")
+        dense = retrieval.dense_top(asked, vectors, LANE_K).withColumn("lane", F.lit("dense")).withColumnRenamed("vec_id", "chunk_id")
+        return bm.unionByName(dense)
+
+    return _once(t, "lanes", make)
 
 
 def _fused(t: Tables) -> DataFrame:
     weight = F.when(F.col("lane") == "bm25", fusion.LANE_WEIGHTS["bm25"]).otherwise(fusion.LANE_WEIGHTS["dense"])
-    return fusion.weighted_rrf(_lanes(t).withColumn("lane_weight", weight), limit=8)
+    return _once(t, "fused", lambda: fusion.weighted_rrf(_lanes(t).withColumn("lane_weight", weight), limit=LANE_K))
+
+
+def _blocks(t: Tables) -> DataFrame:
+    """The texts of each query's best fused hits."""
+    texts = t.documents.select(F.col("doc_id").alias("block_id"), "text")
+    return texts.join(_fused(t).filter(F.col("rank") <= OUTPUT_K).select("query_id", F.col("chunk_id").alias("block_id"), "rank"), "block_id")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 24")
 def bm25_topk(t):
-    return retrieval.lane_rank(retrieval.bm25(_asked(t), t.documents), 24)
+    return retrieval.bm25_top(_asked(t), t.documents, 24)
 
 
 @query(f"WITH {OVERLAP_SQL} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov QUALIFY rank <= 24")
 def overlap_topk(t):
-    return retrieval.lane_rank(retrieval.overlap(_asked(t), t.documents), 24)
+    return retrieval.overlap_top(_asked(t), t.documents, 24)
 
 
-@query(f"WITH {RRF_SQL} SELECT * FROM fused")
+@query(f"WITH {RRF_SQL} SELECT * FROM fused WHERE rank <= {OUTPUT_K}")
 def hybrid_rrf(t):
-    """The flagship: two lanes over all documents, fused by weighted reciprocal ranks, the eight best per query."""
-    return _fused(t)
+    """The flagship: a lexical and a dense lane over all documents, fused by weighted reciprocal ranks, the eight best per query."""
+    return _fused(t).filter(F.col("rank") <= OUTPUT_K)
 
 
 @query(f"""WITH {LANES_SQL}
@@ -118,37 +144,11 @@ def candidate_merge(t):
     return fusion.merge_candidates(_lanes(t))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id < 20),
-v AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings)
-SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank
-FROM q, v QUALIFY rank <= 10""")
-def dense_topk(t):
-    """Twenty given query vectors against all vectors."""
-    asked = t.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.dense_top(asked, t.embeddings, 10)
-
-
-@query("""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id < 20),
-v AS (SELECT vec_id, label, embedding::DOUBLE[] AS b FROM embeddings),
-r AS (SELECT query_id, ql, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank FROM q, v QUALIFY rank <= 10),
-h AS (SELECT query_id, vec_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) / rank::DOUBLE AS p FROM r WHERE ql = label),
-g AS (SELECT query_id, min(rank) AS first_rank, sum(p) AS total FROM h GROUP BY ALL),
-e AS (SELECT query_id, count(*) AS expected FROM q JOIN v ON ql = label GROUP BY ALL)
-SELECT q.query_id, first_rank, coalesce(first_rank <= 1, false) AS hit_1, coalesce(first_rank <= 3, false) AS hit_3, coalesce(first_rank <= 5, false) AS hit_5, coalesce(first_rank <= 10, false) AS hit_10,
-       round(coalesce(1.0 / first_rank, 0), 6) AS reciprocal_rank, round(coalesce(total, 0) / greatest(1, coalesce(expected, 0)), 6) AS average_precision
-FROM q LEFT JOIN g USING (query_id) LEFT JOIN e USING (query_id)""")
-def hit_mrr_map(t):
-    asked = t.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    ranked = retrieval.dense_top(asked.select("query_id", "embedding"), t.embeddings, 10).withColumnRenamed("vec_id", "item")
-    relevant = t.embeddings.select(F.col("vec_id").alias("item"), "label").join(retrieval.small(asked.select("query_id", "label")), "label").select("query_id", "item")
-    return measures.retrieval_metrics(ranked, relevant, asked)
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings)
 SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank
 FROM q, v QUALIFY rank <= 10""")
-def dense_topk_all(t):
+def dense_topk(t):
     """Every vector whose id is divisible by 50 against all vectors."""
     asked = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.dense_top(asked, t.embeddings, 10)
@@ -163,8 +163,8 @@ e AS (SELECT query_id, count(*) AS expected FROM q JOIN v ON ql = label GROUP BY
 SELECT q.query_id, first_rank, coalesce(first_rank <= 1, false) AS hit_1, coalesce(first_rank <= 3, false) AS hit_3, coalesce(first_rank <= 5, false) AS hit_5, coalesce(first_rank <= 10, false) AS hit_10,
        round(coalesce(1.0 / first_rank, 0), 6) AS reciprocal_rank, round(coalesce(total, 0) / greatest(1, coalesce(expected, 0)), 6) AS average_precision
 FROM q LEFT JOIN g USING (query_id) LEFT JOIN e USING (query_id)""")
-def hit_mrr_map_all(t):
-    """As hit_mrr_map for every vector whose id is divisible by 50; relevant items are counted by label, not listed."""
+def hit_mrr_map(t):
+    """For every vector whose id is divisible by 50, against all vectors; relevant items, those of its label, are counted, not listed."""
     asked = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
     ranked = retrieval.dense_top(asked.select("query_id", "embedding"), t.embeddings, 10).withColumnRenamed("vec_id", "item")
     labels = t.embeddings.select(F.col("vec_id").alias("item"), "label")
@@ -174,23 +174,25 @@ def hit_mrr_map_all(t):
 
 
 @query(f"""WITH {RRF_SQL},
-c AS (SELECT f.query_id, f.chunk_id, f.rank AS fusion_rank, q.text AS qt, d.text AS dt, d.lang FROM fused f JOIN benchmark q ON q.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= 6),
-s AS (SELECT query_id, chunk_id, fusion_rank, {TS.format("qt")} AS a, {TS.format("dt")} AS b, lang FROM c),
-z AS (SELECT query_id, chunk_id, fusion_rank, round(0.25 * (CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a)::DOUBLE ELSE 0 END) + (CASE WHEN list_contains(b, 'license') THEN 1 ELSE 0 END)
+c AS (SELECT f.query_id, f.chunk_id, f.rank AS fusion_rank, lower(d.text) AS dt, d.lang, {TS.format("q.text")} AS a, {TS.format("d.text")} AS b
+      FROM fused f JOIN benchmark q ON q.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= {RERANK_K}),
+s AS (SELECT *, list_slice(list_sort(a), 1, 1) AS en, list_slice(list_sort(a), 2, 3) AS pe, list_slice(list_sort(a), 4, 4) AS me FROM c),
+z AS (SELECT query_id, chunk_id, fusion_rank, round(0.25 * (CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a)::DOUBLE ELSE 0 END) + (len(list_filter(en, lambda x: contains(dt, x))) > 0)::INT
+      + 0.55 * (CASE WHEN len(pe) > 0 THEN len(list_filter(pe, lambda x: contains(dt, x))) / len(pe)::DOUBLE ELSE 0 END) + 1.4 * (len(list_filter(me, lambda x: contains(dt, x))) > 0)::INT
       - (CASE WHEN lang = 'en' THEN 0.0 ELSE 0.1 END), 6) AS rerank_score FROM s)
-SELECT query_id, chunk_id, fusion_rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_rank, chunk_id) AS rank FROM z""")
+SELECT query_id, chunk_id, fusion_rank, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fusion_rank, chunk_id) AS rank FROM z QUALIFY rank <= {OUTPUT_K}""")
 def rerank_cascade(t):
+    """40 fused hits, of which the first 30 are reranked and the best 8 are left. Words of the question stand for entity, periods and metric."""
     return _reranked(t)
 
 
 def _reranked(t: Tables) -> DataFrame:
     texts = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("dt"), "lang")
-    rows = texts.join(retrieval.small(_fused(t).select("query_id", "chunk_id", "rank")), "chunk_id").join(retrieval.small(_asked(t).withColumnRenamed("text", "qt")), "query_id")
-    none = F.array().cast("array<string>")
+    rows = texts.join(_fused(t).filter(F.col("rank") <= RERANK_K).select("query_id", "chunk_id", "rank"), "chunk_id").join(_asked(t).withColumnRenamed("text", "qt"), "query_id")
+    terms = F.array_sort(T.token_set(F.col("qt")))
     noise = F.when(F.col("lang") == "en", 0.0).otherwise(0.1)
-    base = fusion.lexical_rerank_score(F.col("qt"), F.col("dt"), none, none, none, noise)
-    score = F.round(base + F.array_contains(T.token_set(F.col("dt")), "license").cast("int"), 6)
-    return fusion.rerank(rows, score, 6).select("query_id", "chunk_id", "fusion_rank", "rerank_score", "rank")
+    score = fusion.lexical_rerank_score(F.col("qt"), F.col("dt"), F.slice(terms, 1, 1), F.slice(terms, 2, 2), F.slice(terms, 4, 1), noise)
+    return fusion.rerank(rows, score, RERANK_K).filter(F.col("rank") <= OUTPUT_K).select("query_id", "chunk_id", "fusion_rank", "rerank_score", "rank")
 
 
 @query(f"""WITH {LANES_SQL},
@@ -245,7 +247,7 @@ def parent_child_chunks(t):
 
 @query()
 def html_to_text(t):
-    return files.pages_text(t.pages)
+    return files.pages_text(t.pages, title_col="url")
 
 
 _PROFILED = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -285,11 +287,25 @@ def routing_cards(t):
     return profiling.routing_cards("orders", profiling.column_profile(t.orders, list(_PROFILED)))
 
 
-@query("""WITH x(name, kind) AS (VALUES ('Year','integer'),('Fiscal Year','integer'),('Order Id','integer'),('id','integer'),('Unit','string'),('Revenue ($)','number'),('Region','string'),('Date','date'),('flag','boolean'),('when','date'))
-SELECT name, kind, CASE name WHEN 'Year' THEN 'period' WHEN 'Date' THEN 'period' WHEN 'id' THEN 'identifier' WHEN 'Unit' THEN 'unit' WHEN 'when' THEN 'unknown' WHEN 'Region' THEN 'dimension' WHEN 'flag' THEN 'dimension' ELSE 'measure' END AS role FROM x""")
+_NAMES = (
+    "Fiscal Year", "year", "FY", "Order Date", "date", "Company", "company name", "CUSIP", "isin code", "code", "Unit Price", "unit", "Currency", "Net Sales", "sales", "Revenue ($)",
+    "margin", "liabilities", "cash", "Share Count", "USD amount", "Pct margin", "2023", "FY 2023", "Region", "", "%",
+)
+
+
+@query(f"""WITH x AS (SELECT p_partkey, ({list(_NAMES)!r})[p_partkey % {len(_NAMES)} + 1] || CASE WHEN p_size % 2 = 0 THEN '' ELSE '!' END AS name FROM part),
+n AS (SELECT p_partkey, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS n FROM x)
+SELECT p_partkey, n AS name, CASE WHEN regexp_matches(n, '\\b(year|fy|fiscal|period|quarter|date|month)\\b') THEN 'period' WHEN regexp_matches(n, '\\b(id|identifier|code|ticker|symbol|cusip|isin)\\b') THEN 'identifier'
+WHEN regexp_matches(n, '\\b(company|segment|region|country|category|name)\\b') THEN 'dimension' WHEN regexp_matches(n, '\\b(unit|currency|scale)\\b') THEN 'unit'
+WHEN regexp_matches(n, '\\b(amount|value|revenue|sales|income|expense|cash|asset|liabil|margin)\\b') THEN 'measure' ELSE 'unknown' END AS role,
+CASE WHEN contains(n, 'usd') OR contains(n, 'dollar') THEN 'currency_usd' WHEN contains(n, 'percent') OR contains(n, 'pct') OR contains(n, 'margin') THEN 'percent' WHEN contains(n, 'share') THEN 'shares' END AS unit,
+CASE WHEN regexp_full_match(n, '(19|20)[0-9][0-9]') THEN n END AS period FROM n""")
 def semantic_roles(t):
-    rows = [("Year", "integer"), ("Fiscal Year", "integer"), ("Order Id", "integer"), ("id", "integer"), ("Unit", "string"), ("Revenue ($)", "number"), ("Region", "string"), ("Date", "date"), ("flag", "boolean"), ("when", "date")]
-    return t.spark.createDataFrame(rows, "name string, kind string").select("name", "kind", profiling.semantic_role(F.col("name"), F.col("kind")).alias("role"))
+    """Roles and hints of one column name per part, spelled in two ways."""
+    name = F.concat(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int")), F.when(F.col("p_size") % 2 == 0, "").otherwise("!"))
+    rows = t.part.select("p_partkey", name.alias("raw"))
+    raw = F.col("raw")
+    return rows.select("p_partkey", T.column_name(raw).alias("name"), profiling.semantic_role(raw).alias("role"), profiling.unit_hint(raw).alias("unit"), profiling.period_hint(raw).alias("period"))
 
 
 @query("""SELECT o_orderkey AS row_key, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority FROM orders""")
@@ -299,10 +315,10 @@ def eav_pivot(t):
     return rows.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
 
 
-@query("""WITH x AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS row_index, n_nationkey, n_name FROM nation)
-SELECT row_index, row_index + 1 AS physical_row FROM x""")
+@query("""WITH x AS (SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS row_index, sha256(to_json({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus})::VARCHAR) AS row_hash FROM orders)
+SELECT row_index, row_index + 1 AS physical_row, row_hash, left(sha256('orders' || chr(31) || row_index || chr(31) || row_hash), 32) AS row_id FROM x""")
 def row_locators(t):
-    return profiling.row_locators(t.nation, "nation", ["n_nationkey"], ["n_nationkey", "n_name"]).select("row_index", "physical_row")
+    return profiling.row_locators(t.orders, "orders", ["o_orderpriority", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
 
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -355,16 +371,12 @@ def budget_fit(t):
 @query()
 def budget_pack_greedy(t):
     """Fused blocks of each query packed into 2000 tokens and at most five blocks, the last one cut."""
-    texts = t.documents.select(F.col("doc_id").alias("block_id"), "text")
-    rows = texts.join(retrieval.small(_fused(t).select("query_id", F.col("chunk_id").alias("block_id"), "rank")), "block_id")
-    return packing.pack(rows, 2000, 5)
+    return packing.pack(_blocks(t), 2000, 5)
 
 
 @query()
 def budget_pack_drop(t):
-    texts = t.documents.select(F.col("doc_id").alias("block_id"), "text")
-    rows = texts.join(retrieval.small(_fused(t).select("query_id", F.col("chunk_id").alias("block_id"), "rank")), "block_id")
-    return packing.pack(rows, 2000, 5, truncate=False)
+    return packing.pack(_blocks(t), 2000, 5, truncate=False)
 
 
 @query("""SELECT event_type, count(*) AS n, floor(avg(value))::BIGINT AS avg_ms, min(value) AS min_ms, max(value) AS max_ms,
@@ -374,29 +386,6 @@ def latency_percentiles(t):
     return measures.latency(t.events, "event_type", "value")
 
 
-_MODES_SQL = f"""{LANES_SQL},
-cases AS (SELECT item_id AS case_id FROM benchmark),
-gold AS (SELECT item_id AS case_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-fr AS (SELECT query_id AS case_id, lane AS mode, min(rank) AS first_rank FROM lanes JOIN gold ON query_id = case_id AND chunk_id = doc_id GROUP BY ALL),
-m AS (SELECT c.case_id, d.first_rank AS dense, b.first_rank AS bm25, d.first_rank AS hybrid, CASE WHEN c.case_id % 5 = 0 THEN NULL ELSE b.first_rank END AS rerank
-      FROM cases c LEFT JOIN fr d ON d.case_id = c.case_id AND d.mode = 'dense' LEFT JOIN fr b ON b.case_id = c.case_id AND b.mode = 'bm25')"""
-
-
-@query(f"""WITH {_MODES_SQL},
-x AS (SELECT unnest([CASE WHEN dense IS NULL AND bm25 IS NOT NULL THEN 'dense_missed_bm25_hit' END, CASE WHEN hybrid IS NOT NULL AND rerank IS NULL THEN 'hybrid_found_reranker_lost' END,
-      CASE WHEN rerank < hybrid THEN 'reranker_improved_rank' END, CASE WHEN dense IS NULL AND hybrid IS NULL THEN 'both_dense_and_hybrid_missed' END]) AS bucket FROM m)
-SELECT bucket, count(*) AS n FROM x WHERE bucket IS NOT NULL GROUP BY ALL""")
-def failure_buckets(t):
-    asked = retrieval.small(t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")))
-    gold = t.documents.select("doc_id", "text").join(asked, F.col("text").contains(F.col("passage"))).select("case_id", F.col("doc_id").alias("chunk_id"))
-    found = _lanes(t).withColumnRenamed("query_id", "case_id").join(gold, ["case_id", "chunk_id"]).groupBy("case_id", "lane").agg(F.min("rank").alias("first_rank"))
-    dense, lexical = found.filter("lane = 'dense'"), found.filter("lane = 'bm25'")
-    mode = lambda df, name: df.select("case_id", F.lit(name).alias("mode"), "first_rank")
-    rows = mode(dense, "dense").unionByName(mode(lexical, "bm25")).unionByName(mode(dense, "hybrid")).unionByName(mode(lexical.filter("case_id % 5 <> 0"), "rerank"))
-    missing = t.benchmark.select(F.col("item_id").alias("case_id"), F.lit("dense").alias("mode"), F.lit(None).cast("int").alias("first_rank"))
-    return measures.failure_buckets(rows.unionByName(missing))
-
-
 @query(f"""WITH {RRF_SQL}, rr AS ({ORACLE_SQL["rerank_cascade"]}),
 gold AS (SELECT item_id AS case_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 al AS (SELECT query_id, chunk_id, lane AS mode, rank FROM lanes UNION ALL SELECT query_id, chunk_id, 'hybrid', rank FROM fused UNION ALL SELECT query_id, chunk_id, 'rerank', rank FROM rr),
@@ -406,15 +395,19 @@ m AS (SELECT item_id AS case_id, min(first_rank) FILTER (mode = 'dense') AS dens
 x AS (SELECT unnest([CASE WHEN dense IS NULL AND bm25 IS NOT NULL THEN 'dense_missed_bm25_hit' END, CASE WHEN hybrid IS NOT NULL AND rerank IS NULL THEN 'hybrid_found_reranker_lost' END,
       CASE WHEN rerank < hybrid THEN 'reranker_improved_rank' END, CASE WHEN dense IS NULL AND hybrid IS NULL THEN 'both_dense_and_hybrid_missed' END]) AS bucket FROM m)
 SELECT bucket, count(*) AS n FROM x WHERE bucket IS NOT NULL GROUP BY ALL""")
-def failure_buckets_all(t):
-    """As failure_buckets, with the fused ranks as hybrid and those of the rerank cascade as rerank, over all cases."""
+def failure_buckets(t):
+    """Where one mode finds a case's passage that another misses: both lanes, the fused ranks as hybrid, the rerank cascade's as rerank."""
     return measures.failure_buckets(_first_ranks(t))
 
 
+def _gold(t: Tables) -> DataFrame:
+    """(query_id, doc_id): documents that hold the passage of a question."""
+    return _once(t, "gold", lambda: retrieval.holding(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))))
+
+
 def _first_ranks(t: Tables) -> DataFrame:
     """(case_id, mode, first_rank): the first document with the case's passage in each of the four modes; a case that none finds has one row with null."""
-    asked = retrieval.small(t.benchmark.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")))
-    gold = t.documents.select("doc_id", "text").join(asked, F.col("text").contains(F.col("passage"))).select("case_id", F.col("doc_id").alias("chunk_id"))
+    gold = _gold(t).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("chunk_id"))
     ranks = lambda df, mode: df.select(F.col("query_id").alias("case_id"), "chunk_id", mode.alias("mode"), "rank")
     every = ranks(_lanes(t), F.col("lane")).unionByName(ranks(_fused(t), F.lit("hybrid"))).unionByName(ranks(_reranked(t), F.lit("rerank")))
     found = every.join(gold, ["case_id", "chunk_id"]).groupBy("case_id", "mode").agg(F.min("rank").alias("first_rank"))
@@ -512,7 +505,8 @@ def page_overlap_join(t):
     """Intervals of one key that overlap: an equi-join on the key with the ranges as residual condition."""
     a = t.part.select(F.col("p_partkey").alias("left_id"), "p_brand", F.col("p_size").alias("s1"), (F.col("p_size") + 1).alias("e1"))
     b = t.part.select(F.col("p_partkey").alias("right_id"), "p_brand", F.col("p_size").alias("s2"), (F.col("p_size") + 1).alias("e2"))
-    return a.join(b, "p_brand").filter("left_id < right_id AND s1 <= e2 AND e1 >= s2").select("left_id", "right_id")
+    overlap = datasets.page_overlap(F.col("e1"), F.col("s1"), F.col("s2"), F.col("e2"))
+    return a.join(b, "p_brand").filter("left_id < right_id").filter(overlap).select("left_id", "right_id")
 
 
 @query("SELECT table_id, n FROM (SELECT 'orders' AS table_id, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents)")
@@ -576,8 +570,9 @@ def rank_backfill(t):
 
 @query("""SELECT conv_id, turn, CASE WHEN count(*) OVER (PARTITION BY role, left(text, 20)) > 1 THEN left(text, 20) || '-' || substr(md5(conv_id || ':' || turn), 1, 8) ELSE left(text, 20) END AS label FROM conversations""")
 def dup_disambiguate(t):
-    head = F.left("text", F.lit(20))
-    rows = t.conversations.withColumn("h", head).withColumn("n", F.count("*").over(Window.partitionBy("role", "h")))
+    rows = t.conversations.withColumn("h", F.left("text", F.lit(20)))
+    counts = rows.groupBy("role", "h").agg(F.count("*").alias("n"))  # combined map-side; the join back can be split
+    rows = rows.join(counts.withColumnRenamed("role", "_role").withColumnRenamed("h", "_h"), F.col("role").eqNullSafe(F.col("_role")) & F.col("h").eqNullSafe(F.col("_h")))
     suffix = F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), 1, 8)
     return rows.select("conv_id", "turn", F.when(F.col("n") > 1, F.concat("h", F.lit("-"), suffix)).otherwise(F.col("h")).alias("label"))
 
@@ -587,13 +582,26 @@ def duplicate_keys(t):
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 2")
 
 
-@query("SELECT doc_id, nullif(trim(source), '') AS source, regexp_extract_all(text, '\\[(c[0-9]+)\\]', 1) AS marks FROM documents WHERE false UNION ALL SELECT doc_id, nullif(trim(source), ''), list_distinct(regexp_extract_all('a [c1] b [c2][c1]', '\\[(c[0-9]+)\\]', 1)) AS marks FROM documents WHERE doc_id < 0")
+@query(r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' [c' || doc_id % 7 || '] and [c3][c' || doc_id % 7 || '] [d1]' END AS text FROM documents),
+m AS (SELECT doc_id, source, regexp_extract_all(text, '\[(c[0-9]+)\]', 1) AS m FROM d)
+SELECT doc_id, nullif(trim(source), '') AS source, list_filter(m, lambda x, i: list_position(m, x) = i) AS marks FROM m WHERE len(m) > 0""")
 def citations_extract(t):
-    """The marks of every document that holds one."""
-    rows = t.documents.select("doc_id", T.blank_to_null(F.col("source")).alias("source"), T.citations(F.col("text")).alias("marks"))
+    """The marks of every document that holds one; two documents in three get some at their end."""
+    given = F.concat(F.lit(" [c"), F.col("doc_id") % 7, F.lit("] and [c3][c"), F.col("doc_id") % 7, F.lit("] [d1]"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "").otherwise(given))
+    rows = t.documents.select("doc_id", T.blank_to_null(F.col("source")).alias("source"), T.citations(text).alias("marks"))
     return rows.filter(F.size("marks") > 0)
 
 
+@query(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || '  # Head ' || doc_id || '  ' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents)
+SELECT doc_id, CASE WHEN regexp_extract(text, '(?m)^\s*#\s+(.+?)\s*$', 1) <> '' THEN regexp_extract(text, '(?m)^\s*#\s+(.+?)\s*$', 1) ELSE 'file-' || doc_id END AS title FROM d""")
+def text_title(t):
+    """Every second document gets a heading."""
+    head = F.concat(F.lit("\n  # Head "), F.col("doc_id").cast("string"), F.lit("  \n"), F.coalesce("text", F.lit("")))
+    text = F.when(F.col("doc_id") % 2 == 0, head).otherwise(F.coalesce("text", F.lit("")))
+    return t.documents.select("doc_id", T.title(text, F.concat(F.lit("file-"), F.col("doc_id").cast("string"))).alias("title"))
+
+
 @query("""WITH x(s) AS (VALUES ('1,234'), ('(5.5)'), ('$3'), ('7%'), ('-'), ('N/A'), (''), ('abc'), ('1e3'), ('2023'))
 SELECT s, CASE s WHEN '1,234' THEN 1234.0 WHEN '(5.5)' THEN -5.5 WHEN '$3' THEN 3.0 WHEN '7%' THEN 7.0 WHEN '1e3' THEN 1000.0 WHEN '2023' THEN 2023.0 END::DOUBLE AS number,
 CASE s WHEN '2023' THEN '2023-01-01' END AS day FROM x""")
@@ -602,20 +610,34 @@ def parse_cells(t):
     return rows.select("s", N.parse_number(F.col("s")).alias("number"), N.parse_date(F.col("s")).cast("string").alias("day"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(lower(text), '(\\()?([$€£])?(\\d[\\d,]*(?:\\.\\d+)?)(\\))?\\s?(%|(?:thousand|million|billion|trillion|mm|bn|k|m|b)\\b)?'))::BIGINT AS n FROM documents""")
+_NUMBERS_SQL = r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' rose 5% to $(1.5) and' WHEN 1 THEN ' (2,500) or €3 million' WHEN 2 THEN ' 7 bn' ELSE '' END) AS t FROM documents),
+p AS (SELECT doc_id, t, '(\()?([$€£])?(\d[\d,]*(?:\.\d+)?)(\))?\s?(%|(?:thousand|million|billion|trillion|mm|bn|k|m|b)\b)?' AS p FROM d),
+g AS (SELECT doc_id, regexp_extract_all(t, p, 1) AS o, regexp_extract_all(t, p, 2) AS c, regexp_extract_all(t, p, 3) AS n, regexp_extract_all(t, p, 4) AS e, regexp_extract_all(t, p, 5) AS s FROM p),
+v AS (SELECT doc_id, list_transform(range(1, len(n) + 1), lambda i: {'v': CASE WHEN o[i] = '(' AND e[i] = ')' THEN -1 ELSE 1 END * replace(n[i], ',', '')::DOUBLE,
+  'x': CASE s[i] WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'mm' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'trillion' THEN 1e12 ELSE 1 END,
+  'u': CASE WHEN s[i] = '%' THEN '%' WHEN c[i] <> '' THEN c[i] ELSE '' END}) AS x FROM g)
+SELECT doc_id, len(x)::BIGINT AS n, round(coalesce(list_sum(list_transform(x, lambda y: y.v)), 0), 4) AS total, round(coalesce(list_sum(list_transform(x, lambda y: y.v * y.x)), 0), 4) AS scaled,
+array_to_string(list_transform(x, lambda y: y.u), '|') AS units FROM v"""
+
+
+@query(_NUMBERS_SQL)
 def numbers_extract(t):
-    return t.documents.select("doc_id", F.size(N.extract_numbers(F.col("text"))).cast("long").alias("n"))
+    """Values, scales and units of all numbers; three documents in four get some at their end."""
+    given = F.element_at(F.array(*map(F.lit, (" rose 5% to $(1.5) and", " (2,500) or €3 million", " 7 bn", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = t.documents.select("doc_id", N.extract_numbers(F.concat(F.coalesce("text", F.lit("")), given)).alias("x"))
+    total = lambda f: F.round(F.aggregate(F.transform("x", lambda y: y[f]), F.lit(0.0), lambda a, v: a + v), 4)
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), total("value").alias("total"), total("scaled").alias("scaled"), F.array_join(F.transform("x", lambda y: y["unit"]), "|").alias("units"))
 
 
 @query(f"""WITH {RRF_SQL}, a AS (SELECT item_id AS query_id, unnest(list_slice(list_sort({TS.format("text")}), 1, 3)) AS anchor FROM benchmark),
-s AS (SELECT f.query_id, f.chunk_id AS evidence_id, count(*) FILTER (contains(lower(d.text), anchor)) AS found, count(anchor) AS total FROM fused f JOIN documents d ON d.doc_id = f.chunk_id LEFT JOIN a ON a.query_id = f.query_id GROUP BY ALL),
+s AS (SELECT f.query_id, f.chunk_id AS evidence_id, count(*) FILTER (contains(lower(d.text), anchor)) AS found, count(anchor) AS total FROM fused f JOIN documents d ON d.doc_id = f.chunk_id LEFT JOIN a ON a.query_id = f.query_id WHERE f.rank <= {OUTPUT_K} GROUP BY ALL),
 v AS (SELECT query_id, bool_or(found = total) AS full_, bool_or(found > 0 AND found < total) AS part_ FROM s GROUP BY ALL)
 SELECT query_id, CASE WHEN full_ THEN 'supported' WHEN part_ THEN 'partial' ELSE 'insufficient' END AS verdict FROM v""")
 def evidence_verdict(t):
     texts = t.documents.select(F.col("doc_id").alias("evidence_id"), "text")
-    rows = texts.join(retrieval.small(_fused(t).select("query_id", F.col("chunk_id").alias("evidence_id"))), "evidence_id")
+    rows = texts.join(_fused(t).filter(F.col("rank") <= OUTPUT_K).select("query_id", F.col("chunk_id").alias("evidence_id")), "evidence_id")
     anchors = _asked(t).select("query_id", F.explode(F.slice(F.array_sort(T.token_set(F.col("text"))), 1, 3)).alias("anchor"))
-    return verification.evidence_verdict(verification.anchor_support(rows, retrieval.small(anchors)))
+    return verification.evidence_verdict(verification.anchor_support(rows, anchors))
 
 
 def _guard(t: Tables, table: str, columns: dict[str, str], sql: str) -> DataFrame:
@@ -663,11 +685,39 @@ ALLOWED = (
 )
 
 
-@query("SELECT 'refused' AS outcome, 16 AS n UNION ALL SELECT 'allowed', 3")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.replace(chr(39), chr(39) * 2)}', '{o}')" for xs, o in ((REFUSED, "refused"), (ALLOWED, "allowed")) for x in xs) + ") AS x(sql, outcome)")
 def guard_rejects(t):
     table = guarded_sql.TableContext("orders", _ORDERS)
     rows = [(s, "allowed" if guarded_sql.check(t.spark, guarded_sql._counted(s), table).ok else "refused") for s in REFUSED + ALLOWED]
-    return t.spark.createDataFrame(rows, "sql string, outcome string").groupBy("outcome").agg(F.count("*").alias("n"))
+    return t.spark.createDataFrame(rows, "sql string, outcome string")
+
+
+_WHERE = "o_totalprice >= 1000.5 and o_orderstatus = 'F' and o_orderpriority like '1%' and o_orderkey <> 7"
+
+
+@query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_WHERE}")
+def guard_plain_where(t):
+    """A conjunction of plain comparisons, read without a parser."""
+    return guarded_sql.filter_plain(t.orders, _WHERE, guarded_sql.TableContext("orders", _ORDERS)).select("o_orderkey", "o_totalprice")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN -o_orderkey WHEN 2 THEN 1000 + o_orderkey % 1000 WHEN 3 THEN o_orderkey + 0.5 WHEN 4 THEN NULL ELSE o_orderkey END::DOUBLE AS amount,
+trunc(CASE o_orderkey % 6 WHEN 1 THEN -o_orderkey WHEN 2 THEN 1000 + o_orderkey % 1000 WHEN 3 THEN o_orderkey + 0.5 WHEN 5 THEN o_orderkey END)::BIGINT AS pieces,
+CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS paid FROM orders)
+SELECT paid, sum(amount) AS total, sum(pieces)::BIGINT AS pieces, count(amount) AS n FROM x GROUP BY paid""")
+def sql_typed_table(t):
+    """A table of text cells is read as a typed one, and asked by a guarded statement."""
+    k = F.col("o_orderkey")
+    text = (
+        F.when(k % 6 == 0, "").when(k % 6 == 1, F.format_string("(%d)", k)).when(k % 6 == 2, F.format_string("$1,%03d", k % 1000))
+        .when(k % 6 == 3, F.format_string("%d.5%%", k)).when(k % 6 == 4, "n/a").otherwise(k.cast("string"))
+    )
+    flag = F.element_at(F.array(*map(F.lit, ("Yes", "f", " 1 ", "maybe"))), (k % 4 + 1).cast("int"))
+    raw = t.orders.select(text.alias("Total ($)"), text.alias("2 pieces"), flag.alias("group"))
+    rows, table = guarded_sql.typed_table(raw, "open orders", {"Total ($)": "number", "2 pieces": "integer", "group": "boolean"})
+    amount, pieces, paid = table.columns
+    found = guarded_sql.run(rows, f"SELECT {paid}, SUM({amount}) AS total, SUM({pieces}) AS pieces, COUNT({amount}) AS n FROM {table.name} GROUP BY {paid}", table)
+    return found.withColumnRenamed(paid, "paid")
 
 
 @query("""WITH c(table_id, toks, ids, num) AS (VALUES ('orders', ['table','orders','status','totalprice','priority'], ['o_totalprice'], true), ('part', ['table','part','brand','size','type'], ['p_size'], true), ('region', ['table','region','name'], ['r_name'], false)),
@@ -681,11 +731,18 @@ def schema_route_scores(t):
     return profiling.route_scores(t.spark.createDataFrame(cards, "table_id string, text string, identifiers array<string>, numeric boolean"), t.spark.createDataFrame(asked, "question_id int, text string"))
 
 
-@query("SELECT item_id AS query_id, 'u0' AS unit_id, 'original' AS purpose, 1.0::DOUBLE AS weight, 'ready' AS status FROM benchmark")
+@query("""WITH q AS (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 0 THEN ' net sales in FY2023' WHEN 1 THEN ' gross_profit and total assets' WHEN 2 THEN ' from 2021 to 2022' ELSE '' END AS text FROM benchmark),
+u AS (SELECT query_id, 0 AS o, 'original' AS purpose, text, 1.0::DOUBLE AS weight FROM q
+UNION ALL SELECT query_id, 1, 'metric_alias', text || ' revenue', 1.5 FROM q WHERE query_id % 4 = 0
+UNION ALL SELECT query_id, 1, 'metric_alias', text || ' ' || m, 1.5 FROM q, (SELECT unnest(['gross profit', 'total assets']) AS m) WHERE query_id % 4 = 1
+UNION ALL SELECT query_id, 2, 'period_anchor', text || CASE query_id % 4 WHEN 0 THEN ' 2023' ELSE ' 2021 2022' END, 1.2 FROM q WHERE query_id % 2 = 0)
+SELECT query_id, 'u' || (row_number() OVER (PARTITION BY query_id ORDER BY o, text) - 1) AS unit_id, purpose, text, weight, 'ready' AS status FROM u""")
 def plan_tasks(t):
-    mentions = planning.metric_mentions(_asked(t), planning.ontology(t.spark))
-    units = planning.plan_units(_asked(t), mentions)
-    return planning.unit_tasks(units).select("query_id", "unit_id", "purpose", "weight", "status")
+    """Questions that name metrics and years: three in four get some at their end."""
+    given = F.element_at(F.array(*map(F.lit, (" net sales in FY2023", " gross_profit and total assets", " from 2021 to 2022", ""))), (F.col("query_id") % 4 + 1).cast("int"))
+    asked = _asked(t).withColumn("text", F.concat("text", given))
+    units = planning.plan_units(asked, planning.metric_mentions(asked, planning.ontology(t.spark)))
+    return planning.unit_tasks(units).select("query_id", "unit_id", "purpose", "text", "weight", "status")
 
 
 @query("SELECT count(*) AS live FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' OR event_id % 10 = 0")
@@ -694,34 +751,40 @@ def cache_ttl_filter(t):
     return planning.live_entries(t.events.select("event_id", expires.alias("expires_at")), F.lit("2024-01-15 00:00:00").cast("timestamp")).agg(F.count("*").alias("live"))
 
 
+def _replayed(t: Tables, events: DataFrame) -> DataFrame:
+    """A stream over ``events``, one file of four a batch; every file holds events of all times, so later batches change old windows."""
+    return ingest.event_stream(t.spark, ingest.split_table(events, "event_id", 4, "events"), events.schema)
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(t):
     """The stream over the table's files in complete mode gives what the batch gives."""
-    rows = ingest.tumbling(ingest.event_stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema))
-    return ingest.to_memory(rows, "stream_tumbling").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    rows = ingest.tumbling(_replayed(t, t.events))
+    return ingest.to_table(rows, "stream-tumbling").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH s AS (SELECT unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS window_start, event_type, value FROM events)
 SELECT window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY ALL""")
 def stream_sliding(t):
-    rows = ingest.sliding(ingest.event_stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema))
-    return ingest.to_memory(rows, "stream_sliding").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    rows = ingest.sliding(_replayed(t, t.events))
+    return ingest.to_table(rows, "stream-sliding").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new_ FROM events),
 r AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM r GROUP BY user_id, s""")
 def stream_session(t):
-    rows = ingest.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")))
+    rows = ingest.to_table(ingest.sessions(_replayed(t, t.events), late="36500 days"), "stream-session")  # no event is too late
     return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_dedupe(t):
     """Every event twice; the second is dropped by its idempotency key. Files may come in any order of time."""
-    rows = ingest.event_stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema)
-    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    kept = ingest.to_memory(ingest.distinct_events(twice, late=None).select("event_type"), "stream_dedupe", "append")
+    twice = t.events.unionByName(t.events)
+    folder = ingest.split_table(twice.withColumn("copy", F.monotonically_increasing_id()), "copy", 4, "events-twice")  # copies in other batches too
+    rows = ingest.event_stream(t.spark, folder, twice.withColumn("copy", F.lit(0).cast("long")).schema)
+    kept = ingest.to_table(ingest.distinct_events(rows, late=None).select("event_type"), "stream-dedupe", "append")
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -731,20 +794,6 @@ def page_candidates(t):
     return t.pages.select("page_id", F.explode(datasets.page_candidates(F.col("page_id"), kind)).alias("page"))
 
 
-@query("""WITH c AS (SELECT doc_id AS case_id, doc_id // 10 AS doc, doc_id % 10 AS page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
-e AS (SELECT case_id, doc, page AS raw_page, lower(trim(regexp_replace(left(t, 300), '\\s+', ' ', 'g'))) AS e FROM c WHERE case_id % 7 = 0),
-s AS (SELECT case_id, page, raw_page, greatest(CASE WHEN e = '' THEN 0 WHEN e = t THEN 80 WHEN contains(t, e) THEN 70 WHEN length(t) >= 200 AND contains(e, t) THEN 65 ELSE 0 END,
-  CASE WHEN length(e) >= 240 AND (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) > 0
-  THEN 40 + 10 * (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) ELSE 0 END) AS score FROM e JOIN c USING (doc) WHERE t <> '' )
-SELECT case_id, page, score FROM (SELECT a.case_id, b.page, b.score, row_number() OVER (PARTITION BY a.case_id ORDER BY b.score DESC, least(abs(b.page - b.raw_page), abs(b.page - b.raw_page - 1), abs(b.page - b.raw_page + 1)), b.page) AS n
-FROM e a JOIN (SELECT s.case_id, s.page, s.raw_page, s.score FROM s) b ON a.case_id = b.case_id WHERE b.score > 0) WHERE n = 1""".replace("e JOIN c USING (doc)", "(SELECT case_id AS cid, doc, raw_page, e FROM e) x JOIN (SELECT doc, page, t FROM c) y USING (doc)").replace("SELECT case_id, page, raw_page, greatest", "SELECT cid AS case_id, page, raw_page, greatest"))
-def page_inference(t):
-    """Documents taken as pages, ten to a report; the start of a page has to be found again."""
-    docs = t.documents.select(F.col("doc_id").alias("case_id"), F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).alias("page"), "text")
-    cases = docs.filter("case_id % 7 = 0").select("case_id", "doc_id", F.col("page").alias("raw_page"), F.lit(None).cast("string").alias("full_page"), F.left(F.lower(T.squash(F.col("text"))), F.lit(300)).alias("evidence"))
-    return datasets.infer_pages(cases, docs.select("doc_id", "page", "text")).withColumn("score", F.col("score").cast("int"))
-
-
 @query("""WITH c AS (SELECT doc_id AS case_id, doc_id // 10 AS doc, doc_id % 10 AS page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents),
 p AS (SELECT a.case_id, a.page AS raw_page, a.t AS e, b.page, b.t FROM c a JOIN c b USING (doc) WHERE b.t <> ''),
 s AS (SELECT case_id, page, raw_page, greatest(CASE WHEN e = '' THEN 0 WHEN e = t THEN 80 WHEN contains(t, e) THEN 70 WHEN length(t) >= 200 AND contains(e, t) THEN 65 ELSE 0 END,
@@ -752,8 +801,8 @@ s AS (SELECT case_id, page, raw_page, greatest(CASE WHEN e = '' THEN 0 WHEN e =
   THEN 40 + 10 * (contains(t, left(e, 180))::INT + contains(t, substr(e, length(e) // 2 + 1, 180))::INT + contains(t, right(e, 180))::INT) ELSE 0 END) AS score FROM p)
 SELECT case_id, page, score FROM s WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY score DESC, least(abs(page - raw_page), abs(page - raw_page - 1), abs(page - raw_page + 1)), page) = 1""")
-def page_inference_all(t):
-    """As page_inference, with a case of every document and its whole text as evidence."""
+def page_inference(t):
+    """Documents taken as pages, ten to a report: each one's whole text is the evidence of a case, whose page has to be found again."""
     docs = t.documents.select(F.col("doc_id").alias("case_id"), F.floor(F.col("doc_id") / 10).alias("doc_id"), (F.col("doc_id") % 10).alias("page"), "text")
     cases = docs.select("case_id", "doc_id", F.col("page").alias("raw_page"), F.lit(None).cast("string").alias("full_page"), F.col("text").alias("evidence"))
     return datasets.infer_pages(cases, docs.select("doc_id", "page", "text")).withColumn("score", F.col("score").cast("int"))
@@ -796,7 +845,71 @@ z AS (SELECT x.mode, cq.query_id, f, round(coalesce(1.0 / f, 0), 6) AS rr, round
 SELECT mode, count(*) AS cases, round(avg(coalesce(f <= 1, false)::INT), 6) AS hit_1, round(avg(coalesce(f <= 3, false)::INT), 6) AS hit_3, round(avg(coalesce(f <= 5, false)::INT), 6) AS hit_5, round(avg(coalesce(f <= 10, false)::INT), 6) AS hit_10,
 round(avg(rr), 6) AS mrr, round(avg(ap), 6) AS map FROM z GROUP BY mode""")
 def retrieval_ablation(t):
-    asked = retrieval.small(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
-    gold = t.documents.select("doc_id", "text").join(asked, F.col("text").contains(F.col("passage"))).select("query_id", F.col("doc_id").alias("item"))
+    gold = _gold(t).withColumnRenamed("doc_id", "item")
     lanes = _lanes(t).withColumnRenamed("chunk_id", "item")
     return traces.ablation(_asked(t), {m: lanes.filter(F.col("lane") == m).select("query_id", "item", "rank") for m in ("bm25", "dense")}, gold)
+
+
+@query(f"""WITH {_EDGE_SQL} SELECT node AS item_id, round(avg(confidence), 6) AS score, CASE WHEN node LIKE 's%' AND (substr(node, 2)::BIGINT) % 3 = 0 THEN 1.0 ELSE 0.0 END AS grounding FROM u GROUP BY node""")
+def graph_item_scores(t):
+    """Nodes as graph items: every third supplier has an anchor."""
+    sides = graph.undirected(_edges(t)).select(F.col("node").alias("item_id"), F.col("node").alias("object_id"), "confidence")
+    anchors = t.supplier.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("object_id"))
+    return graph.graph_scores(sides, anchors)
+
+
+@query("""WITH e AS (SELECT 's' || s_suppkey AS id, 'v' || s_nationkey % 3 AS v FROM supplier UNION ALL SELECT 's' || s_suppkey, 'v9' FROM supplier WHERE s_suppkey % 7 = 0
+UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'v' || p_size % 3 END FROM part),
+one AS (SELECT id, min(v) AS v FROM e WHERE v IS NOT NULL GROUP BY id HAVING count(DISTINCT v) = 1),
+r AS (SELECT DISTINCT 's' || l_suppkey || '-p' || l_partkey AS relationship_id, 's' || l_suppkey AS source, 'p' || l_partkey AS target, CASE WHEN (l_suppkey + l_partkey) % 10 = 0 THEN 'given' END AS v FROM lineitem)
+SELECT relationship_id, source, target, coalesce(r.v, CASE WHEN a.v = b.v THEN a.v END) AS graph_version FROM r LEFT JOIN one a ON a.id = source LEFT JOIN one b ON b.id = target""")
+def version_two_ends(t):
+    """A relationship takes over the version on which both its ends agree."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    version = lambda c: F.concat(F.lit("v"), (F.col(c) % 3).cast("string"))
+    suppliers = t.supplier.select(name("s", "s_suppkey").alias("entity_id"), version("s_nationkey").alias("graph_version"))
+    twice = t.supplier.filter("s_suppkey % 7 = 0").select(name("s", "s_suppkey").alias("entity_id"), F.lit("v9").alias("graph_version"))
+    parts = t.part.select(name("p", "p_partkey").alias("entity_id"), F.when(F.col("p_size") % 5 != 0, version("p_size")).alias("graph_version"))
+    pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
+    s, p = name("s", "l_suppkey"), name("p", "l_partkey")
+    given = F.when((F.col("l_suppkey") + F.col("l_partkey")) % 10 == 0, "given")
+    edges = pairs.select(F.concat(s, F.lit("-"), p).alias("relationship_id"), s.alias("source"), p.alias("target"), given.alias("graph_version"))
+    return graph.backfill_version(edges, suppliers.unionByName(twice).unionByName(parts))
+
+
+_HINT_SQL = r"regexp_replace(regexp_replace(regexp_replace(split_part(split_part(lower(trim({0})), '?', 1), '#', 1), '/+$', ''), '^.*/', ''), '[^a-z0-9]+', '', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS last FROM pages),
+h AS (SELECT page_id AS case_id, {_HINT_SQL.format("CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN left(last, 4) ELSE 'x/a-' || last || '.pdf' END")} AS k FROM p),
+d AS (SELECT page_id AS doc_id, {_HINT_SQL.format("url")} AS k FROM pages)
+SELECT case_id, doc_id FROM h JOIN d ON h.k <> '' AND d.k <> '' AND (contains(h.k, d.k) OR contains(d.k, h.k))""")
+def document_hints(t):
+    """Pages found by their whole address, by the start of its last part, and by a longer name that holds it."""
+    last = F.regexp_extract("url", "([^/?#]*)([?#].*)?$", 1)
+    hint = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.left(last, F.lit(4))).otherwise(F.concat(F.lit("x/a-"), last, F.lit(".pdf")))
+    return datasets.hinted_documents(t.pages.select(F.col("page_id").alias("case_id"), hint.alias("hint")), t.pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("name")))
+
+
+_LANE_STOP = str(list(fusion.LANE_STOP_WORDS))
+_LANE_TS = "list_filter(list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')), lambda x: NOT list_contains(" + _LANE_STOP + ", x))"
+
+
+@query(f"""WITH {RRF_SQL},
+c AS (SELECT f.query_id, f.chunk_id, d.source, d.lang, trim(regexp_replace(replace(lower(d.text), '_', ' '), '\\s+', ' ', 'g')) AS blob, q.text AS qt, {_LANE_TS.format("q.text")} AS a, {_LANE_TS.format("d.text")} AS b
+      FROM fused f JOIN benchmark q ON q.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= {OUTPUT_K}),
+s AS (SELECT *, list_slice(list_sort(a), 1, 2) AS must, list_slice(list_sort(a), 3, 3) AS should, list_slice(list_sort(a), 4, 5) AS al FROM c),
+x AS (SELECT *, len(list_intersect(a, b)) AS shared, len(list_intersect(list_concat(must, should), b)) AS asked, (source = 'src1')::INT AS entity, (lang = 'en')::INT AS metric,
+      contains(blob, '20')::INT + contains(blob, '7')::INT AS periods, len(list_filter(al, lambda y: contains(blob, y))) AS aliases, regexp_matches(blob, '\\b\\d[\\d,.]*\\b')::INT AS number FROM s)
+SELECT query_id, chunk_id, round(0.15 * shared + 1.8 * metric + entity + 0.45 * periods, 6) AS dense, round(0.35 * shared + 0.25 * periods + 0.8 * entity + 0.5 * len(list_filter(must, lambda y: contains(blob, y))), 6) AS bm25,
+round(0.2 * asked + 1.2 * aliases + 0.7 * entity + 0.35 * periods, 6) AS metric_alias, round(0.2 * asked + 0.9 * number + 0.5 * (contains(blob, 'cash flow') OR contains(blob, 'statement'))::INT + 0.8 * metric + 0.25 * periods, 6) AS table_score FROM x""")
+def ablation_lane_scores(t):
+    """The four deterministic lane scores of each question's best fused hits; words of the question stand for its terms."""
+    texts = t.documents.select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("company"), "lang")
+    rows = texts.join(_fused(t).filter(F.col("rank") <= OUTPUT_K).select("query_id", "chunk_id"), "chunk_id").join(_asked(t).withColumnRenamed("text", "unit_text"), "query_id")
+    terms = F.array_sort(T.token_set(T.normal_term(F.col("unit_text")), fusion.LANE_STOP_WORDS))
+    pairs = rows.withColumns({
+        "must": F.slice(terms, 1, 2), "should": F.slice(terms, 3, 1), "aliases": F.slice(terms, 4, 2), "periods": F.array(F.lit("20"), F.lit("7")), "entity": F.lit("src1"),
+        "metric": F.lit("en"), "metrics": F.array("lang"), "sparse_text": F.lit(None).cast("string"),
+    })
+    return fusion.lane_scores(pairs, boost_must=True).select("query_id", "chunk_id", "dense", "bm25", "metric_alias", F.col("table").alias("table_score"))

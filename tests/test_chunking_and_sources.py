@@ -21,7 +21,39 @@ def test_oversized_blocks_split_at_sentences():
     assert chunking.split_sentences("one two. three four. five six.", 6) == ["one two.three four.", "five six."]
 
 
-@pytest.mark.parametrize("text,budget,end", [("a b c", 2, "b c"), ("a b c", 0, ""), ("", 3, "")])
+def test_untitled_blocks_belong_to_what_follows():
+    text = "intro\n\n# A\none\n\n# B\ntwo two"
+    assert chunking.chunk(text, 100, 10) == [(0, "A", "intro\n\none", 2), (1, "B", "two two", 2)]
+    assert chunking.chunk(text, 1, 1) == [(0, None, "intro", 1), (1, "A", "intro\n\none", 2), (2, "B", "two two", 2)]
+
+
+def test_no_text_gives_no_chunk():
+    assert chunking.chunk("", 10, 2) == chunking.chunk("# only a title\n\n", 10, 2) == []
+
+
+def test_chunks_of_documents(spark):
+    rows = spark.createDataFrame([(1, "a b c d\n\ne f g h", ".md"), (2, "x", ".CSV"), (3, "x", ".csv"), (4, None, None)], "doc_id int, text string, file_type string")
+    found = chunking.chunk_documents(rows, 5, 2).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.chunk_index, r.text, r.tokens) for r in found] == [(1, 0, "a b c d", 4), (1, 1, "c d\n\ne f g h", 6), (2, 0, "x", 1)]
+    assert len({r.chunk_id for r in found}) == 3 and all(r.chunk_id.startswith("chunk_") for r in found)
+
+
+def test_parents_and_their_chunks(spark):
+    pages = spark.createDataFrame([(1, 1, "one"), (1, 2, " "), (2, None, "whole")], "doc_id int, page int, text string")
+    parents = chunking.parents_of(pages)
+    assert {(r.doc_id, r.page) for r in parents.collect()} == {(1, 1), (2, None)}
+    chunks = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("c", 1, 2)], "chunk_id string, doc_id int, page int")
+    of = {r.chunk_id: r.parent_id for r in chunking.chunk_parents(chunks, parents).collect()}
+    held = {(r.doc_id, r.page): r.parent_id for r in parents.collect()}
+    assert of == {"a": held[1, 1], "b": held[2, None], "c": None}
+
+
+def test_table_elements_are_dropped(spark):
+    blocks = spark.createDataFrame([("a", "Table"), ("b", None), ("c", "paragraph"), ("d", "table_row")], "id string, element_type string")
+    assert sorted(r.id for r in chunking.drop_table_elements(blocks).collect()) == ["b", "c"]
+
+
+@pytest.mark.parametrize("text,budget,end", [("a b c", 2, "b c"), ("a b c", 0, ""), ("", 3, ""), ("x café, y", 3, "caf, y"), ("x caféz y", 2, "z y")])
 def test_tail(text, budget, end):
     assert chunking.tail(text, budget) == end
 
@@ -37,7 +69,12 @@ def test_parents_cover_children(spark):
 
 
 def test_html():
-    assert files.html_text("<table><tr><th>a</th><td>b&amp;c</td></tr></table>x") == "a | b&c"
+    assert files.html_text("<table><tr><th>a</th><td>b&amp;c</td></tr></table>x", "p") == "HTML table 1: p\na | b&c"
+    two = "<table><tr><td> a  b </td><td></td></tr><tr><td></td></tr></table>x<table></table><table><tr><td>1<b>2</b></td></tr></table>"
+    assert files.html_text(two, "p") == "HTML table 1: p\na b | \n\nHTML table 2: p\n1 2"
+    nested = "<table><tr><td>out<table><tr><td>in</td></tr></table></td><td>late</td></tr><tr><td>z</td></tr></table>"
+    assert files.html_text(nested, "p") == "HTML table 1: p\nin\nz"  # the inner row takes the place of the one that is open
+    assert files.html_text("<tr><td>no table</td></tr>") == "no table"
     assert files.html_text("<p>x</p><script>y</script>") == "x\ny"
     assert files.html_text(None) == ""
 
@@ -49,16 +86,63 @@ def test_xlsx():
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>x</t></is></c></row><row><c r="A2"><v>5</v></c></row></sheetData></worksheet>')
     assert files.xlsx_rows(buffer.getvalue()) == [["name", "", "x"], ["5"]]
-    assert files.parse_file("a.xlsx", buffer.getvalue()) == "name |  | x\n5"
+    assert files.parse_file("a.xlsx", buffer.getvalue()) == "XLSX sheet: sheet1\nname |  | x\n5"
+    with zipfile.ZipFile(buffer, "a") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Sales"/></sheets></workbook>')
+    assert files.parse_file("a.xlsx", buffer.getvalue()).startswith("XLSX sheet: Sales\n")
 
 
 def test_load_and_roots(spark, tmp_path):
     (tmp_path / "a.md").write_text("# Title\nbody")
     (tmp_path / "b.csv").write_bytes("x,y\n\n1,é".encode("latin-1"))
     rows = {r.file_type: r for r in files.load_documents(spark, str(tmp_path), [str(tmp_path)]).collect()}
-    assert rows[".md"].title == "Title" and rows[".csv"].text == "x | y\n1 | é"
+    assert rows[".md"].title == "Title" and rows[".csv"].text == "CSV table: b.csv\nx | y\n1 | é"
+
+
+def test_roots_hold_for_every_store(tmp_path):
+    root = str(tmp_path)
+    for path in (f"{root}/a", f"file://{root}/a/b", root):
+        assert files.allowed_path(path, ["hdfs://n/data", root]) == path
+    assert files.allowed_path("hdfs://n/data/x", [root, "hdfs://N/data"]) == "hdfs://n/data/x"
+    for path in ("/etc/passwd", f"{root}x/a", f"{root}/../other", "hdfs://other/secret", "hdfs://n/data/../secret", "hdfs://n/data%2F..%2Fsecret", "s3a://n/data/x", "file:///etc/passwd"):
+        with pytest.raises(ValueError):
+            files.allowed_path(path, ["hdfs://n/data", root])
+    (tmp_path / "link").symlink_to("/etc")
     with pytest.raises(ValueError):
-        files.allowed_path("/etc/passwd", [str(tmp_path)])
+        files.allowed_path(f"{root}/link/passwd", [root])
+
+
+def test_pages_of_binary_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one\x0c \x0cthree")
+    (tmp_path / "b.bin").write_bytes(b"!")
+
+    def reader(content):
+        if content == b"!":
+            raise ValueError("broken")
+        return content.decode().split("\x0c")
+
+    rows = files.paged_documents(spark.read.format("binaryFile").load(f"{tmp_path}/*.bin"), reader).orderBy("uri", "page").collect()
+    assert [(r.page, r.text, r.error) for r in rows] == [(1, "one", None), (3, "three", None), (None, None, "ValueError: broken")]
+
+
+def test_table_form_of_a_file(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("\ufeffYear;Revenue USD;2023;\n2020;1.5;x;y\n;;;\n2021;2;;\n2022;3;z;y\n".encode())
+    rows, columns, cards = files.table_cards(spark, str(tmp_path / "t.csv"), "t")
+    assert rows.columns == ["year", "revenue_usd", "c_2023", "column_4"] and rows.count() == 3
+    found = {r.column_name: (r.role, r.unit, r.nullable) for r in columns.collect()}
+    assert found == {"year": ("period", None, False), "revenue_usd": ("unknown", "currency_usd", False), "c_2023": ("unknown", None, True), "column_4": ("unknown", None, True)}
+    assert cards.count() == 6 and not any("1.5" in r.text for r in cards.collect())
+
+
+def test_jsonl_is_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/x.jsonl"
+    for n in (3, 2):
+        files.write_jsonl(spark.range(n), path)
+        assert files.read_jsonl(spark, path).count() == n
+
+
+def test_bytes_are_decoded():
+    assert files.decode_bytes("\ufeffé".encode()) == "é" and files.decode_bytes("é".encode("latin-1")) == "é"
 
 
 def test_tables(spark, tmp_path):
@@ -91,6 +175,10 @@ def test_index_versions(spark, tmp_path):
     assert {(r.term, r.df) for r in spark.read.parquet(f"{base}/version=v1/terms").collect()} == {("x", 1), ("y", 2)}
     with pytest.raises(ValueError):
         index.promote(spark, base, "v2")
+    assert index.current(spark, base) == "v1"
+    index.write_index(chunks, base, "v3")
+    index.promote(spark, base, "v3")  # over the old pointer, in one step
+    assert index.current(spark, base) == "v3"
     assert index.discard(spark, base, "v1")
 
 
@@ -104,3 +192,25 @@ def test_artifacts(spark, tmp_path):
     facts = spark.createDataFrame([(1,)], "a int")
     assert index.write_artifacts({"facts": facts, "cells": facts}, f"file://{tmp_path}/out", "facts") == {"facts": 1, "cells": 1}
     assert (tmp_path / "out" / "facts").exists() and not (tmp_path / "out" / "cells").exists()
+    twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c")], "k int, v string")
+    assert index.write_artifacts({"facts": twice}, f"file://{tmp_path}/out", keys={"facts": ["k"]}) == {"facts": 2}
+    assert {(r.k, r.v) for r in spark.read.csv(f"file://{tmp_path}/out/facts_csv", header=True, schema="k int, v string").collect()} == {(1, "a"), (2, "c")}
+    assert '"conflicts": {"facts": 1}' in spark.read.text(f"file://{tmp_path}/out/manifest").first().value
+
+
+def test_vectors_are_upserted(spark, tmp_path):
+    kind = "chunk_id string, embedding array<double>"
+    path = f"file://{tmp_path}/index"
+    index.write_vectors(spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, 0.0])], kind), path, "v1")
+    index.write_vectors(spark.createDataFrame([("a", [0.0, 2.0]), ("e", [0.0, 1.0])], kind), path, "v1")
+    rows = {r.chunk_id: r for r in spark.read.parquet(f"{path}/version=v1/vectors").collect()}
+    assert {k: r.unit for k, r in rows.items()} == {"a": [0.0, 1.0], "d": [1.0, 0.0], "e": [0.0, 1.0]} and len({r.point_id for r in rows.values()}) == 3
+
+
+def test_only_new_content_is_loaded(spark, tmp_path):
+    kind, path = "uri string, content_hash string", f"file://{tmp_path}/docs"
+    first = index.load_new(spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2")], kind), path)
+    again = index.load_new(spark.createDataFrame([("d", "2"), ("e", "3")], kind), path)
+    count = lambda df: {r.status: r.n for r in df.collect()}
+    assert count(first) == {"loaded": 2, "skipped_duplicate": 1} and count(again) == {"loaded": 1, "skipped_duplicate": 1}
+    assert sorted(r.uri for r in spark.read.parquet(path).collect()) == ["a", "c", "e"]

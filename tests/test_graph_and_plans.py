@@ -58,8 +58,19 @@ def test_verdicts(spark):
 
 
 def test_conflicts_need_single_numbers(spark):
-    ev = spark.createDataFrame([(1, 1, "it was 5%"), (1, 2, "it was 7%"), (2, 1, "1 and 2"), (2, 2, "3")], "query_id int, rank int, text string")
-    assert {r.query_id: r.conflict for r in verification.numeric_conflicts(ev).collect()} == {1: True, 2: False}
+    rows = [(1, 1, "it was 5%", "full"), (1, 2, "it was 7%", "full"), (2, 1, "1 and 2", "full"), (2, 2, "3", "full"), (3, 1, "5%", "full"), (3, 2, "7%", "partial")]
+    ev = spark.createDataFrame(rows, "query_id int, rank int, text string, support string")
+    conflicts = verification.numeric_conflicts(ev)
+    assert {r.query_id: r.conflict for r in conflicts.collect()} == {1: True, 2: False, 3: False}
+    verdicts = verification.evidence_verdict(ev.select("query_id", "support"), conflicts)
+    assert {r.query_id: r.verdict for r in verdicts.collect()} == {1: "contradicted", 2: "supported", 3: "supported"}
+
+
+def test_citation_metadata(spark):
+    kind = "query_id int, citation_id string, document_id string, chunk_id string, page_start int, page_end int"
+    ev = spark.createDataFrame([(1, "c1", "d", "k", 3, None)], kind)
+    said = spark.createDataFrame([("a", 1, " C1 ", "d", "k", 3, None), ("b", 1, "c1", "e", "k", 4, 5), ("c", 1, "c9", "e", None, None, None)], "answer_id string, " + kind)
+    assert [(r.answer_id, r.mismatches) for r in verification.citation_metadata(said, ev).collect()] == [("b", ["document_id", "page_start", "page_end"])]
 
 
 def test_citations_are_checked(spark):
@@ -78,7 +89,18 @@ def test_coverage_uses_aliases(spark):
 def test_longest_metric_alias(spark):
     q = spark.createDataFrame([(1, "operating cash flow and capex"), (2, "cash")], "query_id int, text string")
     rows = {(r.query_id, r.metric) for r in planning.metric_mentions(q, planning.ontology(spark)).collect()}
-    assert rows == {(1, "operating cash flow"), (1, "capital expenditures"), (2, "cash")}
+    assert rows == {(1, "operating_cash_flow"), (1, "capital_expenditure")}  # no metric is named "cash" alone
+    q = spark.createDataFrame([(1, "R&D, total assets and EPS; the salesman's cash_equivalents")], "query_id int, text string")
+    rows = planning.metric_mentions(q, planning.ontology(spark)).orderBy("rank").collect()
+    assert [(r.metric, r.alias) for r in rows] == [("cash_and_cash_equivalents", "cash equivalents"), ("total_assets", "total assets"), ("eps", "eps"), ("r_and_d_expense", "r&d")]
+
+
+def test_metrics_are_read_and_canonical(spark, tmp_path):
+    (tmp_path / "m.yaml").write_text("a_b:\n  aliases: [Alpha, beta rate]\nc:\n  canonical_name: see\n  aliases: []\n")
+    metrics = planning.read_metrics(spark, str(tmp_path / "m.yaml"))
+    assert metrics == {"a_b": ("Alpha", "beta rate"), "see": ()} and len(planning.METRICS) == 17
+    terms = spark.createDataFrame([("ALPHA",), ("Beta_rate",), ("a b",), ("x",)], "term string")
+    assert {(r.term, r.metric) for r in planning.canonical_metric(planning.ontology(spark, metrics), terms).collect()} == {("ALPHA", "a_b"), ("Beta_rate", "a_b"), ("a b", "a_b")}
 
 
 def test_plan_units(spark):

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from tarn.plans import guarded_sql as G
@@ -56,6 +58,56 @@ def test_answer(spark):
     assert G.evidence("q", sql, rows, ["s"])["policy"] == "pinned"
 
 
+def test_views_of_the_caller_stay(spark):
+    spark.range(3).createOrReplaceTempView("orders")
+    df = spark.createDataFrame([(1, "from orders", "F", 2.0), (2, "b", "O", 5.0)], "o_orderkey long, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    with ThreadPoolExecutor(4) as pool:
+        runs = [pool.submit(G.run, df.filter(df.o_orderkey == i % 2 + 1), "SELECT orders.o_orderkey FROM `orders` WHERE o_orderpriority <> 'x from orders'", TABLE) for i in range(8)]
+        assert [r.result().collect()[0][0] for r in runs] == [1, 2] * 4
+    assert spark.table("orders").count() == 3 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("guarded_")]
+    spark.catalog.dropTempView("orders")
+
+
+def test_typed_tables(spark):
+    raw = spark.createDataFrame([("(1,200.50)", "12.9", "Yes", "é"), ("", "x", "0", ""), ("7%", None, "maybe", " a ")], "`Net $` string, `2020` string, ok string, note string")
+    rows, table = G.typed_table(raw, "my table", {"Net $": "number", "2020": "INT", "ok": "boolean", "note": "string"})
+    assert table.name == "my_table" and table.columns == {"net": "double", "c_2020": "bigint", "ok": "boolean", "note": "string"}
+    assert [tuple(r) for r in rows.collect()] == [(-1200.5, 12, True, "é"), (None, None, False, None), (7.0, None, None, " a ")]
+
+
+def test_plain_conditions(spark):
+    assert G.plain_where("o_orderkey >= 3 AND o_orderstatus like 'F%'", TABLE) == [("o_orderkey", ">=", "3"), ("o_orderstatus", "like", "'F%'")]
+    assert G.plain_where("", TABLE) == []
+    for bad in ("o_orderkey = 1 or o_orderkey = 2", "o_comment = 'x'", "o_orderkey in (1)", "lower(o_orderstatus) = 'f'", "o_orderkey = o_totalprice"):
+        with pytest.raises(ValueError):
+            G.plain_where(bad, TABLE)
+    df = spark.createDataFrame([(1, "F"), (2, "O"), (3, None)], "o_orderkey long, o_orderstatus string")
+    assert [r[0] for r in G.filter_plain(df, "o_orderkey != 1 and o_orderstatus = 'O'", TABLE).collect()] == [2]
+    assert G.filter_plain(df, "o_orderstatus = null", TABLE).count() == 0
+
+
+def test_textual_check_and_ledger(spark):
+    assert G.textual_check("SELECT a FROM t") == [] and G.textual_check("SELECT a FROM t WHERE b = 'x; drop -- y'") == []
+    assert set(G.textual_check("DELETE FROM t; -- x")) == {"single_statement", "no_comments", "select_only", "no_forbidden_words"}
+    v = G.check(spark, "SELECT upper(o_orderstatus) FROM orders", TABLE)
+    assert set(v.checks) == set(G.CHECKS) and [c for c, ok in v.checks.items() if not ok] == ["allowed_functions"]
+
+
+def test_tables_are_routed(spark):
+    df = spark.createDataFrame([(1, "a", "F", 2.0)], "o_orderkey long, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    parts = spark.createDataFrame([(3, 4.0)], "p_size long, p_price double")
+    tables = {"orders": (df, TABLE), "part": (parts, G.TableContext("part", {"p_size": "bigint", "p_price": "double"}))}
+    assert G.answer_among(tables, "total p_price of part")[:2] == ("executed", "part")
+    assert G.answer_among(tables, "hello")[0] == "skipped_intent" and G.answer_among({}, "total x")[0] == "no_table"
+    assert G.answer_among(tables, "how many people live there")[0] == "no_table"
+    assert G.answer_among({"a": (df, TABLE), "b": (df, TABLE)}, "total o_totalprice")[0] == "ambiguous_table"
+
+
+def test_intents_and_texts():
+    assert G.intent("How many rows?") == (True, "aggregate") and G.intent("top items") == (True, "ranking") and G.intent("hello") == (False, "none")
+    assert G.result_text([(1, None), (2, "x")], ["a", "b"]) == "a: 1; b: None\na: 2; b: x"
+
+
 def test_caps(spark):
     rows, truncated = G.fetch(spark.range(10), max_rows=3)
     assert len(rows) == 3 and truncated
