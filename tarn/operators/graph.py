@@ -121,7 +121,7 @@ def graph_scores(objects: DataFrame, anchors: DataFrame) -> DataFrame:
     if any of an item's objects has an anchor, else 0.0."""
     held = anchors.select("object_id").distinct().withColumn("_held", F.lit(1.0))
     rows = objects.join(held, "object_id", "left")
-    return rows.groupBy("item_id").agg(F.round(F.avg("confidence"), 6).alias("score"), F.coalesce(F.max("_held"), F.lit(0.0)).alias("grounding"))
+    return rows.groupBy("item_id").agg(F.round(F.avg("confidence"), 9).alias("score"), F.coalesce(F.max("_held"), F.lit(0.0)).alias("grounding"))
 
 
 def backfill_version(relationships: DataFrame, entities: DataFrame) -> DataFrame:

@@ -481,9 +481,11 @@ def semi_scope(t):
     return graph.in_scope(t.customer.select(F.col("c_custkey").alias("object_id")), anchors, t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("chunk_id")))
 
 
-@query("SELECT c_custkey AS chunk_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS chunk_id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
 def anti_missing(t):
-    return graph.missing_chunks(t.customer.select(F.col("c_custkey").alias("chunk_id")), t.orders.select(F.col("o_custkey").alias("chunk_id")))
+    """Customers without a large finished order."""
+    large = t.orders.filter("o_orderstatus = 'F' AND o_totalprice > 200000").select(F.col("o_custkey").alias("chunk_id"))
+    return graph.missing_chunks(t.customer.select(F.col("c_custkey").alias("chunk_id")), large)
 
 
 @query("SELECT s_suppkey, s_nationkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -616,7 +618,7 @@ g AS (SELECT doc_id, regexp_extract_all(t, p, 1) AS o, regexp_extract_all(t, p,
 v AS (SELECT doc_id, list_transform(range(1, len(n) + 1), lambda i: {'v': CASE WHEN o[i] = '(' AND e[i] = ')' THEN -1 ELSE 1 END * replace(n[i], ',', '')::DOUBLE,
   'x': CASE s[i] WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'mm' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'trillion' THEN 1e12 ELSE 1 END,
   'u': CASE WHEN s[i] = '%' THEN '%' WHEN c[i] <> '' THEN c[i] ELSE '' END}) AS x FROM g)
-SELECT doc_id, len(x)::BIGINT AS n, round(coalesce(list_sum(list_transform(x, lambda y: y.v)), 0), 4) AS total, round(coalesce(list_sum(list_transform(x, lambda y: y.v * y.x)), 0), 4) AS scaled,
+SELECT doc_id, len(x)::BIGINT AS n, coalesce(list_sum(list_transform(x, lambda y: y.v)), 0) AS total, coalesce(list_sum(list_transform(x, lambda y: y.v * y.x)), 0) AS scaled,
 array_to_string(list_transform(x, lambda y: y.u), '|') AS units FROM v"""
 
 
@@ -625,7 +627,7 @@ def numbers_extract(t):
     """Values, scales and units of all numbers; three documents in four get some at their end."""
     given = F.element_at(F.array(*map(F.lit, (" rose 5% to $(1.5) and", " (2,500) or €3 million", " 7 bn", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
     rows = t.documents.select("doc_id", N.extract_numbers(F.concat(F.coalesce("text", F.lit("")), given)).alias("x"))
-    total = lambda f: F.round(F.aggregate(F.transform("x", lambda y: y[f]), F.lit(0.0), lambda a, v: a + v), 4)
+    total = lambda f: F.aggregate(F.transform("x", lambda y: y[f]), F.lit(0.0), lambda a, v: a + v)
     return rows.select("doc_id", F.size("x").cast("long").alias("n"), total("value").alias("total"), total("scaled").alias("scaled"), F.array_join(F.transform("x", lambda y: y["unit"]), "|").alias("units"))
 
 
@@ -850,7 +852,7 @@ def retrieval_ablation(t):
     return traces.ablation(_asked(t), {m: lanes.filter(F.col("lane") == m).select("query_id", "item", "rank") for m in ("bm25", "dense")}, gold)
 
 
-@query(f"""WITH {_EDGE_SQL} SELECT node AS item_id, round(avg(confidence), 6) AS score, CASE WHEN node LIKE 's%' AND (substr(node, 2)::BIGINT) % 3 = 0 THEN 1.0 ELSE 0.0 END AS grounding FROM u GROUP BY node""")
+@query(f"""WITH {_EDGE_SQL} SELECT node AS item_id, round(avg(confidence), 9) AS score, CASE WHEN node LIKE 's%' AND (substr(node, 2)::BIGINT) % 3 = 0 THEN 1.0 ELSE 0.0 END AS grounding FROM u GROUP BY node""")
 def graph_item_scores(t):
     """Nodes as graph items: every third supplier has an anchor."""
     sides = graph.undirected(_edges(t)).select(F.col("node").alias("item_id"), F.col("node").alias("object_id"), "confidence")
