@@ -1,68 +1,16 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, and small column helpers."""
+"""Shared plumbing of the corpus operators: batches, workers' memory, and small column helpers."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from tarn.scratch import materialize
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; where it is unset in local mode (as in tests) one of our own.
-
-    A cluster needs the setting: a folder of one machine would hide what executors write from each other.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tarn-")
-    return _OWN[app]
-
-
-def _drop(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-_KNOWN: set[str] = set()
-
-
-def scratch(spark: SparkSession) -> str:
-    """This application's folder for written intermediate tables; removed when the driver ends, or by `release`."""
-    folder = f"{shared_dir(spark)}/tarn-{spark.sparkContext.applicationId}"
-    if folder not in _KNOWN:
-        _KNOWN.add(folder)
-        atexit.register(_drop, spark, folder)
-    return folder
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application (results that still read them become unreadable)."""
-    _drop(spark, scratch(spark))
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    It cuts lineage, and losing an executor costs nothing that was written. Its size is known to the optimizer afterwards.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh", "lean", "materialize", "remainder", "runs", "text_batches"]
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:

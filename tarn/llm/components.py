@@ -9,7 +9,8 @@ from .common import materialize
 
 
 def _settled(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum("lo")).first())
+    # Ids may be any longs, whose sum doesn't fit a long.
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.col("lo").cast("decimal(28,0)"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:

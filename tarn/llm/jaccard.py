@@ -10,9 +10,9 @@ the sizes allow a link. Three things keep this exact and linear in all but the p
   lower thresholds ranges would be narrow; there the keys are each set's first (1 - t) n + 1 tokens in one global
   order (prefix filter), by document frequency, rarest first, so that common passages come last. Frequencies are
   counted over all documents in a hashed table of fixed size; any order is exact, collisions cost selectivity only.
-* A row of the token-group matrix: tokens fall into RANGES groups by their hash, and a set has a count in each. The sum of
-  the smaller counts of two sets bounds their overlap, and so does the largest count of a group's members for all of
-  them. Candidates that can't qualify by that are gone before any token set is read.
+* A row of the token-group matrix: tokens fall into groups by their hash, about PER_GROUP of a set into each, and a set has a
+  count for each group. The sum of the smaller counts of two sets bounds their overlap, and so does the largest count of
+  a group's members for all of them. Candidates that can't qualify by that are gone before any token set is read.
 * Of the documents that share a key, the one whose keys are shared most is the pivot, mostly the original
   of a family of copies. Documents are grouped by pivot and compared with it first; what links to it needs no further
   comparison with others that do.
@@ -29,15 +29,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, lean, materialize, runs
 from .components import components
 from .exact_dedup import exact_groups_and_filter
 from .repeats import probe, repeat_filter
 from .shingles import Shingler, mixed
 
-BLOCK = 256  # members of a block of a group, on average
+BLOCK = 128  # members of a block of a group, on average
 WIDE = 7  # from a threshold of 1 - 1/WIDE on, ranges hold about WIDE tokens or more
-QUERIES = 1024  # queries that one task puts to a block, on average
+QUERIES = 256  # queries that one task puts to a block, on average
+FEW = 300_000  # rows of work that are broadcast, some 25 MB
 
 
 def size_levels(num: int, den: int, upto: int = 1 << 34) -> list[int]:
@@ -69,10 +70,70 @@ def signatures(tokens: np.ndarray, levels: list[int], num: int, den: int) -> np.
     return np.concatenate(found)
 
 
-RANGES = 64  # groups of tokens in the matrix
+GROUPS, PER_GROUP = 64, 4  # token groups of a row of the matrix at least (a power of two), and tokens a group else
+FULL = 255  # a count that stands for itself and all larger ones
 CELLS, PARTS = 1 << 20, 256  # of the table of frequencies, and the parts in which tasks send theirs
 
 
+def matrix_row(tokens: np.ndarray) -> bytes:
+    """A set's counts by token group, a byte each; groups are ranges of hashes, twice as many where the set is twice as large."""
+    bits = max(GROUPS.bit_length() - 1, (max(1, len(tokens) // PER_GROUP) - 1).bit_length())
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def _rows(rows: list[bytes], size: int) -> np.ndarray:
+    """Rows of one length, with ``size`` groups: neighbouring ones are added; FULL stays at least FULL."""
+    x = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), size, -1)
+    return x.sum(axis=2, dtype=np.int64)
+
+
+def most_shared(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many tokens two sets may share at most, by their rows; very many if a group is full in both."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(sizes), np.int64)
+    for m, n in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (m, n)).all(axis=1))
+        for i in range(0, len(at), 4096):
+            own = at[i : i + 4096].tolist()
+            x, y = (_rows([rows[k] for k in own], min(m, n)) for rows in (a, b))
+            less = np.minimum(x, y)
+            out[own] = np.where((less >= FULL).any(axis=1), 1 << 40, less.sum(axis=1))
+    return out
+
+
+def _widest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of groups: (grp, row) with the largest counts of a group's rows seen here; rows come in any order and number."""
+    held: dict[int, np.ndarray] = {}
+
+    def sent() -> pd.DataFrame:
+        return pd.DataFrame({"grp": list(held), "row": [np.minimum(r, FULL).astype(np.uint8).tobytes() for r in held.values()]})
+
+    for b in batches:
+        for g, row in zip(b["grp"].tolist(), b["row"], strict=True):
+            old = held.get(g)
+            size = len(row) if old is None else min(len(row), len(old))
+            new = _rows([row], size)[0]
+            held[g] = new if old is None else np.maximum(new, old.reshape(size, -1).sum(axis=1))
+        if sum(map(len, held.values())) > 4_000_000:
+            yield sent()
+            held = {}
+    if held:
+        yield sent()
+
+
+def group_rows(members: DataFrame) -> DataFrame:
+    """(grp, row) of members (grp, row): partial ones in every task first, so that a large group sends a row per task."""
+    kind = "grp long, row binary"
+    partial = members.select("grp", "row").mapInPandas(lean(_widest), kind)
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, found in runs(batches, ["grp"]):
+            yield from _widest([found])
+
+    return partial.repartition("grp").sortWithinPartitions("grp").mapInPandas(lean(merged), kind)
+
+
 def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
 
@@ -80,6 +141,7 @@ def _cell(tokens: np.ndarray) -> np.ndarray:
 def _frequencies(width: int):
     """A task's counts of documents per cell, in parts; documents with the same text count each."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, count = Shingler(width), np.zeros(CELLS, np.int64)
         for b in batches:
@@ -94,6 +156,7 @@ def _frequencies(width: int):
     return run
 
 
+@lean
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, total = None, None
     for b in batches:
@@ -133,6 +196,7 @@ _ROWS = 1000  # documents whose sets a worker holds at once
 
 
 def _sets(width: int, num: int, den: int, held, frequency):
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, levels = Shingler(width), size_levels(num, den)
         table = None if frequency is None else frequency.value
@@ -153,7 +217,7 @@ def _sets(width: int, num: int, den: int, held, frequency):
                         "n": np.array([len(s) for s in sets], np.int64),
                         "level": np.array([bisect_right(levels, len(s)) - 1 for s in sets], np.int32),
                         "sigs": [keys(s) for s in sets],
-                        "row": [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32) for s in sets],
+                        "row": [matrix_row(s) for s in sets],
                         "again": probe(b["k"].to_numpy(np.int64), held),
                     }
                 )
@@ -161,9 +225,27 @@ def _sets(width: int, num: int, den: int, held, frequency):
     return run
 
 
+def _repeated(held):
+    """A row for each key of a document that the filter holds."""
+
+    @lean
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            sigs = np.concatenate(b["sigs"].to_numpy())
+            row = np.repeat(np.arange(len(b)), np.fromiter(map(len, b["sigs"]), np.int64, len(b)))
+            at = np.flatnonzero(probe(sigs, held))
+            row = row[at]
+            yield pd.DataFrame({"sig": sigs[at], "doc_id": b["doc_id"].to_numpy(np.int64)[row], "n": b["n"].to_numpy()[row], "level": b["level"].to_numpy()[row]})
+
+    return run
+
+
 def _tokens(width: int, held):
     """Tokens of documents whose id the filter holds; a few more pass it by chance."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for whole in batches:
@@ -211,6 +293,7 @@ class Block:
 def _compare(num: int, den: int):
     """Rows of a block and salt come together, members (role 0) before queries (role 1)."""
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, members, block = None, [], None
         for b in batches:
@@ -238,8 +321,9 @@ def _linked(members: DataFrame, queries: DataFrame, tokens: DataFrame, num: int,
     asked = materialize(queries.groupBy(*_KEY).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")), "asked")
     asks = queries.join(asked, _KEY).select(*_KEY, F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "doc_id")
     holds = members.join(asked, _KEY).select(*_KEY, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "doc_id")
-    # A merge join at every size: token sets are the bulk here, and skewed partitions of it can be split.
-    rows = materialize(holds.unionByName(asks), "work").join(tokens.hint("merge"), "doc_id")
+    work = materialize(holds.unionByName(asks), "work")
+    # Few rows of work go to the token sets; many meet them in a merge join, whose skewed partitions can be split.
+    rows = tokens.join(F.broadcast(work), "doc_id") if work.count() <= FEW else work.join(tokens.hint("merge"), "doc_id")
     dealt = rows.repartition(*_KEY, "salt").sortWithinPartitions(*_KEY, "salt", "role")
     return dealt.mapInPandas(_compare(num, den), "a long, b long")
 
@@ -254,22 +338,32 @@ def _wide(num: int, den: int) -> bool:
 
 def _may_qualify(a: Column, b: Column, sizes: Column, num: int, den: int) -> Column:
     """Whether the overlap that two rows of the matrix allow is enough for sets of together ``sizes`` tokens."""
-    most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return most * (den + num) >= sizes * num
+
+    @F.pandas_udf("boolean")
+    @lean
+    def ask(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y, n in parts:
+            yield pd.Series(most_shared(x.tolist(), y.tolist()) * (den + num) >= n.to_numpy(np.int64) * num)
+
+    return ask(a, b, sizes)
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that connect all documents of ``sets`` (doc_id, n, level, sigs, row) whose Jaccard similarity is at least num/den."""
-    sig_rows = sets.filter("n > 0").select("doc_id", "n", "level", F.explode("sigs").alias("sig"))
-    from pyspark.sql import Window
-
-    shared = sig_rows.withColumn("d", F.count("*").over(Window.partitionBy("sig"))).filter("d > 1")
-    shared = materialize(shared, "shared-keys")
+    # Most keys have one document: a filter over all of them says which may have more, and only those leave their documents.
+    # Keys that a large family shares are counted map-side first, and meet their documents in a join that can be split.
+    keyed = sets.filter("n > 0")
+    total = keyed.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    repeated = repeat_filter(keyed.select("sigs"), total)
+    maybe = materialize(keyed.select("doc_id", "n", "level", "sigs").mapInPandas(_repeated(repeated), "sig long, doc_id long, n long, level int"), "keys")
+    repeated.destroy()
+    several = materialize(maybe.groupBy("sig").agg(F.count("*").alias("d")).filter("d > 1"), "key-counts")
+    shared = materialize(maybe.join(several, "sig"), "shared-keys")
 
     score = materialize(shared.groupBy("doc_id", "n", "level").agg(F.sum("d").alias("score")), "scores")
     pivots = shared.select("sig", "doc_id").join(score, "doc_id")
-    pivots = pivots.groupBy("sig").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("m"), F.col("n").alias("pn"))).alias("p"))
-    pivots = materialize(pivots.select("sig", (-F.col("p.m")).alias("grp"), F.col("p.score").alias("ps"), F.col("p.pn").alias("pn")), "pivots")
+    pivots = pivots.groupBy("sig").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_id", F.col("n").alias("pn"))).alias("p"))
+    pivots = materialize(pivots.select("sig", F.col("p.doc_id").alias("grp"), (-F.col("p.s")).alias("ps"), F.col("p.pn").alias("pn")), "pivots")
     near = shared.join(pivots, "sig").filter(_compatible(F.col("n"), F.col("pn"), num, den))
     near = near.groupBy("doc_id", "n", "level", "grp", "ps", "pn").agg(F.count("*").alias("c"))
     matrix = materialize(sets.join(score.select("doc_id"), "doc_id", "left_semi").select("doc_id", "row"), "matrix")
@@ -278,9 +372,9 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: i
     # keys with a pivot are its group, so that a large family of copies is one group whatever its members' distances.
     if not _wide(num, den):
         near = near.filter(_may_qualify(F.col("row"), F.col("pivot_row"), F.col("n") + F.col("pn"), num, den))
-    best = near.groupBy("doc_id", "n", "level").agg(F.max(F.struct("c", "ps", (-F.col("grp")).alias("m"))).alias("p"))
+    best = near.groupBy("doc_id", "n", "level").agg(F.min(F.struct((-F.col("c")).alias("c"), (-F.col("ps")).alias("s"), "grp")).alias("p"))
     # A document without a fitting pivot is a group of its own.
-    groups = score.select("doc_id", "n", "level").join(best.select("doc_id", (-F.col("p.m")).alias("g")), "doc_id", "left")
+    groups = score.select("doc_id", "n", "level").join(best.select("doc_id", F.col("p.grp").alias("g")), "doc_id", "left")
     groups = materialize(groups.select("doc_id", "n", "level", F.coalesce("g", "doc_id").alias("grp")), "groups")
 
     # Between groups that share a key, the smaller asks the larger, if the matrix allows a link with a member.
@@ -288,13 +382,21 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: i
     at = materialize(shared.select("sig", "doc_id").join(groups.join(held, "grp").select("doc_id", "grp", "m"), "doc_id"), "key-groups")
     torn = materialize(at.groupBy("sig").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").select("sig"), "torn")
     torn_at = materialize(at.join(torn, "sig"), "torn-groups")
-    theirs = torn_at.select("sig", F.col("grp").alias("og"), F.col("m").alias("om")).distinct()
-    across = torn_at.join(theirs, "sig").filter("m < om OR (m = om AND grp < og)").select("doc_id", F.col("og").alias("grp")).distinct()
-    across = across.join(groups.select("doc_id", "n", "level"), "doc_id").join(held, "grp")
-    smaller = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
+    rows = group_rows(groups.select("doc_id", "grp").join(matrix, "doc_id")).withColumnRenamed("row", "group_row")
+    rows = materialize(rows.join(held, "grp"), "group-rows")
+    # First group against group: documents only meet the groups whose rows allow a link with any of theirs.
+    mine = torn_at.groupBy("sig", "grp").agg(F.first("m").alias("m"))
+    theirs = mine.select("sig", F.col("grp").alias("og"), F.col("m").alias("om"))
+    meet = materialize(mine.join(theirs, "sig").filter("m < om OR (m = om AND grp < og)").select("sig", "grp", "og"), "groups-that-meet")
+    pairs = meet.select("grp", "og").distinct().join(rows.select("grp", F.col("group_row").alias("own_row"), F.col("least").alias("own_least")), "grp")
+    pairs = pairs.join(rows.select(F.col("grp").alias("og"), "group_row", "least"), "og")
+    pairs = pairs.filter(_may_qualify(F.col("own_row"), F.col("group_row"), F.col("own_least") + F.col("least"), num, den)).select("grp", "og")
+    meet = meet.join(materialize(pairs, "qualifying-groups"), ["grp", "og"])
+    across = torn_at.select("sig", "grp", "doc_id").join(meet, ["sig", "grp"]).select("doc_id", F.col("og").alias("grp")).distinct()
+    # Then each of their documents against the group.
+    across = across.join(groups.select("doc_id", "n", "level"), "doc_id").join(rows, "grp").join(matrix, "doc_id")
     across = across.filter(F.col("least") * num <= F.col("n") * den)
-    rows = groups.select("doc_id", "grp").join(matrix, "doc_id").groupBy("grp").agg(F.array(*[F.max(F.col("row")[i]) for i in range(RANGES)]).alias("group_row"))
-    across = across.join(matrix, "doc_id").join(materialize(rows, "group-rows"), "grp")
+    smaller = F.greatest(F.col("least"), F.ceil(F.col("n") * num / den))
     across = across.filter(_may_qualify(F.col("row"), F.col("group_row"), F.col("n") + smaller, num, den)).select("doc_id", "level", "grp")
     across = materialize(across, "across")
 
@@ -309,7 +411,9 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, width: int, num: int, den: i
     bloom = repeat_filter(ids.unionByName(ids), 2 * wanted.count())
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     tokens = docs.select("doc_id", text, F.xxhash64("doc_id").alias("k")).mapInPandas(_tokens(width, bloom), "doc_id long, tokens binary")
-    tokens = materialize(tokens, "tokens").join(wanted, "doc_id", "left_semi")
+    tokens = materialize(tokens, "tokens")
+    bloom.destroy()
+    tokens = tokens.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "doc_id", "left_semi")
 
     # First the pivots, each a block of one member.
     pivot_key = [F.col("grp"), F.lit(True).alias("merged"), F.lit(-1).alias("level"), F.lit(0).alias("part")]
@@ -361,10 +465,13 @@ def jaccard_components(
     hashed = docs.select("doc_id", "text", sha).withColumn("k", F.xxhash64("sha"))
     # Ranges of tokens say much if they are wide, as they are for high thresholds; else rare tokens say more.
     frequency = None if _wide(num, den) else frequency_table(hashed.select("text"), width)
-    every = hashed.mapInPandas(_sets(width, num, den, held, frequency), "doc_id long, sha binary, n long, level int, sigs array<long>, row array<int>, again boolean")
+    every = hashed.mapInPandas(_sets(width, num, den, held, frequency), "doc_id long, sha binary, n long, level int, sigs array<long>, row binary, again boolean")
     every = materialize(every, "all-sets")
+    if frequency is not None:
+        frequency.destroy()
     # Only sets of texts that may have copies meet the table of dropped rows.
-    dropped = dropped.withColumnRenamed("doc_id", "_d").withColumnRenamed("sha", "_s")
+    dropped = materialize(dropped.withColumnRenamed("doc_id", "_d").withColumnRenamed("sha", "_s"), "dropped-copies")
+    dropped = F.broadcast(dropped) if dropped.count() <= FEW else dropped
     first = every.filter("again").join(dropped, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("sha") == F.col("_s")), "left_anti")
     sets = every.filter("NOT again").unionByName(first).drop("again")
 

@@ -27,9 +27,9 @@ from .shingles import mixed
 
 SPACE = "▁"
 WINDOW = 32  # decisions whose branches get a queue entry of their own; those behind share one until it is popped
-_EDGES = 2_500_000  # edges of lattices that a worker keeps: some 60 MB with their nodes and names
+_EDGES = 1_500_000  # edges of lattices that a worker keeps: some 40 MB with their nodes and names
 _SEEN = 1 << 20  # marks of chunks that were seen once
-_CHARS = 1_000_000  # characters of texts that are worked on at once
+_CHARS = 500_000  # characters of texts that are worked on at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +46,7 @@ class Vocabulary:
     def __init__(self, path: str, alpha: float):
         import sentencepiece
 
-        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
         kept = [i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.ids = {sp.id_to_piece(i): i for i in kept}

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Lengths that a worker keeps of pre-tokens outside the broadcast table, before it starts anew.
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are encoded each time, so that the cache's bytes are bounded too.
@@ -71,6 +73,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str
     frequent = spark.sparkContext.broadcast(frequent_lengths(tokenizer_path))
 
     @F.pandas_udf("long")
+    @lean
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import os
 
