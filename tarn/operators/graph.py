@@ -70,17 +70,17 @@ def resolve_entities(terms: DataFrame, names: DataFrame) -> DataFrame:
     """(term, entity_id, score, rank) of terms against entities (entity_id, name, aliases).
 
     1.0 for the canonical name, 0.95 for an alias, 0.75 and 0.70 if one contains the other. Exact matches join on the
-    folded name; only terms without one are compared by containment, against a table that is checked to be small.
+    folded name; only terms without one are compared by containment, and only with names that share a run of characters.
     """
-    from tarn.operators.retrieval import small
+    from tarn.operators.retrieval import either_holds
 
     t = terms.select("term", folded(F.col("term")).alias("key")).distinct()
     forms = names.select("entity_id", "name", F.lit(True).alias("canonical"), folded(F.col("name")).alias("form"))
     alias = names.select("entity_id", "name", F.explode("aliases").alias("a")).select("entity_id", "name", F.lit(False).alias("canonical"), folded(F.col("a")).alias("form"))
     forms = forms.unionByName(alias).filter("form <> ''")
     exact = t.join(forms, t.key == forms.form).select("term", "entity_id", "name", F.when(F.col("canonical"), 1.0).otherwise(0.95).alias("score"))
-    open_terms = small(t.join(exact.select("term").distinct(), "term", "left_anti").filter("key <> ''"))
-    part = forms.join(open_terms, F.col("form").contains(F.col("key")) | F.col("key").contains(F.col("form")))
+    open_terms = t.join(exact.select("term").distinct(), "term", "left_anti")
+    part = either_holds(forms, open_terms, "form", "key")
     part = part.select("term", "entity_id", "name", F.when(F.col("canonical"), 0.75).otherwise(0.70).alias("score"))
     best = exact.unionByName(part).groupBy("term", "entity_id", "name").agg(F.max("score").alias("score"))
     order = Window.partitionBy("term").orderBy(F.col("score").desc(), folded(F.col("name")).asc(), F.col("entity_id").asc())

@@ -169,6 +169,30 @@ def holding(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_c
     return met.select(passage_id, id_col).unionByName(rest.select(passage_id, id_col))
 
 
+def either_holds(left: DataFrame, right: DataFrame, a: str, b: str, width: int = 3) -> DataFrame:
+    """Rows of both tables whose non-empty texts ``a`` and ``b`` are such that one is part of the other (or both are equal).
+
+    A text that is part of another one has all its runs of ``width`` characters there. So each text looks up one run of its
+    own, picked by a hash, among the runs of the other table's texts; shorter texts look up themselves. A row of both tables
+    is found in either direction and given once: the other way counts only where the texts differ.
+    """
+    left, right = left.filter(F.coalesce(F.col(a), F.lit("")) != ""), right.filter(F.coalesce(F.col(b), F.lit("")) != "")
+
+    def runs(key: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(n)))
+
+    def probe(key: Column) -> Column:
+        one = F.array_min(F.transform(runs(key, width), lambda g: F.struct(F.xxhash64(g).alias("x"), g.alias("g"))))["g"]
+        return F.when(F.length(key) < width, key).otherwise(one)
+
+    def within(key: Column) -> Column:
+        return F.explode(F.array_distinct(F.flatten(F.array(*[runs(key, n) for n in range(1, width + 1)]))))
+
+    inside = left.withColumn("_run", probe(F.col(a))).join(right.withColumn("_run", within(F.col(b))), "_run").filter(F.col(b).contains(F.col(a)))
+    around = left.withColumn("_run", within(F.col(a))).join(right.withColumn("_run", probe(F.col(b))), "_run").filter(F.col(a).contains(F.col(b)) & (F.col(a) != F.col(b)))
+    return inside.drop("_run").unionByName(around.drop("_run"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

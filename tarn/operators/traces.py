@@ -82,11 +82,13 @@ def ablation(cases: DataFrame, modes: dict[str, DataFrame], relevant: DataFrame)
     return rows.groupBy("mode").agg(F.count("*").alias("cases"), *hits, F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg("average_precision"), 6).alias("map"))
 
 
-def markdown(summary: DataFrame, order: str) -> str:
-    """A small summary as a Markdown table."""
+def markdown(summary: DataFrame, order: str, most: int = 1000) -> str:
+    """A summary as a Markdown table of its first ``most`` rows; a last line says if there are more."""
     columns = summary.columns
     lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(str(v) for v in r) + " |" for r in summary.orderBy(order).limit(1000).collect()])
+    rows = summary.orderBy(order).limit(most + 1).collect()
+    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows[:most]]
+    return "\n".join(lines + [f"Only the first {most} rows are shown."] * (len(rows) > most))
 
 
 def reset(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

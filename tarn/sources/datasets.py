@@ -68,27 +68,13 @@ def hint_key(hint: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "^.*/", ""), "[^a-z0-9]+", "")
 
 
-def hinted_documents(hints: DataFrame, documents: DataFrame, width: int = 3) -> DataFrame:
-    """(case_id, doc_id): documents (doc_id, name) whose key equals a case's hint (case_id, hint), holds it, or is held by it.
+def hinted_documents(hints: DataFrame, documents: DataFrame) -> DataFrame:
+    """(case_id, doc_id): documents (doc_id, name) whose key equals a case's hint (case_id, hint), holds it, or is held by it."""
+    from tarn.operators.retrieval import either_holds
 
-    Equal keys join; the others meet by what they share: a key that is part of another one has all its runs of ``width``
-    characters there, so only one run of it, its rarest by hash, is looked up. Shorter keys look up themselves.
-    """
-    h = hints.select("case_id", hint_key(F.col("hint")).alias("key")).filter("key <> ''").distinct()
-    d = documents.select("doc_id", hint_key(F.col("name")).alias("name_key")).filter("name_key <> ''").distinct()
-
-    def grams(key: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - width + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(width)))
-        return F.array_distinct(runs)
-
-    def shorter(key: Column) -> Column:  # every run of fewer characters, for keys as short
-        return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(1, width))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, n)))))
-
-    probe = lambda key: F.when(F.length(key) < width, key).otherwise(F.array_min(F.transform(grams(key), lambda g: F.struct(F.xxhash64(g).alias("x"), g.alias("g"))))["g"])
-    within = lambda key: F.array_union(grams(key), shorter(key))
-    inside = h.withColumn("g", probe(F.col("key"))).join(d.withColumn("g", F.explode(within(F.col("name_key")))), "g").filter(F.col("name_key").contains(F.col("key")))
-    around = h.withColumn("g", F.explode(within(F.col("key")))).join(d.withColumn("g", probe(F.col("name_key"))), "g").filter(F.col("key").contains(F.col("name_key")))
-    return inside.select("case_id", "doc_id").unionByName(around.select("case_id", "doc_id")).distinct()
+    h = hints.select("case_id", hint_key(F.col("hint")).alias("key")).distinct()
+    d = documents.select("doc_id", hint_key(F.col("name")).alias("name_key")).distinct()
+    return either_holds(h, d, "key", "name_key").select("case_id", "doc_id").distinct()
 
 
 def explode_evidence(cases: DataFrame) -> DataFrame:

@@ -78,6 +78,14 @@ def test_holding(spark):
     assert sorted(tuple(r) for r in retrieval.holding(docs, asked).collect()) == [(1, 1), (2, 1), (2, 2), (2, 4), (3, 1), (3, 2), (6, 1)]
 
 
+def test_either_holds(spark):
+    names = ["", "a", "ab", "abc", "xabcx", "bc", "zzz", "cxab", None, "abcabc"]
+    left = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, a string")
+    right = spark.createDataFrame([(j, n) for j, n in enumerate(names)], "j int, b string")
+    want = sorted((i, j) for i, x in enumerate(names) for j, y in enumerate(names) if x and y and (x in y or y in x))
+    assert sorted((r.i, r.j) for r in retrieval.either_holds(left, right, "a", "b").collect()) == want
+
+
 def test_order_statistics(spark):
     r = np.random.default_rng(2)
     values = [*r.normal(size=500).tolist(), *[3.0] * 400, 1e300, -1e300, *(1 + r.random(300) * 1e-9).tolist()]

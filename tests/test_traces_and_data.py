@@ -30,6 +30,8 @@ def test_reasons_and_report(spark):
     rows = {r.case_id: r.reasons for r in traces.failure_reasons(cases).collect()}
     assert rows == {1: [], 2: ["error", "source_missed", "keywords_missed", "confidence_differs"]}
     assert traces.markdown(spark.createDataFrame([("m", 1)], "mode string, n int"), "mode").splitlines()[-1] == "| m | 1 |"
+    three = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "mode string, n int")
+    assert traces.markdown(three, "mode", most=2).splitlines()[-2:] == ["| b | 2 |", "Only the first 2 rows are shown."]
 
 
 def test_results_become_candidates(spark):
