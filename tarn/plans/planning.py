@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +166,29 @@ def live_entries(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
+class QueryCache:
+    """Answers by key in a Parquet table: each put adds a row, and the newest row of a key that hasn't expired is its answer."""
+
+    KIND = "key string, answer string, confidence string, created_at timestamp, expires_at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, answers: DataFrame) -> None:
+        """Add those of the answers (the columns of KIND) that are worth keeping."""
+        admit(answers).select("key", "answer", "confidence", "created_at", "expires_at").write.mode("append").parquet(self.path)
+
+    def get(self, keys: DataFrame, now: Column) -> DataFrame:
+        """(key, answer, confidence) of the keys that have a live answer."""
+        try:
+            held = self.spark.read.schema(self.KIND).parquet(self.path)
+        except AnalysisException:  # nothing was put yet
+            held = self.spark.createDataFrame([], self.KIND)
+        live = live_entries(held, now).join(keys.select("key").distinct(), "key", "left_semi")
+        newest = live.groupBy("key").agg(F.max_by(F.struct("answer", "confidence"), F.struct("created_at", "answer")).alias("x"))
+        return newest.select("key", "x.answer", "x.confidence")
+
+
 def admit(answers: DataFrame) -> DataFrame:
     """Answers worth caching: those the evidence supports."""
     return answers.filter(F.col("confidence") == "supported")

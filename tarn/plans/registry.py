@@ -1,15 +1,17 @@
-"""Registries of exchangeable parts: embedders, rerankers, parsers, chunkers, compilers, planners."""
+"""Registries of exchangeable parts: embedders, rerankers, parsers, chunkers, compilers, planners, graph stores."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("embedder", "sparse", "reranker", "loader", "parser", "chunker", "parent_builder", "indexer", "sql_compiler", "planner", "provider")
+from tarn.operators import graph
+
+KINDS = ("embedder", "sparse", "reranker", "loader", "parser", "chunker", "parent_builder", "indexer", "sql_compiler", "planner", "provider", "graph_store", "graph_cache")
 
 
 class Registry:
@@ -73,3 +75,39 @@ def planned(model: Callable[[str], dict], check: Callable[[dict], list[str]], qu
             return plan
         prompt = f"{question}\nRejected: {', '.join(reasons)}"
     return None
+
+
+class GraphStore(Protocol):
+    """What graph retrieval needs of a store; all tables are DataFrames, so a call is a plan and runs for all seeds at once."""
+
+    def entities(self, terms: DataFrame) -> DataFrame: ...
+
+    def neighbours(self, seeds: DataFrame) -> DataFrame: ...
+
+    def paths(self, pairs: DataFrame) -> DataFrame: ...
+
+
+class TableGraphStore:
+    """A graph in two tables: edges (source, target, edge_id, confidence) and names (entity_id, name, aliases)."""
+
+    def __init__(self, edges: DataFrame, names: DataFrame):
+        self.edges, self.names = edges, names
+
+    def entities(self, terms: DataFrame) -> DataFrame:
+        return graph.resolve_entities(terms, self.names)
+
+    def neighbours(self, seeds: DataFrame) -> DataFrame:
+        return graph.neighbours(seeds, self.edges)
+
+    def paths(self, pairs: DataFrame) -> DataFrame:
+        return graph.paths(pairs, self.edges)
+
+
+class NoGraphCache:
+    """A cache that keeps nothing."""
+
+    def get(self, key: str) -> None:
+        return None
+
+    def put(self, key: str, rows: DataFrame) -> None:
+        return None

@@ -915,3 +915,16 @@ def ablation_lane_scores(t):
         "metric": F.lit("en"), "metrics": F.array("lang"), "sparse_text": F.lit(None).cast("string"),
     })
     return fusion.lane_scores(pairs, boost_must=True).select("query_id", "chunk_id", "dense", "bm25", "metric_alias", F.col("table").alias("table_score"))
+
+
+@query("""WITH c AS (SELECT doc_id AS chunk_id, doc_id // 10 AS doc, (doc_id % 10)::INT AS page FROM documents),
+p AS (SELECT DISTINCT doc, page, 'p' || doc || '-' || page AS id FROM c WHERE page % 2 = 0), w AS (SELECT DISTINCT doc, 'd' || doc AS id FROM c WHERE doc % 3 <> 0)
+SELECT chunk_id, coalesce(p.id, w.id) AS parent_id FROM c LEFT JOIN p USING (doc, page) LEFT JOIN w USING (doc)""")
+def chunk_parent_map(t):
+    """Chunks with their page's parent, else their document's, else none."""
+    doc, page = F.floor(F.col("doc_id") / 10), (F.col("doc_id") % 10).cast("int")
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), doc.alias("doc_id"), page.alias("page"))
+    d, p = F.col("doc_id").cast("string"), F.col("page").cast("string")
+    pages = chunks.filter("page % 2 = 0").select("doc_id", "page", F.concat(F.lit("p"), d, F.lit("-"), p).alias("parent_id")).distinct()
+    whole = chunks.filter("doc_id % 3 <> 0").select("doc_id", F.lit(None).cast("int").alias("page"), F.concat(F.lit("d"), d).alias("parent_id")).distinct()
+    return chunking.chunk_parents(chunks, pages.unionByName(whole)).select("chunk_id", "parent_id")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions import numbers as N
 from tarn.functions import text as T
-from tarn.operators import candidates, fusion, graph, measures, packing, profiling, retrieval, traces, verification
+from tarn.operators import candidates, chunking, fusion, graph, measures, packing, profiling, retrieval, traces, verification
 from tarn.plans import planning
-from tarn.plans.registry import embedder
+from tarn.plans.registry import NoGraphCache, TableGraphStore, embedder
 from tarn.sources import datasets, files
 
 
@@ -186,6 +186,34 @@ def test_plans_and_caches(spark):
     assert [r.id for r in planning.admit(answers).collect()] == [1]
 
 
+def test_cached_answers(spark, tmp_path):
+    cache = planning.QueryCache(spark, f"file://{tmp_path}/cache")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "key string")
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    assert cache.get(keys, now).collect() == []
+    at = lambda *rows: spark.createDataFrame(rows, "key string, answer string, confidence string, c string, e string").select("key", "answer", "confidence", F.col("c").cast("timestamp").alias("created_at"), F.col("e").cast("timestamp").alias("expires_at"))
+    cache.put(at(("a", "old", "supported", "2024-01-01 00:00:00", None), ("b", "gone", "supported", "2024-01-01 00:00:00", "2024-01-01 12:00:00"), ("c", "weak", "insufficient", "2024-01-01 00:00:00", None)))
+    cache.put(at(("a", "new", "supported", "2024-01-01 01:00:00", "2024-01-03 00:00:00"), ("d", "other", "supported", "2024-01-01 00:00:00", None)))
+    assert [tuple(r) for r in cache.get(keys, now).collect()] == [("a", "new", "supported")]
+    later = F.lit("2024-01-04 00:00:00").cast("timestamp")
+    assert [tuple(r) for r in cache.get(keys, later).collect()] == [("a", "old", "supported")]
+
+
+def test_graph_stores(spark):
+    edges = spark.createDataFrame([("a", "b", "1", 0.9), ("b", "c", "2", 0.5)], "source string, target string, edge_id string, confidence double")
+    store = TableGraphStore(edges, spark.createDataFrame([("a", "Alpha", ["al"])], "entity_id string, name string, aliases array<string>"))
+    assert [r.entity_id for r in store.entities(spark.createDataFrame([("ALPHA",)], "term string")).collect()] == ["a"]
+    assert sorted(r.other for r in store.neighbours(spark.createDataFrame([("b",)], "node string")).collect()) == ["a", "c"]
+    assert [r.mid for r in store.paths(spark.createDataFrame([("a", "c")], "start string, goal string")).collect()] == ["b"]
+    assert NoGraphCache().get("k") is None and NoGraphCache().put("k", edges) is None
+
+
+def test_chunks_stay_on_their_page(spark):
+    pages = spark.createDataFrame([(1, 2, "c d"), (1, 1, "a b\n\nc d e"), (2, None, "x"), (3, 1, None)], "doc_id int, page int, text string")
+    rows = chunking.chunk_pages(pages, 3, 0).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.page, r.chunk_index, r.text) for r in rows] == [(1, 1, 0, "a b"), (1, 1, 1, "c d e"), (1, 2, 2, "c d"), (2, None, 0, "x")]
+
+
 def test_document_hints(spark):
     docs = spark.createDataFrame([(1, "http://x/Annual-Report_2020.pdf?v=1"), (2, "ab"), (3, "")], "doc_id int, name string")
     hints = spark.createDataFrame([(1, "report 2020"), (2, "a/b/ANNUALREPORT2020PDF.bak#p"), (3, "xaby"), (4, "a"), (5, " "), (6, "2021")], "case_id int, hint string")
