@@ -2,9 +2,10 @@
 
 Each class has its own counts of the longest n-grams (``ORDER`` bytes, shorter at the start of a word); what those
 leave by absolute discounting goes to backoff distributions of continuation counts that both classes share. A rare
-expression is thus scored by the shared backoff in both models and cancels out of their ratio. A text's signal is
-the largest length-normalised log-likelihood ratio of ``WINDOW`` neighbouring words, next to that of the whole text;
-a logistic curve over both, fitted on labelled rows the models did not see, makes a probability of it.
+expression is thus scored by the shared backoff in both models and cancels out of their ratio. A text's signals are
+length-normalised log-likelihood ratios: the largest mean of ``WINDOW`` neighbouring words, the mean of the whole text, and
+what its distinct words have above ``CLEAR`` each, over the root of their number, so that expressions of which each is
+rare add up. A logistic curve over them, fitted on labelled rows the models did not see, makes a probability of it.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder
+from .common import lean, materialize, remainder
 from .shingles import mixed
 
 ORDER = 5
 WINDOW = 4
+CLEAR = 2.0  # a word's log-likelihood ratio up to which it says nothing by itself
+SIGNALS = ["peak", "mean", "excess"]
 DISCOUNT = 0.75
 #: Cells of a model of hashed counts (`_ngrams` of a few words); fitted models hold counts by 63-bit keys, one per n-gram.
 CELLS = 1 << 20
@@ -106,6 +109,7 @@ def _ngrams(words: Counter, other: Counter, keyed: bool = False) -> pd.DataFrame
     return pd.concat(parts)
 
 
+@lean
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = (Counter(), Counter())
     for b in batches:
@@ -183,7 +187,7 @@ def word_ratios(model: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
 
 
 class Scorer:
-    """Texts -> (largest window mean, mean) of the log-likelihood ratio per word; 0 for texts without words."""
+    """Texts -> SIGNALS of the log-likelihood ratio per word; 0 for texts without words."""
 
     def __init__(self, model: dict[str, np.ndarray]):
         self.model, self.known = model, {}
@@ -197,12 +201,14 @@ class Scorer:
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             self.known.update(zip(part, word_ratios(self.model, part).tolist(), strict=True))
-        out = np.zeros((len(split), 2))
+        out = np.zeros((len(split), len(SIGNALS)))
         for i, ws in enumerate(split):
             if ws:
                 total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, ws), np.float64, len(ws)))])
                 k = min(WINDOW, len(ws))
-                out[i] = (total[k:] - total[:-k]).max() / WINDOW, total[-1] / len(ws)
+                once = dict.fromkeys(ws)
+                above = np.fromiter(map(self.known.__getitem__, once), np.float64, len(once)) - CLEAR
+                out[i] = (total[k:] - total[:-k]).max() / WINDOW, total[-1] / len(ws), np.maximum(above, 0).sum() / np.sqrt(len(once))
         return out
 
 
@@ -222,12 +228,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _features(held):
-    @F.pandas_udf("peak double, mean double")
+    @F.pandas_udf(", ".join(f"{s} double" for s in SIGNALS))
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(held.value)
         for s in parts:
             cut = [score(s.iloc[i : i + _ROWS]) for i in range(0, len(s), _ROWS)]
-            yield pd.DataFrame(np.concatenate(cut) if cut else np.zeros((0, 2)), columns=["peak", "mean"])
+            yield pd.DataFrame(np.concatenate(cut) if cut else np.zeros((0, len(SIGNALS))), columns=SIGNALS)
 
     return run
 
@@ -250,14 +257,14 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     seen = shown.select(features("text").alias("x"), "toxic").select("x.*", "toxic").toPandas()  # max_rows / 3 rows of numbers
     y = seen["toxic"].to_numpy(np.float64)
     if len(y) and 0 < y.sum() < len(y):
-        peak, mean, base = fit_curve(seen[["peak", "mean"]].to_numpy(), y).tolist()
+        *weights, base = fit_curve(seen[SIGNALS].to_numpy(), y).tolist()
     else:
         rate = float(y.mean()) if len(y) else 0.0
-        peak, mean, base = 0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
+        weights, base = [0.0] * len(SIGNALS), float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
 
     def score(text: Column) -> Column:
         x = features(text)
-        return 1 / (1 + F.exp(-(x["peak"] * F.lit(peak) + x["mean"] * F.lit(mean) + F.lit(base))))
+        return 1 / (1 + F.exp(-sum((x[s] * F.lit(w) for s, w in zip(SIGNALS, weights, strict=True)), F.lit(base))))
 
     return score
 
@@ -277,7 +284,7 @@ def toxicity(
     curve from remainder 3. The models learn from all those rows, and their tables grow with the distinct n-grams; for the
     curve at most about ``max_rows`` labelled rows are sampled by a hash of the id. Labels are broadcast up to that number,
     beyond it the join shuffles; texts are used whole. A label that is null is ignored; of
-    several for an id, the largest holds. The score of a text without words (null, empty) is the curve at ratio 0.
+    several for an id, the largest holds. The score of a text without words (null, empty) is the curve at signals of 0.
     Without labelled rows of both classes every score is the share of toxic labels. A null id hashes as empty text
     and has no label. Other columns are not read; an empty table gives no rows.
     """

@@ -94,6 +94,7 @@ def test_samples(spark, messy, empty):
     for r in rows:
         by.setdefault(r.doc_id, set()).add(tuple(r.ids))
     assert by[5] == {()} and len(by[7]) == 3 and len(by[1]) == 3
+    assert sorted(r.sample for r in rows if r.doc_id == 2) == [0, 0, 1, 1, 2, 2] and len(by[2]) == 3  # a repeated row repeats its samples
     assert segment_sampling.sample_segmentations(empty, PIECES).collect() == []
 
 
