@@ -1,8 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-The templates' words, in order of their frequency over all documents, rarest first, are the tokens. A block (a line, or
-as many neighbouring words as the template has, across lines) meets a template if it holds at least ``threshold`` of the
-template's set. Whoever does holds one of the template's first tokens (prefix filter), is long enough (length filter),
+The templates' words, in order of their frequency over all documents, rarest first, are the tokens. A block (a line of at
+most SPREAD times as many words as the template has, or as many neighbouring words as it has, across lines) meets a
+template if it holds at least ``threshold`` of the template's set. Whoever does holds one of the template's first tokens (prefix filter), is long enough (length filter),
 and still has enough tokens behind the first shared one (positional filter); only blocks that pass all three are
 compared. Blocks across lines are those around a first token, from every start.
 """
@@ -31,6 +31,7 @@ TEMPLATES = [
 #: Phrases whose places are counted, and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
+SPREAD = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A character of a word before A-Z become lower case.
 RAW_CHAR = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -67,8 +68,9 @@ def _labels(values: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), templates=TEMPLATES) -> DataFrame:
     """One row per input row: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    Blocks are lines of the whole text and, since license texts are wrapped, all runs of as many words as a template has,
-    whatever lines they stand in; a block meets a template if it holds at least ``threshold`` of its distinct words.
+    Blocks are lines of at most SPREAD times as many words as a template has (words that are scattered over a longer line say
+    nothing) and, since license texts are wrapped, all runs of as many words as it has, whatever lines they stand in; a
+    block meets a template if it holds at least ``threshold`` of its distinct words.
     n_base counts all places of the base phrases, also across lines; first_word and last_word are the smallest and
     largest of their starts, words from 0. labels are the base labels and those of templates met, distinct and sorted.
     score is 1 with a base phrase, else the largest share of a met template, else 0. Null and empty texts have 0
@@ -83,6 +85,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = {w: i for i, w in enumerate(order)}
     ranked = [(label, sorted(rank[w] for w in ws), math.ceil(len(ws) * num / den)) for label, ws in _sets(templates)]
     prefixes = sorted({r for _, rs, need in ranked for r in rs[: len(rs) - need + 1]})
+    lengths = [len(text.split()) for _, text in templates]
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -94,25 +97,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def share(block: Column) -> Column:
         """Of one block's ranks (sorted, with how many words it has): an array with the share of each template, null if not met."""
 
-        def one(rs: list[int], need: int) -> Column:
+        def one(rs: list[int], need: int, length: int) -> Column:
             first = rs[: len(rs) - need + 1]
             r = block["ranks"]
             lead = F.element_at(F.filter(r, lambda x: x.isin(first)), 1)
             behind_block = F.size(r) - F.array_position(r, lead) + 1
             behind_template = F.size(F.filter(F.array(*map(F.lit, rs)), lambda x: x >= lead))
             shared = F.size(F.array_intersect(r, F.array(*map(F.lit, rs))))
-            passes = (block["n"] >= need) & F.arrays_overlap(r, F.array(*map(F.lit, first)))
+            passes = (block["n"] >= need) & (block["words"] <= SPREAD * length) & F.arrays_overlap(r, F.array(*map(F.lit, first)))
             return F.when(passes & (F.least(behind_block, behind_template) >= need) & (shared >= need), shared / len(rs)).cast("double")
 
-        return F.array(*[one(rs, need) for _, rs, need in ranked])
+        return F.array(*[one(rs, need, n) for (_, rs, need), n in zip(ranked, lengths, strict=True)])
 
     def block(line: Column) -> Column:
         vocabulary = F.array(*map(F.lit, order))
         return let(
-            F.array_distinct(_words(line)),
-            lambda ws: F.struct(
-                F.size(ws).alias("n"),
-                F.array_sort(F.transform(F.array_intersect(ws, vocabulary), lambda w: F.element_at(ranks, w))).alias("ranks"),
+            F.struct(_words(line).alias("all"), F.array_distinct(_words(line)).alias("ws")),
+            lambda x: F.struct(
+                F.size(x["all"]).alias("words"),
+                F.size(x["ws"]).alias("n"),
+                F.array_sort(F.transform(F.array_intersect(x["ws"], vocabulary), lambda w: F.element_at(ranks, w))).alias("ranks"),
             ),
         )
 
@@ -121,7 +125,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def runs(ws: Column) -> Column:
         """Per place of a first token: an array with each template's best share in a run of its length around the place, null if not met."""
         held = [sorted(set(text.lower().split())) for _, text in templates]
-        lengths = [len(text.split()) for _, text in templates]
 
         def one(at: Column, words: list[str], length: int, rs: list[int], need: int) -> Column:
             own = F.array(*map(F.lit, words))

@@ -68,9 +68,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    from .license_scan import PHRASES, TEMPLATES
+    from .license_scan import PHRASES, SPREAD, TEMPLATES
 
-    templates = ", ".join(f"('{label}', {sorted(set(text.lower().split()))!r})" for label, text in TEMPLATES)
+    templates = ", ".join(f"('{label}', {sorted(set(text.lower().split()))!r}, {len(text.split())})" for label, text in TEMPLATES)
     phrases = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p, 1)) + f" THEN '{label}'" for p, label in PHRASES.items())
     sql = r"""
         WITH d AS (
@@ -79,11 +79,15 @@ def _license_sql() -> str:
         s AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w WHERE contains(text, 'license')),
         p AS (SELECT doc_id, i, CASE {phrases} END AS label FROM s),
         b AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM p WHERE label IS NOT NULL GROUP BY doc_id),
-        t(label, toks) AS (VALUES {templates}),
+        t(label, toks, n) AS (VALUES {templates}),
         l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
-        k AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS ws FROM l),
+        k AS (SELECT doc_id, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM l),
+        f AS (SELECT doc_id, w, label, toks, n FROM w, t WHERE 5 * len(list_intersect(w, toks)) >= 4 * len(toks)),
+        r AS (SELECT doc_id, label, len(toks) AS size,
+                     list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(toks, w[i])), lambda i: len(list_intersect(list_slice(w, i, i + n - 1), toks)))) AS shared FROM f),
         m AS (SELECT doc_id, label, len(list_intersect(ws, toks)) / len(toks)::DOUBLE AS share
-              FROM k, t WHERE 5 * len(list_intersect(ws, toks)) >= 4 * len(toks)),
+              FROM k, t WHERE len(ws) <= {spread} * n AND 5 * len(list_intersect(ws, toks)) >= 4 * len(toks)
+              UNION ALL SELECT doc_id, label, shared / size::DOUBLE FROM r WHERE 5 * shared >= 4 * size),
         g AS (SELECT doc_id, label, 0.0::DOUBLE AS share, true AS base FROM p WHERE label IS NOT NULL
               UNION ALL SELECT doc_id, label, share, false FROM m),
         a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
@@ -92,7 +96,7 @@ def _license_sql() -> str:
                coalesce(a.base_labels, '') AS base_labels, coalesce(a.labels, '') AS labels,
                CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(a.share, 0.0) END::DOUBLE AS score
         FROM w LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
-    return sql.replace("{phrases}", phrases).replace("{templates}", templates)
+    return sql.replace("{phrases}", phrases).replace("{templates}", templates).replace("{spread}", str(SPREAD))
 
 
 def op9_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
