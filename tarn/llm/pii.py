@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 FIRST_YEAR, LAST_YEAR = 1900, 2099
-KINDS = ["email", "iban", "date", "ip", "phone", "card"]
+KINDS = ["email", "iban", "date", "ip", "ssn", "phone", "card"]
 
 # Each pattern starts at the start of a run of its characters, so that no run is tried twice.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,190}\.[A-Za-z]{2,24}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?![\d/\-])"
+DATE = r"(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/\-])"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-PHONE = r"(?<![\d+])(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
+PHONE = r"(?<![\d+])(?:(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\+1\d{10})(?!\d)"
+ABROAD = r"(?<![\d+])\+[2-9](?:[ .\-]?\d){7,14}(?![ .\-]?\d)"
+#: Country codes: one digit, two digits, or else three.
+COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?![ \-]?\d)"
-ALL = "|".join([EMAIL, IBAN, DATE, IP, PHONE, CARD])
+ALL = "|".join([EMAIL, IBAN, DATE, IP, SSN, PHONE, ABROAD, CARD])
 
 
 def let(value: Column, body) -> Column:
@@ -65,7 +69,23 @@ def _ymd(s: Column) -> Column:
     d = _digits(s)
     first = F.substring(s, 5, 1).rlike("[-/]")
     part = lambda a, n: F.substring(d, a, n).cast("int")
-    return F.when(first, F.array(part(1, 4), part(5, 2), part(7, 2))).otherwise(F.array(part(5, 4), part(3, 2), part(1, 2)))
+    month_first = F.substring(s, 3, 1).eqNullSafe("/") & (part(1, 2) <= 12)
+    return (
+        F.when(first, F.array(part(1, 4), part(5, 2), part(7, 2)))
+        .when(month_first, F.array(part(5, 4), part(1, 2), part(3, 2)))
+        .otherwise(F.array(part(5, 4), part(3, 2), part(1, 2)))
+    )
+
+
+def _late_day(s: Column) -> Column:
+    """dd/mm/yyyy: the day must stay above 12, or the month would be read first."""
+    return F.substring(s, 3, 1).eqNullSafe("/") & (F.substring(s, 1, 2).cast("int") > 12)
+
+
+def _late_starts(leap: Column) -> Column:
+    """Places of the months' first days above 12 in the year's list of such days."""
+    at = lambda x: F.array(*[F.lit(sum(n - 12 for n in ([31, 28 + x, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][:m]))) for m in range(12)])
+    return F.when(leap, at(1)).otherwise(at(0))
 
 
 def _leap(y: Column) -> Column:
@@ -100,6 +120,8 @@ def kind_of(s: Column) -> Column:
         .when(s.rlike("^[A-Z]"), F.when(_iban_checked(s) == 1, "iban"))
         .when(s.rlike(f"^(?:{DATE})$"), F.when(_valid_date(s), "date"))
         .when(s.rlike(f"^(?:{IP})$"), F.when(octets, "ip"))
+        .when(s.rlike(f"^(?:{SSN})$"), F.when(~s.rlike(r"^(?:000|666|9)|-00-|-0000$"), "ssn"))
+        .when(s.rlike(f"^(?:{ABROAD})$"), "phone")
         .when(s.rlike(f"^(?:{PHONE})$") & ~s.rlike(r"^\d{3}[ -]\d{3}[ -]\d{4}[ -]"), "phone")
         .when(F.length(_digits(s)).between(13, 19), F.when(_luhn(_digits(s)) == 0, "card"))
     )
@@ -126,8 +148,28 @@ def _parts(kind: Column, s: Column) -> Column:
     local = F.instr(s, "@")
     n = F.length(_digits(s))
 
+    abroad = s.rlike(r"^\+[2-9]")
+    country = F.length(F.regexp_extract(_digits(s), COUNTRY, 0))
+
     def phone(c: Column, i: Column) -> Column:
         at = F.length(_digits(F.substring(s, F.lit(1), i + 1))) - 1  # which digit this is
+        return F.when(abroad, phone_abroad(c, at)).otherwise(phone_at_home(c, at))
+
+    def phone_abroad(c: Column, at: Column) -> Column:
+        d = F.ascii(c) - 48
+        fixed = ~c.rlike("^[0-9]$") | (at < country) | ((at == country) & (d == 0))
+        return F.when(fixed, _part(F.lit(0), F.lit(1))).when(at == country, _part(d - 1, F.lit(9))).otherwise(_part(d, F.lit(10)))
+
+    def ssn(area: Column) -> Column:
+        rest = lambda a, k: F.substring(s, a, k).cast("int") - 1
+        return F.array(_part(area - 1 - (area > 666).cast("int"), F.lit(898)), _part(rest(5, 2), F.lit(99)), _part(rest(8, 4), F.lit(9999)))
+
+    def octet(o: Column) -> Column:
+        # One with leading zeros keeps one, so that it is read in the same way again.
+        zeros = o.rlike("^0[0-9]")
+        return _part(o.cast("int"), F.when(zeros, F.pow(F.lit(10), F.length(o) - 1)).otherwise(256))
+
+    def phone_at_home(c: Column, at: Column) -> Column:
         from_end = n - at
         leading = (from_end == 10) | (from_end == 7)
         d = F.ascii(c) - 48
@@ -145,33 +187,40 @@ def _parts(kind: Column, s: Column) -> Column:
         y = p[0]
         day = F.aggregate(F.slice(_month_days(y), F.lit(1), p[1] - 1), F.lit(0), lambda a, x: a + x) + p[2] - 1
         index = F.when(_leap(y), F.array_position(_years(True), y)).otherwise(F.array_position(_years(False), y)) - 1
+        late = F.get(_late_starts(_leap(y)), p[1] - 1) + p[2] - 13
+        days = F.when(_leap(y), 366).otherwise(365)
         return F.array(
             _part(index, F.when(_leap(y), sum(_IS_LEAP)).otherwise(len(_IS_LEAP) - sum(_IS_LEAP))),
-            _part(day, F.when(_leap(y), 366).otherwise(365)),
+            F.when(_late_day(s), _part(late, days - 144)).otherwise(_part(day, days)),
         )
 
     return (
         F.when(kind == "email", F.transform(_chars(s), lambda c, i: _char_part(c, i + 1 < local)))
         .when(kind == "iban", F.transform(_chars(s), lambda c, i: _char_part(c, i >= 4)))
         .when(kind == "date", let(_ymd(s), date))
-        .when(kind == "ip", F.transform(F.split(s, r"\."), lambda o: _part(o, F.lit(256))))
+        .when(kind == "ip", F.transform(F.split(s, r"\."), octet))
+        .when(kind == "ssn", let(F.substring(s, 1, 3).cast("int"), ssn))
         .when(kind == "phone", F.transform(_chars(s), phone))
         .otherwise(F.transform(_chars(s), card))
     )
 
 
 def _feistel(kind: Column, parts: Column, key: str, undo: bool) -> Column:
-    """In round k, parts at places of k's parity move by amounts that hang on the key and on all other parts."""
+    """In round k, parts at places of k's parity move by amounts that hang on the key and on all other parts.
+
+    Each part has digits of its own of the digests: one digest for every 16 parts.
+    """
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     size = F.size(parts)
 
     def turn(a: Column, k: Column) -> Column:
         others = F.array_join(F.transform(a, lambda x, i: F.when((i + k) % 2 == 1, x["v"].cast("string")).otherwise(x["r"].cast("string"))), ",")
-        digest = F.sha2(F.concat_ws("|", F.lit(key), kind, k.cast("string"), size.cast("string"), others), 256)
+        one = lambda j: F.sha2(F.concat_ws("|", F.lit(key), kind, k.cast("string"), size.cast("string"), j.cast("string"), others), 256)
+        digest = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((size - 1) / 16).cast("int")), one), "")
 
         def moved(h: Column) -> Column:
             def one(x: Column, i: Column) -> Column:
-                amount = F.conv(F.substring(h, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                amount = F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
                 new = F.pmod(x["v"] - amount if undo else x["v"] + amount, x["r"])
                 return _part(F.when((i + k) % 2 == 0, new).otherwise(x["v"]), x["r"])
 
@@ -197,7 +246,7 @@ def _write(kind: Column, s: Column, before: Column, parts: Column) -> Column:
     def char(c: Column, i: Column) -> Column:
         v = F.get(parts, F.size(_free(F.slice(before, F.lit(1), i + 1))) - 1)["v"]
         r = F.get(before, i)["r"]
-        base = F.when(c.rlike("^[0-9]$"), F.when(r == 8, 50).otherwise(48)).when(c.rlike("^[a-z]$"), 97).otherwise(65)
+        base = F.when(c.rlike("^[0-9]$"), F.when(r == 8, 50).when(r == 9, 49).otherwise(48)).when(c.rlike("^[a-z]$"), 97).otherwise(65)
         return F.when(r == 1, c).otherwise(F.chr((base + v).cast("long")))
 
     spelled = F.array_join(F.transform(_chars(s), char), "")
@@ -212,15 +261,31 @@ def _write(kind: Column, s: Column, before: Column, parts: Column) -> Column:
         return F.concat(F.substring(new, 1, 2), _pad(98 - _iban_checked(blank), 2), F.substring(new, F.lit(5), F.length(new)))
 
     def date() -> Column:
-        leap = parts[1]["r"] == 366
+        leap = parts[1]["r"].isin(366, 366 - 144)
         year = F.when(leap, F.get(_years(True), parts[0]["v"])).otherwise(F.get(_years(False), parts[0]["v"]))
         day = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), parts[1]["v"])
-        dotted = s.contains(".")
-        return F.when(dotted, F.date_format(day, "dd.MM.yyyy")).when(s.contains("/"), F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+        starts = F.filter(_late_starts(leap), lambda x: x <= parts[1]["v"])
+        late = F.concat_ws("/", _pad(parts[1]["v"] - F.array_max(starts) + 13, 2), _pad(F.size(starts), 2), year.cast("string"))
+        dotted, slashed = s.contains("."), F.substring(s, 3, 1) == "/"
+        return (
+            F.when(_late_day(s), late)
+            .when(slashed, F.date_format(day, "MM/dd/yyyy"))
+            .when(dotted, F.date_format(day, "dd.MM.yyyy"))
+            .when(s.contains("/"), F.date_format(day, "yyyy/MM/dd"))
+            .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        )
+
+    def octets() -> Column:
+        return F.array_join(F.zip_with(parts, F.split(s, r"\."), lambda p, o: F.when(o.rlike("^0[0-9]"), F.lpad(p["v"].cast("string"), F.length(o), F.lit("0"))).otherwise(p["v"].cast("string"))), ".")
+
+    def ssn() -> Column:
+        area = parts[0]["v"] + 1
+        return F.concat_ws("-", _pad(area + (area >= 666).cast("int"), 3), _pad(parts[1]["v"] + 1, 2), _pad(parts[2]["v"] + 1, 4))
 
     return (
         F.when(kind == "date", date())
-        .when(kind == "ip", F.array_join(F.transform(parts, lambda p: p["v"].cast("string")), "."))
+        .when(kind == "ip", octets())
+        .when(kind == "ssn", ssn())
         .when(kind == "card", let(spelled, card))
         .when(kind == "iban", let(spelled, iban))
         .otherwise(spelled)
@@ -238,17 +303,20 @@ def pseudonym(s: Column, key: str, undo: bool = False) -> Column:
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", undo: bool = False) -> DataFrame:
-    """One row per input row: (doc_id, text, n_email, n_iban, n_date, n_ip, n_phone, n_card).
+    """One row per input row: (doc_id, text, n_email, n_iban, n_date, n_ip, n_ssn, n_phone, n_card).
 
     ``text`` has each valid value replaced by its pseudonym under ``key`` (or, with ``undo``, pseudonyms by the
     originals); counts are of values replaced. Card numbers keep their length and separators and stay valid by Luhn's
-    check; IBANs keep country and check; phone numbers keep country code and valid leading digits; IP addresses stay
-    four octets; dates from 1900 to 2099 stay dates, leap years among themselves; of e-mail addresses the local part
-    changes within its character classes. Matches that aren't valid stay as they are.
-
-    Limits: dates are yyyy-mm-dd, yyyy/mm/dd and dd.mm.yyyy, so 12/31/1999 and 31/12/1999 stay in clear (their day and month
-    can't be told apart); phones are North American numbers of ten digits, with or without +1, so +44 20 7946 0958 and
-    other international numbers stay in clear.
+    check; IBANs keep country and check; phone numbers keep country code and valid leading digits; US social security
+    numbers stay valid ones; IP addresses stay four octets, those with leading zeros with as many digits; dates from 1900 to
+    2099 stay dates, leap years among themselves; of e-mail addresses the local part changes within its character classes.
+    Matches that aren't valid stay as they are. Equal values have equal pseudonyms whatever separators they have, but for
+    dates dd/mm/yyyy with a day above 12 (which stay so) and octets with leading zeros.
+
+    Limits: dates are yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where the day is above 12; dates with
+    one-digit days or months such as 1/5/1999 and dates in words stay in clear. Phones are North American numbers of ten
+    digits and numbers of 8 to 15 digits that start with + and a country code; national numbers of other countries such
+    as 020 7946 0958 stay in clear, and so do IPv6 addresses such as 2001:db8::1.
 
     A null text stays null with counts 0. Repeated rows give repeated rows, whole texts of any length are treated, an
     empty table gives no rows, and other columns are not read. Nothing is shuffled.
