@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.scratch import materialize
 
-__all__ = ["fresh", "lean", "materialize", "remainder", "runs", "text_batches"]
+__all__ = ["fresh", "lean", "materialize", "remainder", "runs", "text_batches", "whole_runs"]
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
@@ -58,6 +58,27 @@ def remainder(doc_id: str = "doc_id", parts: int = 4) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def whole_runs(batches, keys: list[str], rows: int):
+    """Frames of about ``rows`` rows of a sorted stream of pandas frames, cut only where the keys change."""
+    import pandas as pd
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += len(b)
+        if size < rows:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        at = len(whole) - int((whole[keys] != whole[keys].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax())
+        if at < len(whole) or (whole[keys].iloc[0] != whole[keys].iloc[-1]).any():
+            yield whole.iloc[:at]
+            held, size = [whole.iloc[at:]], len(whole) - at
+        else:
+            held = [whole]
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def runs(batches, keys: list[str]):
     """(key, rows) for each run of equal keys in a sorted stream of pandas frames; runs may span frames."""
     import pandas as pd
