@@ -16,20 +16,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import lean, materialize, remainder
 
-#: Runs of letters of any script, lower-cased, are the words.
-WORDS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 SPACE = "▁"
 #: A character that is no piece has this probability in every language.
 UNKNOWN = 1e-8
 #: Keeps forward sums of long words inside a double's range; it cancels between languages.
 SCALE = 3.0
 BACKGROUND = 50.0  # pseudo-counts of the mean of all languages in each language's model
-_KEPT = 300_000  # words a worker keeps
+#: Languages of one broadcast model; more are compared block by block.
+LANGUAGES = 64
+_KEPT = 200_000  # words a worker keeps
+_AT_ONCE = 8_000  # words of one length that are scored at once
 _PADDED = 40  # longer words are summed one by one
 
 
+def words(text: str | None) -> list[str]:
+    """Runs of letters of any script, lower-cased. Numerals such as ½, ² and Ⅷ are no letters."""
+    found = _WORDS.findall((text or "").lower())
+    if found and not "".join(found).isalpha():  # the pattern also takes numerals that are no digits
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
+
+
 def _pieces(path: str) -> dict[str, int]:
     import sentencepiece
 
@@ -47,7 +57,12 @@ class Model:
         for s, i in pieces.items():
             self.p[i] *= np.exp(SCALE * len(s))
         self.unknown = UNKNOWN * np.exp(SCALE)
-        self.known: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Scores of words: where a word's row is, and the rows."""
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.p.shape[1]))
 
     def one(self, word: str) -> np.ndarray:
         """log of the sum over all segmentations, per language, less the scale that all share."""
@@ -89,22 +104,31 @@ class Model:
 
     def learn(self, words) -> None:
         """Scores of new words into the cache."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _KEPT:
-            self.known = {}
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > _KEPT:
+            self.clear()
             new = list(words)
+        have, need = len(self.at), len(self.at) + len(new)
+        if need > len(self.rows):
+            self.rows = np.concatenate([self.rows[:have], np.zeros((max(have // 2, len(new)), self.rows.shape[1]))])
         by: dict[int, list[str]] = {}
         for w in new:
             by.setdefault(len(w), []).append(w)
         for size, ws in by.items():
-            if size > _PADDED:
-                self.known.update((w, self.one(w)) for w in ws)
-            else:
-                for i in range(0, len(ws), 20_000):
-                    self.known.update(zip(ws[i : i + 20_000], self.many(ws[i : i + 20_000]), strict=True))
+            for i in range(0, len(ws), _AT_ONCE):
+                part = ws[i : i + _AT_ONCE]
+                have = len(self.at)
+                self.rows[have : have + len(part)] = [self.one(w) for w in part] if size > _PADDED else self.many(part)
+                self.at.update(zip(part, range(have, have + len(part)), strict=True))
+
+    def score(self, counts: Counter) -> np.ndarray:
+        """The log-likelihood of learned words, so often each, per language."""
+        at = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
+        return np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows[at]
 
 
 def _count(path: str):
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import sentencepiece
 
@@ -115,41 +139,82 @@ def _count(path: str):
         held: dict[str, Counter] = {}
 
         def flush() -> None:
-            for lang, words in held.items():
-                names = list(words)
+            for lang, counts in held.items():
+                names = list(counts)
                 ids = sp.encode(names, num_threads=1)
-                weight = np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(x) for x in ids])
+                weight = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(x) for x in ids])
                 flat = np.fromiter((i for x in ids for i in x), np.int64, len(weight))
                 totals[lang] = totals.get(lang, np.zeros(size)) + np.bincount(flat, weight, size)
             held.clear()
 
+        def sent() -> Iterator[pd.DataFrame]:
+            for lang, t in totals.items():
+                at = np.flatnonzero((t > 0) & ~skip)
+                yield pd.DataFrame({"lang": lang, "piece": at, "n": t[at]})
+            totals.clear()
+
         for b in batches:
             for text, lang in zip(b["text"], b["lang"], strict=True):
-                held.setdefault(lang, Counter()).update(WORDS.findall((text or "").lower()))
-            if sum(map(len, held.values())) > _KEPT:
+                held.setdefault(lang, Counter()).update(words(text))
+            if sum(map(len, held.values())) > _KEPT or len(held) > LANGUAGES:
                 flush()
+            if len(totals) > LANGUAGES:
+                yield from sent()
         flush()
-        for lang, t in totals.items():
-            at = np.flatnonzero((t > 0) & ~skip)
-            yield pd.DataFrame({"lang": lang, "piece": at, "n": t[at]})
+        yield from sent()
 
     return run
 
 
-def fit(docs: DataFrame, model_path: str) -> tuple[list[str], np.ndarray]:
-    """(languages in order, probabilities: languages x pieces) from rows (text, lang); one count per language and piece is collected."""
+def fit_blocks(docs: DataFrame, model_path: str) -> Iterator[tuple[list[str], np.ndarray]]:
+    """For each block of at most LANGUAGES languages, in order: (languages, probabilities: languages x pieces).
+
+    Learned from rows (text, lang). Counts are a written table; what is collected at once is a name per language, a mean
+    per piece, and the counts of one block.
+    """
     import sentencepiece
 
-    counts = docs.filter(F.col("lang").isNotNull()).mapInPandas(_count(model_path), "lang string, piece int, n double")
-    rows = counts.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
     size = sentencepiece.SentencePieceProcessor(model_file=model_path).get_piece_size()
-    n = np.zeros((len(langs), size))
-    n[[langs.index(x) for x in rows["lang"]], rows["piece"].to_numpy()] = rows["n"].to_numpy()
-    total = n.sum(axis=1, keepdims=True)
-    mean = (n / np.maximum(total, 1)).mean(axis=0) if langs else np.zeros(size)
+    counts = docs.filter(F.col("lang").isNotNull()).mapInPandas(_count(model_path), "lang string, piece int, n double")
+    counts = materialize(counts.groupBy("lang", "piece").agg(F.sum("n").alias("n")), "pieces")
+    totals = materialize(counts.groupBy("lang").agg(F.sum("n").alias("total")), "language-totals")
+    langs = sorted(r.lang for r in totals.select("lang").collect())
+    share = counts.join(totals, "lang").groupBy("piece").agg(F.sum(F.col("n") / F.col("total")).alias("s")).toPandas()
+    mean = np.zeros(size)
+    mean[share["piece"].to_numpy(np.int64)] = share["s"].to_numpy(np.float64) / max(1, len(langs))
     mean = (mean + 1e-3 / size) / (mean.sum() + 1e-3)
-    return langs, (n + BACKGROUND * mean) / (total + BACKGROUND)
+    for i in range(0, len(langs), LANGUAGES):
+        block = langs[i : i + LANGUAGES]
+        rows = counts.filter(F.col("lang").isin(block)).toPandas()
+        n = np.zeros((len(block), size))
+        at = {x: k for k, x in enumerate(block)}
+        n[[at[x] for x in rows["lang"]], rows["piece"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+        yield block, (n + BACKGROUND * mean) / (n.sum(axis=1, keepdims=True) + BACKGROUND)
+
+
+def _scores(held, model_path: str):
+    """For a block of languages: whether a text has a letter, its likeliest language there, that log-likelihood, and the logarithm of all of them summed."""
+
+    @F.pandas_udf("letters boolean, lang string, best double, total double")
+    @lean
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        langs, probability = held.value
+        model = Model(_pieces(model_path), probability)
+        for texts in parts:
+            found = []
+            counts = [Counter(words(t)) for t in texts]
+            for i in range(0, len(counts), 500):
+                model.learn(set().union(*counts[i : i + 500]))
+                for c in counts[i : i + 500]:
+                    if not c:
+                        found.append((False, None, None, None))
+                        continue
+                    total = model.score(c)
+                    at = int(total.argmax())
+                    found.append((True, langs[at], float(total[at]), float(total[at] + np.log(np.exp(np.minimum(total - total[at], 0)).sum()))))
+            yield pd.DataFrame(found, columns=["letters", "lang", "best", "total"])
+
+    return predict
 
 
 def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -157,35 +222,26 @@ def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
     Learned from text and non-null language of rows whose crc32(id as text) mod 4 isn't 2, all of them. The prediction
     is the language with the largest likelihood of all letters' words; score is its share of the likelihoods of all
-    languages. A text that is null or has no letter is ``und`` with score 0; if no language was learned, all are. Ties go
-    to the first language in order. Texts are used whole, words of any length too. Null ids hash as empty text; other
-    columns are not read; an empty table gives no rows.
+    languages. A text that is null or has no letter (numerals such as ½, ² and Ⅷ are none) is ``und`` with score 0; if no
+    language was learned, all are. Ties go to the first language in order. Texts are used whole, words of any length too.
+    Null ids hash as empty text; other columns are not read; an empty table gives no rows.
+
+    Languages are compared in blocks of at most LANGUAGES, so that a broadcast has at most LANGUAGES x pieces numbers,
+    whatever values the column of languages holds.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs, probability = fit(rows.filter(remainder("doc_id") != 2).select("text", "lang"), model_path)
-    held = spark.sparkContext.broadcast((langs, probability.astype(np.float64)))
-
-    @F.pandas_udf("lang string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, probability = held.value
-        model = Model(_pieces(model_path), probability) if langs else None
-        for texts in parts:
-            found = []
-            counts = [Counter(WORDS.findall((t or "").lower())) for t in texts]
-            if model:
-                for i in range(0, len(counts), 500):
-                    model.learn(set().union(*counts[i : i + 500]))
-                    for c in counts[i : i + 500]:
-                        if not c:
-                            found.append(("und", 0.0))
-                            continue
-                        total = np.array([model.known[w] for w in c]).T @ np.fromiter(c.values(), np.float64, len(c))
-                        at = int(total.argmax())
-                        found.append((langs[at], float(1 / np.exp(np.minimum(total - total[at], 0)).sum())))
-            else:
-                found = [("und", 0.0)] * len(counts)
-            yield pd.DataFrame(found, columns=["lang", "score"])
-
-    out = rows.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), predict("text").alias("x"))
-    return out.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
+    out = rows.select("doc_id", "text", (remainder("doc_id") == 2).alias("held_out"))
+    blocks = []
+    for n, block in enumerate(fit_blocks(rows.filter(remainder("doc_id") != 2).select("text", "lang"), model_path)):
+        blocks.append(f"_block_{n}")
+        out = out.withColumn(blocks[-1], _scores(spark.sparkContext.broadcast(block), model_path)("text"))
+    und = [F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")]
+    if not blocks:
+        return out.select("doc_id", "held_out", *und)
+    tops = F.array(*[F.col(b) for b in blocks])
+    best = F.array_max(F.transform(tops, lambda x: x["best"]))
+    lang = F.element_at(F.filter(tops, lambda x: x["best"] == best), 1)["lang"]
+    score = 1 / F.aggregate(tops, F.lit(0.0), lambda a, x: a + F.exp(x["total"] - best))
+    letters = F.col(blocks[0])["letters"]
+    return out.select("doc_id", "held_out", F.when(letters, lang).otherwise("und").alias("lang_pred"), F.when(letters, score).otherwise(0.0).alias("score"))
