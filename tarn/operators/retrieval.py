@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import token_set, words
 from tarn.scratch import materialize
+from tarn.session import spread
 
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 VECTORS = 512  # vectors that are compared with a block of queries at once
@@ -122,7 +123,7 @@ def _lexical_top(queries: DataFrame, docs: DataFrame, k: int, terms, names: tupl
     for rows in query_blocks(queries.select(query_id, terms(F.col(query_text)).alias("ts")), query_id, max_queries):
         asked = spark.sparkContext.broadcast(_Asked(rows, distinct))
         texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        matched = materialize(texts.mapInPandas(_matches(asked, split), f"doc_id {kinds[1]}, length int, terms array<int>, tfs array<int>"), "matches")
+        matched = materialize(spread(texts).mapInPandas(_matches(asked, split), f"doc_id {kinds[1]}, length int, terms array<int>, tfs array<int>"), "matches")
         found.append(matched.mapInPandas(_scored(asked, part(matched, asked), scale, k), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"))
     return lane_rank(reduce(DataFrame.unionByName, found), k)
 

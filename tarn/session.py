@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,6 +27,13 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     return session
 
 
+def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """A table of at most ``most`` bytes dealt to all cores, for Python functions that follow: a small file is one row group, and so
+    one task. Larger tables have splits enough and stay where they are; no text of theirs is moved."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once an application, so that Python functions can be loaded there without an install."""
     app = spark.sparkContext.applicationId
