@@ -115,6 +115,49 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened_components
+
+    return whitened_components(_read(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import clusters_with_totals
+
+    return clusters_with_totals(_read(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_table
+
+    return shard_table(_read(spark, sf_dir, "documents"), shards=24)
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    parts = [f"""
+        v AS MATERIALIZED (
+          SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x
+          FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS cluster, x AS c FROM v QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+        a{i} AS MATERIALIZED (
+          SELECT rid, vec_id, x, cluster, distance FROM (
+            SELECT *, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS distance FROM v, c{i})
+          QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+        m{i} AS MATERIALIZED (
+          SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+            SELECT cluster, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{i}, range(1, 65) r(i) GROUP BY cluster, i) GROUP BY cluster),
+        c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m, c)::BIGINT[] AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""WITH {",".join(parts)}
+        SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+               (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -126,6 +169,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_segment_sampling": op9_segment_sampling,
     "op10_mix_sources": op10_mix_sources,
+    "op11_whitening": op11_whitening,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL = {
@@ -172,4 +218,25 @@ ORACLE_SQL = {
                (size * least(3, whole + CASE WHEN upto <= budget OR (upto - n <= budget AND n - (budget - (upto - n)) < budget - (upto - n))
                                              THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM c""",
+    "op12_centroid_clusters": _clusters_sql(),
+    "op13_sharding": """
+        WITH RECURSIVE
+        bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+                 UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+        tbl AS MATERIALIZED (SELECT list(c ORDER BY i) AS tb FROM bits WHERE k = 8),
+        d AS MATERIALIZED (
+          SELECT doc_id, md5(coalesce(doc_id::VARCHAR, '')) AS h, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+                 [4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes
+          FROM documents),
+        r AS MATERIALIZED (
+          SELECT doc_id, h, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tb[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, tbl),
+        j AS (
+          SELECT DISTINCT h, ('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT AS key, 0::BIGINT AS cur, 0::BIGINT AS nxt FROM r
+          UNION ALL
+          SELECT h, k, nxt, floor((nxt + 1) * (2147483648::DOUBLE / ((k // 8589934592) + 1)::DOUBLE))::BIGINT
+          FROM (SELECT h, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k, nxt FROM j WHERE nxt < 24))
+        SELECT doc_id, size, text_crc32, 'key' AS law, cur::INTEGER AS shard,
+               row_number() OVER (PARTITION BY cur ORDER BY substr(r.h, 1, 16), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+               (CASE WHEN nxt = 24 THEN 24 ELSE cur END)::INTEGER AS grown_shard
+        FROM r JOIN j ON r.h = j.h AND j.nxt >= 24""",
 }
