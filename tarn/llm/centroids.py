@@ -98,7 +98,11 @@ def _totals(x: np.ndarray, a: np.ndarray, distance: np.ndarray | None, k: int, h
 
 
 def _assign(id_type, old, new, last: bool):
-    """A pass over the vectors: new state, and at the end of a partition what each cluster's vectors add up to (kind 1)."""
+    """A pass over the vectors: new state, and at the end of a partition what each cluster's vectors add up to (kind 1).
+
+    Both are rows of one file, as a table partitioned by kind would sort all vectors by it. Of a vector's row the sums are null, so
+    that reading them costs next to nothing.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -174,7 +178,7 @@ def cluster(
     for i in range(rounds + 1):
         last = i == rounds
         path = f"{scratch(spark)}/clusters-{uuid.uuid4().hex[:12]}"
-        state.mapInArrow(_assign(id_type, old, model.centroids, last), schema).write.partitionBy("kind").parquet(path)
+        state.mapInArrow(_assign(id_type, old, model.centroids, last), schema).write.parquet(path)
         written = spark.read.schema(schema).parquet(path)
         sums = [F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(dim)]
         found = written.filter("kind = 1").groupBy("cluster").agg(F.sum("size").alias("size"), F.sum("distance").alias("inertia"), F.sum("computed").alias("computed"), *sums).collect()
