@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.retrieval import small
+from tarn.scratch import materialize
+
 KS = (1, 3, 5, 10)
 
 
@@ -32,53 +35,68 @@ def rate(flag: Column) -> Column:
     return F.try_divide(F.count_if(flag).cast("double"), F.count(flag))
 
 
-CELLS = 1024  # of a histogram per group
+RADIX = 16  # bits that a pass looks at: a histogram of at most 2^16 cells per group
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double's 64 bits as a long in the order of doubles: NaN last, both zeros equal; null stays null."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(value.isNotNull(), F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits))
+
+
+def from_ordered_bits(bits: Column) -> Column:
+    """The double of `ordered_bits`."""
+    plain = F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), plain).cast("double")
 
 
-def order_statistics(rows: DataFrame, by: str, value: str, wanted: DataFrame, levels: int = 2) -> DataFrame:
+def order_statistics(rows: DataFrame, by: str, value: str, wanted: DataFrame) -> DataFrame:
     """(by, place, value): the ``place``-th smallest value (from 1) of each group, for a table ``wanted`` (by, place).
 
-    A histogram of CELLS cells between a group's bounds finds the cell of each place; only rows of those cells are looked at
-    again, in cells of cells. What is left is counted by value. All counts combine map-side, so no group is ever in one
-    task, however large: windows run over at most CELLS cells, and at last over the distinct values of one cell.
+    Radix selection: the values' bits, in the order of doubles, are written once beside their groups. A pass counts the next RADIX bits of
+    those rows whose higher bits are some place's, and so finds that place's next bits; after 64 / RADIX passes they are its value. How many
+    passes there are does not depend on how values are spread. Counts combine map-side and windows run over the cells of one
+    histogram, so no group is ever in one task, however large or uneven. Null values have no place.
     """
-    rows = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.lit(0).cast("long").alias("cell"))
-    wanted = wanted.select(F.col(by).alias("g"), "place", F.col("place").alias("left"), F.lit(0).cast("long").alias("cell"))
-    low = Window.partitionBy("g", "cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(levels):
-        open_cells = wanted.select("g", "cell").distinct()
-        rows = rows.join(open_cells, rows.g.eqNullSafe(open_cells.g) & (rows.cell == open_cells.cell), "left_semi")
-        bounds = rows.groupBy("g", "cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        bounds = bounds.select(F.col("g").alias("bg"), F.col("cell").alias("bc"), "lo", "hi")
-        rows = rows.join(bounds, rows.g.eqNullSafe(F.col("bg")) & (rows.cell == F.col("bc")))
-        part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
-        rows = rows.select("g", "v", "cell", part.cast("long").alias("part"))
-        counted = rows.groupBy("g", "cell", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(low), F.lit(0)))
-        counted = counted.select(F.col("g").alias("hg"), F.col("cell").alias("hc"), "part", "n", "before")
-        met = wanted.join(counted, wanted.g.eqNullSafe(F.col("hg")) & (wanted.cell == F.col("hc")) & (F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("n")))
-        wanted = met.select("g", "place", (F.col("left") - F.col("before")).alias("left"), (F.col("cell") * CELLS + F.col("part")).alias("cell"))
-        rows = rows.select("g", "v", (F.col("cell") * CELLS + F.col("part")).alias("cell"))
-    open_cells = wanted.select(F.col("g").alias("og"), F.col("cell").alias("oc")).distinct()
-    rows = rows.join(open_cells, rows.g.eqNullSafe(F.col("og")) & (rows.cell == F.col("oc")), "left_semi")
-    by_value = Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    counted = rows.groupBy("g", "cell", "v").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(by_value), F.lit(0)))
-    counted = counted.select(F.col("g").alias("hg"), F.col("cell").alias("hc"), "v", "n", "before")
-    met = wanted.join(counted, wanted.g.eqNullSafe(F.col("hg")) & (wanted.cell == F.col("hc")) & (F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("n")))
-    return met.select(F.col("g").alias(by), "place", F.col("v").alias("value"))
+    bits = rows.select(F.col(by).alias("g"), ordered_bits(F.col(value)).alias("bits")).filter("bits IS NOT NULL")
+    return _selected(materialize(bits, "ordered-bits"), wanted.select(F.col(by).alias("g"), "place")).withColumnRenamed("g", by)
+
+
+def _selected(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(g, place, value) of a written table (g, bits)."""
+    wanted = wanted.select("g", "place", F.col("place").alias("left"), F.lit(None).cast("long").alias("prefix"))
+    for shift in range(64 - RADIX, -1, -RADIX):
+        counted = rows.withColumn("part", F.shiftright("bits", shift))
+        if shift < 64 - RADIX:
+            # Rows that share the higher bits of a place; their groups and prefixes are as many as places at most.
+            places = wanted.select(F.col("g").alias("og"), F.col("prefix").alias("op")).distinct()
+            here = counted.g.eqNullSafe(places.og) & (F.shiftright("bits", shift + RADIX) == places.op)
+            counted = counted.join(small(places), here, "left_semi")
+        above = F.shiftright("part", RADIX) if shift < 64 - RADIX else F.lit(0).cast("long")
+        cells = counted.groupBy("g", "part").agg(F.count("*").alias("n")).withColumn("above", above)
+        before = Window.partitionBy("g", "above").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnRenamed("g", "hg")
+        same = wanted.g.eqNullSafe(cells.hg) & (F.coalesce(wanted.prefix, F.lit(0)) == F.col("above"))
+        met = wanted.join(cells, same & (F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("n")))
+        wanted = materialize(met.select("g", "place", (F.col("left") - F.col("before")).alias("left"), F.col("part").alias("prefix")), "places")
+    return wanted.select("g", "place", from_ordered_bits(F.col("prefix")).alias("value"))
 
 
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Per group: rows, mean (whole milliseconds, as the reports have it), bounds, p50 and p95 by both definitions.
 
     Nearest rank takes the value at place ceil(p n); linear interpolates between the places around 1 + p (n - 1). The
-    values at those places are exact, by `order_statistics`.
+    values at those places are exact, by `order_statistics`. The table is read once; what is written of it, a group and a value a
+    row, is read once for the totals and once for each pass.
     """
-    rows = rows.filter(F.col(value).isNotNull()).select(by, value)
+    rows = materialize(rows.filter(F.col(value).isNotNull()).select(by, value, ordered_bits(F.col(value)).alias("_bits")), "latencies")
     totals = rows.groupBy(by).agg(F.count("*").alias("n"), F.floor(F.avg(value)).cast("long").alias("avg_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
     # In per cents and whole numbers, so that no place hangs on how a share is rounded.
     places = {p: {"rank": F.greatest(F.ceil(F.col("n") * p / 100), F.lit(1)), "low": F.floor((F.col("n") - 1) * p / 100) + 1, "high": F.ceil((F.col("n") - 1) * p / 100) + 1} for p in (50, 95)}
     every = F.array(*[x.cast("long") for ps in places.values() for x in ps.values()])
-    found = order_statistics(rows, by, value, totals.select(by, F.explode(F.array_distinct(every)).alias("place")))
+    totals = materialize(totals, "latency-totals")
+    wanted = totals.select(F.col(by).alias("g"), F.explode(F.array_distinct(every)).alias("place"))
+    found = _selected(rows.select(F.col(by).alias("g"), F.col("_bits").alias("bits")), wanted).withColumnRenamed("g", by)
     values = found.groupBy(F.col(by).alias("_by")).agg(F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("at"))
     joined = totals.join(values, totals[by].eqNullSafe(F.col("_by")))
     at = lambda x: F.element_at("at", x.cast("long"))

@@ -157,41 +157,63 @@ def holding(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_c
     """(passage_id, id): documents whose text holds a passage as it stands.
 
     A document that holds a passage holds all its words but the first and last as words. So a document only meets the
-    passages whose longest such word it has; only passages without any (of one or two words) meet every document.
+    passages whose longest such word it has. Passages without any (of one or two words) are met by their first run of
+    three characters, or by themselves if they are shorter; only if there are such passages are runs taken from texts. Words and
+    runs travel with ids alone; texts join the candidates last.
     """
     p = passages.select(passage_id, passage).filter(F.col(passage).isNotNull()).withColumn("_ws", words(F.col(passage)))
     inner = F.array_distinct(F.slice("_ws", 2, F.greatest(F.size("_ws") - 2, F.lit(0))))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    p = p.select(passage_id, passage, longest.alias("_word"))
-    d = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    split = d.select(id_col, "_text", F.explode(F.array_distinct(words(F.col("_text")))).alias("_word"))
-    met = split.join(small(p.filter("_word IS NOT NULL")), "_word").filter(F.col("_text").contains(F.col(passage)))
-    rest = d.join(small(p.filter("_word IS NULL")), F.col("_text").contains(F.col(passage)))
-    return met.select(passage_id, id_col).unionByName(rest.select(passage_id, id_col))
+    p = p.select(passage_id, passage, longest.alias("_key"))
+    d = docs.select(F.col(id_col), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
+    met = d.select(id_col, F.explode(F.array_distinct(words(F.col("_text")))).alias("_key")).join(small(p.filter("_key IS NOT NULL")), "_key")
+    short = p.filter("_key IS NULL").withColumn("_key", F.left(passage, F.lit(3)))
+    lengths = [r[0] for r in short.select(F.length("_key")).distinct().collect()]  # of 0, 1, 2, 3
+    if lengths:
+        runs = F.array_distinct(F.flatten(F.array(*[character_runs(F.col("_text"), n) for n in lengths])))
+        met = met.unionByName(d.select(id_col, F.explode(runs).alias("_key")).join(small(short), "_key"))
+    met = met.select(passage_id, F.col(id_col).alias("_id"), passage).distinct()
+    return d.join(small(materialize(met, "may-hold")), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_text").contains(F.col(passage))).select(passage_id, id_col)
+
+
+def character_runs(text: Column, n: int) -> Column:
+    """All runs of n characters of a text (n = 0: an empty one); none if it is shorter."""
+    if n == 0:
+        return F.array(F.lit(""))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.filter(every, lambda r: F.length(r) == n)
+
+
+def contained(short: DataFrame, long: DataFrame, width: int = 3) -> DataFrame:
+    """(short, long): candidates for a text ``short`` (column of the first table) being part of a text ``long`` (of the second): those that
+    have the rarest run of the shorter text. Texts must be distinct and not empty.
+
+    The runs of 1 to ``width`` characters of the long texts are an index, each with the number of texts that have it. A short text of
+    at least ``width`` characters looks all its runs up, and meets only the texts that have the one which fewest have; a run that none
+    has ends its search. A shorter one looks itself up.
+    """
+    grams = F.array_distinct(F.flatten(F.array(*[character_runs(F.col("long"), n) for n in range(1, width + 1)])))
+    held = materialize(long.select("long", F.explode(grams).alias("gram")), "grams")
+    counts = held.groupBy("gram").agg(F.count("*").alias("texts"))
+    own = F.when(F.length("short") < width, F.array("short")).otherwise(F.array_distinct(character_runs(F.col("short"), width)))
+    asked = short.select("short", F.explode(own).alias("gram")).join(counts, "gram", "left")
+    rarest = asked.groupBy("short").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("best")).filter("best.texts > 0")
+    return rarest.select("short", F.col("best.gram").alias("gram")).join(held, "gram").select("short", "long")
 
 
 def either_holds(left: DataFrame, right: DataFrame, a: str, b: str, width: int = 3) -> DataFrame:
     """Rows of both tables whose non-empty texts ``a`` and ``b`` are such that one is part of the other (or both are equal).
 
-    A text that is part of another one has all its runs of ``width`` characters there. So each text looks up one run of its
-    own, picked by a hash, among the runs of the other table's texts; shorter texts look up themselves. A row of both tables
-    is found in either direction and given once: the other way counts only where the texts differ.
+    Distinct texts find each other by their rarest runs (`contained`), in either direction, and the pairs of texts then meet the rows:
+    a text that many rows share is looked up once, and joins back to its rows as a join that can be split.
     """
     left, right = left.filter(F.coalesce(F.col(a), F.lit("")) != ""), right.filter(F.coalesce(F.col(b), F.lit("")) != "")
-
-    def runs(key: Column, n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(n)))
-
-    def probe(key: Column) -> Column:
-        one = F.array_min(F.transform(runs(key, width), lambda g: F.struct(F.xxhash64(g).alias("x"), g.alias("g"))))["g"]
-        return F.when(F.length(key) < width, key).otherwise(one)
-
-    def within(key: Column) -> Column:
-        return F.explode(F.array_distinct(F.flatten(F.array(*[runs(key, n) for n in range(1, width + 1)]))))
-
-    inside = left.withColumn("_run", probe(F.col(a))).join(right.withColumn("_run", within(F.col(b))), "_run").filter(F.col(b).contains(F.col(a)))
-    around = left.withColumn("_run", within(F.col(a))).join(right.withColumn("_run", probe(F.col(b))), "_run").filter(F.col(a).contains(F.col(b)) & (F.col(a) != F.col(b)))
-    return inside.drop("_run").unionByName(around.drop("_run"))
+    ls, rs = left.select(F.col(a).alias("short")).distinct(), right.select(F.col(b).alias("short")).distinct()
+    longer = lambda df: df.withColumnRenamed("short", "long")
+    inside = contained(ls, longer(rs), width).filter(F.col("long").contains(F.col("short"))).select(F.col("short").alias("_a"), F.col("long").alias("_b"))
+    around = contained(rs, longer(ls), width).filter(F.col("long").contains(F.col("short")) & (F.col("long") != F.col("short"))).select(F.col("long").alias("_a"), F.col("short").alias("_b"))
+    pairs = inside.unionByName(around)
+    return left.join(pairs, F.col(a) == F.col("_a")).join(right, F.col("_b") == F.col(b)).drop("_a", "_b")
 
 
 def cosine(a: Column, b: Column) -> Column:

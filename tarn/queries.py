@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions import numbers as N
 from tarn.functions import text as T
-from tarn.operators import candidates, chunking, fusion, graph, measures, packing, profiling, retrieval, traces, verification
+from tarn.operators import candidates, chunking, fusion, graph, lexical_index, measures, packing, profiling, retrieval, traces, vector_index, verification
 from tarn.plans import guarded_sql, planning
-from tarn.scratch import materialize
+from tarn.scratch import fresh_path, materialize
 from tarn.session import ship
 from tarn.sources import datasets, files, index
 from tarn.streaming import ingest
@@ -154,6 +154,38 @@ def dense_topk(t):
     return retrieval.dense_top(asked, t.embeddings, 10)
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings)
+SELECT query_id, vec_id, round(list_cosine_similarity(a, b), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank
+FROM q, v QUALIFY rank <= 10""")
+def dense_index_topk(t):
+    """Every vector whose id is divisible by 50 against all vectors, through an inverted-file index that opens further cells until the
+    result is certain: the rows of a whole scan."""
+    index_of = vector_index.build(t.embeddings, fresh_path(t.spark, "vector-index"))
+    return vector_index.search(index_of, _every_fiftieth(t), 10, exact=True)
+
+
+@query()
+def dense_index_recall(t):
+    """(query_id, hits, recall): of the ten nearest of every vector whose id is divisible by 50, how many the index finds in the cells it
+    opens first."""
+    index_of = vector_index.build(t.embeddings, fresh_path(t.spark, "vector-index"))
+    some = vector_index.search(index_of, _every_fiftieth(t), 10).select("query_id", "vec_id", F.lit(1).alias("found"))
+    all_ = retrieval.dense_top(_every_fiftieth(t), t.embeddings, 10).select("query_id", "vec_id")
+    rows = all_.join(some, ["query_id", "vec_id"], "left").groupBy("query_id")
+    return rows.agg(F.count("found").alias("hits"), F.round(F.count("found") / F.count("*"), 6).alias("recall"))
+
+
+def _every_fiftieth(t: Tables) -> DataFrame:
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 24")
+def bm25_index_topk(t):
+    """`bm25_topk` through a lexical index, which is built here and then searched without its texts."""
+    return lexical_index.search(lexical_index.build(t.documents, fresh_path(t.spark, "lexical-index")), _asked(t), 24)
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0),
 v AS (SELECT vec_id, label, embedding::DOUBLE[] AS b FROM embeddings),
 r AS (SELECT query_id, ql, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, b), 6) DESC, vec_id) AS rank FROM q, v QUALIFY rank <= 10),
@@ -504,11 +536,19 @@ def version_backfill(t):
 
 @query("""SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_size <= b.p_size + 1 AND a.p_size + 1 >= b.p_size""")
 def page_overlap_join(t):
-    """Intervals of one key that overlap: an equi-join on the key with the ranges as residual condition."""
-    a = t.part.select(F.col("p_partkey").alias("left_id"), "p_brand", F.col("p_size").alias("s1"), (F.col("p_size") + 1).alias("e1"))
-    b = t.part.select(F.col("p_partkey").alias("right_id"), "p_brand", F.col("p_size").alias("s2"), (F.col("p_size") + 1).alias("e2"))
-    overlap = datasets.page_overlap(F.col("e1"), F.col("s1"), F.col("s2"), F.col("e2"))
-    return a.join(b, "p_brand").filter("left_id < right_id").filter(overlap).select("left_id", "right_id")
+    """Intervals of one key that overlap: a join by key and bin."""
+    lo, hi = datasets.ordered_range(F.col("p_size") + 1, F.col("p_size"))
+    ranges = t.part.select("p_partkey", "p_brand", lo.alias("lo"), hi.alias("hi"))
+    a, b = ranges.withColumnRenamed("p_partkey", "left_id"), ranges.withColumnRenamed("p_partkey", "right_id")
+    return datasets.overlapping(a, b, "p_brand", bin_width=2).filter("left_id < right_id").select("left_id", "right_id")
+
+
+@query("""WITH r AS (SELECT doc_id, lang, n_chars AS lo, n_chars + n_chars // 10 AS hi FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL)
+SELECT a.doc_id, count(*) AS n FROM r a JOIN r b ON a.lang = b.lang AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL""")
+def page_overlap_counts(t):
+    """For every document, how many of its language have a range of lengths (the own one to a tenth more) that overlaps its own."""
+    ranges = t.documents.select("doc_id", "lang", F.col("n_chars").alias("lo"), F.expr("n_chars + n_chars div 10").alias("hi")).filter("lang IS NOT NULL AND lo IS NOT NULL")
+    return datasets.overlap_counts(ranges, ranges.select("lang", "lo", "hi"), "lang").select("doc_id", "n")
 
 
 @query("SELECT table_id, n FROM (SELECT 'orders' AS table_id, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents)")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import squash
+from tarn.scratch import materialize
 
 
 def page_candidates(page: Column, kind: Column) -> Column:
@@ -20,9 +21,57 @@ def pages_in(text: Column) -> Column:
 
 def page_overlap(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
     """Page ranges that overlap; ends may come in either order, a missing end is the start."""
-    lo, hi = F.least(start, F.coalesce(end, start)), F.greatest(start, F.coalesce(end, start))
-    olo, ohi = F.least(other_start, F.coalesce(other_end, other_start)), F.greatest(other_start, F.coalesce(other_end, other_start))
-    return (lo <= ohi) & (hi >= olo)
+    (lo, hi), (other_lo, other_hi) = ordered_range(start, end), ordered_range(other_start, other_end)
+    return (lo <= other_hi) & (hi >= other_lo)
+
+
+def ordered_range(start: Column, end: Column) -> tuple[Column, Column]:
+    """A range's lower and upper end; ends may come in either order, a missing end is the start."""
+    return F.least(start, F.coalesce(end, start)), F.greatest(start, F.coalesce(end, start))
+
+
+def _bin(value: Column, width: int) -> Column:
+    return F.floor(value / width).cast("long")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, bin_width: int, most: int = 10_000) -> DataFrame:
+    """Rows of two tables of ranges (key, lo, hi and other columns; whole numbers, lo <= hi) that share a key and overlap. The second table's
+    lo and hi are called other_lo and other_hi; other columns of both must differ in name. Rows with a null key or end overlap nothing.
+
+    An interval join by bins: a range is in each bin of ``bin_width`` numbers that it touches, ranges meet in equal bins, and a pair
+    counts in the first bin that both touch. So ranges far apart are never compared, and what is compared beyond the result are neighbours
+    within a bin. In a bin with more than ``most`` ranges of the first table these are dealt to as many parts as they fill, and the
+    second table's ranges go to each part.
+    """
+    at = lambda c: _bin(F.col(c), bin_width)
+    right = right.withColumnsRenamed({"lo": "other_lo", "hi": "other_hi"})
+    first = left.filter("lo <= hi").withColumn("_bin", F.explode(F.sequence(at("lo"), at("hi"))))
+    second = right.filter("other_lo <= other_hi").withColumn("_bin", F.explode(F.sequence(at("other_lo"), at("other_hi"))))
+    crowded = materialize(first.groupBy(key, "_bin").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).filter("_parts > 1"), "crowded-bins")
+    first = first.join(crowded, [key, "_bin"], "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
+    second = second.join(crowded, [key, "_bin"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    met = first.drop("_parts").join(second.drop("_parts"), [key, "_bin", "_part"])
+    met = met.filter((F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi")) & (F.col("_bin") == _bin(F.greatest("lo", "other_lo"), bin_width)))
+    return met.drop("_bin", "_part")
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The first table with n: how many of the second table's ranges with its key overlap each of its ranges. No pair is made.
+
+    Ranges that overlap [lo, hi] are those that start at hi or before, less those that end before lo. Starts and ends are counted by key and
+    number (map-side), and summed up over a key's distinct numbers; each range looks two sums up. Null keys and ends overlap nothing.
+    """
+    marks = right.filter("lo <= hi").select(key, F.explode(F.array(F.struct(F.col("lo").alias("x"), F.lit(1).alias("s"), F.lit(0).alias("e")), F.struct((F.col("hi") + 1).alias("x"), F.lit(0).alias("s"), F.lit(1).alias("e")))).alias("m"))
+    asked = left.filter("lo <= hi").select(key, F.explode(F.array("lo", "hi")).alias("x"))
+    marks = marks.select(key, F.col("m.x").cast("long").alias("x"), "m.s", "m.e").unionByName(asked.select(key, F.col("x").cast("long").alias("x"), F.lit(0).alias("s"), F.lit(0).alias("e")))
+    upto = Window.partitionBy(key).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    sums = marks.groupBy(key, "x").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    sums = materialize(sums.select(F.col(key).alias("_k"), "x", F.sum("s").over(upto).alias("started"), F.sum("e").over(upto).alias("ended")), "range-sums")
+    started = sums.select("_k", F.col("x").alias("_x"), "started")
+    ended = sums.select(F.col("_k").alias("_k2"), F.col("x").alias("_x2"), "ended")
+    rows = left.join(started, (F.col(key) == F.col("_k")) & (F.col("hi") == F.col("_x")) & (F.col("lo") <= F.col("hi")), "left")
+    rows = rows.join(ended, (F.col(key) == F.col("_k2")) & (F.col("lo") == F.col("_x2")) & (F.col("lo") <= F.col("hi")), "left")
+    return rows.select(*left.columns, F.coalesce(F.col("started") - F.col("ended"), F.lit(0)).alias("n"))
 
 
 def _match(needle: Column, page: Column, base: int) -> Column:
