@@ -400,13 +400,37 @@ def budget_fit(t):
     return packing.fit_prefix(rows, 50_000, "lang").select("lang", "doc_id", "rank", F.col("kept_tokens").cast("long").alias("kept_tokens"))
 
 
-@query()
+def _packing_sql(truncate: bool, budget: int = 2000, most: int = 5) -> str:
+    """The walk by recursion: a step takes the next block, or, while a block is being cut, tries the next shorter length."""
+    tok = lambda x: f"greatest(1, len(regexp_extract_all({x}, '[一-鿿]')) + len(regexp_extract_all({x}, '[A-Za-z0-9_]+(?:[-''][A-Za-z0-9_]+)?')) + len(regexp_extract_all({x}, '[^\\p{{L}}\\p{{N}}_\\s]')))::BIGINT"
+    cut = lambda n: f"regexp_replace(left(b.text, {n}), '\\s+$', '')"
+    shorter = "greatest(1, w.lim * 4 // 5)"
+    return f"""WITH RECURSIVE {RRF_SQL},
+blk AS (SELECT f.query_id, f.chunk_id AS block_id, f.rank, coalesce(d.text, '') AS text, {tok("coalesce(d.text, '')")} AS n, row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank, f.chunk_id) AS pos
+  FROM fused f JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= {OUTPUT_K}),
+walk AS (
+  SELECT query_id, 0::BIGINT AS pos, {budget}::BIGINT AS lft, 0::BIGINT AS used, NULL::BIGINT AS lim, NULL::BIGINT AS tokens, NULL::VARCHAR AS state, NULL::VARCHAR AS text FROM (SELECT DISTINCT query_id FROM blk)
+  UNION ALL
+  SELECT query_id, pos, CASE WHEN state = 'in' THEN lft - tokens ELSE lft END, CASE WHEN state = 'in' THEN used + 1 ELSE used END, lim, tokens, state, CASE WHEN state = 'in' THEN text END FROM (
+    SELECT w.query_id, b.pos, w.lft, w.used,
+      CASE WHEN w.lim IS NULL THEN CASE WHEN w.used >= {most} OR b.n <= w.lft OR w.lft <= 0 OR NOT {truncate} THEN NULL ELSE greatest(1, length(b.text) * w.lft // b.n) END
+           WHEN {cut("w.lim")} = '' OR {cut("w.lim")} = {cut(shorter)} OR {tok(cut("w.lim"))} <= w.lft THEN NULL ELSE {shorter} END AS lim,
+      CASE WHEN w.lim IS NULL THEN b.n ELSE {tok(cut("w.lim"))} END AS tokens,
+      CASE WHEN w.lim IS NULL THEN CASE WHEN w.used >= {most} THEN 'max_blocks' WHEN b.n <= w.lft THEN 'in' WHEN w.lft <= 0 OR NOT {truncate} THEN 'token_budget' ELSE 'cutting' END
+           WHEN {cut("w.lim")} = '' THEN 'token_budget' WHEN {cut("w.lim")} = {cut(shorter)} OR {tok(cut("w.lim"))} <= w.lft THEN 'in' ELSE 'cutting' END AS state,
+      CASE WHEN w.lim IS NULL THEN b.text ELSE {cut("w.lim")} END AS text
+    FROM walk w JOIN blk b ON b.query_id = w.query_id AND b.pos = w.pos + CASE WHEN w.lim IS NULL THEN 1 ELSE 0 END))
+SELECT w.query_id, b.block_id, b.rank, CASE WHEN state = 'in' THEN w.tokens ELSE 0 END AS tokens, state = 'in' AS included, CASE WHEN state <> 'in' THEN state END AS drop_reason, w.text
+FROM walk w JOIN blk b ON b.query_id = w.query_id AND b.pos = w.pos WHERE state <> 'cutting'"""
+
+
+@query(_packing_sql(True))
 def budget_pack_greedy(t):
     """Fused blocks of each query packed into 2000 tokens and at most five blocks, the last one cut."""
     return packing.pack(_blocks(t), 2000, 5)
 
 
-@query()
+@query(_packing_sql(False))
 def budget_pack_drop(t):
     return packing.pack(_blocks(t), 2000, 5, truncate=False)
 
