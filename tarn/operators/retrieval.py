@@ -28,13 +28,6 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS, rows: int | None = None) -
     return F.broadcast(df) if (df.limit(limit + 1).count() if rows is None else rows) <= limit else df
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, length): one row per document and term. The length is known before the rows are split."""
-    split = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("ws"))
-    rows = split.select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("term"))
-    return rows.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-
-
 def query_blocks(queries: DataFrame, query_id: str, most: int) -> Iterator[list[tuple]]:
     """The rows of a table of queries in blocks of about ``most``, chosen by a hash of their ids; the driver holds one block at a time."""
     rows = queries.limit(most + 1).collect()

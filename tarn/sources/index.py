@@ -1,13 +1,16 @@
-"""Writing index tables and artifacts: versioned folders, duplicates skipped, and a manifest that names what is current."""
+"""Writing index tables and artifacts: versions, duplicates skipped, and a log of commits that says what is current."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.operators.retrieval import postings
+from tarn.operators import lexical_index, vector_index
+from tarn.scratch import materialize
+from tarn.sources import commits
 
 
 def new_documents(incoming: DataFrame, known: DataFrame, key: str = "content_hash") -> tuple[DataFrame, DataFrame]:
@@ -27,83 +30,109 @@ def dedupe_records(rows: DataFrame, key: list[str], order: list[str]) -> tuple[D
 
 
 def write_index(chunks: DataFrame, path: str, version: str, id_col: str = "chunk_id", text_col: str = "text") -> None:
-    """Chunks, postings and document frequencies of one version, each a Parquet table; a rerun replaces the version's tables."""
-    base = f"{path}/version={version}"
-    chunks.write.mode("overwrite").parquet(f"{base}/chunks")
+    """A version's chunks and their lexical index, in one commit of the log at ``path``; a rerun gives the version new tables, and readers of
+    the old ones keep them."""
     spark = chunks.sparkSession
-    stored = spark.read.parquet(f"{base}/chunks")
-    postings(stored, id_col, text_col).write.mode("overwrite").parquet(f"{base}/postings")
-    terms = spark.read.parquet(f"{base}/postings").groupBy("term").agg(F.count("*").alias("df"))
-    terms.write.mode("overwrite").parquet(f"{base}/terms")
+    stored = commits.stage(chunks, path, f"chunks-{version}")
+    rows = spark.read.schema(chunks.schema).parquet(f"{path}/{stored['folders'][0]}")
+    folder = f"data/lexical-{version}-{uuid.uuid4().hex[:16]}"
+    lexical_index.build(rows, f"{path}/{folder}", id_col, text_col)
+    lexical = {"kind": "lexical", "folders": [folder]}
+    commits.commit(spark, path, lambda _: {f"chunks-{version}": stored, f"lexical-{version}": lexical})
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def promote(spark: SparkSession, path: str, version: str) -> None:
+    """Make a version current if its tables are there; the pointer is a part of the commit, so it moves in one step."""
 
+    def change(base: commits.Snapshot) -> dict:
+        for table in ("chunks", "lexical"):
+            if f"{table}-{version}" not in base.tables:
+                raise ValueError(f"version {version} has no table {table}")
+        return {"current": {"version": version}}
 
-def promote(spark: SparkSession, path: str, version: str) -> None:
-    """Make a version current if its tables are complete; the pointer is written beside and renamed over the old one in one step."""
-    for table in ("chunks", "postings", "terms"):
-        p, fs = _fs(spark, f"{path}/version={version}/{table}/_SUCCESS")
-        if not fs.exists(p):
-            raise ValueError(f"version {version} has no complete table {table}")
-    target, fs = _fs(spark, f"{path}/CURRENT")
-    beside, _ = _fs(spark, f"{path}/CURRENT.new")
-    out = fs.create(beside, True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
-    out.close()
-    jvm = spark.sparkContext._jvm
-    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(option, 1)
-    options[0] = option.OVERWRITE
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    home = fs.makeQualified(target)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(home.toUri(), conf).rename(fs.makeQualified(beside), home, options)
+    commits.commit(spark, path, change)
 
 
 def current(spark: SparkSession, path: str) -> str:
-    return json.loads("".join(r.value for r in spark.read.text(f"{path}/CURRENT").collect()))["version"]
+    return commits.snapshot(spark, path).tables["current"]["version"]
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, version: str | None = None, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score, rank): BM25 over a version's chunks (the current one's, if none is named), from its index alone."""
+    at = commits.snapshot(spark, path)
+    version = version or at.tables["current"]["version"]
+    index = lexical_index.load(spark, f"{path}/{at.tables[f'lexical-{version}']['folders'][0]}")
+    return lexical_index.search(index, queries, k, id_col=id_col)
 
 
 def write_vectors(vectors: DataFrame, path: str, version: str, id_col: str = "chunk_id", vec_col: str = "embedding") -> None:
     """Upsert unit vectors by id into a version's table: ids that are given replace their old vectors, others stay.
 
-    Vectors are normalised once here, so that scoring is a product; null and zero vectors have no row. Point ids are
-    hashes of the chunk's id, so that a replay writes the same points.
+    Vectors are normalised once here, so that scoring is a product; null and zero vectors have no row of their own, and leave what
+    their id has. Point ids are hashes of the chunk's id, so that a replay writes the same points. Only the buckets of the given
+    ids are written anew.
     """
     from tarn.functions.text import stable_id
 
-    spark, base = vectors.sparkSession, f"{path}/version={version}/vectors"
     norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     given = vectors.select(F.col(id_col), F.col(vec_col).alias("v"), norm.alias("norm")).filter("norm > 0")
     rows = given.select(id_col, stable_id("point", F.col(id_col)).alias("point_id"), F.transform("v", lambda x: x.cast("double") / F.col("norm")).alias("unit")).dropDuplicates([id_col])
-    p, fs = _fs(spark, base)
-    if not fs.exists(p):
-        rows.write.parquet(base)
-        return
-    kept = spark.read.parquet(base).join(vectors.select(id_col).distinct(), id_col, "left_anti")
-    beside, _ = _fs(spark, f"{base}.new")
-    kept.unionByName(rows).write.mode("overwrite").parquet(f"{base}.new")
-    fs.delete(p, True)
-    fs.rename(beside, p)
+    commits.upsert(materialize(rows, "given-vectors"), path, f"vectors-{version}", id_col)
+
+
+def build_vector_index(spark: SparkSession, path: str, version: str, id_col: str = "chunk_id", **parameters) -> vector_index.VectorIndex:
+    """An inverted-file index of a version's vectors as they are now, named by the next commit; `search_vectors` uses the newest."""
+    folder = f"data/cells-{version}-{uuid.uuid4().hex[:16]}"
+    made = vector_index.build(commits.read(spark, path, f"vectors-{version}"), f"{path}/{folder}", id_col=id_col, vec_col="unit", **parameters)
+    commits.commit(spark, path, lambda _: {f"cells-{version}": {"kind": "cells", "folders": [folder]}})
+    return made
+
+
+def search_vectors(spark: SparkSession, path: str, version: str, queries: DataFrame, k: int, id_col: str = "chunk_id", **parameters) -> DataFrame:
+    """(query_id, id, score, rank): a version's nearest vectors by cosine, through its index; see `vector_index.search`."""
+    at = commits.snapshot(spark, path)
+    made = vector_index.load(spark, f"{path}/{at.tables[f'cells-{version}']['folders'][0]}")
+    return vector_index.search(made, queries, k, id_col=id_col, **parameters)
 
 
 def load_new(incoming: DataFrame, path: str, key: str = "content_hash") -> DataFrame:
-    """Append the documents whose content isn't in the table at ``path`` yet; (status, n) of what was loaded and skipped."""
-    spark = incoming.sparkSession
-    p, fs = _fs(spark, path)
-    known = spark.read.parquet(path) if fs.exists(p) else incoming.limit(0)
-    fresh, skipped = new_documents(incoming, known, key)
-    counts = fresh.select(F.lit("loaded").alias("status")).unionByName(skipped.select(F.lit("skipped_duplicate").alias("status"))).groupBy("status").count().collect()
-    fresh.write.mode("append").parquet(path)
-    return spark.createDataFrame([(r["status"], r["count"]) for r in counts], "status string, n long")
+    """Append the documents whose content isn't in the table ``documents`` at ``path`` yet; (status, n) of what was loaded and skipped.
+
+    Loads at the same time don't load the same content twice: the one that commits later looks again at what is known.
+    """
+    spark, counts = incoming.sparkSession, {}
+
+    def change(base: commits.Snapshot) -> dict:
+        old = base.tables.get("documents")
+        known = commits.read(spark, path, "documents", base) if old else incoming.limit(0)
+        fresh, skipped = new_documents(incoming, known, key)
+        new = commits.stage(fresh, path, "documents")
+        counts["loaded"] = spark.read.schema(fresh.schema).parquet(f"{path}/{new['folders'][0]}").count()
+        counts["skipped_duplicate"] = skipped.count()
+        return {"documents": old | {"folders": old["folders"] + new["folders"]} if old else new}
+
+    commits.commit(spark, path, change)
+    return spark.createDataFrame([(s, n) for s, n in counts.items() if n], "status string, n long")
 
 
 def discard(spark: SparkSession, path: str, version: str) -> bool:
-    """Remove a version's tables, as after a failed load."""
-    p, fs = _fs(spark, f"{path}/version={version}")
-    return fs.delete(p, True)
+    """Take a version's tables out, as after a failed load, in one commit; whether it had any. Their folders go with `commits.vacuum`."""
+    names = [f"{t}-{version}" for t in ("chunks", "lexical", "vectors", "cells")]
+    found = [n for n in names if n in commits.snapshot(spark, path).tables]
+    if found:
+        commits.commit(spark, path, lambda _: dict.fromkeys(names))
+    return bool(found)
+
+
+def take_back(spark: SparkSession, path: str, document_ids: DataFrame, tables: dict[str, str]) -> commits.Snapshot:
+    """Compensate a failed load: the rows of some documents leave several tables (name -> the column of the document's id) in one commit."""
+
+    def change(base: commits.Snapshot) -> dict:
+        gone = document_ids.select(F.col(document_ids.columns[0]).alias("_gone")).distinct()
+        present = {n: c for n, c in tables.items() if n in base.tables}
+        return {n: commits.stage(commits.read(spark, path, n, base).join(gone, F.col(c) == F.col("_gone"), "left_anti"), path, n) for n, c in present.items()}
+
+    return commits.commit(spark, path, change)
 
 
 MATERIALIZE = ("none", "facts", "full")
@@ -113,14 +142,15 @@ def write_artifacts(records: dict[str, DataFrame], path: str, policy: str = "ful
     """Record sets as JSON lines and CSV, and a manifest with their counts; ``facts`` keeps tables and facts, ``none`` the manifest only.
 
     Of records that share a key (``keys``: set -> columns) the first by content stays; how many keys differ in content is in
-    the manifest. Everything is written beside and renamed, the manifest last, so a reader finds all of it or the old one.
+    the manifest. All of it is one commit of the log at ``path``, under the names of the sets, those with ``_csv``, and ``manifest``: a
+    reader (`commits.read`) finds all of it or what was there before.
     """
     if policy not in MATERIALIZE:
         raise ValueError(f"unknown policy {policy}")
     kept = {"none": (), "facts": ("tables", "facts"), "full": tuple(records)}[policy]
     counts, conflicts = {}, {}
     spark = next(iter(records.values())).sparkSession
-    staged = []
+    staged = {}
     for name, df in records.items():
         if keys and name in keys:
             marked = df.withColumn("_body", F.to_json(F.struct(*df.columns)))
@@ -129,15 +159,11 @@ def write_artifacts(records: dict[str, DataFrame], path: str, policy: str = "ful
             df = first.drop("_body")
         if name in kept:
             flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
-            df.write.mode("overwrite").json(f"{path}/.new-{name}")
-            flat.write.mode("overwrite").csv(f"{path}/.new-{name}_csv", header=True)
-            staged += [name, f"{name}_csv"]
-            df = spark.read.schema(df.schema).json(f"{path}/.new-{name}")
+            staged[name] = commits.stage(df, path, name, "json")
+            staged[f"{name}_csv"] = commits.stage(flat, path, f"{name}_csv", "csv", header=True)
+            df = spark.read.schema(df.schema).json(f"{path}/{staged[name]['folders'][0]}")
         counts[name] = df.count()
     manifest = {"schema_version": "1", "policy": policy, "counts": counts, "conflicts": conflicts}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/.new-manifest")
-    for name in [*staged, "manifest"]:
-        old, fs = _fs(spark, f"{path}/{name}")
-        fs.delete(old, True)
-        fs.rename(_fs(spark, f"{path}/.new-{name}")[0], old)
+    staged["manifest"] = commits.stage(spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1), path, "manifest", "text")
+    commits.commit(spark, path, lambda _: staged)
     return counts

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from tarn.operators import chunking, profiling
-from tarn.sources import files, index
+from tarn.sources import commits, files, index
 
 
 def test_sections_have_no_overlap():
@@ -172,14 +172,16 @@ def test_index_versions(spark, tmp_path):
     index.write_index(chunks, base, "v1")
     index.promote(spark, base, "v1")
     assert index.current(spark, base) == "v1"
-    assert {(r.term, r.df) for r in spark.read.parquet(f"{base}/version=v1/terms").collect()} == {("x", 1), ("y", 2)}
+    asked = spark.createDataFrame([(1, "x"), (2, "Y")], "query_id int, text string")
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in index.search_index(spark, base, asked, 5).collect()) == [(1, 1, "a"), (2, 1, "b"), (2, 2, "a")]
     with pytest.raises(ValueError):
         index.promote(spark, base, "v2")
     assert index.current(spark, base) == "v1"
     index.write_index(chunks, base, "v3")
     index.promote(spark, base, "v3")  # over the old pointer, in one step
     assert index.current(spark, base) == "v3"
-    assert index.discard(spark, base, "v1")
+    assert index.discard(spark, base, "v1") and not index.discard(spark, base, "v1") and commits.vacuum(spark, base, keep=1) == 2
+    assert index.search_index(spark, base, asked, 5).count() == 3
 
 
 def test_records_first_wins(spark):
@@ -191,11 +193,11 @@ def test_records_first_wins(spark):
 def test_artifacts(spark, tmp_path):
     facts = spark.createDataFrame([(1,)], "a int")
     assert index.write_artifacts({"facts": facts, "cells": facts}, f"file://{tmp_path}/out", "facts") == {"facts": 1, "cells": 1}
-    assert (tmp_path / "out" / "facts").exists() and not (tmp_path / "out" / "cells").exists()
+    assert set(commits.snapshot(spark, f"file://{tmp_path}/out").tables) == {"facts", "facts_csv", "manifest"}
     twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (2, "c")], "k int, v string")
     assert index.write_artifacts({"facts": twice}, f"file://{tmp_path}/out", keys={"facts": ["k"]}) == {"facts": 2}
-    assert {(r.k, r.v) for r in spark.read.csv(f"file://{tmp_path}/out/facts_csv", header=True, schema="k int, v string").collect()} == {(1, "a"), (2, "c")}
-    assert '"conflicts": {"facts": 1}' in spark.read.text(f"file://{tmp_path}/out/manifest").first().value
+    assert {(r.k, r.v) for r in commits.read(spark, f"file://{tmp_path}/out", "facts_csv").collect()} == {(1, "a"), (2, "c")}
+    assert '"conflicts": {"facts": 1}' in commits.read(spark, f"file://{tmp_path}/out", "manifest").first().value
 
 
 def test_vectors_are_upserted(spark, tmp_path):
@@ -203,8 +205,11 @@ def test_vectors_are_upserted(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     index.write_vectors(spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, 0.0])], kind), path, "v1")
     index.write_vectors(spark.createDataFrame([("a", [0.0, 2.0]), ("e", [0.0, 1.0])], kind), path, "v1")
-    rows = {r.chunk_id: r for r in spark.read.parquet(f"{path}/version=v1/vectors").collect()}
+    rows = {r.chunk_id: r for r in commits.read(spark, path, "vectors-v1").collect()}
     assert {k: r.unit for k, r in rows.items()} == {"a": [0.0, 1.0], "d": [1.0, 0.0], "e": [0.0, 1.0]} and len({r.point_id for r in rows.values()}) == 3
+    index.build_vector_index(spark, path, "v1")
+    asked = spark.createDataFrame([(1, [0.0, 5.0])], "query_id int, embedding array<double>")
+    assert [(r.chunk_id, r.score) for r in index.search_vectors(spark, path, "v1", asked, 3, exact=True).orderBy("rank").collect()] == [("a", 1.0), ("e", 1.0), ("d", 0.0)]
 
 
 def test_only_new_content_is_loaded(spark, tmp_path):
@@ -213,4 +218,4 @@ def test_only_new_content_is_loaded(spark, tmp_path):
     again = index.load_new(spark.createDataFrame([("d", "2"), ("e", "3")], kind), path)
     count = lambda df: {r.status: r.n for r in df.collect()}
     assert count(first) == {"loaded": 2, "skipped_duplicate": 1} and count(again) == {"loaded": 1, "skipped_duplicate": 1}
-    assert sorted(r.uri for r in spark.read.parquet(path).collect()) == ["a", "c", "e"]
+    assert sorted(r.uri for r in commits.read(spark, path, "documents").collect()) == ["a", "c", "e"]
