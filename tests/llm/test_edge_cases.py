@@ -54,6 +54,18 @@ def test_dropping_copies_keeps_columns(spark, messy):
     assert kept.columns == messy.columns and kept.select("text").distinct().count() == messy.select(F.coalesce("text", F.lit(""))).distinct().count() == kept.count()
 
 
+def test_token_counts_of_every_code_point(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}'s {c}1{c}a {c}\n" for c in map(chr, codes[i : i + 64])) for i in range(0, len(codes), 64)] + ["\u20cf's \u20cf't \u20cf1\u20cf", "\u0558", "x\ua7ce", "\U000323b0b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()}
+    want = {i: len(e.ids) for i, e in enumerate(tok.encode_batch(texts, add_special_tokens=False))}
+    assert {i: (rows[i], want[i]) for i in want if rows[i] != want[i]} == {}
+
+
 def test_token_counts_are_the_librarys(spark, messy):
     from tokenizers import Tokenizer
 
