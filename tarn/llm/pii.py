@@ -25,8 +25,11 @@ PHONE = r"(?<![\d+])(?:(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4
 ABROAD = r"(?<![\d+])\+[2-9](?:[ .\-]?\d){7,14}(?![ .\-]?\d)"
 #: Country codes: one digit, two digits, or else three.
 COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
-CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?![ \-]?\d)"
-ALL = "|".join([EMAIL, IBAN, DATE, IP, SSN, PHONE, ABROAD, CARD])
+#: Groups of digits with a blank or hyphen between, 13 digits or more; a group at which another kind starts ends the run.
+RUN = rf"(?<!\d)(?=(?:[ \-]?\d){{13}})\d+(?:[ \-](?!{DATE}|{IP}|{SSN}|{PHONE})\d+)*"
+#: How cards are written inside such a run, as whole groups: solid, or in groups of four, or as those of 15 and 14 digits are.
+CARDS = (r"\d{13,19}", r"\d{4}([ \-])\d{4}\1\d{4}\1\d{4}\1\d{1,3}", r"\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}", r"\d{4}[ \-]\d{6}[ \-]\d{5}", r"\d{4}[ \-]\d{6}[ \-]\d{4}")
+ALL = "|".join([EMAIL, IBAN, DATE, IP, SSN, PHONE, ABROAD, RUN])
 
 
 def let(value: Column, body) -> Column:
@@ -123,7 +126,7 @@ def kind_of(s: Column) -> Column:
         .when(s.rlike(f"^(?:{SSN})$"), F.when(~s.rlike(r"^(?:000|666|9)|-00-|-0000$"), "ssn"))
         .when(s.rlike(f"^(?:{ABROAD})$"), "phone")
         .when(s.rlike(f"^(?:{PHONE})$") & ~s.rlike(r"^\d{3}[ -]\d{3}[ -]\d{4}[ -]"), "phone")
-        .when(F.length(_digits(s)).between(13, 19), F.when(_luhn(_digits(s)) == 0, "card"))
+        .when(s.rlike(f"^(?:{RUN})$"), "card")
     )
 
 
@@ -292,12 +295,51 @@ def _write(kind: Column, s: Column, before: Column, parts: Column) -> Column:
     )
 
 
+def _replaced(kind: Column, s: Column, key: str, undo: bool) -> Column:
+    return let(_parts(kind, s), lambda p: let(_feistel(kind, _free(p), key, undo), lambda q: _write(kind, s, p, q)))
+
+
+def _cards(run: Column, key: str, undo: bool) -> Column:
+    """(kind, value, n) of a run of groups of digits: from left to right, the first way of CARDS in which whole groups are valid by Luhn's
+    check is a card, and the walk goes on behind it. A run without any that is valid as a whole, of 13 to 19 digits, is one."""
+    card = F.lit("card")
+    groups = F.regexp_extract_all(run, F.lit(r"\d+[ \-]?"), F.lit(0))
+
+    def walk(gs: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            rest = F.array_join(F.slice(gs, i + 1, F.lit(5)), "")
+            ways = F.array(*[F.regexp_extract(rest, rf"^{way}(?!\d)", 0) for way in CARDS])
+            valid = F.filter(ways, lambda w: (w != "") & (_luhn(_digits(w)) == 0))
+
+            def taken(found: Column) -> Column:
+                n = F.size(F.regexp_extract_all(found, F.lit(r"\d+"), F.lit(0)))
+                behind = F.regexp_extract(F.get(gs, i + n - 1), r"[ \-]$", 0)
+                return F.struct((n - 1).alias("skip"), F.concat(state["out"], _replaced(card, found, key, undo), behind).alias("out"), (state["n"] + 1).alias("n"))
+
+            left = F.struct(F.lit(0).alias("skip"), F.concat(state["out"], F.get(gs, i)).alias("out"), state["n"].alias("n"))
+            passed = F.struct((state["skip"] - 1).alias("skip"), state["out"].alias("out"), state["n"].alias("n"))
+            return F.when(state["skip"] > 0, passed).otherwise(let(valid, lambda v: F.when(F.size(v) > 0, let(F.get(v, F.lit(0)), taken)).otherwise(left)))
+
+        start = F.struct(F.lit(0).alias("skip"), F.lit("").alias("out"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(gs) - 1), start, step)
+
+    whole = F.length(_digits(run)).between(13, 19) & (_luhn(_digits(run)) == 0)
+
+    def told(w: Column) -> Column:
+        one = F.struct(card.alias("kind"), _replaced(card, run, key, undo).alias("value"), F.lit(1).alias("n"))
+        some = F.struct(F.when(w["n"] > 0, card).alias("kind"), w["out"].alias("value"), w["n"].alias("n"))
+        return F.when((w["n"] == 0) & whole, one).otherwise(some)
+
+    return let(let(groups, walk), told)
+
+
 def pseudonym(s: Column, key: str, undo: bool = False) -> Column:
-    """(kind, value) of one match: its kind or null, and its pseudonym (or with ``undo`` the original), or itself if not valid."""
+    """(kind, value, n) of one match: its kind or null, its pseudonym (or with ``undo`` the original) or itself if not valid, and how many
+    values of that kind it holds."""
 
     def named(kind: Column) -> Column:
-        new = let(_parts(kind, s), lambda p: let(_feistel(kind, _free(p), key, undo), lambda q: _write(kind, s, p, q)))
-        return F.struct(kind.alias("kind"), F.when(kind.isNull(), s).otherwise(new).alias("value"))
+        new = F.struct(kind.alias("kind"), F.when(kind.isNull(), s).otherwise(_replaced(kind, s, key, undo)).alias("value"), kind.isNotNull().cast("int").alias("n"))
+        return F.when(kind == "card", _cards(s, key, undo)).otherwise(new)
 
     return let(kind_of(s), named)
 
@@ -313,6 +355,10 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     Matches that aren't valid stay as they are. Equal values have equal pseudonyms whatever separators they have, but for
     dates dd/mm/yyyy with a day above 12 (which stay so) and octets with leading zeros.
 
+    Card numbers are looked for in runs of digit groups, so one beside an expiry date, an amount, another number or another card is found
+    (`_cards`). Undoing looks for them in the same way; where five or more groups of four digits stand in a row, or a card of 17 to 19
+    digits is written in groups of four, pseudonyms can by chance be valid in another way first, and then don't come back.
+
     Limits: dates are yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where the day is above 12; dates with
     one-digit days or months such as 1/5/1999 and dates in words stay in clear. Phones are North American numbers of ten
     digits and numbers of 8 to 15 digits that start with + and a country code; national numbers of other countries such
@@ -328,6 +374,6 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("found", F.when(has, found))
     gaps = F.split("text", ALL, -1)
     put = F.array_join(F.zip_with(gaps, F.col("found"), lambda g, m: F.concat(g, F.coalesce(m["value"], F.lit("")))), "")
-    count = lambda k: F.coalesce(F.size(F.filter("found", lambda m: m["kind"] == k)), F.lit(0)).cast("long")
+    count = lambda k: F.aggregate(F.filter("found", lambda m: m["kind"] == k), F.lit(0).cast("long"), lambda a, m: a + m["n"])
     counts = [F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(put).alias("text"), *counts)

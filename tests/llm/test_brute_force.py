@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -588,6 +589,64 @@ def test_pseudonyms_equal_brute_force(spark):
     assert [x.text for x in back] == texts
 
 
+def _plain_run(run: str, key: str) -> tuple[int, str]:
+    """(cards, text) of a run of digit groups in plain Python: windows of whole groups by how long they are."""
+    groups, out, n, i = re.findall(r"\d+[ -]?", run), "", 0, 0
+    shapes = [(4, 4, 4, 4, None), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)]
+    while i < len(groups):
+        sizes = [len(g.rstrip(" -")) for g in groups[i:]]
+        ways = [1] if 13 <= sizes[0] <= 19 else []
+        ways += [len(s) for s in shapes if len(s) <= len(sizes) and all(a == b or (b is None and a <= 3 and len({g[-1] for g in groups[i : i + 4]}) == 1) for a, b in zip(sizes, s, strict=False))]
+        for k in ways:
+            window = "".join(groups[i : i + k])
+            bare = window.rstrip(" -")
+            if _luhn("".join(c for c in bare if c.isdigit())) == 0:
+                out, n, i = out + _plain_pseudonym(bare, key)[1] + window[len(bare) :], n + 1, i + k
+                break
+        else:
+            out, i = out + groups[i], i + 1
+    kind, value = _plain_pseudonym(run, key) if n == 0 else (None, out)
+    return (1, value) if kind == "card" else (n, out)
+
+
+def test_cards_beside_other_numbers(spark):
+    """Cards before an expiry date, after a number, two in a row, before a phone: none stays in clear, all else does."""
+    solid, grouped, amex = "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"
+    texts = {
+        f"{solid} 12/2027": ([solid], " 12/2027"), f"id 12 {solid}": ([solid], "id 12 "), f"{grouped} 100 units": ([grouped], " 100 units"), f"{grouped} 1 000": ([grouped], " 1 000"),
+        f"{solid} {grouped}": ([solid, grouped], " "), f"{solid} 5500005555555559 {amex}": ([solid, "5500005555555559", amex], " "), f"7 {amex} 8": ([amex], "7 "), f"1234 {grouped}": ([grouped], "1234 "),
+        f"exp 12-27 {solid}": ([solid], "12-27 "), f"{solid} 5": ([solid], " 5"), f"1-2-3-{solid}-4": ([solid], "1-2-3-"),
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.pseudonymize(rows, "k").orderBy("doc_id").collect()
+    for (text, (cards, stays)), row in zip(texts.items(), got, strict=True):
+        assert row.n_card == len(cards), text
+        assert not any(c in row.text for c in cards) and stays in row.text and len(row.text) == len(text), text
+        assert _plain_run(re.search(r"\d[\d -]*\d", text).group(), "k")[1] in row.text if "exp" not in text and "/" not in text else True
+    back = pii.pseudonymize(spark.createDataFrame([(r.doc_id, r.text) for r in got], "doc_id long, text string"), "k", undo=True)
+    assert [r.text for r in back.orderBy("doc_id").collect()] == list(texts)
+    # the same number has the same pseudonym wherever it stands
+    assert all(_plain_pseudonym(solid, "k")[1] in r.text.replace("-", "") for r, t in zip(got, texts, strict=True) if solid in t)
+    beside = pii.pseudonymize(spark.createDataFrame([(1, f"{solid} 555-123-4567 on 2001-02-28, 078-05-1120 {solid} 10.1.2.3")], "doc_id long, text string"), "k").first()
+    assert (beside.n_card, beside.n_phone, beside.n_date, beside.n_ssn, beside.n_ip) == (2, 1, 1, 1, 1)
+
+
+def test_runs_of_numbers_equal_brute_force(spark):
+    r = random.Random(12)
+    number = lambda n: "".join(r.choices("0123456789", k=n))
+
+    def card():
+        n = r.choice([13, 14, 15, 16, 16, 16, 19])
+        head = number(n - 1)
+        plain = head + str(-_luhn(head + "0") % 10)
+        return r.choice([plain, "-".join(plain[i : i + 4] for i in range(0, n, 4)), f"{plain[:4]} {plain[4:10]} {plain[10:]}"])
+
+    runs = [r.choice(" -").join(r.choice([card, card, lambda: number(r.choice([1, 2, 5, 6, 14, 16, 21]))])() for _ in range(r.randint(1, 4))) for _ in range(400)]
+    runs = [x for x in runs if sum(c.isdigit() for c in x) >= 13 and not re.search(rf"(?:{pii.SSN}|{pii.PHONE}|{pii.DATE})", x)]
+    rows = pii.pseudonymize(spark.createDataFrame([(i, f"a {x} b") for i, x in enumerate(runs)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [(x.n_card, x.text) for x in rows] == [(n, f"a {t} b") for n, t in (_plain_run(x, "k") for x in runs)] and sum(x.n_card for x in rows) > 300
+
+
 def test_parts_of_long_values_move_on_their_own(spark):
     """No two letters of a long local part move by the same amount under every key."""
     from pyspark.sql import functions as F
