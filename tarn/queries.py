@@ -12,7 +12,7 @@ from tarn.functions import text as T
 from tarn.operators import candidates, chunking, fusion, graph, lexical_index, measures, packing, profiling, retrieval, traces, vector_index, verification
 from tarn.plans import guarded_sql, planning
 from tarn.scratch import fresh_path, materialize
-from tarn.session import ship
+from tarn.session import bounded_batches, ship
 from tarn.sources import datasets, files, index
 from tarn.streaming import ingest
 
@@ -36,6 +36,7 @@ def query(sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
+            bounded_batches(spark)
             return fn(Tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__

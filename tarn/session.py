@@ -34,6 +34,14 @@ def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bound the session's Arrow batches by rows and bytes, unless it has settings of its own: rows may be long texts."""
+    held = spark._jsparkSession.sessionState().conf()
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if not held.contains(f"spark.sql.execution.arrow.{name}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once an application, so that Python functions can be loaded there without an install."""
     app = spark.sparkContext.applicationId
