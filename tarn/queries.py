@@ -669,12 +669,18 @@ def text_title(t):
     return t.documents.select("doc_id", T.title(text, F.concat(F.lit("file-"), F.col("doc_id").cast("string"))).alias("title"))
 
 
-@query("""WITH x(s) AS (VALUES ('1,234'), ('(5.5)'), ('$3'), ('7%'), ('-'), ('N/A'), (''), ('abc'), ('1e3'), ('2023'))
-SELECT s, CASE s WHEN '1,234' THEN 1234.0 WHEN '(5.5)' THEN -5.5 WHEN '$3' THEN 3.0 WHEN '7%' THEN 7.0 WHEN '1e3' THEN 1000.0 WHEN '2023' THEN 2023.0 END::DOUBLE AS number,
-CASE s WHEN '2023' THEN '2023-01-01' END AS day FROM x""")
+@query(r"""WITH x AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderpriority AS p FROM orders),
+c AS (SELECT *, k % 10 AS f FROM x)
+SELECT k AS o_orderkey,
+CASE f WHEN 0 THEN k WHEN 1 THEN -(k + 0.5) WHEN 2 THEN k WHEN 3 THEN k * 1000 WHEN 5 THEN substr(d, 1, 4)::DOUBLE END::DOUBLE AS number,
+CASE f WHEN 4 THEN d WHEN 5 THEN substr(d, 1, 4) || '-01-01' WHEN 6 THEN d WHEN 7 THEN substr(d, 1, 7) || '-01' END AS day FROM c""")
 def parse_cells(t):
-    rows = t.spark.createDataFrame([(s,) for s in ("1,234", "(5.5)", "$3", "7%", "-", "N/A", "", "abc", "1e3", "2023")], "s string")
-    return rows.select("s", N.parse_number(F.col("s")).alias("number"), N.parse_date(F.col("s")).cast("string").alias("day"))
+    """A cell a row of orders, in the forms that cells have: thousands, parentheses, currency, exponents, dates in four forms, words."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    date = lambda form: F.date_format(d, form)
+    forms = {0: F.format_string("%,d $", k), 1: F.format_string("(%d.5)", k), 2: F.format_string("$%d%%", k), 3: F.format_string("%de3", k), 4: date("yyyy-MM-dd"), 5: date("yyyy"), 6: date("MM/dd/yyyy"), 7: date("yyyy-MM"), 8: F.lit("N/A"), 9: F.col("o_orderpriority")}
+    cell = F.coalesce(*[F.when(k % 10 == f, x) for f, x in forms.items()])
+    return t.orders.select("o_orderkey", N.parse_number(cell).alias("number"), N.parse_date(cell).cast("string").alias("day"))
 
 
 _NUMBERS_SQL = r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' rose 5% to $(1.5) and' WHEN 1 THEN ' (2,500) or €3 million' WHEN 2 THEN ' 7 bn' ELSE '' END) AS t FROM documents),
@@ -707,6 +713,25 @@ def evidence_verdict(t):
     return verification.evidence_verdict(verification.anchor_support(rows, anchors))
 
 
+@query(f"""WITH {RRF_SQL}, a AS (SELECT item_id AS query_id, unnest(list_slice(list_sort({TS.format("text")}), 1, 3)) AS anchor FROM benchmark),
+e AS (SELECT f.query_id, f.chunk_id AS evidence_id, f.rank, regexp_replace(lower(d.text), '[0-9]+', 'x', 'g') AS text, CASE WHEN f.query_id % 3 = 0 THEN 1500000 WHEN f.chunk_id % 2 = 0 THEN 2000000 ELSE 2500000 END AS number
+      FROM fused f JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= {OUTPUT_K}),
+s AS (SELECT e.query_id, evidence_id, number, count(*) FILTER (contains(text, regexp_replace(anchor, '[0-9]+', 'x', 'g'))) AS found, count(anchor) AS total FROM e LEFT JOIN a ON a.query_id = e.query_id GROUP BY ALL),
+v AS (SELECT query_id, bool_or(found = total) AS full_, bool_or(found > 0 AND found < total) AS part_, count(DISTINCT number) FILTER (found = total) > 1 AS clash FROM s GROUP BY ALL)
+SELECT query_id, CASE WHEN clash THEN 'contradicted' WHEN full_ THEN 'supported' WHEN part_ THEN 'partial' ELSE 'insufficient' END AS verdict FROM v""")
+def evidence_conflicts(t):
+    """Verdicts over evidence that states one number each: numbers of the texts are taken out, and one put at their end, the same for a
+    third of the questions and one of two for the others. Supporting texts that differ contradict."""
+    number = F.when(F.col("query_id") % 3 == 0, " of $1.5 million").when(F.col("evidence_id") % 2 == 0, " of $2,000,000").otherwise(" of $2.5 mm")
+    plain = lambda c: F.regexp_replace(F.lower(F.col(c)), "[0-9]+", "x")
+    found = _fused(t).filter(F.col("rank") <= OUTPUT_K).select("query_id", F.col("chunk_id").alias("evidence_id"), "rank")
+    rows = t.documents.select(F.col("doc_id").alias("evidence_id"), plain("text").alias("text")).join(found, "evidence_id").withColumn("text", F.concat("text", number))
+    anchors = _asked(t).select("query_id", F.explode(F.slice(F.array_sort(T.token_set(F.col("text"))), 1, 3)).alias("anchor")).withColumn("anchor", plain("anchor"))
+    support = verification.anchor_support(rows, anchors)
+    conflicts = verification.numeric_conflicts(rows.join(support.select("query_id", "evidence_id", "support"), ["query_id", "evidence_id"]))
+    return verification.evidence_verdict(support, conflicts)
+
+
 def _guard(t: Tables, table: str, columns: dict[str, str], sql: str) -> DataFrame:
     return guarded_sql.run(t.__getattr__(table), sql, guarded_sql.TableContext(table, columns))
 
@@ -752,11 +777,28 @@ ALLOWED = (
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{x.replace(chr(39), chr(39) * 2)}', '{o}')" for xs, o in ((REFUSED, "refused"), (ALLOWED, "allowed")) for x in xs) + ") AS x(sql, outcome)")
+def _outcomes_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    refused = [f"SELECT {quoted(x)} AS sql, 'refused' AS outcome, n AS table_rows, NULL::BIGINT AS result_rows FROM o" for x in REFUSED]
+    allowed = [f"SELECT {quoted(x)}, 'allowed', n, (SELECT count(*) FROM ({x})) FROM o" for x in ALLOWED]
+    return "WITH o AS (SELECT count(*) AS n FROM orders) " + " UNION ALL ".join(refused + allowed)
+
+
+@query(_outcomes_sql())
 def guard_rejects(t):
+    """Statements against orders: what the dialect refuses doesn't run, what it allows does; with the table's rows and those of the result."""
     table = guarded_sql.TableContext("orders", _ORDERS)
-    rows = [(s, "allowed" if guarded_sql.check(t.spark, guarded_sql._counted(s), table).ok else "refused") for s in REFUSED + ALLOWED]
-    return t.spark.createDataFrame(rows, "sql string, outcome string")
+    n = t.orders.agg(F.count("*").alias("table_rows"))
+    rows = None
+    for s in REFUSED + ALLOWED:
+        try:
+            ran = guarded_sql.run(t.orders, s, table).agg(F.count("*").alias("result_rows")).withColumn("outcome", F.lit("allowed"))
+            one = n.join(ran)  # a row each
+        except ValueError:
+            one = n.select("table_rows", F.lit(None).cast("long").alias("result_rows"), F.lit("refused").alias("outcome"))
+        one = one.select(F.lit(s).alias("sql"), "outcome", "table_rows", "result_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 _WHERE = "o_totalprice >= 1000.5 and o_orderstatus = 'F' and o_orderpriority like '1%' and o_orderkey <> 7"
@@ -787,15 +829,30 @@ def sql_typed_table(t):
     return found.withColumnRenamed(paid, "paid")
 
 
-@query("""WITH c(table_id, toks, ids, num) AS (VALUES ('orders', ['table','orders','status','totalprice','priority'], ['o_totalprice'], true), ('part', ['table','part','brand','size','type'], ['p_size'], true), ('region', ['table','region','name'], ['r_name'], false)),
-q(question_id, qt) AS (VALUES (1, ['total','orders','priority']), (2, ['which','part','brand','has','p_size']), (3, ['hello','there','friend','of','mine'])),
-s AS (SELECT question_id, table_id, round(least(1.0, len(list_intersect(qt, toks)) / greatest(3, len(qt))::DOUBLE + CASE WHEN len(list_intersect(qt, ids)) > 0 THEN 0.25 ELSE 0 END + CASE WHEN num THEN 0.05 ELSE 0 END), 6) AS score FROM q, c),
+_ROUTED = ("orders", "part", "customer", "events", "documents")
+
+
+@query(f"""WITH col AS (SELECT table_name AS table_id, column_name AS c, data_type AS kind FROM information_schema.columns WHERE table_name IN {_ROUTED}),
+w AS (SELECT table_id, unnest(list_concat(['table', table_id], string_split(c, '_'))) AS w FROM col),
+c AS (SELECT table_id, list(DISTINCT w) FILTER (length(w) > 1) AS toks FROM w GROUP BY ALL),
+i AS (SELECT table_id, list(lower(c)) FILTER (kind IN ('BIGINT', 'INTEGER', 'DOUBLE')) AS ids, bool_or(kind = 'DOUBLE') AS num FROM col GROUP BY ALL),
+a AS (SELECT item_id AS question_id, lower(text || CASE item_id % 5 WHEN 0 THEN ' total price orders priority status' WHEN 1 THEN ' part brand size type p_size' WHEN 2 THEN ' customer nation' WHEN 3 THEN ' event user_id' ELSE '' END) AS t FROM benchmark),
+q AS (SELECT question_id, list_filter(list_distinct(regexp_extract_all(CASE WHEN question_id % 2 = 0 THEN regexp_extract(t, '[^ ]* ?[^ ]*$') ELSE t END, '[a-z0-9_]+')), lambda x: length(x) > 1) AS qt FROM a),
+s AS (SELECT question_id, table_id, round(least(1.0, len(list_intersect(qt, toks)) / greatest(3, len(qt))::DOUBLE + CASE WHEN len(list_intersect(qt, ids)) > 0 THEN 0.25 ELSE 0 END + CASE WHEN num THEN 0.05 ELSE 0 END), 6) AS score FROM q, c JOIN i USING (table_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, table_id) AS rank, round(score - coalesce(lead(score) OVER (PARTITION BY question_id ORDER BY score DESC, table_id), 0), 6) AS margin FROM s)
 SELECT question_id, table_id, score, margin, CASE WHEN score < 0.15 THEN 'no_match' WHEN margin < 0.1 THEN 'ambiguous' ELSE 'matched' END AS status FROM r WHERE rank = 1""")
 def schema_route_scores(t):
-    cards = [("orders", "table orders: status, totalprice, priority", ["o_totalprice"], True), ("part", "table part: brand, size, type", ["p_size"], True), ("region", "table region: name", ["r_name"], False)]
-    asked = [(1, "total orders priority"), (2, "which part brand has p_size"), (3, "hello there friend of mine")]
-    return profiling.route_scores(t.spark.createDataFrame(cards, "table_id string, text string, identifiers array<string>, numeric boolean"), t.spark.createDataFrame(asked, "question_id int, text string"))
+    """Every question of the benchmark (four in five get words of a table at their end, every second is its last two words) against cards
+    made from the tables' own columns."""
+    cards = []
+    for name in _ROUTED:
+        kinds = t.__getattr__(name).dtypes
+        numbers = [c for c, k in kinds if k in ("bigint", "int", "double")]
+        cards.append((name, " ".join(["table", name, *(w for c, _ in kinds for w in c.split("_"))]), numbers, any(k == "double" for _, k in kinds)))
+    given = F.element_at(F.array(*map(F.lit, (" total price orders priority status", " part brand size type p_size", " customer nation", " event user_id", ""))), (F.col("item_id") % 5 + 1).cast("int"))
+    whole = F.lower(F.concat("text", given))
+    asked = t.benchmark.select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 2 == 0, F.regexp_extract(whole, "[^ ]* ?[^ ]*$", 0)).otherwise(whole).alias("text"))
+    return profiling.route_scores(t.spark.createDataFrame(cards, "table_id string, text string, identifiers array<string>, numeric boolean"), asked)
 
 
 @query("""WITH q AS (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 0 THEN ' net sales in FY2023' WHEN 1 THEN ' gross_profit and total assets' WHEN 2 THEN ' from 2021 to 2022' ELSE '' END AS text FROM benchmark),
