@@ -46,6 +46,7 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(*[F.when(t.rlike(p), F.to_date(F.try_to_timestamp(t, F.lit(f)))) for p, f in DATES])
 
 
+#: What counts as a number in a text.
 FOUND = r"(\()?([$€£])?(\d[\d,]*(?:\.\d+)?)(\))?\s?(%|(?:thousand|million|billion|trillion|mm|bn|k|m|b)\b)?"
 
 
@@ -81,6 +82,7 @@ UNITS = {
     "bps": "basis_points", "basis point": "basis_points", "basis points": "basis_points",
     "thousand": "thousand", "m": "million", "mm": "million", "million": "million", "bn": "billion", "billion": "billion", "trillion": "trillion",
 }
+#: What a critic counts as a number.
 STRICT = (
     r"(?i)(?<![A-Za-z0-9_])([$€£])?(\(?-?\d+(?:,\d{3})*(?:\.\d+)?\)?)\s*"
     r"(%|percent|percentage points?|bps|basis points?|thousand|million|billion|trillion|mm|bn|m)?(?![A-Za-z0-9_])"

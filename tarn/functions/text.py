@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What counts as a latin word.
 LATIN_WORD = r"[A-Za-z0-9_]+(?:[-'][A-Za-z0-9_]+)?"
 CJK = r"[一-鿿]"
 #: Neither letter, digit, underscore nor white space, in any script.
@@ -47,15 +48,21 @@ def normal_term(text: Column) -> Column:
     return squash(F.translate(F.lower(text), "_", " "))
 
 
-#: Letters whose folded form isn't their lower case, and those forms (the ones in Latin and Greek texts).
-FOLDS = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("µ", "μ"))
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters beyond ASCII whose folded form is another, by Unicode's rules: to one letter, and to several."""
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c]
+    return {c: c.casefold() for c in letters if len(c.casefold()) == 1}, {c: c.casefold() for c in letters if len(c.casefold()) > 1}
+
+
+ONE_LETTER, SEVERAL_LETTERS = _folds()
 
 
 def folded(text: Column) -> Column:
-    """Folded case for comparing: lower case, with the letters of FOLDS spelled out."""
-    out = F.lower(text)
-    for letter, form in FOLDS:
-        out = F.replace(out, F.lit(letter), F.lit(form))
+    """Folded case for comparing, and blanks made one: every letter in its folded form, also where that isn't its lower case (ß is ss)."""
+    one = F.translate(F.lower(text), "".join(ONE_LETTER), "".join(ONE_LETTER.values()))
+    letters = F.filter(F.split(one, ""), lambda c: c != "")
+    spelled = F.array_join(F.transform(letters, lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in SEVERAL_LETTERS.items() for x in p]), c), c)), "")
+    out = F.when(one.rlike(f"[{''.join(SEVERAL_LETTERS)}]"), spelled).otherwise(one)
     return squash(out)
 
 
@@ -100,6 +107,7 @@ def period_names(text: Column) -> Column:
     return F.transform(years(text), lambda y: F.when(F.contains(F.lower(text), F.concat(F.lit("fy"), y)), F.concat(F.lit("FY"), y)).otherwise(y))
 
 
+#: Names with a corporate suffix, and tickers behind an exchange.
 SUFFIXED = (
     r"\b([A-Z][A-Za-z0-9&.'-]*(?:\s+[A-Z][A-Za-z0-9&.'-]*){0,5}\s+"
     r"(?:Inc\.?|Corp\.?|Corporation|Company|Co\.?|Ltd\.?|Limited|LLC|PLC|Holdings|Group|Technologies|Technology))\b"
@@ -127,17 +135,19 @@ def companies(text: Column, known: dict[str, tuple[str, ...]] | None = None) ->
 
 
 def quarter(text: Column) -> Column:
-    """Q1 to Q4 from forms such as "Q3", "3Q" or "third quarter"; null without any."""
+    """Q1 to Q4 from forms such as "Q3", "3Q", "third quarter" or "3rd quarter"; null without any."""
     t = F.lower(text)
     found = None
-    for n, name in enumerate(("first", "second", "third", "fourth"), 1):
-        hit = t.rlike(rf"\b(?:q{n}|{n}q|{name} quarter)\b")
+    for n, (name, short) in enumerate((("first", "1st"), ("second", "2nd"), ("third", "3rd"), ("fourth", "4th")), 1):
+        hit = t.rlike(rf"\b(?:q{n}|{n}q|(?:{name}|{short}) quarter)\b")
         found = F.when(hit, f"Q{n}") if found is None else found.when(hit, f"Q{n}")
     return found
 
 
-def citations(text: Column) -> Column:
-    """Ids in marks such as [c12], in order of their first use."""
+def citations(text: Column, any_case: bool = False) -> Column:
+    """Ids in marks such as [c12], in order of their first use; with ``any_case``, as a critic reads them, [C12] is a mark of c12 too."""
+    if any_case:
+        return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[([cC]\d+)\]"), F.lit(1)), F.lower))
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[(c\d+)\]"), F.lit(1)))
 
 

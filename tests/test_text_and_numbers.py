@@ -24,13 +24,21 @@ def test_phrases_touch_no_letters(spark):
     assert [r[0] for r in rows.select(T.has_phrase(F.col("t"), F.col("p"))).collect()] == [True, False, True, True]
 
 
-@pytest.mark.parametrize("text,q", [("Q3 2020", "Q3"), ("the third quarter", "Q3"), ("3Q", "Q3"), ("year", None)])
+@pytest.mark.parametrize("text,q", [("Q3 2020", "Q3"), ("the third quarter", "Q3"), ("3Q", "Q3"), ("in the 3rd Quarter", "Q3"), ("1st quarter", "Q1"), ("year", None)])
 def test_quarter(spark, text, q):
     assert _one(spark, text, T.quarter) == q
 
 
 def test_citations(spark):
     assert _one(spark, "x [c2] y [c1][c2] [d1]", T.citations) == ["c2", "c1"]
+    assert _one(spark, "x [C2] y [c1][c2]", lambda t: T.citations(t, any_case=True)) == ["c2", "c1"]
+
+
+def test_folding_of_every_letter(spark):
+    letters = [c for c in map(chr, range(0x20000)) if c.casefold() != c]
+    rows = spark.createDataFrame([(i, f"x{c}y") for i, c in enumerate(letters)], "i int, t string")
+    got = {r.i: r.f for r in rows.select("i", T.folded(F.col("t")).alias("f")).collect()}
+    assert {c: got[i] for i, c in enumerate(letters) if got[i] != f"x{c.casefold()}y"} == {}
 
 
 @pytest.mark.parametrize("text,n", [("1,234.5", 1234.5), ("(3)", -3.0), ("$5", 5.0), ("5%", 5.0), ("—", None), ("x", None), ("1_0", None), ("inf", None)])
