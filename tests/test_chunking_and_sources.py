@@ -145,6 +145,29 @@ def test_bytes_are_decoded():
     assert files.decode_bytes("\ufeffé".encode()) == "é" and files.decode_bytes("é".encode("latin-1")) == "é"
 
 
+@pytest.mark.parametrize("size", [64, 1000, 1 << 20])
+def test_a_csv_file_of_several_splits(spark, tmp_path, size):
+    import csv
+    import random
+
+    r = random.Random(size)
+    cell = lambda: r.choice(["", "a", "b c", 'say "x"', "two\nlines", '"', "three\r\n\nlines", ",;", "é漢", "x" * r.randint(1, 90), "\n" * r.randint(1, 5)])
+    rows = [[str(i), *(cell() for _ in range(r.randint(0, 3)))] for i in range(300)]
+    with open(tmp_path / "t.csv", "w", newline="", encoding="utf-8") as f:
+        csv.writer(f, lineterminator="\r\n" if size == 1000 else "\n").writerows([["id", "x", "y", "z"], *rows])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        splits = spark.read.text(str(tmp_path / "t.csv")).rdd.getNumPartitions()
+        got = [x.cells for x in files.csv_rows(spark, str(tmp_path / "t.csv"), header=True).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert splits > 4 if size <= 1000 else splits >= 1
+    assert sorted(got, key=lambda c: int(c[0])) == [[c or None for c in row] for row in rows]
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("Year,Revenue ($),Year\n2022,10,a\n\n2023,15\n")
     df = files.read_table(spark, str(tmp_path / "t.csv"))
