@@ -27,7 +27,7 @@ FORBIDDEN = (
 )
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 RESERVED = ("select", "from", "where", "group", "by", "order", "limit", "and", "or", "not", "in", "is", "like", "between", "null", "as", "asc", "desc", "table", "values")
-MAX_ROWS, MAX_BYTES = 100, 64 * 1024
+MAX_ROWS, MAX_BYTES, MAX_SECONDS = 100, 64 * 1024, 60.0
 
 _PLANS = {"Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "UnresolvedRelation"}
 _EXPRESSIONS = {
@@ -209,17 +209,22 @@ def check(spark: SparkSession, sql: str, table: TableContext) -> Verdict:
 
 
 def run(df: DataFrame, sql: str, table: TableContext) -> DataFrame:
-    """The statement's result over ``df``, lazily, at most MAX_ROWS rows; ValueError with the reasons if it is refused."""
+    """The statement's result over ``df``, lazily, at most MAX_ROWS rows; ValueError with the reasons if it is refused.
+
+    A statement that passes runs in a session of its own, which sees the table's columns under a name nobody else knows, and none of the
+    caller's views, functions and settings. `fetch` gets its rows under limits of rows, bytes and time.
+    """
     spark = df.sparkSession
     verdict = check(spark, _counted(sql), table)
     if not verdict.ok:
         raise ValueError("refused: " + ", ".join(verdict.reasons))
     own = f"guarded_{uuid.uuid4().hex}"
-    df.select(*[c for c in df.columns if c.lower() in table.columns]).createTempView(own)
+    df.select(*[c for c in df.columns if c.lower() in table.columns]).createGlobalTempView(own)
     try:
-        return spark.sql(_from(sql, table.name, own)).limit(verdict.limit)
+        shared = spark.conf.get("spark.sql.globalTempDatabase", "global_temp")
+        return spark.newSession().sql(_from(sql, table.name, f"{shared}.{own}")).limit(verdict.limit)
     finally:
-        spark.catalog.dropTempView(own)
+        spark.catalog.dropGlobalTempView(own)
 
 
 def _from(sql: str, name: str, view: str) -> str:
@@ -286,7 +291,7 @@ def _counted(sql: str) -> str:
     return re.sub(r"count\s*\(\s*\*\s*\)", "COUNT(1)", sql, flags=re.I)
 
 
-def fetch(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seconds: float | None = None):
+def fetch(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seconds: float | None = MAX_SECONDS):
     """(rows, truncated) of a result, read one row past the cap; a result over the byte cap or the time limit is an error.
 
     The time limit cancels the job itself, not only the wait for it.

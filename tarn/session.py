@@ -29,7 +29,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     """A table of at most ``most`` bytes dealt to all cores, for Python functions that follow: a small file is one row group, and so
-    one task. Larger tables have splits enough and stay where they are; no text of theirs is moved."""
+    one task. Larger tables have splits enough and stay where they are; no text of theirs is moved. The package is shipped too, for an operator
+    that is called by a program of its own."""
+    ship(df.sparkSession)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
 

@@ -68,6 +68,20 @@ def test_views_of_the_caller_stay(spark):
     spark.catalog.dropTempView("orders")
 
 
+def test_a_statement_sees_nothing_of_the_caller(spark):
+    spark.range(3).createTempView("secret")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    try:
+        got = G.run(df, "SELECT k FROM t WHERE v = 'b'", G.TableContext("t", {"k": "int", "v": "string"}))
+        assert [r.k for r in got.collect()] == [2]
+        assert not got.sparkSession.catalog.tableExists("secret") and spark.catalog.tableExists("secret")
+        assert not any(t.name.startswith("guarded_") for t in spark.catalog.listTables("global_temp"))
+        with pytest.raises(ValueError, match="refused"):
+            G.run(df, "SELECT id FROM secret", G.TableContext("t", {"k": "int"}))
+    finally:
+        spark.catalog.dropTempView("secret")
+
+
 def test_typed_tables(spark):
     raw = spark.createDataFrame([("(1,200.50)", "12.9", "Yes", "é"), ("", "x", "0", ""), ("7%", None, "maybe", " a ")], "`Net $` string, `2020` string, ok string, note string")
     rows, table = G.typed_table(raw, "my table", {"Net $": "number", "2020": "INT", "ok": "boolean", "note": "string"})
