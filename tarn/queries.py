@@ -268,6 +268,22 @@ def text_blocks(t):
     return chunking.line_blocks(t.documents)
 
 
+@query(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# Head ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## Tail' || chr(10) || 'end' ELSE coalesce(text, '') END AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d),
+h AS (SELECT *, nullif(regexp_extract(line, '^\s{0,3}#{1,6}\s+(.+?)\s*$', 1), '') AS title FROM l),
+k AS (SELECT doc_id, bool_or(title IS NOT NULL) AS headed FROM h GROUP BY doc_id),
+r AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY no) AS run FROM h JOIN k USING (doc_id) WHERE headed),
+a AS (SELECT doc_id, run, max(title) AS section, string_agg(rtrim(line), chr(10) ORDER BY no) AS text FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, generate_subscripts(x, 1) AS run, NULL::VARCHAR AS section, unnest(x) AS text FROM (SELECT doc_id, regexp_split_to_array(trim(text, ' ' || chr(10) || chr(13) || chr(9)), '\n\s*\n+') AS x FROM d JOIN k USING (doc_id) WHERE NOT headed)),
+b AS (SELECT doc_id, run, section, trim(text, ' ' || chr(10) || chr(13) || chr(9)) AS text FROM (SELECT * FROM a UNION ALL SELECT * FROM p))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS ordinal, section, text FROM b WHERE text <> ''""")
+def document_boundaries(t):
+    """Where documents may be cut: at headings, which every second one gets, else at blank lines."""
+    given = F.concat(F.lit("# Head "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## Tail\nend"))
+    docs = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, given).otherwise(F.col("text")).alias("text"))
+    return chunking.boundary_blocks(docs).select("doc_id", "ordinal", "section", "text")
+
+
 @query()
 def chunk_rows(t):
     return chunking.chunk_documents(t.documents, 120, 20)

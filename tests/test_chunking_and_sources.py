@@ -68,6 +68,39 @@ def test_parents_cover_children(spark):
     assert rows and all(r.text.split()[0] in r.parent_text for r in rows) and len({r.child_id for r in rows}) == len(rows)
 
 
+ELEMENTS = "doc_id long, source string, position int, element_id string, element_type string, text string, section string, page_start int, page_end int"
+
+
+def test_boundaries_of_documents(spark):
+    docs = spark.createDataFrame([(1, "never read"), (2, "intro\n\n# One \nbody\n\nmore\n## Two\nend"), (3, " a\nb\n \n\nc "), (4, None), (5, "x")], "doc_id long, text string")
+    elements = spark.createDataFrame(
+        [
+            (1, "elements", 0, "e0", "text", "not the first source", None, 1, 1), (1, "sections", 2, None, None, " second ", "S", 2, None), (1, "sections", 1, "s1", "Paragraph", "first", "S", 1, 2),
+            (1, "sections", 3, "s3", "Table-Row", "1 | 2", "S", 2, 2), (1, "sections", 4, "s4", "text", "  ", "S", 2, 2), (5, "pages", 0, "p0", "table", "only a table", None, 1, 1),
+        ], ELEMENTS,
+    )
+    got = [(r.doc_id, r.ordinal, r.text, r.section, r.page_start, r.page_end) for r in chunking.boundary_blocks(docs, elements).orderBy("doc_id", "ordinal").collect()]
+    assert got == [
+        (1, 0, "first", "S", 1, 2), (1, 1, "second", "S", 2, 2), (2, 0, "intro", None, None, None), (2, 1, "# One\nbody\n\nmore", "One", None, None), (2, 2, "## Two\nend", "Two", None, None),
+        (3, 0, "a\nb", None, None, None), (3, 1, "c", None, None, None),
+    ]
+    assert chunking.boundary_blocks(docs).filter("doc_id = 1").first().text == "never read"
+
+
+def test_parents_and_children_keep_to_boundaries(spark):
+    text = "one two three. four five six. seven eight nine.\n\nten eleven\n\ntwelve thirteen fourteen fifteen sixteen"
+    docs = spark.createDataFrame([(1, text.replace("\n\n", "\n")), (2, "a b c d e f g h i j")], "doc_id long, text string")
+    elements = spark.createDataFrame([(1, "blocks", 0, "b0", "text", text, None, 4, 5), (1, "blocks", 1, "b1", "text", "z y", None, 6, 6)], ELEMENTS)
+    rows = chunking.structured_chunks(chunking.boundary_blocks(docs, elements), child_target=8, child_overlap=1, parent_target=14).orderBy("doc_id", "chunk_index").collect()
+    # Of the first boundary: 12, 2 and 5 tokens. A parent holds 14: the first two paragraphs, then the third.
+    assert [(r.doc_id, r.part, r.child_index, r.chunk_index, r.page_start, r.text) for r in rows] == [
+        (1, 0, 0, 0, 4, "one two three. four five six."), (1, 0, 1, 1, 4, ".\n\nseven eight nine.\n\nten eleven"), (1, 1, 0, 2, 4, "twelve thirteen fourteen fifteen sixteen"), (1, 0, 0, 3, 6, "z y"),
+        (2, 0, 0, 0, None, "a b c d e f g h"), (2, 0, 1, 1, None, "h\n\ni j"),
+    ]
+    assert len({r.parent_id for r in rows}) == 4 and len({r.child_id for r in rows}) == 6
+    assert rows[0].parent_text == "one two three. four five six. seven eight nine.\n\nten eleven"
+
+
 def test_html():
     assert files.html_text("<table><tr><th>a</th><td>b&amp;c</td></tr></table>x", "p") == "HTML table 1: p\na | b&c"
     two = "<table><tr><td> a  b </td><td></td></tr><tr><td></td></tr></table>x<table></table><table><tr><td>1<b>2</b></td></tr></table>"
