@@ -34,25 +34,34 @@ def _bin(value: Column, width: int) -> Column:
     return F.floor(value / width).cast("long")
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, bin_width: int, most: int = 10_000) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, key: str, bin_width: int, most: int = 4_000, task_pairs: int = 30_000_000) -> DataFrame:
     """Rows of two tables of ranges (key, lo, hi and other columns; whole numbers, lo <= hi) that share a key and overlap. The second table's
     lo and hi are called other_lo and other_hi; other columns of both must differ in name. Rows with a null key or end overlap nothing.
 
     An interval join by bins: a range is in each bin of ``bin_width`` numbers that it touches, ranges meet in equal bins, and a pair
     counts in the first bin that both touch. So ranges far apart are never compared, and what is compared beyond the result are neighbours
-    within a bin. In a bin with more than ``most`` ranges of the first table these are dealt to as many parts as they fill, and the
-    second table's ranges go to each part.
+    within a bin. A bin with more than ``most`` ranges of a table has them dealt to as many rows or columns of a grid as they fill, and the
+    other table's ranges go to each. Cells of grids are dealt to tasks by the pairs they compare, about ``task_pairs`` each, whatever
+    the bytes of the tables, and a task holds one cell's second ranges.
     """
     at = lambda c: _bin(F.col(c), bin_width)
-    right = right.withColumnsRenamed({"lo": "other_lo", "hi": "other_hi"})
-    first = left.filter("lo <= hi").withColumn("_bin", F.explode(F.sequence(at("lo"), at("hi"))))
-    second = right.filter("other_lo <= other_hi").withColumn("_bin", F.explode(F.sequence(at("other_lo"), at("other_hi"))))
-    crowded = materialize(first.groupBy(key, "_bin").agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).filter("_parts > 1"), "crowded-bins")
-    first = first.join(crowded, [key, "_bin"], "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
-    second = second.join(crowded, [key, "_bin"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    met = first.drop("_parts").join(second.drop("_parts"), [key, "_bin", "_part"])
-    met = met.filter((F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi")) & (F.col("_bin") == _bin(F.greatest("lo", "other_lo"), bin_width)))
-    return met.drop("_bin", "_part")
+    binned = lambda df, lo, hi, own: df.filter(F.col(lo) <= F.col(hi)).withColumn(own, at(lo)).withColumn("_bin", F.explode(F.sequence(own, at(hi))))
+    first = binned(left, "lo", "hi", "_from")
+    second = binned(right.withColumnsRenamed({"lo": "other_lo", "hi": "other_hi"}), "other_lo", "other_hi", "_other_from")
+    counted = lambda df, n: df.groupBy(key, "_bin").agg(F.count("*").alias(n))
+    bins = materialize(counted(first, "_n").join(counted(second, "_m"), [key, "_bin"]), "range-bins")
+    compared = bins.agg(F.sum(F.col("_n").cast("double") * F.col("_m")), F.sum(F.col("_n") + F.col("_m"))).first()
+    least = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * left.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(least, int((compared[0] or 0) / task_pairs), (compared[1] or 0) >> 20)
+    bins = bins.select(key, "_bin", F.ceil(F.col("_n") / most).cast("int").alias("_p"), F.ceil(F.col("_m") / most).cast("int").alias("_q"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda df, n, columns: df.withColumn(f"{n}_at", F.pmod(F.xxhash64(*columns), F.col(n)).cast("int"))
+    cell = [key, "_bin", "_p_at", "_q_at"]
+    first = dealt(first.join(bins, [key, "_bin"]), "_p", left.columns).withColumn("_q_at", each("_q")).drop("_p", "_q")
+    second = dealt(second.join(bins, [key, "_bin"]), "_q", [c for c in second.columns if c[0] != "_"]).withColumn("_p_at", each("_p")).drop("_p", "_q")
+    met = first.repartition(tasks, *cell).hint("merge").join(second.repartition(tasks, *cell), cell)
+    met = met.filter((F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi")) & (F.col("_bin") == F.greatest("_from", "_other_from")))
+    return met.drop("_bin", "_p_at", "_q_at", "_from", "_other_from")
 
 
 def overlap_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -225,6 +225,13 @@ def test_overlaps_are_brute_forces(spark, width, most):
     assert counts == {x[0]: sum(p == x[0] for p, _ in want) for x in a}
 
 
+def test_equal_ranges_are_dealt_to_tasks_by_pairs_not_bytes(spark):
+    rows = spark.createDataFrame([(i, 1, 5, 6) for i in range(300)], "i int, k int, lo int, hi int").coalesce(1)
+    met = datasets.overlapping(rows, rows.withColumnRenamed("i", "j"), "k", 10, 50)
+    per = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 90_000 and max(per) <= 45_000
+
+
 def test_holding_by_runs_of_characters(spark):
     docs = spark.createDataFrame([(1, "aXb cd"), (2, "Xb"), (2, "no"), (None, "aXb"), (4, None), (5, "")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "Xb"), (2, "aXb c"), (3, ""), (4, "d"), (5, ".")], "query_id long, passage string")
