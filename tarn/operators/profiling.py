@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.numbers import parse_bool, parse_date, parse_number
 from tarn.functions.text import column_name
+from tarn.scratch import materialize
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -97,25 +98,23 @@ def routing_cards(table_name: str, profile: DataFrame) -> DataFrame:
     return table.unionByName(columns).unionByName(total)
 
 
-BUCKETS = 256  # ranges of rows that are numbered on their own
 
 
 def row_locators(df: DataFrame, table_id: str, order: list[str], columns: list[str], header: bool = True) -> DataFrame:
     """(row_index, physical_row, row_hash, row_id) of rows in a given order.
 
-    The order is cut at up to BUCKETS of its own values, picked by a hash; rows are numbered within these ranges, and what
-    stands in front of a range is added. So no window holds the whole table, and reruns cut at the same places.
+    Rows are partitioned by ranges of the order and their hash, sorted within them and written with their places once; what stands in front of
+    a range is added. So no window holds the whole table, equal keys are spread too, and where the ranges are cut changes no result.
     """
-    key = F.struct(*[F.col(c) for c in order])
+    keys = [f"_k{i}" for i in range(len(order))]
     cells = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    rows = df.select(key.alias("key"), F.sha2(cells, 256).alias("row_hash"))
-    picked = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("b")).agg(F.min_by("key", F.xxhash64("key", F.lit(2))).alias("cut"))
-    cuts = picked.agg(F.array_sort(F.collect_list("cut")).alias("cuts"))  # one row of at most BUCKETS values
-    rows = rows.join(F.broadcast(cuts)).select("key", "row_hash", F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("range"))
+    rows = df.select(*[F.col(c).alias(k) for k, c in zip(keys, order, strict=True)], F.sha2(cells, 256).alias("row_hash"))
+    rows = rows.repartitionByRange(*keys, "row_hash").sortWithinPartitions(*keys, "row_hash")
+    placed = materialize(rows.select("row_hash", F.monotonically_increasing_id().alias("at")), "ordered-rows")
+    placed = placed.select("row_hash", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
     in_front = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(in_front, F.lit(0)).alias("front"))  # at most BUCKETS + 1 rows
-    inside = F.row_number().over(Window.partitionBy("range").orderBy("key", "row_hash"))
-    rows = rows.withColumn("i", inside).join(F.broadcast(counts), "range").select((F.col("front") + F.col("i")).alias("row_index"), "row_hash")
+    counts = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(in_front, F.lit(0)).alias("front"))  # a row a partition
+    rows = placed.join(F.broadcast(counts), "range").select((F.col("front") + F.col("i") + 1).alias("row_index"), "row_hash")
     row_id = F.sha2(F.concat_ws("\x1f", F.lit(table_id), F.col("row_index").cast("string"), "row_hash"), 256)
     return rows.select("row_index", (F.col("row_index") + int(header)).alias("physical_row"), "row_hash", F.left(row_id, F.lit(32)).alias("row_id"))
 

@@ -226,6 +226,17 @@ def test_evidence_is_exploded(spark):
     assert [(r.case_id, r.position, r.doc_name, r.raw_page) for r in rows] == [(1, 0, "d", 3), (1, 1, "g", 4)]
 
 
+def test_row_locators_spread_rows_of_one_key(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = profiling.row_locators(spark.range(4000).withColumn("a", F.lit(1)), "t", ["a"], ["id"])
+        per = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per) == 4000 and max(per) <= 2000
+        assert sorted(r.row_index for r in found.collect()) == list(range(1, 4001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_row_locators_of_uneven_orders(spark):
     rows = [(i % 3, None if i % 50 == 0 else i, "x") for i in range(2000)] + [(0, None, "y")] * 3
     df = spark.createDataFrame(rows, "a int, b int, c string")
