@@ -18,7 +18,9 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    return undirected(edges).groupBy("node").agg(F.count("*").alias("degree"))
+    """(node, degree): edges at each node, loops once. Edges are read once, and only their ends."""
+    ends = F.when(F.col("source") != F.col("target"), F.array("source", "target")).otherwise(F.array("source"))
+    return edges.select(F.explode(ends).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
 def hubs(edges: DataFrame, flagged: DataFrame | None = None, cap: int = DEGREE_CAP) -> DataFrame:

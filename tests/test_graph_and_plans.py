@@ -152,3 +152,12 @@ def test_rates_ignore_nulls(spark):
     df = spark.createDataFrame([(True,), (None,), (False,)], "x boolean")
     assert df.select(measures.rate(F.col("x"))).first()[0] == 0.5
     assert df.filter("x IS NULL").select(measures.rate(F.col("x"))).first()[0] is None
+
+
+def test_degrees_read_edges_once(spark):
+    edges = spark.range(10).selectExpr("id % 3 AS source", "id % 4 AS target", "cast(id AS string) AS edge_id", "1.0D AS confidence")
+    found = graph.degrees(edges)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    pairs = [(i % 3, i % 4) for i in range(10)]
+    want = {n: sum((s == n) + (t == n and s != t) for s, t in pairs) for n in range(4)}
+    assert {r.node: r.degree for r in found.collect()} == want
