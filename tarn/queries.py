@@ -892,8 +892,9 @@ def cache_ttl_filter(t):
 
 
 def _replayed(t: Tables, events: DataFrame) -> DataFrame:
-    """A stream over ``events``, one file of four a batch; every file holds events of all times, so later batches change old windows."""
-    return ingest.event_stream(t.spark, ingest.split_table(events, "event_id", 4, "events"), events.schema)
+    """A stream over ``events`` in four batches; every file holds events of all times, so later batches change old windows."""
+    folder, files = ingest.split_table(events, "event_id", 4, "events")
+    return ingest.event_stream(t.spark, folder, events.schema, files)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -922,8 +923,8 @@ def stream_session(t):
 def stream_dedupe(t):
     """Every event twice; the second is dropped by its idempotency key. Files may come in any order of time."""
     twice = t.events.unionByName(t.events)
-    folder = ingest.split_table(twice.withColumn("copy", F.monotonically_increasing_id()), "copy", 4, "events-twice")  # copies in other batches too
-    rows = ingest.event_stream(t.spark, folder, twice.withColumn("copy", F.lit(0).cast("long")).schema)
+    folder, files = ingest.split_table(twice.withColumn("copy", F.monotonically_increasing_id()), "copy", 4, "events-twice")  # copies in other batches too
+    rows = ingest.event_stream(t.spark, folder, twice.withColumn("copy", F.lit(0).cast("long")).schema, files)
     kept = ingest.to_table(ingest.distinct_events(rows, late=None).select("event_type"), "stream-dedupe", "append")
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 

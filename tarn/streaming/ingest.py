@@ -92,8 +92,10 @@ def to_table(df: DataFrame, tag: str, mode: str = "complete") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def split_table(df: DataFrame, column: str, parts: int, tag: str) -> str:
-    """A folder in which the rows of ``df`` lie in ``parts`` files, dealt by a hash of a column, as a replay finds them."""
+def split_table(df: DataFrame, column: str, parts: int, tag: str, rows: int = 500_000) -> tuple[str, int]:
+    """(folder, files): a folder in which the rows of ``df`` lie, dealt by a hash of a column, as a replay of ``parts`` batches finds them,
+    and the files a batch. Files have about ``rows`` rows, so that no task reads or writes more, however large the table."""
     folder = fresh_path(df.sparkSession, tag)
-    df.repartition(parts, F.pmod(F.xxhash64(column), F.lit(parts))).write.parquet(folder)
-    return folder
+    files = max(1, -(-df.count() // (parts * rows)))
+    df.repartition(parts * files, column).write.parquet(folder)
+    return folder, files

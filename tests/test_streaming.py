@@ -91,3 +91,9 @@ def test_freshness(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-03 00:00:00")], "event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = {r.event_type: r.stale for r in ingest.freshness(df, F.lit("2024-01-03 01:00:00").cast("timestamp")).collect()}
     assert rows == {"a": True, "b": False}
+
+
+def test_files_of_a_replay_are_bounded_by_rows(spark):
+    folder, files = ingest.split_table(spark.range(4000), "id", 4, "t-split", rows=100)
+    per = [r["count"] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()]
+    assert files == 10 and sum(per) == 4000 and max(per) <= 200
