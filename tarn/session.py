@@ -36,6 +36,14 @@ def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
 
 
+def spread_all(df: DataFrame, share: int = 16 << 20) -> DataFrame:
+    """A table of any size dealt to tasks of about ``share`` bytes, and to all cores at least, for Python functions that take far longer than
+    moving their rows: a large file may have few row groups, which would keep most cores idle however many bytes it has."""
+    ship(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // share), 20_000)))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Bound the session's Arrow batches by rows and bytes, unless it has settings of its own: rows may be long texts."""
     held = spark._jsparkSession.sessionState().conf()

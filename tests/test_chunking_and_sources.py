@@ -275,3 +275,11 @@ def test_only_new_content_is_loaded(spark, tmp_path):
     count = lambda df: {r.status: r.n for r in df.collect()}
     assert count(first) == {"loaded": 2, "skipped_duplicate": 1} and count(again) == {"loaded": 1, "skipped_duplicate": 1}
     assert sorted(r.uri for r in commits.read(spark, path, "documents").collect()) == ["a", "c", "e"]
+
+
+def test_a_large_table_of_one_row_group_is_dealt_to_many_tasks(spark, tmp_path):
+    from tarn import session
+
+    path = f"file://{tmp_path}/one"
+    spark.range(3000).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 256), 4) AS text").coalesce(1).write.parquet(path)
+    assert session.spread_all(spark.read.parquet(path), 10_000).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
