@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.scratch import materialize
 
-__all__ = ["fresh", "lean", "materialize", "remainder", "runs", "text_batches", "whole_runs"]
+__all__ = ["fresh", "lean", "materialize", "remainder", "runs", "text_batches", "trim", "whole_runs"]
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
@@ -21,7 +21,8 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Give freed memory of this worker back to the system."""
     import ctypes
 
     import pyarrow
@@ -40,7 +41,7 @@ def lean(run):
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        _trim()
+        trim()
 
     return wrapped
 

@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, trim
 from .shingles import mixed
 
 SPACE = "▁"
 WINDOW = 32  # decisions whose branches get a queue entry of their own; those behind share one until it is popped
 _EDGES = 1_500_000  # edges of lattices that a worker keeps: some 40 MB with their nodes and names
 _SEEN = 1 << 20  # marks of chunks that were seen once
-_CHARS = 500_000  # characters of texts that are worked on at once
+_CHARS = 125_000  # characters of texts that are worked on at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -547,6 +547,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 4, alpha: fl
                     ["doc_id", "sample", "ids", "log_prob", "value", "log_inclusion", "decodes"],
                 )
                 i = j
+            trim()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, sample int, ids array<int>, log_prob double, value double, log_inclusion double, decodes boolean")
