@@ -36,12 +36,13 @@ def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
 
 
-def spread_all(df: DataFrame, share: int = 16 << 20) -> DataFrame:
+def spread_all(df: DataFrame, share: int = 16 << 20, most: int = 20_000) -> DataFrame:
     """A table of any size dealt to tasks of about ``share`` bytes, and to all cores at least, for Python functions that take far longer than
-    moving their rows: a large file may have few row groups, which would keep most cores idle however many bytes it has."""
+    moving their rows: a large file may have few row groups, which would keep most cores idle however many bytes it has. There are at most ``most``
+    tasks, or as many as cores: sizes of tables that are not files may be unknown, and count as without end."""
     ship(df.sparkSession)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // share), 20_000)))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // share), most)))
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:

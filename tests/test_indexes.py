@@ -153,6 +153,41 @@ def test_an_empty_lexical_index(spark):
     assert lexical_index.search(index, spark.createDataFrame([(1, "a")], "query_id long, text string"), 3).collect() == []
 
 
+def test_the_lexical_index_reads_each_text_once_and_moves_no_posting(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = _texts(spark, 400)
+    index = lexical_index.build(docs.mapInArrow(seen, docs.schema), fresh_path(spark, "test-lexical-once"))
+    assert read.value == 2 * docs.count()  # once counted, once split
+    held = index.blocks(spark)
+    assert held.count() == held.select("grp", "term").distinct().count()  # a term of a segment is one row
+
+
+@pytest.mark.parametrize(("group", "length"), [(50, 1 << 22), (8192, 300)])
+def test_segments_of_any_size_give_the_same_hits(spark, group, length):
+    odd = ["\u212aelvin \u0130x", "kelvin i x", "Z\u00fcrich\u4e2d w1", "w1", "a" * 3000 + " w1", None, "", "w1 w1\tW1"]
+    docs = _texts(spark, 300).unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "w1 rich"), (2, "kelvin"), (3, "i x"), (4, "z w1"), (5, "w2 w3 r60")], "query_id long, text string")
+    index = lexical_index.build(docs, fresh_path(spark, "test-lexical-segments"), window=8, group=group, length=length)
+    documents = index.blocks(spark).filter("term = ''").agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    assert documents[0] >= 6 and documents[1] <= max(group, 64)
+    want = _ranked(retrieval.bm25_top(asked, docs, 5))
+    assert _ranked(lexical_index.search(index, asked, 5)) == want
+    assert _ranked(lexical_index.search(index, asked, 5, max_queries=2)) == want
+
+
+def test_an_index_of_another_layout_is_refused(spark):
+    folder = fresh_path(spark, "test-lexical-old")
+    spark.createDataFrame([('{"documents": 1, "window": 64, "groups": 8, "id_type": "bigint"}',)], "value string").write.text(f"{folder}/about")
+    with pytest.raises(ValueError, match="layout"):
+        lexical_index.load(spark, folder)
+
+
 # --- percentiles
 
 
